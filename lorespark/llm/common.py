@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,7 +65,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         rows = batch.num_rows
         if not rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(column)), 0), dtype=np.int64)
+        sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
         piece = np.cumsum(sizes) // SLICE_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), rows]
         for a, b in zip(cuts, cuts[1:], strict=False):

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark.llm import langid, quality_model
 from lorespark.llm.bpe import bpe_decode, bpe_encode
-from lorespark.llm.common import table
+from lorespark.llm.common import held_out, table
+from lorespark.llm.quality_rules import quality_rules
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
@@ -25,8 +27,31 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = langid.train(docs, learn=~held_out("doc_id", 4))
+    return langid.predict(docs, network).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
+
+
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, table(spark, sf_dir, "labels"), learn=~held_out("doc_id", 4))
+    scored = quality_model.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_bpe": op2_bpe}
+    return {
+        "op2_bpe": op2_bpe,
+        "op5_langid": op5_langid,
+        "op7_quality_rules": op7_quality_rules,
+        "op9_quality_model": op9_quality_model,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
