@@ -26,7 +26,7 @@ from lorespark.llm.common import id_and_text, slices, texts
 
 NEVER = np.int64(1) << 40
 #: Chunks of text without white space whose ids a task remembers, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 120_000
 
 
 def byte_letters() -> list[str]:

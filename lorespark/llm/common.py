@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python task handles at once.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 2 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
