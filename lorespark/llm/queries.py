@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import langid, quality_model
+from lorespark.llm import ann, langid, lm, mixing, quality_model, substring
 from lorespark.llm.bpe import bpe_decode, bpe_encode
 from lorespark.llm.common import held_out, table
 from lorespark.llm.quality_rules import quality_rules
@@ -27,17 +27,31 @@ def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) ->
     )
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = langid.train(docs, learn=~held_out("doc_id", 4))
     return langid.predict(docs, network).select("doc_id", held_out("doc_id", 4).alias("held_out"), "lang_pred", "score")
 
 
+def op6_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "p_good")
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents"), learn=~held_out("doc_id", 7))
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_model.train(docs, table(spark, sf_dir, "labels"), learn=~held_out("doc_id", 4))
@@ -45,14 +59,26 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
+#: Exponents of the target shares: the hot source and language shrink, small ones grow, topics move little.
+MIX = {"source": 0.9, "lang": 0.9, "topic": 0.95}
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), MIX).withColumn("rate", F.round("rate", 9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_bpe": op2_bpe,
+        "op3_substring_dedup": op3_substring_dedup,
         "op5_langid": op5_langid,
+        "op6_ann": op6_ann,
         "op7_quality_rules": op7_quality_rules,
+        "op8_lm_score": op8_lm_score,
         "op9_quality_model": op9_quality_model,
+        "op10_mixing": op10_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_mixing": mixing.oracle(MIX)}
