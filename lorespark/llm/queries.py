@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, langid, lm, mixing, quality_model, substring
+from lorespark.llm import ann, jaccard, langid, lm, mixing, quality_model, substring
 from lorespark.llm.bpe import bpe_decode, bpe_encode
 from lorespark.llm.common import held_out, table
 from lorespark.llm.quality_rules import quality_rules
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents")).drop("hash")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:
     if vocabulary is None:
         import public_tokenizers
@@ -69,6 +73,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_jaccard_join": op1_jaccard_join,
         "op2_bpe": op2_bpe,
         "op3_substring_dedup": op3_substring_dedup,
         "op5_langid": op5_langid,
