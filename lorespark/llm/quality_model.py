@@ -40,9 +40,9 @@ def statistics(text: Column) -> dict[str, Column]:
     }
 
 
-def ratios() -> dict[str, Column]:
-    """The features of the rules, from the columns of statistics()."""
-    c = F.col
+def ratios(s: Column) -> dict[str, Column]:
+    """The features of the rules, from a struct of statistics()."""
+    c = s.getField
     words, chars = F.greatest(c("words"), F.lit(1)), F.greatest(c("chars"), F.lit(1))
     return {
         "words": c("words").cast("double"),
@@ -68,13 +68,13 @@ class RuleModel:
     bias: float
     rules: list[tuple[Rule, float]]
 
-    def score(self) -> Column:
-        """Probability of label 1, from the columns of ratios()."""
+    def score(self, f: Column) -> Column:
+        """Probability of label 1, from a struct of ratios()."""
         z = F.lit(float(self.bias))
         for rule, weight in self.rules:
             test = F.lit(True)
             for feature, side, cut in rule:
-                test = test & (F.col(f"f_{feature}") <= cut if side == "<=" else F.col(f"f_{feature}") > cut)
+                test = test & (f.getField(feature) <= cut if side == "<=" else f.getField(feature) > cut)
             z = z + F.when(test, float(weight)).otherwise(0.0)
         return 1 / (1 + F.exp(-z))
 
@@ -156,21 +156,31 @@ def fit(values: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3,
     return RuleModel(float(b - (w * mean).sum()), [(r, float(x)) for (r, _), x in zip(kept, w, strict=True) if abs(x) > 1e-4])
 
 
-def _features(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    out = out.select("doc_id", *(c.alias(k) for k, c in statistics(F.col("text")).items()))
-    return out.select("doc_id", *(c.alias(f"f_{k}") for k, c in ratios().items()))
+def with_features(docs: DataFrame, text_col: str = "text", into: str = "__features") -> DataFrame:
+    """docs with a struct of the features of each row's whole text."""
+    counted = docs.withColumn(into, F.struct(*(c.alias(k) for k, c in statistics(F.col(text_col).cast("string")).items())))
+    return counted.withColumn(into, F.struct(*(c.alias(k) for k, c in ratios(F.col(into)).items())))
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = 20_000) -> RuleModel:
-    """A model fitted on at most `sample` labelled rows where learn (a column over the id) is true; ids repeated among docs count once each."""
+    """A model fitted on at most `sample` labelled ids where learn (a column over doc_id) is true."""
     chosen = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null")
-    chosen = chosen.filter(learn).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    features = _features(docs.join(F.broadcast(chosen.select(F.col("doc_id").alias(id_col))), id_col, "left_semi"), id_col, text_col)
-    rows = features.join(F.broadcast(chosen), "doc_id").select("y", *(f"f_{k}" for k in FEATURES)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * sample).toPandas().to_numpy(dtype=float)
-    return fit(rows[:, 1:], (rows[:, 0] >= 1).astype(int))
+    # `sample` rows at most, so they may be broadcast
+    chosen = F.broadcast(chosen.filter(learn).groupBy("doc_id").agg(F.min("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(chosen, "doc_id")
+    found = with_features(rows, "text", "f").select("doc_id", "y", *(F.col("f").getField(k).alias(k) for k in FEATURES))
+    # ids that repeat among docs count once
+    found = found.groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("r")).select("r.*").toPandas().to_numpy(dtype=float)
+    found = found[np.lexsort(found.T[::-1])]
+    return fit(found[:, 1:], (found[:, 0] >= 1).astype(int))
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and score of each row's whole text."""
-    return _features(docs, id_col, text_col).select("doc_id", model.score().alias("score"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    return with_features(rows, "text", "f").select("doc_id", model.score(F.col("f")).alias("score"))
+
+
+def keep(docs: DataFrame, model: RuleModel, least: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, whose score reaches `least`."""
+    return with_features(docs, text_col).filter(model.score(F.col("__features")) >= least).drop("__features")
