@@ -1,15 +1,14 @@
-"""Queries of the library and the SQL that gives the same rows."""
+"""All queries of the library and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lorespark.plans import corpus, retrieval  # noqa: F401  they register their queries
+from lorespark.plans.registry import ORACLES, QUERIES, Query
 
-from pyspark.sql import DataFrame, SparkSession
 
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
