@@ -35,7 +35,7 @@ def tokens(text: Column, lower: bool = True) -> Column:
 
 def summary(text: Column, length: int = 80) -> Column:
     """Non-blank lines, stripped, joined by a space, cut."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.array_join(lines, " "), 1, length)
 
 
@@ -100,7 +100,7 @@ def clean_label(raw: Column) -> Column:
 
 
 def split_targets(raw: Column) -> Column:
-    parts = F.filter(F.transform(F.split(raw, "(?i)\\s*(?:與|和|及|、| and |,)\\s*"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(raw, "(?i)\\s*(?:與|和|及|、| and |,)\\s*"), lambda x: F.trim(x)), lambda x: x != "")
     return F.transform(parts, lambda x: F.regexp_replace(x, "(?i)^(?:and|or)\\s+", ""))
 
 
@@ -153,7 +153,7 @@ def concept(text: Column) -> Column:
 
 def first_line(text: Column, most: int = 240) -> Column:
     """The first line with something in it, stripped and cut; empty if there is none."""
-    lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\r\n|\r|\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.substring(F.coalesce(F.get(lines, F.lit(0)), lit("")), 1, most)
 
 

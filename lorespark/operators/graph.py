@@ -38,9 +38,9 @@ def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id_col, pos and sentence. A sentence with two relation words or more is cut at commas too."""
     guard = "".join(f"(?<!\\b{a}\\.)" for a in ABBREVIATIONS)
     cut = f"[\\n。！？!?;；]+|(?<=\\.){guard}\\s+(?=[A-Z\\x{{4e00}}-\\x{{9fff}}])"
-    parts = F.filter(F.transform(F.split(F.regexp_replace(text_col, "\r\n?", "\n"), cut), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text_col, "\r\n?", "\n"), cut), lambda x: F.trim(x)), lambda x: x != "")
     count = lambda x: sum(((F.length(x) - F.length(F.replace(x, F.lit(k), F.lit("")))) / len(k) for k in MANY), F.lit(0.0))
-    pieces = F.flatten(F.transform(parts, lambda x: F.when(count(x) > 1, F.filter(F.transform(F.split(x, "[，,]"), F.trim), lambda y: y != "")).otherwise(F.array(x))))
+    pieces = F.flatten(F.transform(parts, lambda x: F.when(count(x) > 1, F.filter(F.transform(F.split(x, "[，,]"), lambda z: F.trim(z)), lambda y: y != "")).otherwise(F.array(x))))
     return docs.select(id_col, F.posexplode(pieces).alias("pos", "sentence"))
 
 

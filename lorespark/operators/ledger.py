@@ -12,7 +12,7 @@ TTL_SECONDS = 1800
 def sessions(events: DataFrame, agent: str, ts: str, gap_seconds: int = TTL_SECONDS) -> DataFrame:
     """agent, session, start, end and n: a session ends when the next event is more than the gap away."""
     w = Window.partitionBy(agent).orderBy(ts)
-    seconds = F.unix_micros(F.col(ts)) / 1e6
+    seconds = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
     new = F.when(seconds - F.lag(seconds).over(w) > gap_seconds, 1).otherwise(0)
     rows = events.select(agent, ts, new.alias("new")).withColumn("session", F.sum("new").over(w))
     return rows.groupBy(agent, "session").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("n"))
@@ -21,7 +21,7 @@ def sessions(events: DataFrame, agent: str, ts: str, gap_seconds: int = TTL_SECO
 def session_status(events: DataFrame, agent: str, ts: str, kind: str, now: Column, close: str, ttl_seconds: int = TTL_SECONDS) -> DataFrame:
     """agent, last_seen and status: closed, stale (not seen for the ttl) or active."""
     last = events.groupBy(agent).agg(F.max(ts).alias("last_seen"), F.max_by(kind, ts).alias("last"))
-    status = F.when(F.col("last") == close, "closed").when(F.unix_seconds("last_seen") + ttl_seconds < F.unix_seconds(now), "stale").otherwise("active")
+    status = F.when(F.col("last") == close, "closed").when(F.unix_seconds(F.col("last_seen").cast("timestamp")) + ttl_seconds < F.unix_seconds(now.cast("timestamp")), "stale").otherwise("active")
     return last.select(agent, "last_seen", status.alias("status"))
 
 

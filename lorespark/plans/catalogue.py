@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lorespark.plans import corpus, retrieval  # noqa: F401  they register their queries
+from lorespark.plans import corpus, events, graphs, retrieval, upkeep  # noqa: F401  they register their queries
 from lorespark.plans.registry import ORACLES, QUERIES, Query
 
 

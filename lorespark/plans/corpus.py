@@ -163,9 +163,9 @@ def skipped_segment_sums(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").groupBy(kind.alias("type")).agg(F.sum("l_quantity").cast("long").alias("n"))
 
 
-@query("""select l_orderkey page, string_agg(p_name, ' ' order by l_linenumber) line, min(l_linenumber)::int first, max(l_linenumber)::int last, round(avg(l_quantity) / 100, 4) confidence from lineitem join part on l_partkey = p_partkey group by 1""")
+@query("""select l_orderkey page, string_agg(p_name, ' ' order by l_linenumber, p_name) line, min(l_linenumber)::int first, max(l_linenumber)::int last, round(avg(l_quantity * 4) / 100, 4) confidence from lineitem join part on l_partkey = p_partkey group by 1""")
 def ocr_line_fold(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "lineitem").join(table(spark, d, "part"), F.col("l_partkey") == F.col("p_partkey"))
     zero = F.lit(0)
-    words = j.select(F.col("l_orderkey").alias("image"), zero.alias("block"), zero.alias("par"), zero.alias("line"), F.col("l_linenumber").alias("left"), F.col("l_linenumber").alias("top"), zero.alias("width"), zero.alias("height"), F.col("l_quantity").alias("conf"), F.col("p_name").alias("text"))
+    words = j.select(F.col("l_orderkey").alias("image"), zero.alias("block"), zero.alias("par"), zero.alias("line"), F.col("l_linenumber").alias("left"), F.col("l_linenumber").alias("top"), zero.alias("width"), zero.alias("height"), (F.col("l_quantity") * 4).alias("conf"), F.col("p_name").alias("text"))
     return catalog.ocr_lines(words).select(F.col("image").alias("page"), F.col("text").alias("line"), F.col("top").alias("first"), F.col("bottom").alias("last"), "confidence")
