@@ -57,12 +57,9 @@ def split(rows: list[bytes], hashes: WordHashes) -> tuple[list[bytes], np.ndarra
     return flat, hashes(flat), np.repeat(np.arange(len(rows)), [len(ws) for ws in words])
 
 
-def row_key(doc_id: int, text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text, seed=doc_id & 0xFFFFFFFF) - (1 << 63)
-
-
-def passage_key(passage: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(passage) - (1 << 63)
+def passage_key(anchor: int, passage: bytes) -> int:
+    """The upper half is the anchor's, so that a bucket can tell by the anchor whether it has to look at a passage."""
+    return (anchor >> 32 << 32 | xxhash.xxh32_intdigest(passage)) - (1 << 63)
 
 
 def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
@@ -98,25 +95,23 @@ def tell_anchors(length: int, anchor: int):
     return run
 
 
-def tell_passages(length: int, anchor: int, shards: int):
-    """For a bucket's documents and its shared anchors: passages, and (with no passage) the keys of rows that hold any."""
+def tell_passages(length: int, anchor: int):
+    """For a bucket's documents and its shared anchors: the distinct passages, with their smallest and largest document."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shared = np.sort(np.asarray(right.column("anchor"), dtype=np.int64)).view(np.uint64)
         shared.sort()
         out: dict[tuple[int, bytes], list[int]] = {}
-        touched: set[int] = set()
         bucket = left.column("__bucket")[0].as_py() if left.num_rows else 0
         hashes = WordHashes()
         for batch in _pieces(left) if len(shared) else ():
-            ids, raw = _ids(batch.column("__id")), texts(batch, "__text")
-            words, h, row = split(raw, hashes)
+            ids = _ids(batch.column("__id"))
+            words, h, row = split(texts(batch, "__text"), hashes)
             first, last, key = anchored(h, row, length, anchor)
             at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
             hit = np.flatnonzero((shared[at] == key) & (ids[row[first]] != NONE))
-            touched.update(row_key(int(ids[r]), raw[r]) for r in np.unique(row[first[hit]]))
-            for a, b, shard, i in zip(first[hit].tolist(), last[hit].tolist(), (key[hit] % np.uint64(shards)).tolist(), ids[row[first[hit]]].tolist(), strict=True):
-                p = (shard, b" ".join(words[a : b + length]))
+            for a, b, k, i in zip(first[hit].tolist(), last[hit].tolist(), key[hit].tolist(), ids[row[first[hit]]].tolist(), strict=True):
+                p = (k, b" ".join(words[a : b + length]))
                 seen = out.get(p)
                 if seen is None:
                     out[p] = [i, i]
@@ -124,14 +119,13 @@ def tell_passages(length: int, anchor: int, shards: int):
                     seen[0] = i
                 elif i > seen[1]:
                     seen[1] = i
-        n, m = len(out), len(touched)
         return pa.table(
             {
-                "shard": pa.array([s for s, _ in out] + [bucket % shards] * m, pa.int32()),
-                "bucket": pa.array([bucket] * (n + m), pa.int32()),
-                "passage": pa.array([p for _, p in out] + [None] * m, pa.binary()),
-                "low": pa.array([x[0] for x in out.values()] + [*touched], pa.int64()),
-                "high": pa.array([x[1] for x in out.values()] + [0] * m, pa.int64()),
+                "anchor": pa.array(np.array([k for k, _ in out], dtype=np.uint64).view(np.int64)),
+                "bucket": pa.array([bucket] * len(out), pa.int32()),
+                "passage": pa.array([p for _, p in out], pa.binary()),
+                "low": pa.array([x[0] for x in out.values()], pa.int64()),
+                "high": pa.array([x[1] for x in out.values()], pa.int64()),
             }
         )
 
@@ -139,49 +133,49 @@ def tell_passages(length: int, anchor: int, shards: int):
 
 
 def search_shard(length: int):
-    """For a shard's passages: the smallest document of each window, for the buckets with a larger one. Rows without a passage pass."""
+    """For a shard's passages: the smallest document of each window, for the buckets with a larger one."""
 
-    def run(t: pa.Table) -> pa.Table:
-        has = t.column("passage").is_valid()
-        pass_by, t = t.filter(pc.invert(has)), t.filter(has)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [b for b in batches if b.num_rows]
+        if not rows:
+            return
+        t = pa.Table.from_batches(rows).combine_chunks()
         coded = t.column("passage").combine_chunks().dictionary_encode()
-        passages = coded.dictionary.to_pylist()
-        which = np.asarray(coded.indices, dtype=np.int64)
-        bucket, low, high = (np.asarray(t.column(c), dtype=np.int64) for c in ("bucket", "low", "high"))
-        sizes, mins = np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        if passages:
-            owner = np.full(len(passages), NONE)
-            np.minimum.at(owner, which, low)
-            ids: dict[bytes, int] = {}
-            split_up = [p.split(b" ") for p in passages]
-            symbols = np.fromiter((x for ws in split_up for x in (*(ids.setdefault(w, len(ids) + 1) for w in ws), 0)), dtype=np.int64)
-            del ids
-            lengths = np.fromiter(map(len, split_up), dtype=np.int64, count=len(split_up)) + 1
-            index = FmIndex(symbols, length)
-            owner_of = np.append(np.repeat(owner, lengths)[index.suffixes], NONE)
-            sizes = lengths - length
-            begins = np.cumsum(lengths) - lengths
-            starts = np.repeat(begins - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            mins = np.repeat(owner, sizes)
-            windows = np.lib.stride_tricks.sliding_window_view(symbols, length)
-            for k in range(0, len(starts), 1 << 16):
-                a, b, _ = index.search(windows[starts[k : k + (1 << 16)]])
-                mins[k : k + (1 << 16)] = np.minimum.reduceat(owner_of, np.stack([a, b], axis=1).ravel())[::2]
-        ends = np.cumsum(sizes)
-        begin = ends - sizes
-        least = np.minimum.reduceat(mins, begin) if len(mins) else mins
-        rows = np.flatnonzero(least[which] < high) if len(which) else which
-        keys = np.array([passage_key(p) for p in passages], dtype=np.int64)
-        flat = np.concatenate([mins[begin[w] : ends[w]] for w in which[rows].tolist()]) if len(rows) else np.empty(0, dtype=np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[which[rows]])]), pa.int32()), pa.array(flat))
-        n = pass_by.num_rows
-        return pa.table(
-            {
-                "bucket": pa.array(np.concatenate([bucket[rows], np.asarray(pass_by.column("bucket"), dtype=np.int64)]), pa.int32()),
-                "key": pa.array(np.concatenate([keys[which[rows]], np.asarray(pass_by.column("low"), dtype=np.int64)])),
-                "owners": pa.concat_arrays([lists, pa.nulls(n, lists.type)]),
-            }
-        )
+        passages, which = coded.dictionary.to_pylist(), np.asarray(coded.indices, dtype=np.int64)
+        anchor, bucket, low, high = (np.asarray(t.column(c), dtype=np.int64) for c in ("anchor", "bucket", "low", "high"))
+        del t, coded, rows
+        owner = np.full(len(passages), NONE)
+        np.minimum.at(owner, which, low)
+        words = b" \n ".join(passages).split(b" ")
+        words.append(b"\n")
+        ids = {w: n for n, w in enumerate(dict.fromkeys([b"\n", *words]))}
+        symbols = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
+        del ids, words
+        ends = np.flatnonzero(symbols == 0)
+        lengths = np.diff(ends, prepend=-1)
+        index = FmIndex(symbols, length)
+        owner_of = np.repeat(owner, lengths)[index.suffixes]
+        sizes = lengths - length
+        last = np.cumsum(sizes)
+        begin = last - sizes
+        starts = np.repeat(ends - lengths + 1 - begin, sizes) + np.arange(last[-1])
+        mins = np.repeat(owner, sizes)
+        windows = np.lib.stride_tricks.sliding_window_view(symbols, length)
+        for k in range(0, len(starts), 1 << 15):
+            a, b, _ = index.search(windows[starts[k : k + (1 << 15)]])
+            least = owner_of[a]
+            many = np.flatnonzero(b - a > 1)
+            if len(many):
+                n = (b - a)[many]
+                at = np.cumsum(n) - n
+                least[many] = np.minimum.reduceat(owner_of[np.repeat(a[many] - at, n) + np.arange(n.sum())], at)
+            mins[k : k + (1 << 15)] = least
+        asked = np.flatnonzero(np.minimum.reduceat(mins, begin)[which] < high)
+        at = which[asked]
+        keys = [passage_key(k, passages[p]) for k, p in zip(anchor[asked].view(np.uint64).tolist(), at.tolist(), strict=True)]
+        flat = mins[np.repeat(begin[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at]) + np.arange(sizes[at].sum())]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[at])]), pa.int32()), pa.array(flat))
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[asked], pa.int32()), pa.array(keys, pa.int64()), lists], ["__bucket", "key", "owners"])
 
     return run
 
@@ -190,37 +184,33 @@ def remove(length: int, anchor: int, names: list[str], schema: pa.Schema):
     """A bucket's documents with the words that stay."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        answer = right.column("owners").is_valid()
-        asked = right.filter(answer)
-        keys, owners = asked.column("key").to_pylist(), asked.column("owners").combine_chunks()
-        at = {k: n for n, k in enumerate(keys)}
+        keys, owners = np.asarray(right.column("key"), dtype=np.int64), right.column("owners").combine_chunks()
+        at = {k: n for n, k in enumerate(keys.tolist())}
+        anchors = np.unique(keys >> 32)
         begins, values = np.asarray(owners.offsets, dtype=np.int64), np.asarray(owners.values, dtype=np.int64)
-        touched = set(right.filter(pc.invert(answer)).column("key").to_pylist())
         hashes, parts = WordHashes(), []
         for batch in _pieces(left):
-            ids, raw = _ids(batch.column("__id")), texts(batch, "__text")
-            n_words, n_removed, kept = [], [], []
-            for i, t in zip(ids.tolist(), raw, strict=True):
-                words = t.split()
-                gone = 0
-                if at and i != NONE and row_key(i, t) in touched:
-                    h = hashes(words)
-                    first, last, _ = anchored(h, np.zeros(len(h), dtype=np.int8), length, anchor)
-                    cover = np.zeros(len(h) + 1, dtype=np.int64)
-                    for a, b in zip(first.tolist(), last.tolist(), strict=True):
-                        k = at.get(passage_key(b" ".join(words[a : b + length])))
-                        if k is not None:
-                            starts = np.flatnonzero(values[begins[k] : begins[k + 1]] < i) + a
-                            cover[starts] += 1
-                            cover[starts + length] -= 1
-                    stay = np.cumsum(cover[:-1]) == 0
-                    gone = int((~stay).sum())
-                    if gone:
-                        words = [w for w, s in zip(words, stay.tolist(), strict=True) if s]
-                n_words.append(len(words) + gone)
-                n_removed.append(gone)
-                kept.append(b" ".join(words))
-            made = [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            ids = _ids(batch.column("__id"))
+            words, h, row = split(texts(batch, "__text"), hashes)
+            stay = np.ones(len(h), dtype=bool)
+            if len(anchors):
+                first, last, key = anchored(h, row, length, anchor)
+                half = (key >> np.uint64(32)).astype(np.int64) - (1 << 31)
+                hit = np.flatnonzero((anchors[np.minimum(np.searchsorted(anchors, half), len(anchors) - 1)] == half) & (ids[row[first]] != NONE))
+                cover = np.zeros(len(h) + 1, dtype=np.int64)
+                for a, b, k, i in zip(first[hit].tolist(), last[hit].tolist(), key[hit].tolist(), ids[row[first[hit]]].tolist(), strict=True):
+                    n = at.get(passage_key(k, b" ".join(words[a : b + length])))
+                    if n is not None:
+                        starts = np.flatnonzero(values[begins[n] : begins[n + 1]] < i) + a
+                        cover[starts] += 1
+                        cover[starts + length] -= 1
+                stay = np.cumsum(cover[:-1]) == 0
+            total = np.bincount(row, minlength=batch.num_rows)
+            left_over = np.bincount(row[stay], minlength=batch.num_rows)
+            words = [w for w, s in zip(words, stay.tolist(), strict=True) if s] if not stay.all() else words
+            cuts = np.concatenate([[0], np.cumsum(left_over)]).tolist()
+            kept = [b" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+            made = [pa.array(total, pa.int64()), pa.array(total - left_over, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             parts.append(pa.Table.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "__n_words", "__n_removed", "__kept"]))
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
@@ -232,16 +222,15 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: i
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col).cast("string"), "__bucket": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")})
-    if text_col in docs.columns:
-        rows = rows.drop(text_col)  # __text has it
+    rows = rows.drop(text_col)  # __text has it
     names = [c for c in rows.columns if c != "__bucket"]
     placed = rows.repartition(n, "__bucket")
-    told = placed.select("__id", "__text", "__bucket").mapInArrow(tell_anchors(length, anchor), "__bucket int, anchor long, low long, high long")
+    # every step takes placed as it is, so that Spark shuffles the texts once and uses them again
+    told = placed.mapInArrow(tell_anchors(length, anchor), "__bucket int, anchor long, low long, high long")
     over = Window.partitionBy("anchor")
     shared = told.withColumns({"a": F.min("low").over(over), "b": F.max("high").over(over)}).filter("a < b").select("__bucket", "anchor")
-    passages = placed.select("__id", "__text", "__bucket").groupBy("__bucket").cogroup(shared.groupBy("__bucket")).applyInArrow(tell_passages(length, anchor, n), "shard int, bucket int, passage binary, low long, high long")
-    answers = passages.groupBy("shard").applyInArrow(search_shard(length), "bucket int, key long, owners array<long>")
-    answers = answers.withColumnRenamed("bucket", "__bucket")
+    passages = placed.groupBy("__bucket").cogroup(shared.groupBy("__bucket")).applyInArrow(tell_passages(length, anchor), "anchor long, bucket int, passage binary, low long, high long")
+    answers = passages.repartition(n, "anchor").mapInArrow(search_shard(length), "__bucket int, key long, owners array<long>")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name != "__bucket")
     schema = f"{fields}, __n_words long, __n_removed long, __kept string"
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -252,9 +241,9 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: i
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, anchor: int = 5) -> DataFrame:
     """doc_id, n_words, n_removed and kept of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    out = _deduped(rows, "doc_id", "text", length, anchor)
-    return out.select(F.col("doc_id"), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("kept"))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias("text"))
+    out = _deduped(rows, "__id", "text", length, anchor)
+    return out.select(F.col("__id").alias("doc_id"), F.col("__n_words").alias("n_words"), F.col("__n_removed").alias("n_removed"), F.col("__kept").alias("kept"))
 
 
 def dedup_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, anchor: int = 5) -> DataFrame:
