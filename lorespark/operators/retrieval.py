@@ -92,6 +92,31 @@ def wiki_search(questions: DataFrame, pages: DataFrame) -> DataFrame:
     return top_k(scored.select("query_id", "slug", "score"), ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
 
 
+def tree_boosted_search(questions: DataFrame, pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """query_id, slug and score of the best page, where sections count too: a source's best tree (relpath, tree_slug, title, summary) adds to its pages, and if any source matches only its pages count."""
+    asked = small(questions.select("query_id", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms")))
+    zero, low = F.lit(""), lambda c: F.lower(F.coalesce(c, F.lit("")))
+    tree = nodes.crossJoin(asked).withColumn("s", wiki_score(F.col("q"), F.col("terms"), low("title"), low("summary"), zero)).filter("s > 0")
+    boost = tree.groupBy("query_id", "relpath", "tree_slug").agg(F.sum("s").alias("s")).groupBy("query_id", F.col("relpath").alias("source_relpath")).agg(F.max("s").alias("boost"))
+    own = pages.crossJoin(asked).withColumn("s", wiki_score(F.col("q"), F.col("terms"), low("title"), low("summary"), low("body"))).select("query_id", "slug", "source_relpath", "s")
+    some = boost.select("query_id").distinct().withColumn("some", F.lit(True))
+    both = own.join(boost, ["query_id", "source_relpath"], "left").join(some, "query_id", "left").filter("some is null or boost is not null")
+    scored = both.select("query_id", "slug", (F.col("s") + F.coalesce("boost", F.lit(0))).alias("score")).filter("score > 0")
+    return top_k(scored, ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
+
+
+def section_context(hits: DataFrame, manifest: DataFrame, nodes: DataFrame) -> DataFrame:
+    """hits (relpath, tree_node_id) with section_path, where the tree (relpath, node_id, section_path, source_sha256) is of the digest the manifest (relpath, sha256) has."""
+    fresh = nodes.join(manifest.select("relpath", F.col("sha256").alias("source_sha256")), ["relpath", "source_sha256"], "left_semi")
+    return hits.join(fresh.select("relpath", F.col("node_id").alias("tree_node_id"), "section_path"), ["relpath", "tree_node_id"], "left")
+
+
+def best_hit(hits: DataFrame) -> DataFrame:
+    """The hit of each question with the most common terms, then the highest similarity."""
+    shared = F.size(F.array_intersect(lexical_terms(F.col("question")), lexical_terms(F.col("text"))))
+    return top_k(hits.withColumn("shared", shared), ["query_id"], [F.desc("shared"), F.desc("similarity"), F.col("chunk_id")], 1).drop("rank", "shared")
+
+
 def wiki_overview(pages: DataFrame, n: int = 5) -> DataFrame:
     """The first pages by slug, as one text of bullets."""
     first = pages.select("slug", "title", "summary").orderBy("slug").limit(n)

@@ -131,6 +131,18 @@ def related_pages(spark: SparkSession, d: str) -> DataFrame:
     return R.related_pages(touched, wiki)
 
 
+@query(rf"""with q as (select query_id, lower(trim(question, ' ')) q, regexp_extract_all(lower(question), '[A-Za-z0-9\x{{4e00}}-\x{{9fff}}]{{2,}}') terms from {QUESTIONS_SQL}),
+  s as (select query_id, slug, right(slug, 1) r, (case when contains(title, q) then 8 else 0 end + case when contains(summary, q) then 6 else 0 end + case when contains(body, q) then 4 else 0 end
+   + coalesce(list_sum(list_transform(terms, lambda t: case when contains(title, t) then 4 else 0 end + case when contains(summary, t) then 3 else 0 end + case when contains(body, t) then 1 else 0 end)), 0))::int own,
+   (case when contains(summary, q) then 8 else 0 end + coalesce(list_sum(list_transform(terms, lambda t: case when contains(summary, t) then 4 else 0 end)), 0))::int b from q cross join {PAGES_SQL} p),
+  t as (select *, case when r = '0' then b else 0 end boost from s), u as (select *, max(boost) over (partition by query_id) > 0 any_boost from t)
+  select query_id, slug, own + boost score from (select *, row_number() over (partition by query_id order by own + boost desc, slug) rn from u where own + boost > 0 and (not any_boost or boost > 0)) where rn = 1""")
+def tree_boosted_search(spark: SparkSession, d: str) -> DataFrame:
+    wiki = pages(spark, d)
+    nodes = wiki.filter("slug like '%0'").select(F.col("source_relpath").alias("relpath"), F.lit("t").alias("tree_slug"), F.col("summary").alias("title"), F.lit("").alias("summary"))
+    return R.tree_boosted_search(questions(spark, d), wiki, nodes)
+
+
 def fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     asked = questions(spark, d)
     wiki = pages(spark, d)

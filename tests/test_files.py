@@ -99,3 +99,25 @@ def test_streams(spark, tmp_path):
     assert windows.groupBy().sum("n").first()[0] == 12
     sessions = run(stream.sessions(events, "ts", "agent_id", 100), "sessions", "complete", str(tmp_path / "c3"))
     assert sessions.count() == 3
+
+
+def test_rules_and_settings(tmp_path):
+    from lorespark.sources import config
+
+    p = tmp_path / "config/routing_rules.yaml"
+    p.parent.mkdir()
+    p.write_text("version: 1\ndefault_route: graph\nrules:\n  - {id: b, priority: 2, target_route: wiki, keywords: {en: [x]}}\n  - {id: a, priority: 1, target_route: vector, secondary: wiki, keywords: {zh: [總結]}}\n")
+    rules, default = config.load_rules(root=str(tmp_path))
+    assert [r[0] for r in rules] == ["a", "b"] and default == "graph"
+    assert config.load_rules()[1] == "vector"
+    p.write_text("rules:\n  - {id: b, priority: 2, target_route: nowhere, keywords: {en: [x]}}\n")
+    with pytest.raises(ValueError):
+        config.load_rules(str(p))
+    (tmp_path / "e").write_text("# x\nexport A='1'\nB=2\n")
+    (tmp_path / "s.json").write_text('{"a": {"b": [true, "x"]}}')
+    assert config.setting("A", (), {"A": "9"}, str(tmp_path / "e")) == "9"
+    assert config.setting("A", (), {}, str(tmp_path / "e")) == "1"
+    assert config.setting("C", ("a", "b"), {}, str(tmp_path / "e"), str(tmp_path / "s.json")) == "1+x"
+    assert config.bounded(None, 5, 1, 9) == 5
+    with pytest.raises(ValueError):
+        config.bounded("10", 5, 1, 9)
