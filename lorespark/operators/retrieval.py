@@ -7,9 +7,12 @@ block, scored where it lies, and cut to the best rows of each question before an
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -84,12 +87,66 @@ def wiki_score(question: Column, terms: Column, title: Column, summary: Column,
     return whole + F.aggregate(terms, F.lit(0), lambda s, t: s + one(t))
 
 
+class Containment:
+    """Scores of texts against all questions at once: one automaton finds every term and question that a text contains in one pass."""
+
+    def __init__(self, questions: list[tuple[int, str, list[str]]], whole: tuple[int, ...], term: tuple[int, ...]) -> None:
+        import ahocorasick
+
+        self.ids, self.whole, self.term = np.array([i for i, _, _ in questions], dtype=np.int64), whole, term
+        number: dict[str, int] = {}
+        uses: list[tuple[int, int, int, int]] = []  # pattern, question, as a whole, as a term
+        for k, (_, q, terms) in enumerate(questions):
+            uses += [(number.setdefault(t, len(number)), k, 0, n) for t, n in Counter(terms).items()]
+            if q:
+                uses.append((number.setdefault(q, len(number)), k, 1, 0))
+        self.empty = np.array([k for k, (_, q, _) in enumerate(questions) if not q], dtype=np.int64)
+        self.found = ahocorasick.Automaton()
+        for p, n in number.items():
+            self.found.add_word(p, n)
+        if number:
+            self.found.make_automaton()
+        u = np.array(sorted(uses), dtype=np.int64).reshape(-1, 4)
+        self.question, self.as_whole, self.as_term = u[:, 1], u[:, 2], u[:, 3]
+        self.begin = np.searchsorted(u[:, 0], np.arange(len(number) + 1))
+
+    def score(self, fields: tuple[str, ...]) -> np.ndarray:
+        out = np.zeros(len(self.ids), dtype=np.int64)
+        for text, whole, term in zip(fields, self.whole, self.term, strict=True):
+            out[self.empty] += whole  # the empty question is in every text
+            hits = np.array([*{n for _, n in self.found.iter(text)}], dtype=np.int64) if len(self.found) else np.empty(0, dtype=np.int64)
+            sizes = self.begin[hits + 1] - self.begin[hits]
+            at = np.repeat(self.begin[hits] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+            out += np.bincount(self.question[at], weights=whole * self.as_whole[at] + term * self.as_term[at], minlength=len(out)).astype(np.int64)
+        return out
+
+
 def wiki_search(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """query_id, slug and score of the best page of each question; ties go to the first slug. Questions that match nothing have no row."""
+    """query_id, slug and score of the best page of each question; ties go to the first slug. Questions that match nothing have no row.
+
+    The score is that of wiki_score. A page is read once for all questions, and a batch of pages passes on its best one a question.
+    """
     asked = questions.select("query_id", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms"))
+    rows = [(r.query_id, r.q, r.terms) for r in small(asked).collect()]  # at most MOST_QUESTIONS
+    shared = pages.sparkSession.sparkContext.broadcast(rows)
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Containment(shared.value, (8, 6, 4), (4, 3, 1))
+        for batch in batches:
+            if not batch.num_rows or not len(c.ids):
+                continue
+            order = np.argsort(np.array(batch.column(0).to_pylist(), dtype=object))
+            fields = [batch.column(k).to_pylist() for k in (1, 2, 3)]
+            top, where = np.zeros(len(c.ids), dtype=np.int64), np.full(len(c.ids), -1)
+            for r in order.tolist():
+                s = c.score((fields[0][r], fields[1][r], fields[2][r]))
+                better = s > top
+                top[better], where[better] = s[better], r
+            some = np.flatnonzero(where >= 0)
+            yield pa.RecordBatch.from_arrays([pa.array(c.ids[some]), batch.column(0).take(pa.array(where[some])), pa.array(top[some].astype(np.int32))], ["query_id", "slug", "score"])
+
     low = pages.select("slug", *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "summary", "body")))
-    scored = low.crossJoin(small(asked)).withColumn("score", wiki_score(F.col("q"), F.col("terms"), F.col("title"), F.col("summary"), F.col("body"))).filter("score > 0")
-    return top_k(scored.select("query_id", "slug", "score"), ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
+    return top_k(low.mapInArrow(best, "query_id long, slug string, score int"), ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
 
 
 def tree_boosted_search(questions: DataFrame, pages: DataFrame, nodes: DataFrame) -> DataFrame:
