@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -61,6 +63,15 @@ def texts(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
+def release() -> None:
+    """Gives unused memory back to the system: a Python worker may wait long for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijective mix of 64-bit values, so that their order looks random."""
     x = x.astype(np.uint64, copy=True)
@@ -102,3 +113,47 @@ def rolling(h: np.ndarray, n: int) -> np.ndarray:
         out *= np.uint64(0x9E3779B97F4A7C15)
         out += h[k : len(h) - n + 1 + k]
     return mixed(out)
+
+
+#: Bytes that word hashes are computed for at once, but for longer words.
+BLOCK_BYTES = 1 << 20
+FACTOR = 0x9E3779B97F4A7C15
+_POWERS: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[32, *range(9, 14)]] = True
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """FACTOR to the powers 0, 1, ..., and of its inverse modulo 2 ** 64."""
+    if len(_POWERS[0]) < n:
+        for k, f in enumerate((FACTOR, pow(FACTOR, -1, 1 << 64))):
+            steps = np.full(n, f, dtype=np.uint64)
+            steps[0] = 1
+            _POWERS[k] = np.multiply.accumulate(steps)
+    return _POWERS
+
+
+def scanned(rows: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in a row, and of each word its begin, its end, its 64-bit hash and its text's number.
+
+    Hashes are polynomials over bytes, taken for all words at once as differences of running sums.
+    """
+    whole = b"\n".join(rows)
+    b = np.frombuffer(whole, dtype=np.uint8)
+    inside = ~_SPACE[b]
+    edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
+    begin, end = edge[::2], edge[1::2]
+    hashes = np.empty(len(begin), dtype=np.uint64)
+    at = 0
+    while at < len(begin):
+        low = begin[at]
+        to = max(at + 1, int(np.searchsorted(end, low + BLOCK_BYTES, side="right")))
+        n = int(end[to - 1] - low)
+        up, down = _powers(max(n + 1, BLOCK_BYTES + 1))
+        sums = np.zeros(n + 1, dtype=np.uint64)
+        np.cumsum((b[low : low + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
+        s, e = begin[at:to] - low, end[at:to] - low
+        hashes[at:to] = mixed((sums[e] - sums[s]) * down[s])
+        at = to
+    starts = np.cumsum(np.fromiter((len(r) + 1 for r in rows), dtype=np.int64, count=len(rows)))
+    return whole, begin, end, hashes, np.searchsorted(starts, begin, side="right")

@@ -14,8 +14,7 @@ each only holds passages that may repeat, and none grows with the number of copi
 4. Each bucket removes the covered words of its documents.
 
 A passage with millions of copies costs one row a bucket in each shuffle. All windows are searched in the shard that all
-their occurrences reached, so the result is exact up to 64-bit hash collisions of anchors (which only cost time) and of
-passages.
+their occurrences reached, so the result is exact up to 64-bit hash collisions of words and passages.
 
 Defined cases: a null text has no words; a text of fewer than `length` words is left whole; a null id neither removes
 nor is removed; rows with equal ids do not remove each other's words; repeats inside one document stay; an empty table
@@ -33,28 +32,29 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import WordHashes, partitions, rolling, slices, texts
+from lorespark.llm.common import partitions, release, rolling, scanned, slices, texts
 from lorespark.llm.fmindex import FmIndex
 
 NONE = np.iinfo(np.int64).max
+#: Buckets and shards for each of the session's shuffle partitions: small groups, as a task holds one whole.
+BUCKETS, SHARDS = 4, 4
 
 
-def anchored(h: np.ndarray, text: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows that pick the same anchor: the first and last start of each run, and the anchor's hash. text: each word's text."""
+def anchored(h: np.ndarray, row: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that pick the same anchor: the first and last start of each run, and the anchor's hash. row: each word's text."""
+    none = np.empty(0, dtype=np.int64)
     if len(h) < length:
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    g = rolling(h, anchor)
-    starts = np.flatnonzero(text[: len(h) - length + 1] == text[length - 1 :])
-    pick = np.lib.stride_tricks.sliding_window_view(g, length - anchor + 1)[starts].argmin(axis=1) + starts
-    first = np.flatnonzero(np.append(True, (pick[1:] != pick[:-1]) | (starts[1:] != starts[:-1] + 1))) if len(starts) else starts
-    return starts[first], starts[np.append(first[1:], len(starts)) - 1] if len(starts) else starts, g[pick[first]] if len(starts) else np.empty(0, dtype=np.uint64)
-
-
-def split(rows: list[bytes], hashes: WordHashes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Words of all rows, their hashes and each word's row."""
-    words = [t.split() for t in rows]
-    flat = [w for ws in words for w in ws]
-    return flat, hashes(flat), np.repeat(np.arange(len(rows)), [len(ws) for ws in words])
+        return none, none, none.astype(np.uint64)
+    least, wide, every = rolling(h, anchor), 1, length - anchor + 1
+    while wide < every:  # minima over 2, 4, 8, ... neighbours, then over all that a window has
+        step = min(wide, every - wide)
+        least, wide = np.minimum(least[: len(least) - step], least[step:]), wide + step
+    starts = np.flatnonzero(row[: len(h) - length + 1] == row[length - 1 :])
+    if not len(starts):
+        return none, none, none.astype(np.uint64)
+    pick = least[starts]
+    first = np.flatnonzero(np.append(True, (pick[1:] != pick[:-1]) | (starts[1:] != starts[:-1] + 1)))
+    return starts[first], starts[np.append(first[1:], len(starts)) - 1], pick[first]
 
 
 def passage_key(anchor: int, passage: bytes) -> int:
@@ -68,15 +68,15 @@ def _ids(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def _pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
-    return slices(iter(t.combine_chunks().to_batches()), "__text")
+    return slices(iter(t.to_batches()), "__text")
 
 
 def tell_anchors(length: int, anchor: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, found = WordHashes(), []
+        found = []
         for batch in slices(batches, "__text"):
             ids, bucket = _ids(batch.column("__id")), np.asarray(batch.column("__bucket"))
-            _, h, row = split(texts(batch, "__text"), hashes)
+            *_, h, row = scanned(texts(batch, "__text"))
             first, _, key = anchored(h, row, length, anchor)
             found.append((bucket[row[first]], key, ids[row[first]]))
         if not found:
@@ -91,6 +91,8 @@ def tell_anchors(length: int, anchor: int):
         first = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])))
         last = np.append(first[1:], len(key)) - 1
         yield pa.RecordBatch.from_arrays([pa.array(bucket[first]), pa.array(key[first].view(np.int64)), pa.array(ids[first]), pa.array(ids[last])], ["__bucket", "anchor", "low", "high"])
+        del found, bucket, key, ids, order, first, last, keep
+        release()
 
     return run
 
@@ -101,33 +103,38 @@ def tell_passages(length: int, anchor: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         shared = np.sort(np.asarray(right.column("anchor"), dtype=np.int64)).view(np.uint64)
         shared.sort()
-        out: dict[tuple[int, bytes], list[int]] = {}
+        number: dict[bytes, int] = {}  # a passage has one anchor
+        anchors, low, high = [], [], []
         bucket = left.column("__bucket")[0].as_py() if left.num_rows else 0
-        hashes = WordHashes()
         for batch in _pieces(left) if len(shared) else ():
             ids = _ids(batch.column("__id"))
-            words, h, row = split(texts(batch, "__text"), hashes)
+            whole, begin, end, h, row = scanned(texts(batch, "__text"))
             first, last, key = anchored(h, row, length, anchor)
             at = np.minimum(np.searchsorted(shared, key), len(shared) - 1)
             hit = np.flatnonzero((shared[at] == key) & (ids[row[first]] != NONE))
-            for a, b, k, i in zip(first[hit].tolist(), last[hit].tolist(), key[hit].tolist(), ids[row[first[hit]]].tolist(), strict=True):
-                p = (k, b" ".join(words[a : b + length]))
-                seen = out.get(p)
-                if seen is None:
-                    out[p] = [i, i]
-                elif i < seen[0]:
-                    seen[0] = i
-                elif i > seen[1]:
-                    seen[1] = i
-        return pa.table(
+            spans = begin[first[hit]].tolist(), end[last[hit] + length - 1].tolist()
+            for a, b, k, i in zip(*spans, key[hit].tolist(), ids[row[first[hit]]].tolist(), strict=True):
+                n = number.setdefault(b" ".join(whole[a:b].split()), len(anchors))
+                if n == len(anchors):
+                    anchors.append(k)
+                    low.append(i)
+                    high.append(i)
+                elif i < low[n]:
+                    low[n] = i
+                elif i > high[n]:
+                    high[n] = i
+        made = pa.table(
             {
-                "anchor": pa.array(np.array([k for k, _ in out], dtype=np.uint64).view(np.int64)),
-                "bucket": pa.array([bucket] * len(out), pa.int32()),
-                "passage": pa.array([p for _, p in out], pa.binary()),
-                "low": pa.array([x[0] for x in out.values()], pa.int64()),
-                "high": pa.array([x[1] for x in out.values()], pa.int64()),
+                "anchor": pa.array(np.array(anchors, dtype=np.uint64).view(np.int64)),
+                "bucket": pa.array(np.full(len(anchors), bucket, dtype=np.int32)),
+                "passage": pa.array(number, pa.binary(), size=len(number)),
+                "low": pa.array(low, pa.int64()),
+                "high": pa.array(high, pa.int64()),
             }
         )
+        del number, anchors, low, high
+        release()
+        return made
 
     return run
 
@@ -146,13 +153,12 @@ def search_shard(length: int):
         del t, coded, rows
         owner = np.full(len(passages), NONE)
         np.minimum.at(owner, which, low)
-        words = b" \n ".join(passages).split(b" ")
-        words.append(b"\n")
-        ids = {w: n for n, w in enumerate(dict.fromkeys([b"\n", *words]))}
-        symbols = np.fromiter(map(ids.__getitem__, words), dtype=np.int64, count=len(words))
-        del ids, words
-        ends = np.flatnonzero(symbols == 0)
-        lengths = np.diff(ends, prepend=-1)
+        *_, h, row = scanned(passages)
+        lengths = np.bincount(row, minlength=len(passages)) + 1
+        ends = np.cumsum(lengths) - 1
+        symbols = np.zeros(len(h) + len(passages), dtype=np.int64)
+        symbols[np.arange(len(h)) + row] = np.unique(h, return_inverse=True)[1] + 1
+        del h, row
         index = FmIndex(symbols, length)
         owner_of = np.repeat(owner, lengths)[index.suffixes]
         sizes = lengths - length
@@ -176,6 +182,8 @@ def search_shard(length: int):
         flat = mins[np.repeat(begin[at] - (np.cumsum(sizes[at]) - sizes[at]), sizes[at]) + np.arange(sizes[at].sum())]
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes[at])]), pa.int32()), pa.array(flat))
         yield pa.RecordBatch.from_arrays([pa.array(bucket[asked], pa.int32()), pa.array(keys, pa.int64()), lists], ["__bucket", "key", "owners"])
+        del index, symbols, windows, starts, mins, owner_of, passages, keys, lists, flat
+        release()
 
     return run
 
@@ -188,30 +196,34 @@ def remove(length: int, anchor: int, names: list[str], schema: pa.Schema):
         at = {k: n for n, k in enumerate(keys.tolist())}
         anchors = np.unique(keys >> 32)
         begins, values = np.asarray(owners.offsets, dtype=np.int64), np.asarray(owners.values, dtype=np.int64)
-        hashes, parts = WordHashes(), []
+        parts = []
         for batch in _pieces(left):
-            ids = _ids(batch.column("__id"))
-            words, h, row = split(texts(batch, "__text"), hashes)
-            stay = np.ones(len(h), dtype=bool)
-            if len(anchors):
+            ids, raw = _ids(batch.column("__id")), texts(batch, "__text")
+            whole, begin, end, h, row = scanned(raw)
+            total = np.bincount(row, minlength=len(raw))
+            gone = np.zeros(len(raw), dtype=np.int64)
+            kept = [b" ".join(t.split()) for t in raw]
+            if len(anchors) and len(h):
                 first, last, key = anchored(h, row, length, anchor)
                 half = (key >> np.uint64(32)).astype(np.int64) - (1 << 31)
                 hit = np.flatnonzero((anchors[np.minimum(np.searchsorted(anchors, half), len(anchors) - 1)] == half) & (ids[row[first]] != NONE))
-                cover = np.zeros(len(h) + 1, dtype=np.int64)
-                for a, b, k, i in zip(first[hit].tolist(), last[hit].tolist(), key[hit].tolist(), ids[row[first[hit]]].tolist(), strict=True):
-                    n = at.get(passage_key(k, b" ".join(words[a : b + length])))
-                    if n is not None:
-                        starts = np.flatnonzero(values[begins[n] : begins[n + 1]] < i) + a
-                        cover[starts] += 1
-                        cover[starts + length] -= 1
+                spans = begin[first[hit]].tolist(), end[last[hit] + length - 1].tolist()
+                found = np.array([at.get(passage_key(k, b" ".join(whole[a:b].split())), -1) for a, b, k in zip(*spans, key[hit].tolist(), strict=True)], dtype=np.int64)
+                hit, found = hit[found >= 0], found[found >= 0]
+                sizes = begins[found + 1] - begins[found]
+                step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+                earlier = values[np.repeat(begins[found], sizes) + step] < np.repeat(ids[row[first[hit]]], sizes)
+                starts = (np.repeat(first[hit], sizes) + step)[earlier]
+                cover = np.bincount(starts, minlength=len(h) + 1) - np.bincount(starts + length, minlength=len(h) + 1)
                 stay = np.cumsum(cover[:-1]) == 0
-            total = np.bincount(row, minlength=batch.num_rows)
-            left_over = np.bincount(row[stay], minlength=batch.num_rows)
-            words = [w for w, s in zip(words, stay.tolist(), strict=True) if s] if not stay.all() else words
-            cuts = np.concatenate([[0], np.cumsum(left_over)]).tolist()
-            kept = [b" ".join(words[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
-            made = [pa.array(total, pa.int64()), pa.array(total - left_over, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+                gone = np.bincount(row[~stay], minlength=len(raw))
+                ends = np.cumsum(total)
+                for k in np.flatnonzero(gone).tolist():
+                    mine = stay[ends[k] - total[k] : ends[k]].tolist()
+                    kept[k] = b" ".join([w for w, s in zip(raw[k].split(), mine, strict=True) if s])
+            made = [pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
             parts.append(pa.Table.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "__n_words", "__n_removed", "__kept"]))
+        release()
         return pa.concat_tables(parts) if parts else schema.empty_table()
 
     return run
@@ -220,7 +232,7 @@ def remove(length: int, anchor: int, names: list[str], schema: pa.Schema):
 def _deduped(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: int) -> DataFrame:
     """The rows of docs with __n_words, __n_removed and __kept (the words that stay, joined by a space)."""
     spark = docs.sparkSession
-    n = partitions(spark)
+    n = BUCKETS * partitions(spark)
     rows = docs.withColumns({"__id": F.col(id_col).cast("long"), "__text": F.col(text_col).cast("string"), "__bucket": F.pmod(F.xxhash64(F.col(id_col).cast("long")), F.lit(n)).cast("int")})
     rows = rows.drop(text_col)  # __text has it
     names = [c for c in rows.columns if c != "__bucket"]
@@ -230,7 +242,7 @@ def _deduped(docs: DataFrame, id_col: str, text_col: str, length: int, anchor: i
     over = Window.partitionBy("anchor")
     shared = told.withColumns({"a": F.min("low").over(over), "b": F.max("high").over(over)}).filter("a < b").select("__bucket", "anchor")
     passages = placed.groupBy("__bucket").cogroup(shared.groupBy("__bucket")).applyInArrow(tell_passages(length, anchor), "anchor long, bucket int, passage binary, low long, high long")
-    answers = passages.repartition(n, "anchor").mapInArrow(search_shard(length), "__bucket int, key long, owners array<long>")
+    answers = passages.repartition(SHARDS * partitions(spark), "anchor").mapInArrow(search_shard(length), "__bucket int, key long, owners array<long>")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name != "__bucket")
     schema = f"{fields}, __n_words long, __n_removed long, __kept string"
     from pyspark.sql.pandas.types import to_arrow_schema

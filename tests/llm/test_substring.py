@@ -79,3 +79,18 @@ def test_texts_keep_columns(spark):
     out = {r.doc_id: r for r in substring.dedup_texts(df).collect()}
     assert out[1].text == "a " * 20 and out[2].text == "x" and out[2].kept == 2**60 and out[1].kept is None and out[3].text is None
     assert substring.dedup_texts(df).columns == df.columns
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\té\xa0", max_size=30), max_size=6))
+def test_scanned_words(texts):
+    from lorespark.llm import common
+
+    rows = [t.encode() for t in texts]
+    for block in (3, 1 << 20):
+        common.BLOCK_BYTES = block
+        whole, begin, end, h, row = common.scanned(rows)
+        assert [whole[a:b] for a, b in zip(begin, end)] == [w for t in rows for w in t.split()]
+        assert row.tolist() == [k for k, t in enumerate(rows) for _ in t.split()]
+        words = [whole[a:b] for a, b in zip(begin, end)]
+        assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
