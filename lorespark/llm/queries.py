@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, jaccard, langid, lm, mixing, quality_model, substring
+from lorespark.llm import ann, jaccard, langid, licenses, lm, mixing, quality_model, substring
 from lorespark.llm.bpe import bpe_decode, bpe_encode
 from lorespark.llm.common import held_out, table
 from lorespark.llm.quality_rules import quality_rules
@@ -36,6 +36,10 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = langid.train(docs, learn=~held_out("doc_id", 4))
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_jaccard_join": op1_jaccard_join,
         "op2_bpe": op2_bpe,
         "op3_substring_dedup": op3_substring_dedup,
+        "op4_license_scan": op4_license_scan,
         "op5_langid": op5_langid,
         "op6_ann": op6_ann,
         "op7_quality_rules": op7_quality_rules,
@@ -86,4 +91,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": mixing.oracle(MIX)}
+    return {"op4_license_scan": licenses.oracle(), "op10_mixing": mixing.oracle(MIX)}
