@@ -160,7 +160,7 @@ def search_shard(length: int):
         symbols[np.arange(len(h)) + row] = np.unique(h, return_inverse=True)[1] + 1
         del h, row
         index = FmIndex(symbols, length)
-        owner_of = np.repeat(owner, lengths)[index.suffixes]
+        owner_of = np.append(np.repeat(owner, lengths)[index.suffixes], NONE)
         sizes = lengths - length
         last = np.cumsum(sizes)
         begin = last - sizes
@@ -172,9 +172,10 @@ def search_shard(length: int):
             least = owner_of[a]
             many = np.flatnonzero(b - a > 1)
             if len(many):
-                n = (b - a)[many]
-                at = np.cumsum(n) - n
-                least[many] = np.minimum.reduceat(owner_of[np.repeat(a[many] - at, n) + np.arange(n.sum())], at)
+                # intervals of different windows are disjoint: each is looked through once, however many windows have it
+                low_at, at, same = np.unique(a[many], return_index=True, return_inverse=True)
+                borders = np.stack([low_at, b[many][at]], axis=1).ravel()
+                least[many] = np.minimum.reduceat(owner_of, borders)[::2][same]
             mins[k : k + (1 << 15)] = least
         asked = np.flatnonzero(np.minimum.reduceat(mins, begin)[which] < high)
         at = which[asked]
