@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import WORD
+from lorespark.llm.common import WORD, release
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -137,16 +137,21 @@ def fit(values: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3,
     kept = [(r, m) for r in rules if 0.002 < (m := holds(r, values)).mean() < 0.998]
     if not kept:
         return RuleModel(float(np.log(share / (1 - share))), [])
-    a = np.stack([m for _, m in kept], axis=1).astype(float)
-    mean, scale = a.mean(axis=0), a.std(axis=0)
-    a = (a - mean) / scale
+    # single precision, changed in place: the one large array of a fit
+    a = np.empty((len(y), len(kept)), dtype=np.float32)
+    for k, (_, m) in enumerate(kept):
+        a[:, k] = m
+    mean = a.mean(axis=0, dtype=float)
+    scale = np.sqrt(mean * (1 - mean))
+    a -= mean.astype(np.float32)
+    a /= scale.astype(np.float32)
     # accelerated proximal gradient for the L1-penalised logistic loss
     w, b, t = np.zeros(a.shape[1]), np.log(share / (1 - share)), 1.0
     v, c = w.copy(), b
-    rate = 4 / (np.linalg.norm(a, 2) ** 2 / len(y) + 1)
+    rate = 4 / (float(np.linalg.eigvalsh((a.T @ a).astype(float)).max()) / len(y) + 1)
     for _ in range(rounds):
-        e = 1 / (1 + np.exp(-(a @ v + c))) - y
-        new = v - rate * (a.T @ e) / len(y)
+        e = 1 / (1 + np.exp(-(a @ v.astype(np.float32) + c))) - y
+        new = v - rate * (e.astype(np.float32) @ a) / len(y)
         new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
         new_b = c - rate * e.mean()
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -172,7 +177,9 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "q
     # ids that repeat among docs count once
     found = found.groupBy("doc_id").agg(F.min(F.struct("y", *FEATURES)).alias("r")).select("r.*").toPandas().to_numpy(dtype=float)
     found = found[np.lexsort(found.T[::-1])]
-    return fit(found[:, 1:], (found[:, 0] >= 1).astype(int))
+    model = fit(found[:, 1:], (found[:, 0] >= 1).astype(int))
+    release()
+    return model
 
 
 def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
