@@ -22,7 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from lorespark.llm.common import id_and_text, slices, texts
+from lorespark.llm.common import id_and_text, release, slices, texts
 
 NEVER = np.int64(1) << 40
 #: Chunks of text without white space whose ids a task remembers, in each of two generations.
@@ -231,6 +231,9 @@ def bpe_encode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
         for batch in slices(batches):
             ids, ends = bpe.encode(texts(batch))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "ids"])
+        # the worker waits for tasks that may be of another kind
+        bpe.chunks, bpe.older = {}, {}
+        release()
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -251,5 +254,6 @@ def bpe_decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
                 flat = flat.filter(pa.array(inside))
             tokens = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), strings.take(flat))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids, pc.binary_join(tokens, " ")], ["doc_id", "ids", "decoded"])
+        release()
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
