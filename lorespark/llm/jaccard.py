@@ -2,16 +2,18 @@
 
 A text is the set of its five-word shingles (a text of fewer words: one shingle of all of them). Texts with equal sets
 are collapsed to one before anything else, so copies cost one row. Each of `trees` prefix tries holds all texts by a
-signature of `depth` MinHash values. Texts that share a node of depth d are candidates; prefixes are shortened from
+signature of `depth` MinHash values. Texts that share a node are candidates; prefixes are shortened from
 `depth` one value at a time, until the chance that a pair at the threshold shares a node in some tree reaches `recall`.
 
-A node is not expanded into pairs. Its texts are compared with two pivots, its smallest and its largest key; keys are
-hashes, so pivots are random members, and a text meets others in each node of each tree: the deeper ones, which hold its
-nearest texts, too. Candidates are verified on the whole sets. Classes are the connected components of verified links.
+Each text is compared with all other members of its nodes of the shortest prefix; deeper nodes hold no further pairs.
+Each pair is verified once, on the whole sets, so `n_links` counts every link of a pair that meets in a node. Classes are
+the connected components of the links.
 
-Skew: texts lie in buckets by key. A bucket tells each of its nodes once, with its pivots, and gets the node's pivots
-back; a pivot's text is sent once to each bucket that needs it. So a node with a third of all texts costs one row a
-bucket in each shuffle.
+Skew: texts lie in buckets by key, and buckets in about sqrt(2 n) blocks. A bucket tells each of its nodes once and gets
+back which blocks hold members of the node; a text then goes once to each pair of blocks in which it can meet another. So
+a node with a third of all texts costs its members about sqrt(2 n) rows each, and its comparisons are spread over all
+pairs of blocks. Their number is the square of the group's size: pairs are formed in the task, never as rows, and only
+counts and a spanning forest of the links leave it.
 
 Defined cases: a null text or one without words has no shingles and is alone in its class; copies (equal sets, so also
 rows repeated as they are) share a class and its links; a null id is a row like others, and the class id is the smallest
@@ -21,15 +23,15 @@ classes() and kept by distinct_documents().
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import WordHashes, id_and_text, mixed, partitions, release, rolling, slices, texts
+from lorespark.llm.common import WordHashes, id_and_text, mixed, partitions, release, rolling, scanned, slices, texts
 from lorespark.operators.components import connected_components
 from lorespark.operators.tables import written
 
@@ -57,11 +59,12 @@ def set_key(s: np.ndarray) -> int:
 class Forest:
     def __init__(self, trees: int = 16, depth: int = 8, threshold: float = 0.8, recall: float = 0.995, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        self.trees, self.depth, self.threshold = trees, depth, threshold
+        self.trees, self.threshold = trees, threshold
+        #: The shortest prefix: the longest at which the wanted recall is reached. Texts that share more values share it, too.
+        self.depth = next((d for d in range(depth, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
+        depth = self.depth
         self.factors = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salts = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
-        #: The shortest prefix: the longest at which the wanted recall is reached.
-        self.shortest = next((d for d in range(depth, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
 
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
         """16 bits of each MinHash value of non-empty sets, (sets, trees * depth)."""
@@ -76,15 +79,12 @@ class Forest:
         return out
 
     def nodes(self, signatures: np.ndarray) -> np.ndarray:
-        """Keys of each text's nodes, (texts, trees * prefixes)."""
+        """Key of each text's node in each tree, (texts, trees)."""
         s = signatures.reshape(len(signatures), self.trees, self.depth).astype(np.uint64)
         at = mixed(np.broadcast_to(np.arange(1, self.trees + 1, dtype=np.uint64), s.shape[:2]).copy())
-        out = []
         for d in range(self.depth):
             at = mixed(at * np.uint64(3) + s[:, :, d] + np.uint64(1))
-            if d + 1 >= self.shortest:
-                out.append(at)
-        return np.concatenate(out, axis=1).view(np.int64)
+        return at.view(np.int64)
 
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -115,10 +115,9 @@ def _bucketed(df: DataFrame, n: int, key: str = "key") -> DataFrame:
 
 
 def _nodes(forest: Forest, t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """Key and node of each text in each of its nodes."""
+    """Keys of the texts, and their nodes, (texts, trees)."""
     signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
-    nodes = forest.nodes(signatures)
-    return np.repeat(np.asarray(t.column("key")), nodes.shape[1]), nodes.ravel()
+    return np.asarray(t.column("key")), forest.nodes(signatures)
 
 
 def _tell(forest: Forest):
@@ -129,7 +128,7 @@ def _tell(forest: Forest):
         for b in batches:
             if b.num_rows:
                 key, node = _nodes(forest, b)
-                found.append((np.repeat(np.asarray(b.column("bucket")), len(key) // b.num_rows), node, key))
+                found.append((np.repeat(np.asarray(b.column("bucket")), forest.trees), node.ravel(), np.repeat(key, forest.trees)))
         if not found:
             return
         bucket, node, key = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -144,68 +143,120 @@ def _tell(forest: Forest):
     return run
 
 
-def _pairs(forest: Forest):
-    """Each text of a bucket with its nodes' pivots, each pair once."""
+def _placed(forest: Forest, n_blocks: int):
+    """The pairs of blocks that each text of a bucket goes to, with its nodes."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({c: pa.array([], pa.int64()) for c in ("key", "pivot")})
+            return pa.table({"unit": pa.array([], pa.int64()), "key": pa.array([], pa.int64()), "nodes": pa.array([], pa.binary())})
         key, node = _nodes(forest, left)
-        known = np.asarray(right.column("node"))
-        order = np.argsort(known)
-        known = known[order]
+        own = left.column("bucket")[0].as_py() % n_blocks
+        right = right.sort_by("node")
+        known, blocks = np.asarray(right.column("node")), right.column("blocks").combine_chunks()
+        counts, others = np.asarray(blocks.value_lengths()), np.asarray(blocks.flatten(), dtype=np.int64)
+        starts = np.cumsum(counts) - counts
         at = np.minimum(np.searchsorted(known, node), len(known) - 1)
-        hit = np.flatnonzero(known[at] == node)
-        found = np.concatenate([np.stack([key[hit], np.asarray(right.column(side))[order][at[hit]]], axis=1) for side in ("low", "high")])
-        found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
-        made = pa.table({"key": pa.array(found[:, 0]), "pivot": pa.array(found[:, 1])})
-        del key, node, known, order, at, hit, found
+        row, tree = np.nonzero(known[at] == node)
+        at = at[row, tree]
+        size = counts[at]
+        other = others[np.repeat(starts[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        unit = np.minimum(own, other) * n_blocks + np.maximum(own, other)
+        found = np.unique(np.stack([np.repeat(row, size), unit], axis=1), axis=0)
+        row, unit = found[:, 0], found[:, 1]
+        packed = [x.tobytes() for x in node]
+        made = pa.table({"unit": pa.array(unit), "key": pa.array(key[row]), "nodes": pa.array([packed[i] for i in row.tolist()], pa.binary())})
+        del key, node, known, at, tree, other, found, packed
         release()
         return made
 
     return run
 
 
-def _verify(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Similarity of a bucket's texts (key, text) with pivots, from pairs (key, pivot) and the pivots' texts (key, text)."""
-    asked = right.column("pivot").is_valid()
-    pairs, pivots = right.filter(asked).sort_by([("pivot", "ascending"), ("key", "ascending")]), right.filter(pc.invert(asked))
-    own, theirs = (dict(zip(t.column("key").to_pylist(), t.column("text").cast(pa.binary()).to_pylist(), strict=True)) for t in (left, pivots))
-    hashes, at, s = WordHashes(REMEMBERED), None, np.empty(0)
-    keys, others, found = pairs.column("key").to_pylist(), pairs.column("pivot").to_pylist(), []
-    for k, p in zip(keys, others, strict=True):
-        if p != at:
-            at, s = p, shingles(theirs[p], hashes)
-        t = shingles(own[k], hashes)
-        both = len(np.intersect1d(s, t, assume_unique=True))
-        found.append(both / (len(s) + len(t) - both))
-    own.clear(), theirs.clear(), hashes.known.clear()
-    release()
-    return pa.table({"key": pa.array(keys, pa.int64()), "pivot": pa.array(others, pa.int64()), "similarity": pa.array(found, pa.float64())})
+def _sets(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers of the distinct shingles of each text, one text after the other, with where each begins and how many it has. A text of fewer than SHINGLE words has none: its set is in no other text's."""
+    _, _, _, words, row = scanned(rows)
+    h = rolling(words, SHINGLE)
+    inside = row[: len(h)] == row[len(row) - len(h) :]
+    known, number = np.unique(h[inside], return_inverse=True)
+    most = max(1, len(known))
+    both = np.unique(row[: len(h)][inside].astype(np.int64) * most + number)
+    lengths = np.bincount(both // most, minlength=len(rows))
+    return (both % most).astype(np.int32), np.cumsum(lengths) - lengths, lengths
+
+
+def _compared(threshold: float):
+    """Of all pairs of a pair of blocks that share a node: the number n of links of each key, and links (key, pivot) that join the same keys as all of them."""
+
+    def run(t: pa.Table) -> pa.Table:
+        key, block = np.asarray(t.column("key")), np.asarray(t.column("block"))
+        nodes = np.frombuffer(b"".join(t.column("nodes").to_pylist()), dtype=np.int64).reshape(len(key), -1)
+        flat, starts, lengths = _sets([x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()])
+        mixed_blocks = bool((block != block[0]).any())
+        groups = []  # of each tree: texts by node, and where each text's node begins and ends
+        for column in nodes.T:
+            order = np.argsort(column, kind="stable")
+            ranked = column[order]
+            groups.append((order, np.searchsorted(ranked, column), np.searchsorted(ranked, column, side="right")))
+        count, label = np.zeros(len(key), dtype=np.int64), np.arange(len(key))
+        there, near = np.zeros(int(flat.max(initial=-1)) + 1, dtype=np.uint8), np.zeros(len(key), dtype=bool)
+        keys, others = [], []
+        for i in range(len(key)):
+            near[:] = False
+            for order, low, high in groups:
+                if high[i] - low[i] > 1:
+                    near[order[low[i] : high[i]]] = True
+            near[: i + 1] = False
+            if mixed_blocks:
+                near &= block != block[i]
+            m = lengths[i]
+            p = np.flatnonzero(near)
+            p = p[np.minimum(lengths[p], m) >= threshold * np.maximum(lengths[p], m) - 1e-9]
+            p = p[lengths[p] > 0]
+            if not len(p) or not m:
+                continue
+            own = flat[starts[i] : starts[i] + m]
+            there[own] = 1
+            size = lengths[p]
+            ends = np.cumsum(size)
+            shared = np.add.reduceat(there[flat[np.repeat(starts[p] - ends + size, size) + np.arange(ends[-1])]], ends - size, dtype=np.int64)
+            there[own] = 0
+            p = p[shared / (m + size - shared) >= threshold]
+            count[i] += len(p)
+            count[p] += 1
+            for j in p[np.unique(label[p], return_index=True)[1]].tolist():
+                if label[j] != label[i]:
+                    keys.append(key[i])
+                    others.append(key[j])
+                    label[label == label[j]] = label[i]
+        some = np.flatnonzero(count)
+        made = pa.table({
+            "key": pa.array([*key[some].tolist(), *keys], pa.int64()),
+            "pivot": pa.array([*[None] * len(some), *others], pa.int64()),
+            "n": pa.array([*count[some].tolist(), *[None] * len(keys)], pa.int64()),
+        })
+        del nodes, flat, starts, lengths, groups, there, near
+        release()
+        return made
+
+    return run
 
 
 def links(texts_of: Callable[[DataFrame], DataFrame], reps: DataFrame, forest: Forest) -> DataFrame:
-    """key, pivot and similarity of verified links. reps: key and signature of different texts; texts_of: key and text for a table of keys."""
+    """Rows with a number n of verified links of a key (to be added up), and rows with a pivot: links that join the same keys as all links do. reps: key and signature of different texts; texts_of: key and text for a table of keys."""
     n = partitions(reps.sparkSession)
+    n_blocks = math.isqrt(2 * n - 1) + 1
     placed = _bucketed(reps.select("key", "signature"), n).repartition(n, "bucket")
-    told = placed.mapInArrow(_tell(forest), "bucket int, node long, low long, high long")
-    over = Window.partitionBy("node")
-    pivots = told.withColumns({"low": F.min("low").over(over), "high": F.max("high").over(over)}).filter("low < high")
-    pairs = placed.groupBy("bucket").cogroup(pivots.groupBy("bucket")).applyInArrow(_pairs(forest), "key long, pivot long")
-    # a text goes to its pivots, not the other way round: the pivot of a large group must not gather the group's texts
-    pairs = written(pairs.distinct())
-    near = verified(texts_of, pairs, n).filter(F.col("similarity") >= forest.threshold)
-    return written(near.select(F.greatest("key", "pivot").alias("key"), F.least("key", "pivot").alias("pivot"), "similarity").distinct())
-
-
-def verified(texts_of: Callable[[DataFrame], DataFrame], pairs: DataFrame, n: int) -> DataFrame:
-    """pairs (key, pivot) with their similarity. A pivot's text goes once to each bucket."""
-    used = written(texts_of(pairs.select("key").union(pairs.select(F.col("pivot").alias("key"))).distinct()))
-    own = _bucketed(used.join(pairs.select("key").distinct(), "key", "left_semi"), n)
-    placed = _bucketed(pairs, n)
-    sent = placed.select("bucket", F.col("pivot").alias("key")).distinct().join(used, "key").select("bucket", "key", F.lit(None).cast("long").alias("pivot"), "text")
-    right = placed.select("bucket", "key", "pivot", F.lit(None).cast("string").alias("text")).union(sent)
-    return own.groupBy("bucket").cogroup(right.groupBy("bucket")).applyInArrow(_verify, "key long, pivot long, similarity double")
+    told = placed.mapInArrow(_tell(forest), "bucket int, node long, low long, high long").withColumn("block", F.col("bucket") % n_blocks)
+    node, part = Window.partitionBy("node"), Window.partitionBy("node", "block")
+    told = told.repartition(n, "node").sortWithinPartitions("node", "block")
+    shared = told.withColumns({"least": F.min("low").over(node), "most": F.max("high").over(node)}).filter("least < most")
+    shared = shared.withColumn("alone", F.min("low").over(part) == F.max("high").over(part)).withColumn("blocks", F.collect_set("block").over(node))
+    # a text that is alone in its block meets others of the node in other blocks only
+    shared = shared.select("bucket", "node", F.when(F.col("alone"), F.array_remove("blocks", F.col("block"))).otherwise(F.col("blocks")).alias("blocks"))
+    units = written(placed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_placed(forest, n_blocks), "unit long, key long, nodes binary"))
+    used = texts_of(units.select("key").distinct())
+    sent = _bucketed(units.join(used, "key"), n).select("unit", "key", (F.col("bucket") % n_blocks).alias("block"), "nodes", "text")
+    return written(sent.groupBy("unit").applyInArrow(_compared(forest.threshold), "key long, pivot long, n long"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest | None = None) -> DataFrame:
@@ -224,9 +275,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", for
         return found.select("key", "text").dropDuplicates(["key"])
 
     near = links(texts_of, reps, forest)
-    ends = near.select("key").union(near.select(F.col("pivot").alias("key")))
-    degree = ends.groupBy("key").agg(F.count("*").alias("n_links"))
-    parts = connected_components(near, "key", "pivot").select(F.col("node").alias("key"), "component")
+    degree = near.filter("pivot is null").groupBy("key").agg(F.sum("n").alias("n_links"))
+    parts = connected_components(near.filter("pivot is not null"), "key", "pivot").select(F.col("node").alias("key"), "component")
     named = reps.select("key", "first_id", "n_copies").join(parts, "key", "left").join(degree, "key", "left")
     named = written(named.withColumn("component", F.coalesce("component", "key")))
     lead = named.groupBy("component").agg(F.min("first_id").alias("class_id"), F.sum("n_copies").alias("class_size"))
