@@ -9,14 +9,14 @@ along one left-to-right traversal; every token moves to the longest kept suffix.
 Weights are absolute discounting: p(w | c) = (count(c w) - discount) / count(c) on arcs; a failure arc carries what is
 left over, divided by what the kept words have in the lower state, so each state's probabilities sum to 1.
 
-What is kept where, and why it stays bounded:
-* counts of words are a distributed table, whatever their number. Texts lie in buckets by a hash of the id; a bucket asks
-  for each of its distinct words once and gets the count back, so a very frequent word costs one row a bucket;
-* an n-gram of two tokens or more is kept if it has a share of at least `share` of all training tokens. There are at most
-  1 / share such n-grams of each order, so the arcs may be broadcast. The share is of the corpus: the same at every size.
-  An n-gram cannot be frequent if one of its words is not, so only those of frequent words are counted.
+What is kept where:
+* an n-gram of two tokens or more is kept from `least` occurrences on, 2 at every size of the input (`share` can raise
+  that, to a share of all training tokens; it is 0 unless given). What is kept grows with the input;
+* counts of words, arcs and failure weights are distributed tables; only the totals reach the driver and nothing is
+  broadcast. Texts lie in buckets by a hash of the id; a bucket asks for each of its distinct words and n-grams once and
+  gets counts and weights back, so a very frequent one costs one row a bucket.
 
-Words are told apart by 64-bit hashes; an n-gram's key holds the numbers of its frequent words.
+Words and n-grams are told apart by 64-bit hashes; that of an n-gram follows from those of its context and its suffix.
 
 Defined cases: a null text is empty: it has the end token only; a null id is never held out; no training text: every
 token has probability 1 / (V + 1) with V = 0; equal texts get equal scores, ids may repeat; further columns are ignored.
@@ -24,9 +24,10 @@ token has probability 1 / (V + 1) with V = 0; equal texts get equal scores, ids
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,17 +35,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import partitions, slices, texts, written
+from lorespark.llm.common import FACTOR, mixed, partitions, slices, texts, written
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: No word is empty, so the end token has the hash of nothing.
 END = b""
 
 
-#: Bits of a frequent word's number (from 1) in the key of an n-gram; its last word has the lowest bits.
-BITS = 20
-
-
 class Table:
     """Values by 64-bit key; what is missing has the given value."""
 
@@ -60,41 +57,9 @@ class Table:
         return [np.where(found, v[at], m) for v, m in zip(self.values, missing, strict=True)]
 
 
-def grams(f: np.ndarray, n: int) -> np.ndarray:
-    """Key of the n-gram that ends at each token from the n-th on, of frequent words' numbers; 0 if a word is not frequent."""
-    m = len(f) - n + 1
-    out, whole = f[:m].copy(), f[:m] > 0
-    for k in range(1, n):
-        out = out << BITS | f[k : m + k]
-        whole &= f[k : m + k] > 0
-    return np.where(whole, out, 0)
-
-
-@dataclass
-class Automaton:
-    """numbers: hash and number of each frequent word. arcs[n]: each kept n-gram's weight, and its failure weight as a context (0: no arc leaves it)."""
-
-    order: int
-    total: int
-    distinct: int
-    numbers: Table
-    arcs: dict[int, Table]
-
-    def base(self, counts: np.ndarray) -> np.ndarray:
-        return np.log10((counts + 1) / (self.total + self.distinct + 1))
-
-    def weights(self, f: np.ndarray, base: np.ndarray) -> np.ndarray:
-        """Log-probability of each token of one text, given the numbers of its words (0: not frequent) and the weights of the last state."""
-        # what the traversal has collected where only shorter contexts are left; longer arcs replace it
-        out = base.copy()
-        for n in range(2, min(self.order, len(f)) + 1):
-            context = grams(f, n - 1)[: len(f) - n + 1]
-            at = np.flatnonzero(context)
-            back = self.arcs[n - 1](context[at], 0.0, 0.0)[1]
-            own = self.arcs[n](grams(f, n)[at], np.nan, 0.0)[0]
-            at += n - 1
-            out[at] = np.where(np.isnan(own), out[at] + back, own)
-        return out
+def joined(context: np.ndarray, suffix: np.ndarray, n: int) -> np.ndarray:
+    """Keys of n-grams from those of their first and of their last n - 1 tokens."""
+    return mixed(context.view(np.uint64) * np.uint64(FACTOR) + mixed(suffix.view(np.uint64)) + np.uint64(n)).view(np.int64)
 
 
 def words(text: bytes) -> list[bytes]:
@@ -112,107 +77,120 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(hashed(found, len(found))), pa.array(np.fromiter(found.values(), dtype=np.int64, count=len(found)))], ["key", "n"])
 
 
-class Numbers(dict):
-    """The number of each word met, 0 if it is not frequent. Emptied when it is full, so memory is bounded."""
+def _flat(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all tokens of the texts, and where each text ends."""
+    local: dict[bytes, int] = {}
+    at = np.fromiter((local.setdefault(w, len(local)) for r in rows for w in r), dtype=np.int64)
+    return hashed(local, len(local))[at], np.cumsum([len(r) for r in rows])
 
-    def __init__(self, numbers: Table, most: int = 400_000) -> None:
-        self.number, self.most = dict(zip(numbers.keys.tolist(), numbers.values[0].tolist(), strict=True)), most
 
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        n = self.number.get(h - (1 << 64) if h >= 1 << 63 else h, 0)
-        if len(self) < self.most:
-            self[word] = n
-        return n
+def _levels(f: np.ndarray, ends: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, keys of the n-grams that start at each token (from 1 on), and where such an n-gram is within one text."""
+    yield 1, f, np.ones(len(f), dtype=bool)
+    inside = np.ones(len(f), dtype=bool)
+    for n in range(2, min(order, len(f)) + 1):
+        f, inside = joined(f[:-1], f[1:], n), inside[:-1].copy()
+        at = ends - (n - 1)
+        inside[at[(at >= 0) & (at < len(inside))]] = False
+        yield n, f, inside
 
 
-def _counted_grams(numbers: Table, order: int):
-    """Each distinct n-gram of frequent words of a slice, with its count."""
+def _counted_grams(order: int):
+    """Each distinct n-gram of a slice by its context and suffix, with its count."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = Numbers(numbers)
         for batch in slices(batches):
-            rows = [words(t) for t in texts(batch)]
-            flat = [w for r in rows for w in r]
-            f = np.fromiter(map(number.__getitem__, flat), dtype=np.int64, count=len(flat))
-            ends = np.cumsum([len(r) for r in rows])[:-1]
-            for n in range(2, order + 1):
-                if len(f) < n:
-                    break
-                found = grams(f, n)
-                for k in range(1, n):  # none goes over the end of a text
-                    at = ends - k
-                    found[at[(at >= 0) & (at < len(found))]] = 0
-                keys, counts = np.unique(found[found > 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), n, dtype=np.int8)), pa.array(keys), pa.array(counts)], ["order", "key", "n"])
+            f, ends = _flat([words(t) for t in texts(batch)])
+            shorter = f
+            for n, keys, inside in _levels(f, ends, order):
+                if n > 1:
+                    at = np.flatnonzero(inside)
+                    _, first, counts = np.unique(keys[at], return_index=True, return_counts=True)
+                    at = at[first]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(at), n, dtype=np.int8), shorter[at], shorter[at + 1], counts)], ["order", "context", "suffix", "n"])
+                shorter = keys
 
     return run
 
 
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        if b.num_rows:
+            n = b.column("order")[0].as_py()
+            yield pa.RecordBatch.from_arrays([pa.array(joined(np.asarray(b.column("context")), np.asarray(b.column("suffix")), n)), b.column("context"), b.column("suffix"), b.column("n")], ["key", "context", "suffix", "n"])
+
+
 def word_counts(training: DataFrame) -> DataFrame:
     """key and n of each distinct token of the column text, written to the shared folder."""
     found = training.select("text").mapInArrow(_counted, "key long, n long")
     return written(found.groupBy("key").agg(F.sum("n").alias("n")))
 
 
-def build(training: DataFrame, counted: DataFrame, order: int = 2, share: float = 1e-6, discount: float = 0.6) -> Automaton:
-    """The automaton of the column text of training; counted: its word_counts. order: 1 to 3."""
-    if not 1 <= order <= 3 or 1 / share >= 1 << BITS:
-        raise ValueError("keys hold up to three words of at most 2 ** 20 - 1 frequent ones")
+def build(training: DataFrame, counted: DataFrame, order: int = 2, share: float = 0.0, discount: float = 0.6, fewest: int = 2) -> tuple[int, int, DataFrame]:
+    """Number of tokens, of distinct tokens, and the automaton of the column text of training: key, n (of a word; else null), weight (of an n-gram's arc) and back (failure weight as a context). counted: its word_counts."""
+    if order < 1:
+        raise ValueError("an order of 1 at least")
     total, distinct = (int(x or 0) for x in counted.agg(F.sum("n"), F.count("*")).first())
-    least = max(2, int(np.ceil(share * total)))
-    # at most 1 / share words, then at most 1 / share n-grams of each order
-    top = counted.filter(F.col("n") >= least).toPandas()
-    counts = top["n"].to_numpy(np.float64)
-    key = np.arange(1, len(top) + 1)
-    auto = Automaton(order, total, distinct, Table(top["key"].to_numpy(np.int64), key), {})
-    p = 10 ** auto.base(counts)
+    least = max(fewest, math.ceil(share * total))
+    none = F.lit(None).cast("double")
+    level = counted.select("key", "n", ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))
+    parts = [counted.select("key", "n", none.alias("weight"), none.alias("back"))]
     if order > 1:
-        found = training.select("text").mapInArrow(_counted_grams(auto.numbers, order), "order byte, key long, n long")
-        kept = found.groupBy("order", "key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).toPandas()
+        found = training.select("text").mapInArrow(_counted_grams(order), "order byte, context long, suffix long, n long")
+        kept = written(found.groupBy("order", "context", "suffix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
     for n in range(2, order + 1):
-        x = kept[kept["order"] == n]
-        longer, c = x["key"].to_numpy(np.int64), x["n"].to_numpy(np.float64)
-        contexts, at = np.unique(longer >> BITS, return_inverse=True)
-        new = (c - discount) / Table(key, counts)(longer >> BITS, 1.0)[0]
-        # a suffix of a frequent n-gram is as frequent, so the lower state has an arc for each of these words
-        lower = Table(key, p)(longer & ((1 << BITS * (n - 1)) - 1), 0.0)[0]
-        left, under = (1 - np.bincount(at, v, len(contexts)) for v in (new, lower))
-        back = np.log10(np.maximum(left, 1e-12) / np.maximum(under, 1e-12))
-        auto.arcs[n - 1] = Table(key, np.log10(p), Table(contexts, back)(key, 0.0)[0])
-        key, counts, p = longer, c, new
-    auto.arcs[order] = Table(key, np.log10(p), np.zeros(len(key)))
-    return auto
-
-
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct tokens of each bucket of a partition."""
-    seen: dict[int, set[bytes]] = {}
-    for batch in slices(batches):
-        for b, t in zip(batch.column("bucket").to_pylist(), texts(batch), strict=True):
-            seen.setdefault(b, set()).update(words(t))
-    while seen:
-        b, found = seen.popitem()
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b, dtype=np.int32)), pa.array(hashed(found, len(found)))], ["bucket", "key"])
+        own = kept.filter(F.col("order") == n).mapInArrow(_keyed, "key long, context long, suffix long, n long")
+        own = own.join(level.select(F.col("key").alias("context"), F.col("n").alias("of")), "context").withColumn("p", (F.col("n") - discount) / F.col("of"))
+        # a suffix of a kept n-gram is as frequent, so the lower state has an arc for each of these words
+        own = written(own.join(level.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix"))
+        left, under = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "lower"))
+        back = own.groupBy(F.col("context").alias("key")).agg(F.log10(left / under).alias("back"))
+        number = F.lit(None).cast("long").alias("n")
+        parts += [own.select("key", number, F.log10("p").alias("weight"), none.alias("back")), back.select("key", number, none.alias("weight"), "back")]
+        level = own.select("key", "n", "p")
+    made = reduce(DataFrame.union, parts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "weight", "back")))
+    return total, distinct, written(made)
+
+
+def _asked(order: int):
+    """The distinct tokens and n-grams of each bucket of a partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, np.ndarray] = {}
+        for batch in slices(batches):
+            bucket = np.asarray(batch.column("bucket"))
+            f, ends = _flat([words(t) for t in texts(batch)])
+            own = np.repeat(bucket, np.diff(ends, prepend=0))
+            for b in np.unique(bucket).tolist():
+                parts = [k[inside & (own[: len(k)] == b)] for _, k, inside in _levels(f, ends, order)]
+                seen[b] = np.unique(np.concatenate([*parts, seen.get(b, parts[0][:0])]))
+        while seen:
+            b, found = seen.popitem()
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b, dtype=np.int32)), pa.array(found)], ["bucket", "key"])
+
+    return run
 
 
-def _score(shared):
+def _score(order: int, total: int, distinct: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a = shared.value
-        counts = Table(np.asarray(right.column("key")), np.asarray(right.column("n")).astype(np.float64))
+        given = [np.asarray(right.column(c).cast(pa.float64()).fill_null(v)) for c, v in (("n", 0.0), ("weight", np.nan), ("back", 0.0))]
+        table = Table(np.asarray(right.column("key")), *given)
         parts = []
         for batch in slices(iter(left.combine_chunks().to_batches())):
-            rows = [words(t) for t in texts(batch)]
-            local: dict[bytes, int] = {}
-            at = np.fromiter((local.setdefault(w, len(local)) for r in rows for w in r), dtype=np.int64)
-            keys = hashed(local, len(local))
-            c, f = counts(keys, 0.0)[0], a.numbers(keys, 0)[0]
-            base, known = a.base(c)[at], (c > 0)[at]
-            f = f[at]
-            ends = np.cumsum([len(r) for r in rows])
+            f, ends = _flat([words(t) for t in texts(batch)])
             starts = np.concatenate([[0], ends[:-1]])
-            score = [float(a.weights(f[i:j], base[i:j]).sum()) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)]
-            made = [ends - starts, np.add.reduceat(known.astype(np.int64), starts), np.full(len(rows), a.total), np.add.reduceat(base, starts), np.array(score)]
+            out, back = None, None
+            for n, keys, inside in _levels(f, ends, order):
+                counts, weight, nexts = table(keys, 0.0, np.nan, 0.0)
+                if out is None:
+                    known, base = counts > 0, np.log10((counts + 1) / (total + distinct + 1))
+                    # what the traversal has collected where only shorter contexts are left; longer arcs replace it
+                    out = base.copy()
+                else:
+                    at = np.flatnonzero(inside)
+                    out[at + n - 1] = np.where(np.isnan(weight[at]), out[at + n - 1] + back[at], weight[at])
+                back = nexts
+            made = [ends - starts, np.add.reduceat(known.astype(np.int64), starts), np.full(len(starts), total), np.add.reduceat(base, starts), np.add.reduceat(out, starts)]
             parts.append(pa.Table.from_arrays([batch.column("doc_id"), batch.column("learn"), *map(pa.array, made)], names=list(NAMES)))
         return pa.concat_tables(parts) if parts else pa.table({k: pa.array([], t) for k, t in NAMES.items()})
 
@@ -222,16 +200,16 @@ def _score(shared):
 NAMES = {"doc_id": pa.int64(), "learn": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, share: float = 1e-6, discount: float = 0.6) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, share: float = 0.0, discount: float = 0.6) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, train_tokens, base_score and score of each row's whole text."""
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), learn.alias("learn"))
     training = rows.filter("learn")
     counted = word_counts(training)
-    shared = spark.sparkContext.broadcast(build(training, counted, order, share, discount))
+    total, distinct, automaton = build(training, counted, order, share, discount)
     # both uses take placed as it is, so that Spark shuffles the texts once and uses them again
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "bucket")
-    known = placed.mapInArrow(_asked, "bucket int, key long").join(counted, "key")
+    known = placed.mapInArrow(_asked(order), "bucket int, key long").join(automaton, "key")
     schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_score(shared), schema)
+    return placed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_score(order, total, distinct), schema)

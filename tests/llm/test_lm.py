@@ -65,3 +65,13 @@ def test_empty_and_untrained(spark):
     df = spark.createDataFrame([(1, "a b"), (None, "a")], "doc_id long, text string")
     out = {r.doc_id: r for r in lm.score(df, F.lit(False)).collect()}
     assert out[1].train_tokens == 0 and out[1].n_tokens == 3 and out[1].score == 0 and out[None].n_known == 0
+
+
+def test_rare_ngrams_are_kept_at_every_size(spark):
+    """A bigram that occurs twice in 3 million training tokens has its arc."""
+    rows = [(k, "filler " * 3000) for k in range(1000)] + [(1000, "rare pair"), (1001, "rare pair"), (1002, "rare pair")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in lm.score(df, F.col("doc_id") != 1002).filter("doc_id >= 1000").collect()}
+    start = math.log10((2 + 1) / (out[1002].train_tokens + 4 + 1))
+    # rare (from the last state), pair after rare, end after pair: both arcs weigh (2 - 0.6) / 2
+    assert out[1002].train_tokens > 3_000_000 and out[1002].score == pytest.approx(start + 2 * math.log10(1.4 / 2))
