@@ -1,22 +1,23 @@
 """Language-model scoring by a weighted backoff automaton.
 
-Words are lower-cased in A-Z; each text ends with one end token. Training texts give the counts. The automaton's states
-are the n-grams of at most order - 1 tokens that are kept as contexts; a kept n-gram is an arc with its own weight, and
-each state has a failure arc, with a backoff weight, to the state without its first token. The last state, of no tokens,
-has an arc for every token: the add-one probability, which is also the base score. A text's score is the sum of weights
-along one left-to-right traversal; every token moves to the longest kept suffix.
+Words are lower-cased in A-Z; each text ends with one end token. Training texts give the counts, of all n-grams of up to
+`order` tokens, from one occurrence on. The automaton's states are the n-grams of at most order - 1 tokens that occur in
+training, and the state of no tokens, the root. An n-gram that occurs is an arc with a weight; each state but the root has
+a failure arc, with a weight of its own, to the state without its first token. The root has an arc for every token: the
+add-one probability, which is also the base score. One left-to-right traversal carries the state: where a state has no arc
+for the token it takes the failure arc and tries again, and adds up the weights of all arcs it took.
 
-Weights are absolute discounting: p(w | c) = (count(c w) - discount) / count(c) on arcs; a failure arc carries what is
-left over, divided by what the kept words have in the lower state, so each state's probabilities sum to 1.
+Smoothing is hierarchical (Dirichlet): p(w | c) = (count(c w) + mass * p(w | c')) / (count(c) + mass), where c' is c
+without its first token. So an arc weighs log10 p(w | c), a failure arc log10 (mass / (count(c) + mass)), and the
+probabilities of each state sum to 1.
 
-What is kept where:
-* an n-gram of two tokens or more is kept from `least` occurrences on, 2 at every size of the input (`share` can raise
-  that, to a share of all training tokens; it is 0 unless given). What is kept grows with the input;
-* counts of words, arcs and failure weights are distributed tables; only the totals reach the driver and nothing is
-  broadcast. Texts lie in buckets by a hash of the id; a bucket asks for each of its distinct words and n-grams once and
-  gets counts and weights back, so a very frequent one costs one row a bucket.
+What is kept where: texts lie in small buckets by a hash of the id. A bucket tells each of its distinct n-grams once, with
+its own count; a bucket is told the count over all buckets where that differs from its own. So a very frequent n-gram
+costs one row a bucket, one that no other bucket has one row in all, and no count passes the driver or a broadcast. Only
+the numbers of tokens and of distinct tokens reach the driver. A bucket then builds that part of the automaton that its
+texts can reach, and its texts run through it side by side. What is gathered grows with the input; nothing is pruned.
 
-Words and n-grams are told apart by 64-bit hashes; that of an n-gram follows from those of its context and its suffix.
+Words and n-grams are told apart by 64-bit hashes (61 bits and the number of tokens).
 
 Defined cases: a null text is empty: it has the end token only; a null id is never held out; no training text: every
 token has probability 1 / (V + 1) with V = 0; equal texts get equal scores, ids may repeat; further columns are ignored.
@@ -24,192 +25,212 @@ token has probability 1 / (V + 1) with V = 0; equal texts get equal scores, ids
 
 from __future__ import annotations
 
-import math
-from collections import Counter
-from collections.abc import Iterable, Iterator
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import FACTOR, mixed, partitions, slices, texts, written
+from lorespark.llm.common import FACTOR, mixed, partitions, release, scanned, slices, texts
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: No word is empty, so the end token has the hash of nothing.
-END = b""
-
-
-class Table:
-    """Values by 64-bit key; what is missing has the given value."""
-
-    def __init__(self, keys: np.ndarray, *values: np.ndarray) -> None:
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.values = keys[order], [v[order] for v in values]
-
-    def __call__(self, keys: np.ndarray, *missing: float) -> list[np.ndarray]:
-        if not len(self.keys):
-            return [np.full(len(keys), m, dtype=v.dtype) for v, m in zip(self.values, missing, strict=True)]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        found = self.keys[at] == keys
-        return [np.where(found, v[at], m) for v, m in zip(self.values, missing, strict=True)]
-
-
-def joined(context: np.ndarray, suffix: np.ndarray, n: int) -> np.ndarray:
-    """Keys of n-grams from those of their first and of their last n - 1 tokens."""
-    return mixed(context.view(np.uint64) * np.uint64(FACTOR) + mixed(suffix.view(np.uint64)) + np.uint64(n)).view(np.int64)
-
-
-def words(text: bytes) -> list[bytes]:
-    return [*text.translate(LOWER).split(), END]
-
-
-def hashed(found: Iterable[bytes], n: int) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, found), dtype=np.uint64, count=n).view(np.int64)
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct token of a slice, with its count."""
-    for batch in slices(batches):
-        found = Counter(w for t in texts(batch) for w in words(t))
-        yield pa.RecordBatch.from_arrays([pa.array(hashed(found, len(found))), pa.array(np.fromiter(found.values(), dtype=np.int64, count=len(found)))], ["key", "n"])
-
-
-def _flat(rows: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all tokens of the texts, and where each text ends."""
-    local: dict[bytes, int] = {}
-    at = np.fromiter((local.setdefault(w, len(local)) for r in rows for w in r), dtype=np.int64)
-    return hashed(local, len(local))[at], np.cumsum([len(r) for r in rows])
-
-
-def _levels(f: np.ndarray, ends: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """n, keys of the n-grams that start at each token (from 1 on), and where such an n-gram is within one text."""
-    yield 1, f, np.ones(len(f), dtype=bool)
-    inside = np.ones(len(f), dtype=bool)
-    for n in range(2, min(order, len(f)) + 1):
-        f, inside = joined(f[:-1], f[1:], n), inside[:-1].copy()
-        at = ends - (n - 1)
-        inside[at[(at >= 0) & (at < len(inside))]] = False
-        yield n, f, inside
-
-
-def _counted_grams(order: int):
-    """Each distinct n-gram of a slice by its context and suffix, with its count."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            f, ends = _flat([words(t) for t in texts(batch)])
-            shorter = f
-            for n, keys, inside in _levels(f, ends, order):
-                if n > 1:
-                    at = np.flatnonzero(inside)
-                    _, first, counts = np.unique(keys[at], return_index=True, return_counts=True)
-                    at = at[first]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(at), n, dtype=np.int8), shorter[at], shorter[at + 1], counts)], ["order", "context", "suffix", "n"])
-                shorter = keys
+#: The end token's hash; the bits of a key that hold its number of tokens.
+END, LEVEL = np.uint64(0x5851F42D4C957F2D), np.uint64(7)
+#: Buckets for each of the session's shuffle partitions: small groups, as a task holds one whole.
+BUCKETS = 4
+#: Tokens of a lane: lanes are traversed side by side.
+LANE = 512
+
+
+def joined(context: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
+    """Keys of n-grams from those of their first n - 1 tokens and of their last one."""
+    return mixed(context * np.uint64(FACTOR) + token) & ~LEVEL | np.uint64(n)
+
+
+def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the tokens of all texts in a row, and where each text ends."""
+    *_, h, row = scanned([t.translate(LOWER) for t in rows])
+    ends = np.cumsum(np.bincount(row, minlength=len(rows)) + 1)
+    out = np.full(int(ends[-1]) if len(rows) else 0, END, dtype=np.uint64)
+    out[np.arange(len(h)) + row] = h
+    return out & ~LEVEL | np.uint64(1), ends
+
+
+def grams(token: np.ndarray, ends: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """n, keys of what starts at each token, and the starts of n-grams within one text."""
+    row = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+    key = token
+    for n in range(1, min(order, len(token)) + 1):
+        if n > 1:
+            key = joined(key[:-1], token[n - 1 :], n)
+        yield n, key, np.flatnonzero(row[: len(key)] == row[n - 1 :])
+
+
+def _merged(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct keys, sorted, with the sum of the counts (the last array) and any of the other values."""
+    key, *others, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return key, *(x[first] for x in others), np.bincount(at, weights=counts, minlength=len(key)).astype(np.int64)
+
+
+def counted(pieces: Iterator[pa.RecordBatch], order: int) -> list[tuple[np.ndarray, ...]]:
+    """Of each n from 1: the distinct n-grams of the texts, sorted, those without their last and without their first token, and how often training texts have them."""
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(order)]
+    for batch in pieces:
+        token, ends = tokens(texts(batch))
+        learn = np.repeat(np.asarray(batch.column("learn").fill_null(False).to_numpy(zero_copy_only=False), dtype=bool), np.diff(ends, prepend=0))
+        shorter = token
+        for n, key, at in grams(token, ends, order):
+            found[n - 1].append(_merged([(key[at], shorter[at], shorter[at + (n > 1)], learn[at].astype(np.int64))]))
+            shorter = key
+    return [_merged(x) if x else (*[np.empty(0, dtype=np.uint64)] * 3, np.empty(0, dtype=np.int64)) for x in found]
+
+
+def _pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
+    return slices(iter(t.to_batches()))
+
+
+def _tell(order: int):
+    def run(t: pa.Table) -> pa.Table:
+        bucket = t.column("bucket")[0].as_py()
+        levels = counted(_pieces(t), order)
+        key, n = np.concatenate([x[0] for x in levels]), np.concatenate([x[-1] for x in levels])
+        del levels
+        release()
+        return pa.table({"key": pa.array(key.view(np.int64)), "bucket": pa.array(np.full(len(key), bucket, dtype=np.int32)), "n": pa.array(n.astype(np.int32))})
 
     return run
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            n = b.column("order")[0].as_py()
-            yield pa.RecordBatch.from_arrays([pa.array(joined(np.asarray(b.column("context")), np.asarray(b.column("suffix")), n)), b.column("context"), b.column("suffix"), b.column("n")], ["key", "context", "suffix", "n"])
-
-
-def word_counts(training: DataFrame) -> DataFrame:
-    """key and n of each distinct token of the column text, written to the shared folder."""
-    found = training.select("text").mapInArrow(_counted, "key long, n long")
-    return written(found.groupBy("key").agg(F.sum("n").alias("n")))
-
-
-def build(training: DataFrame, counted: DataFrame, order: int = 2, share: float = 0.0, discount: float = 0.6, fewest: int = 2) -> tuple[int, int, DataFrame]:
-    """Number of tokens, of distinct tokens, and the automaton of the column text of training: key, n (of a word; else null), weight (of an n-gram's arc) and back (failure weight as a context). counted: its word_counts."""
-    if order < 1:
-        raise ValueError("an order of 1 at least")
-    total, distinct = (int(x or 0) for x in counted.agg(F.sum("n"), F.count("*")).first())
-    least = max(fewest, math.ceil(share * total))
-    none = F.lit(None).cast("double")
-    level = counted.select("key", "n", ((F.col("n") + 1) / (total + distinct + 1)).alias("p"))
-    parts = [counted.select("key", "n", none.alias("weight"), none.alias("back"))]
-    if order > 1:
-        found = training.select("text").mapInArrow(_counted_grams(order), "order byte, context long, suffix long, n long")
-        kept = written(found.groupBy("order", "context", "suffix").agg(F.sum("n").alias("n")).filter(F.col("n") >= least))
-    for n in range(2, order + 1):
-        own = kept.filter(F.col("order") == n).mapInArrow(_keyed, "key long, context long, suffix long, n long")
-        own = own.join(level.select(F.col("key").alias("context"), F.col("n").alias("of")), "context").withColumn("p", (F.col("n") - discount) / F.col("of"))
-        # a suffix of a kept n-gram is as frequent, so the lower state has an arc for each of these words
-        own = written(own.join(level.select(F.col("key").alias("suffix"), F.col("p").alias("lower")), "suffix"))
-        left, under = (F.greatest(1 - F.sum(c), F.lit(1e-12)) for c in ("p", "lower"))
-        back = own.groupBy(F.col("context").alias("key")).agg(F.log10(left / under).alias("back"))
-        number = F.lit(None).cast("long").alias("n")
-        parts += [own.select("key", number, F.log10("p").alias("weight"), none.alias("back")), back.select("key", number, none.alias("weight"), "back")]
-        level = own.select("key", "n", "p")
-    made = reduce(DataFrame.union, parts).groupBy("key").agg(*(F.max(c).alias(c) for c in ("n", "weight", "back")))
-    return total, distinct, written(made)
-
-
-def _asked(order: int):
-    """The distinct tokens and n-grams of each bucket of a partition."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, np.ndarray] = {}
-        for batch in slices(batches):
-            bucket = np.asarray(batch.column("bucket"))
-            f, ends = _flat([words(t) for t in texts(batch)])
-            own = np.repeat(bucket, np.diff(ends, prepend=0))
-            for b in np.unique(bucket).tolist():
-                parts = [k[inside & (own[: len(k)] == b)] for _, k, inside in _levels(f, ends, order)]
-                seen[b] = np.unique(np.concatenate([*parts, seen.get(b, parts[0][:0])]))
-        while seen:
-            b, found = seen.popitem()
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), b, dtype=np.int32)), pa.array(found)], ["bucket", "key"])
+def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Where each wanted key is in keys (sorted); -1: nowhere."""
+    if not len(keys):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, at, -1)
+
+
+class Automaton:
+    """The states and arcs that a bucket's texts can reach. levels: as counted() gives them, but with counts over all buckets."""
+
+    def __init__(self, levels: list[tuple[np.ndarray, ...]], total: int, distinct: int, mass: float) -> None:
+        self.order = len(levels)
+        #: Of states: key, number of tokens, and the failure arc's target and weight. The first is the root.
+        key, level, fail, back = ([np.zeros(1, dtype=t)] for t in (np.uint64, np.int64, np.int64, np.float64))
+        #: Of arcs, by number of tokens: keys, sorted, their weights and targets.
+        self.arcs: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        states, below_state, below_p, below_n, below_key = 1, None, None, None, None
+        for n, (keys, context, suffix, count) in enumerate(levels, 1):
+            some = count > 0
+            if n == 1:
+                p = (count + 1) / (total + distinct + 1)
+                shorter = np.zeros(len(keys), dtype=np.int64)  # the root
+                self.known = some
+            else:
+                keys, context, suffix, count = (x[some] for x in (keys, context, suffix, count))
+                down = _at(below_key, suffix)
+                p = (count + mass * below_p[down]) / (below_n[_at(below_key, context)] + mass)
+                shorter, some = below_state[down], np.ones(len(keys), dtype=bool)
+            state = shorter  # a token or n-gram that is no state leads to the longest one it ends with
+            if n < self.order:
+                state = np.where(some, states + np.cumsum(some) - 1, shorter)
+                states += int(some.sum())
+                for into, x in zip((key, level, fail, back), (keys[some], np.full(int(some.sum()), n), shorter[some], np.log10(mass / (count[some] + mass))), strict=True):
+                    into.append(x)
+            self.arcs.append((keys, np.log10(p), state))
+            below_key, below_state, below_p, below_n = keys, state, p, count
+        self.key, self.level, self.fail, self.back = map(np.concatenate, (key, level, fail, back))
+
+    def step(self, state: np.ndarray, token: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next state, and the weight of the arcs taken, from each state by a token."""
+        weight, target, live, at = np.zeros(len(state)), np.empty(len(state), dtype=np.int64), np.arange(len(state)), state
+        for n in range(self.order, 0, -1):
+            keys, weights, targets = self.arcs[n - 1]
+            here = np.flatnonzero(self.level[at] == n - 1)  # states whose arcs are n-grams
+            word = token[live[here]]
+            arc = _at(keys, joined(self.key[at[here]], word, n) if n > 1 else word)
+            found = arc >= 0
+            hit = live[here[found]]
+            weight[hit] += weights[arc[found]]
+            target[hit] = targets[arc[found]]
+            lost = here[~found]
+            weight[live[lost]] += self.back[at[lost]]
+            at = at.copy()
+            at[lost] = self.fail[at[lost]]
+            keep = np.ones(len(live), dtype=bool)
+            keep[here[found]] = False
+            live, at = live[keep], at[keep]
+        return target, weight
+
+    def weights(self, token: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Log-probability of each token. Texts are cut into lanes, which start order - 1 tokens early: a state depends on no more."""
+        count, early = len(token), self.order - 1
+        first = np.zeros(count + 1, dtype=bool)
+        first[0] = first[ends] = True
+        begin = np.arange(0, count, LANE)
+        state, out = np.zeros(len(begin), dtype=np.int64), np.zeros(count)
+        for k in range(-early, min(LANE, count)):
+            at = begin + k
+            a, b = int(np.searchsorted(at, 0)), int(np.searchsorted(at, count))
+            at = at[a:b]
+            moved, weight = self.step(np.where(first[at], 0, state[a:b]), token[at])
+            state[a:b] = moved
+            if k >= 0:
+                out[at] = weight
+        return out
 
-    return run
+
+NAMES = {"doc_id": pa.int64(), "learn": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def _score(order: int, total: int, distinct: int):
+def _score(order: int, total: int, distinct: int, mass: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        given = [np.asarray(right.column(c).cast(pa.float64()).fill_null(v)) for c, v in (("n", 0.0), ("weight", np.nan), ("back", 0.0))]
-        table = Table(np.asarray(right.column("key")), *given)
+        if not left.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in NAMES.items()})
+        told = np.asarray(right.column("key"), dtype=np.int64).view(np.uint64)
+        sums, by = np.asarray(right.column("total"), dtype=np.int64), np.argsort(told)
+        told, sums = told[by], sums[by]
+        levels = []
+        for key, context, suffix, own in counted(_pieces(left), order):
+            at = _at(told, key)
+            levels.append((key, context, suffix, np.where(at >= 0, sums[at] if len(sums) else 0, own)))
+        automaton, words, counts = Automaton(levels, total, distinct, mass), levels[0][0], levels[0][-1]
+        base = np.log10((counts + 1) / (total + distinct + 1))
         parts = []
-        for batch in slices(iter(left.combine_chunks().to_batches())):
-            f, ends = _flat([words(t) for t in texts(batch)])
-            starts = np.concatenate([[0], ends[:-1]])
-            out, back = None, None
-            for n, keys, inside in _levels(f, ends, order):
-                counts, weight, nexts = table(keys, 0.0, np.nan, 0.0)
-                if out is None:
-                    known, base = counts > 0, np.log10((counts + 1) / (total + distinct + 1))
-                    # what the traversal has collected where only shorter contexts are left; longer arcs replace it
-                    out = base.copy()
-                else:
-                    at = np.flatnonzero(inside)
-                    out[at + n - 1] = np.where(np.isnan(weight[at]), out[at + n - 1] + back[at], weight[at])
-                back = nexts
-            made = [ends - starts, np.add.reduceat(known.astype(np.int64), starts), np.full(len(starts), total), np.add.reduceat(base, starts), np.add.reduceat(out, starts)]
+        for batch in _pieces(left):
+            token, ends = tokens(texts(batch))
+            starts, at = np.concatenate([[0], ends[:-1]]), _at(words, token)
+            made = [ends - starts, np.add.reduceat((counts[at] > 0).astype(np.int64), starts), np.full(len(starts), total), np.add.reduceat(base[at], starts), np.add.reduceat(automaton.weights(token, ends), starts)]
             parts.append(pa.Table.from_arrays([batch.column("doc_id"), batch.column("learn"), *map(pa.array, made)], names=list(NAMES)))
-        return pa.concat_tables(parts) if parts else pa.table({k: pa.array([], t) for k, t in NAMES.items()})
+        del levels, automaton, told, sums
+        release()
+        return pa.concat_tables(parts)
 
     return run
 
 
-NAMES = {"doc_id": pa.int64(), "learn": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each slice, with their counts."""
+    for batch in slices(batches):
+        key, n = np.unique(tokens(texts(batch))[0], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(n)], ["key", "n"])
+    release()
 
 
-def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, share: float = 0.0, discount: float = 0.6) -> DataFrame:
+def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", order: int = 2, mass: float = 8.0) -> DataFrame:
     """doc_id, learn, n_tokens, n_known, train_tokens, base_score and score of each row's whole text."""
-    spark = docs.sparkSession
-    n = partitions(spark)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), learn.alias("learn"))
-    training = rows.filter("learn")
-    counted = word_counts(training)
-    total, distinct, automaton = build(training, counted, order, share, discount)
+    if not 1 <= order <= 7:
+        raise ValueError("an order from 1 to 7")
+    n = BUCKETS * partitions(docs.sparkSession)
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), learn.alias("learn"))
+    counts = rows.filter("learn").select("text").mapInArrow(_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    total, distinct = (int(x or 0) for x in counts.agg(F.sum("n"), F.count("*")).first())
+    # rows without an id are told apart by their text, so that they do not meet in one bucket
+    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("int")).repartition(n, "bucket")
     # both uses take placed as it is, so that Spark shuffles the texts once and uses them again
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "bucket")
-    known = placed.mapInArrow(_asked(order), "bucket int, key long").join(automaton, "key")
+    told = placed.groupBy("bucket").applyInArrow(_tell(order), "key long, bucket int, n int")
+    answers = told.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).filter("total != n").select("bucket", "key", "total")
     schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(_score(order, total, distinct), schema)
+    return placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order, total, distinct, mass), schema)
