@@ -6,9 +6,17 @@ Windows widen step by step (virtual rehashing: nothing is hashed again), and a v
 is verified exactly, once. A query ends when its windows are so wide, against the distance of its k-th best, that a
 nearer vector would pass the threshold almost surely, or when all vectors are verified. There is no cap on candidates.
 
-Vectors are dealt by a hash of their id to shards of about `shard_rows`, and queries to blocks of at most `block_rows`;
-each (shard, block) is one task's group of bounded size, and every vector is indexed. Directions are drawn from a seed
-and depend on nothing else. Equal vectors spread over the shards like others.
+Where the work goes:
+
+1. Space is cut into cells: quartiles of the projections on g further directions, where g follows the number of vectors, so
+   that a cell has about `shard_rows`. A larger cell is split by a hash of the id; every vector is indexed.
+2. A query is searched in its own cell. The distance of its k-th best there bounds what can still matter.
+3. With that bound it goes to the cells whose ranges of projections lie within CELL_REACH times the bound of its own, and
+   opens its windows there at once. Each further direction rules out a share of the cells, so the share that a query
+   meets falls as vectors grow. Without k vectors in its own cell it goes to all cells.
+
+Queries of a cell come in blocks of at most about `block_rows`, so a group has a bounded size. Equal vectors lie in one
+cell; of those only the k + 1 smallest ids are indexed, as no query can have more of them among its k nearest.
 
 Defined cases: rows with a null id, or a vector that is null, empty, zero or has a null or non-finite component take no
 part; candidates are vectors of the query's length; of rows with equal ids the smallest vector counts; fewer candidates
@@ -17,13 +25,27 @@ than k: all of them; ties go to the smaller id; no vectors or queries: no rows.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Width of a window, in units of a distance, within which four of five projections of that distance fall.
-REACH = 1.2816
+from lorespark.llm.common import release
+from lorespark.operators.tables import written
+
+#: Width of a window, in units of a distance, within which two of three projections of that distance fall.
+REACH = 1.0
+#: The same for 99 of 100 projections: how far a cell may lie from a query.
+CELL_REACH = 2.576
+#: Rounding of projections.
+ROUNDING = 1e-9
+#: Parts that each direction of the cells is cut into.
+PARTS = 4
+#: Queries whose cosines are computed together, and decimals in which cosines are compared.
+TOGETHER, DECIMALS = 32, 12
+SEED = 11
 
 
 def directions(dim: int, n: int, seed: int) -> np.ndarray:
@@ -31,69 +53,182 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
 
 
 class CollisionIndex:
-    """Sorted projections of one shard."""
+    """Sorted projections of the vectors of one group (65,535 at most).
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, arrays: int = 32, threshold: float = 0.6, widen: float = 1.3, seed: int = 11) -> None:
+    A window is a range of ranks in a sorted array, so a vector's collisions are the arrays in which its rank is in the
+    window. All arrays are tested at once; widening a window only moves its two ranks.
+    """
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, arrays: int = 16, threshold: float = 0.5, widen: float = 1.4, seed: int = SEED) -> None:
         self.ids, self.vectors, self.widen = ids, vectors, widen
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
         self.least = int(np.ceil(threshold * arrays))
         self.directions = directions(vectors.shape[1], arrays, seed)
-        at = (vectors / self.norms[:, None]) @ self.directions.T
-        self.order = np.argsort(at, axis=0, kind="stable").T.copy()
-        self.sorted = np.take_along_axis(at.T, self.order, axis=1)
-
-    def nearest(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and cosines of the k nearest found, best first; ties to the smaller id. own: the query's id, left out."""
-        n, size = len(self.ids), np.sqrt((query * query).sum())
-        centre = (query / size) @ self.directions.T
-        counts = np.zeros(n, dtype=np.int64)
-        verified = self.ids == own
-        best_ids, best = np.empty(0, dtype=np.int64), np.empty(0)
-        low = np.array([np.searchsorted(s, c) for s, c in zip(self.sorted, centre, strict=True)])
-        high, reach = low.copy(), 0.1
-        while True:
-            new_low = [np.searchsorted(s, c - reach, side="left") for s, c in zip(self.sorted, centre, strict=True)]
-            new_high = [np.searchsorted(s, c + reach, side="right") for s, c in zip(self.sorted, centre, strict=True)]
-            parts = []
-            for o, a, b, c, d in zip(self.order, new_low, low, high, new_high, strict=True):
-                parts += [o[a:b], o[c:d]]
-            low, high = new_low, new_high
-            counts += np.bincount(np.concatenate(parts), minlength=n)
-            pick = np.flatnonzero((counts >= self.least) & ~verified)
-            if len(pick):
-                verified[pick] = True
-                cosine = (self.vectors[pick] * query).sum(axis=1) / (self.norms[pick] * size)
-                best, best_ids = np.concatenate([best, cosine]), np.concatenate([best_ids, self.ids[pick]])
-                first = np.lexsort((best_ids, -best))[:k]
-                best, best_ids = best[first], best_ids[first]
-            # windows as wide as REACH times the k-th distance: a nearer vector collides in four of five arrays
-            if len(best) >= k and reach >= REACH * np.sqrt(max(0.0, 2 - 2 * best[k - 1])) or verified.all():
-                return best_ids, best
-            reach *= self.widen
-
-
-def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, block_rows: int = 4096, **index: float) -> DataFrame:
+        at = ((vectors / self.norms[:, None]) @ self.directions.T).T
+        order = np.argsort(at, axis=1, kind="stable")
+        self.sorted = np.take_along_axis(at, order, axis=1)
+        self.ranks = np.empty(at.shape, dtype=np.uint16)
+        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+
+    def colliding(self, centre: np.ndarray, reach: float) -> np.ndarray:
+        """The vectors that are in enough of the windows of centre +- reach."""
+        low = np.array([s.searchsorted(c - reach, side="left") for s, c in zip(self.sorted, centre, strict=True)])
+        high = np.array([s.searchsorted(c + reach, side="right") for s, c in zip(self.sorted, centre, strict=True)])
+        # numbers wrap, so ranks under the window are beyond its width, too; a window of all has no other ranks
+        inside = self.ranks - low.astype(np.uint16)[:, None] < (high - low).astype(np.uint16)[:, None]
+        return np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint8) >= self.least)
+
+    def nearest(self, own: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query's row, id and cosine of the k nearest found of each query. own: ids that the queries must not find; bound: distance (of unit vectors) beyond which nothing matters, NaN: unknown."""
+        size = np.sqrt((queries * queries).sum(axis=1))
+        centre = (queries / size[:, None]) @ self.directions.T
+        # cosines of one block at once; only those of colliding vectors are looked at
+        cosines = np.round((queries @ self.vectors.T) / (size[:, None] * self.norms), DECIMALS)
+        out = []
+        for q in range(len(queries)):
+            reach = 0.1 if np.isnan(bound[q]) else REACH * bound[q] + ROUNDING
+            others = len(self.ids) - np.count_nonzero(self.ids == own[q])
+            while True:
+                found = self.colliding(centre[q], reach)
+                found = found[self.ids[found] != own[q]]
+                c = cosines[q, found]
+                least = np.partition(c, len(c) - k)[len(c) - k] if len(c) >= k else -2.0
+                # windows as wide as REACH times the k-th distance: a nearer vector collides in two of three arrays
+                if not np.isnan(bound[q]) or len(found) == others or len(c) >= k and reach >= REACH * np.sqrt(max(0.0, 2 - 2 * least)):
+                    break
+                reach *= self.widen
+            best = found[c >= least]
+            best = best[np.lexsort((self.ids[best], -cosines[q, best]))[:k]]
+            exact = (self.vectors[best] * queries[q]).sum(axis=1) / (self.norms[best] * size[q])
+            out.append((np.full(len(best), q), self.ids[best], exact))
+        return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks()
+    return np.asarray(whole.flatten(), dtype=np.float64).reshape(len(whole), -1)
+
+
+def _search(k: int, index: dict):
+    def run(have: pa.Table, ask: pa.Table) -> pa.Table:
+        parts = []
+        if have.num_rows and ask.num_rows:
+            at = CollisionIndex(np.asarray(have.column("id")), _matrix(have.column("v")), **index)
+            ids, vectors, bound = np.asarray(ask.column("id")), _matrix(ask.column("v")), np.asarray(ask.column("bound").fill_null(np.nan), dtype=np.float64)
+            for a in range(0, len(ids), TOGETHER):
+                part = slice(a, a + TOGETHER)
+                row, found, cosine = at.nearest(ids[part], vectors[part], bound[part], k)
+                parts.append((ids[part][row], found, cosine))
+            del at, vectors
+            release()
+        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[], [], []]
+        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _projected(g: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = np.asarray(b.column("dim"))
+            for d in np.unique(dims).tolist():
+                part = b.filter(pa.array(dims == d))
+                v = np.asarray(part.column("v").flatten(), dtype=np.float64).reshape(-1, d)
+                at = (v / np.sqrt((v * v).sum(axis=1, keepdims=True))) @ directions(d, g, SEED + 1).T
+                yield pa.RecordBatch.from_arrays([part.column("dim"), part.column("id"), part.column("v"), pa.FixedSizeListArray.from_arrays(pa.array(at.ravel()), g).cast(pa.list_(pa.float64()))], ["dim", "id", "v", "at"])
+
+    return run
+
+
+def _digits(at: np.ndarray, cuts: np.ndarray, side: str = "right") -> np.ndarray:
+    """In which part of each direction the projections lie."""
+    return np.stack([np.searchsorted(c, x, side=side) for c, x in zip(cuts, at.T, strict=True)], axis=1)
+
+
+def _cells(cuts: dict[int, np.ndarray], g: int):
+    """Rows with the cell they are in."""
+    weights = PARTS ** np.arange(g, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims, cell = np.asarray(b.column("dim")), np.zeros(b.num_rows, dtype=np.int64)
+            if b.num_rows:
+                at = np.asarray(b.column("at").flatten()).reshape(-1, g)
+                for d in np.unique(dims).tolist():
+                    cell[dims == d] = _digits(at[dims == d], cuts[d]) @ weights
+            yield pa.RecordBatch.from_arrays([b.column("dim"), pa.array(cell), b.column("id"), b.column("v"), b.column("at")], ["dim", "cell", "id", "v", "at"])
+
+    return run
+
+
+def _reached(cuts: dict[int, np.ndarray], g: int):
+    """A row for each other cell that a query may reach; cells that are not there fall out in the join that follows."""
+    weights = PARTS ** np.arange(g, dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            at, own = np.asarray(b.column("at").flatten()).reshape(-1, g), np.asarray(b.column("cell"))
+            bound = np.asarray(b.column("bound").fill_null(np.inf), dtype=np.float64)[:, None] * CELL_REACH + ROUNDING
+            row, cells = [], []
+            for r, d in enumerate(np.asarray(b.column("dim")).tolist()):
+                low, high = _digits(at[r : r + 1] - bound[r], cuts[d], "left")[0], _digits(at[r : r + 1] + bound[r], cuts[d])[0]
+                found = np.zeros(1, dtype=np.int64)
+                for j in range(g):
+                    found = (found[:, None] + weights[j] * np.arange(low[j], high[j] + 1)).ravel()
+                found = found[found != own[r]]
+                cells.append(found)
+                row.append(np.full(len(found), r))
+            pick = np.concatenate(row)
+            for a in range(0, len(pick), 1 << 14):
+                part = b.select(["dim", "id", "v", "bound"]).take(pa.array(pick[a : a + (1 << 14)]))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.concatenate(cells)[a : a + (1 << 14)])], ["dim", "id", "v", "bound", "cell"])
+
+    return run
+
+
+def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, block_rows: int = 1024, **index: float) -> DataFrame:
     """query_id, rank (from 1), vec_id and score (cosine). is_query: a condition on the column `id`."""
-    v = F.col("v")
+    v, key = F.col("v"), ["dim", "cell"]
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     rows = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
-    rows = rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
-    count, asked = rows.agg(F.count("*"), F.count_if(is_query)).first()
-    shards, blocks = max(1, -(-count // shard_rows)), max(1, -(-asked // block_rows))
-    left = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.filter(is_query).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-    key = ["dim", "shard", "block"]
-    left, right = (x.select(F.col("dim"), F.col("shard").cast("long"), F.col("block").cast("long"), "id", "v") for x in (left, right))
-
-    def search(have: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(have) and len(ask):
-            at = CollisionIndex(have["id"].to_numpy(np.int64), np.stack(have["v"].to_list()).astype(np.float64), **index)
-            for own, q in zip(ask["id"], ask["v"], strict=True):
-                ids, cosines = at.nearest(own, np.asarray(q, dtype=np.float64), k)
-                out += [(own, i, c) for i, c in zip(ids.tolist(), cosines.tolist(), strict=True)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = written(rows.groupBy("id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v")))
+    copies = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    have, asked = rows.withColumn("copy", copies).filter(F.col("copy") <= k + 1).drop("copy"), rows.filter(is_query)
+    count, g = rows.count(), 1
+    while PARTS**g * shard_rows < count:
+        g += 1
+    shape = "dim int, id long, v array<double>, at array<double>"
+    have, asked = (x.select("dim", "id", "v").mapInArrow(_projected(g), shape) for x in (have, asked))
+    have = written(have)
+    fractions = [p / PARTS for p in range(1, PARTS)]
+    # a few numbers for each length of vectors
+    made = have.groupBy("dim").agg(*(F.percentile_approx(F.col("at")[j], fractions, 1000).alias(f"c{j}") for j in range(g))).collect()
+    cuts = {r["dim"]: np.array([r[f"c{j}"] for j in range(g)]) for r in made}
+    if count <= shard_rows:
+        cuts = {d: np.full((g, PARTS - 1), np.inf) for d in cuts}  # one cell
+    shape = "dim int, cell long, id long, v array<double>, at array<double>"
+    have, asked = have.mapInArrow(_cells(cuts, g), shape), written(asked.mapInArrow(_cells(cuts, g), shape))
+    sizes = written(have.groupBy(*key).agg(F.ceil(F.count("*") / shard_rows).alias("subs")))
+
+    def searched(ask: DataFrame) -> DataFrame:
+        ask = ask.join(sizes, key)
+        blocks = ask.groupBy(*key).agg(F.ceil(F.count("*") / block_rows).alias("blocks"), F.first("subs").alias("subs"))
+        left = have.join(blocks, key).withColumn("sub", F.pmod(F.xxhash64("id"), "subs")).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        right = ask.join(blocks.drop("subs"), key).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
+        by = [*key, "sub", "block"]
+        left, right = left.select(*by, "id", "v"), right.select(*by, "id", "v", "bound")
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k, index), "query_id long, vec_id long, score double")
+        return written(ranked(found))
+
+    def ranked(found: DataFrame) -> DataFrame:
+        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    near = searched(asked.select("dim", "cell", "id", "v", F.lit(None).cast("double").alias("bound")))
+    if count <= shard_rows:
+        return near
+    bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("bound"))
+    further = asked.join(bound, "id", "left").select("dim", "cell", "id", "v", "at", "bound").mapInArrow(_reached(cuts, g), "dim int, id long, v array<double>, bound double, cell long")
+    return ranked(near.drop("rank").union(searched(further).drop("rank")))

@@ -33,6 +33,19 @@ def test_recall_and_scores(spark, sf):
     assert hit >= 0.95 * 5 * len(queries)
 
 
+def test_recall_across_cells(spark):
+    """With shards of 100, 2000 vectors lie in 64 cells: near groups, which let most cells be left out, and scattered vectors."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 24))
+    x = np.concatenate([centres[rng.integers(40, size=1500)] + 0.1 * rng.standard_normal((1500, 24)), rng.standard_normal((500, 24))])
+    ids = rng.permutation(2000)
+    df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("id") % 50 == 0, 5, shard_rows=100, block_rows=7).toPandas()
+    hit = sum(len(set(exact(ids, x, x[ids == own][0], own, 5)[0]) & set(out[out.query_id == own].vec_id)) for own in ids[ids % 50 == 0])
+    print("recall", hit / 200)
+    assert len(out) == 200 and hit >= 190
+
+
 def test_cases(spark):
     rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [3.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [float("nan"), 1.0]), (6, [None, 1.0]), (None, [1.0, 0.0]), (7, [1.0, 1.0, 1.0]), (8, []), (9, [-1.0, 0.0]), (1, [2.0, 0.0]), (10, [float("inf"), 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("id", F.lit("x"))
