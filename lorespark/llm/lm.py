@@ -11,13 +11,14 @@ Smoothing is hierarchical (Dirichlet): p(w | c) = (count(c w) + mass * p(w | c')
 without its first token. So an arc weighs log10 p(w | c), a failure arc log10 (mass / (count(c) + mass)), and the
 probabilities of each state sum to 1.
 
-What is kept where: texts lie in small buckets by a hash of the id. A bucket tells each of its distinct n-grams once, with
-its own count; a bucket is told the count over all buckets where that differs from its own. So a very frequent n-gram
-costs one row a bucket, one that no other bucket has one row in all, and no count passes the driver or a broadcast. Only
-the numbers of tokens and of distinct tokens reach the driver. A bucket then builds that part of the automaton that its
-texts can reach, and its texts run through it side by side. What is gathered grows with the input; nothing is pruned.
+What is kept where: texts lie in small buckets by a hash of the id, n-grams in parts by their keys. A bucket tells each part
+once which of its n-grams it has and how often: a sorted list of keys, kept as differences. The part adds them up and
+sends back the sums, in the same order, so an n-gram costs a bucket a few bytes, whatever its number of occurrences, and no
+count passes the driver or a broadcast. Only the numbers of tokens and of distinct tokens reach the driver. A bucket then
+builds that part of the automaton that its texts can reach, and its texts run through it side by side. What is gathered
+grows with the input; nothing is pruned.
 
-Words and n-grams are told apart by 64-bit hashes (61 bits and the number of tokens).
+Words and n-grams are told apart by 53 bits of a hash, and by the number of tokens.
 
 Defined cases: a null text is empty: it has the end token only; a null id is never held out; no training text: every
 token has probability 1 / (V + 1) with V = 0; equal texts get equal scores, ids may repeat; further columns are ignored.
@@ -29,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import FACTOR, mixed, partitions, release, scanned, slices, texts
 
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-#: The end token's hash; the bits of a key that hold its number of tokens.
-END, LEVEL = np.uint64(0x5851F42D4C957F2D), np.uint64(7)
-#: Buckets for each of the session's shuffle partitions: small groups, as a task holds one whole.
+#: The end token's hash.
+END = np.uint64(0x5851F42D4C957F2D)
+#: Buckets, and parts, for each of the session's shuffle partitions: small groups, as a task holds one whole.
 BUCKETS = 4
 #: Tokens of a lane: lanes are traversed side by side.
 LANE = 512
@@ -45,7 +46,12 @@ LANE = 512
 
 def joined(context: np.ndarray, token: np.ndarray, n: int) -> np.ndarray:
     """Keys of n-grams from those of their first n - 1 tokens and of their last one."""
-    return mixed(context * np.uint64(FACTOR) + token) & ~LEVEL | np.uint64(n)
+    return keyed(mixed(context * np.uint64(FACTOR) + token), n)
+
+
+def keyed(h: np.ndarray, n: int) -> np.ndarray:
+    """53 bits of a hash, and the number of tokens in the lowest three of 56."""
+    return h >> np.uint64(11) << np.uint64(3) | np.uint64(n)
 
 
 def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +60,7 @@ def tokens(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum(np.bincount(row, minlength=len(rows)) + 1)
     out = np.full(int(ends[-1]) if len(rows) else 0, END, dtype=np.uint64)
     out[np.arange(len(h)) + row] = h
-    return out & ~LEVEL | np.uint64(1), ends
+    return keyed(out, 1), ends
 
 
 def grams(token: np.ndarray, ends: np.ndarray, order: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -91,18 +97,68 @@ def _pieces(t: pa.Table) -> Iterator[pa.RecordBatch]:
     return slices(iter(t.to_batches()))
 
 
-def _tell(order: int):
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Numbers as bytes, (numbers, bytes that the largest one needs)."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _wide(b: bytes, count: int) -> np.ndarray:
+    """The numbers again."""
+    out = np.zeros((count, 8), dtype=np.uint8)
+    narrow = np.frombuffer(b, dtype=np.uint8).reshape(count, -1)
+    out[:, : narrow.shape[1]] = narrow
+    return out.view("<u8")[:, 0]
+
+
+def _cut(x: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Numbers in binary lists that begin at starts."""
+    b = _narrow(x)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer((np.append(starts, len(x)) * b.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(b))])
+
+
+def _dealt(key: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Order of the keys by part, then by key; where each part begins; its number; and what the keys in it are divided to."""
+    part, rest = key % np.uint64(parts), key // np.uint64(parts)
+    order = np.lexsort((rest, part))
+    part = part[order].astype(np.int32)
+    starts = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.empty(0, dtype=np.int64)
+    return order, starts, part[starts], rest[order]
+
+
+TOLD = "part int, bucket int, size int, keys binary, counts binary"
+
+
+def _tell(order: int, parts: int):
     def run(t: pa.Table) -> pa.Table:
         bucket = t.column("bucket")[0].as_py()
         levels = counted(_pieces(t), order)
         key, n = np.concatenate([x[0] for x in levels]), np.concatenate([x[-1] for x in levels])
-        del levels
+        by, starts, part, rest = _dealt(key, parts)
+        steps = np.diff(rest, prepend=np.uint64(0))
+        steps[starts] = rest[starts]
+        sizes = np.diff(np.append(starts, len(rest)))
+        made = [pa.array(part), pa.array(np.full(len(part), bucket, dtype=np.int32)), pa.array(sizes.astype(np.int32)), _cut(steps, starts), _cut(n[by], starts)]
+        del levels, key, n, by, rest, steps
         release()
-        return pa.table({"key": pa.array(key.view(np.int64)), "bucket": pa.array(np.full(len(key), bucket, dtype=np.int32)), "n": pa.array(n.astype(np.int32))})
+        return pa.table(made, names=["part", "bucket", "size", "keys", "counts"])
 
     return run
 
 
+def _sum(t: pa.Table) -> pa.Table:
+    """What each bucket has told a part, with the sums over all buckets in place of its own counts."""
+    sizes = np.asarray(t.column("size"), dtype=np.int64)
+    rows = list(zip(t.column("keys").to_pylist(), t.column("counts").to_pylist(), sizes.tolist(), strict=True))
+    keys = np.concatenate([np.cumsum(_wide(k, n), dtype=np.uint64) for k, _, n in rows])
+    counts = np.concatenate([_wide(c, n) for _, c, n in rows])
+    _, at = np.unique(keys, return_inverse=True)
+    sums = np.bincount(at, weights=counts).astype(np.int64)[at]
+    ends = np.cumsum(sizes)
+    packed = [_narrow(sums[e - n : e]).tobytes() for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    return pa.table([t.column("bucket"), t.column("part"), t.column("size"), pa.array(packed, pa.binary())], names=["bucket", "part", "size", "sums"])
+
+
 def _at(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     """Where each wanted key is in keys (sorted); -1: nowhere."""
     if not len(keys):
@@ -184,28 +240,28 @@ class Automaton:
 NAMES = {"doc_id": pa.int64(), "learn": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
 
 
-def _score(order: int, total: int, distinct: int, mass: float):
+def _score(order: int, total: int, distinct: int, mass: float, parts: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({k: pa.array([], t) for k, t in NAMES.items()})
-        told = np.asarray(right.column("key"), dtype=np.int64).view(np.uint64)
-        sums, by = np.asarray(right.column("total"), dtype=np.int64), np.argsort(told)
-        told, sums = told[by], sums[by]
-        levels = []
-        for key, context, suffix, own in counted(_pieces(left), order):
-            at = _at(told, key)
-            levels.append((key, context, suffix, np.where(at >= 0, sums[at] if len(sums) else 0, own)))
+        levels = counted(_pieces(left), order)
+        right = right.sort_by("part")
+        sums = np.concatenate([_wide(x, n) for x, n in zip(right.column("sums").to_pylist(), right.column("size").to_pylist(), strict=True)]).astype(np.int64)
+        everywhere = np.empty_like(sums)
+        everywhere[_dealt(np.concatenate([x[0] for x in levels]), parts)[0]] = sums
+        borders = np.cumsum([len(x[0]) for x in levels])[:-1]
+        levels = [(*x[:-1], n) for x, n in zip(levels, np.split(everywhere, borders), strict=True)]
         automaton, words, counts = Automaton(levels, total, distinct, mass), levels[0][0], levels[0][-1]
         base = np.log10((counts + 1) / (total + distinct + 1))
-        parts = []
+        out = []
         for batch in _pieces(left):
             token, ends = tokens(texts(batch))
             starts, at = np.concatenate([[0], ends[:-1]]), _at(words, token)
             made = [ends - starts, np.add.reduceat((counts[at] > 0).astype(np.int64), starts), np.full(len(starts), total), np.add.reduceat(base[at], starts), np.add.reduceat(automaton.weights(token, ends), starts)]
-            parts.append(pa.Table.from_arrays([batch.column("doc_id"), batch.column("learn"), *map(pa.array, made)], names=list(NAMES)))
-        del levels, automaton, told, sums
+            out.append(pa.Table.from_arrays([batch.column("doc_id"), batch.column("learn"), *map(pa.array, made)], names=list(NAMES)))
+        del levels, automaton, sums, everywhere
         release()
-        return pa.concat_tables(parts)
+        return pa.concat_tables(out)
 
     return run
 
@@ -230,7 +286,7 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     # rows without an id are told apart by their text, so that they do not meet in one bucket
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("int")).repartition(n, "bucket")
     # both uses take placed as it is, so that Spark shuffles the texts once and uses them again
-    told = placed.groupBy("bucket").applyInArrow(_tell(order), "key long, bucket int, n int")
-    answers = told.withColumn("total", F.sum("n").over(Window.partitionBy("key"))).filter("total != n").select("bucket", "key", "total")
+    told = placed.groupBy("bucket").applyInArrow(_tell(order, n), TOLD)
+    answers = told.groupBy("part").applyInArrow(_sum, "bucket int, part int, size int, sums binary")
     schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order, total, distinct, mass), schema)
+    return placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order, total, distinct, mass, n), schema)
