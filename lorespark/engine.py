@@ -1,30 +1,36 @@
-"""The library as one object: ingest, query, lint, refresh, catalogue and graph analytics over versioned tables."""
+"""The library as one object: ingest, query, lint, refresh, catalogue and graph analytics over the tables of a store."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 from lorespark.functions import vectors as V
 from lorespark.operators import catalog, chunks, graph, ledger, lint, refresh, retrieval, trees
+from lorespark.operators.tables import union_all, written
 from lorespark.sources import files, sinks
-from lorespark.sources.sinks import VersionedTable
 
 FINGERPRINT = {"txt": "txt:v1:", "md": "md:v1:", "docx": "docx:v1:", "xlsx": "xlsx:v1:", "pptx": "pptx:v1:"}
-TABLES = ("sources", "wiki_pages", "chunks", "vectors", "tree_nodes", "graph_nodes", "graph_edges")
+#: Tables, and the column that names a row's document.
+TABLES = {"sources": "relpath", "wiki_pages": "source_relpath", "chunks": "relpath", "vectors": "relpath", "tree_nodes": "relpath", "graph_nodes": "source_relpath", "graph_edges": "source_relpath"}
 
 
 class Engine:
-    """A knowledge base under one folder. Tables are replaced as whole versions, after all of them are computed."""
+    """A knowledge base under one folder. An ingest writes the rows of the documents it changes, in one commit for all tables."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.tables = {t: VersionedTable(spark, f"{self.root}/{t}") for t in TABLES}
+        self.store = sinks.Store(spark, f"{self.root}/store", TABLES)
+        self.index = sinks.VersionedTable(spark, f"{self.root}/index")
+        self.graph_runs = {t: sinks.VersionedTable(spark, f"{self.root}/graphify/{t}") for t in ("nodes", "edges", "communities")}
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.tables[name].read()
+            return self.store.read(name)
         raise AttributeError(name)
 
     def scan(self, path: str) -> DataFrame:
@@ -36,76 +42,206 @@ class Engine:
         return found.withColumns({"parser_fingerprint": f, "issue": known})
 
     def _manifest(self) -> DataFrame:
-        if self.tables["sources"].exists():
-            return self.sources
-        return self.spark.createDataFrame([], "relpath string, format string, sha256 string, parser_fingerprint string, size_bytes long, wiki_pages array<string>, vector_ids array<string>")
+        """Sources that came from files; pages written back have none."""
+        if self.store.exists():
+            return self.sources.filter("format != 'writeback'")
+        return self.spark.createDataFrame([], "relpath string, format string, sha256 string, parser_fingerprint string, size_bytes long, wiki_pages array<string>, vector_ids array<string>, graph_nodes array<string>, graph_edges array<string>, page_tree long, body_length int, root string")
 
     def ingest(self, path: str, prune: bool = False) -> DataFrame:
-        """Ingests new and changed files; relpath and status of every file. Files that did not change are not parsed again."""
-        found = self.scan(path)
-        old = self._manifest()
-        status = refresh.ingest_status(found, old, prune)
+        """Ingests new and changed files; relpath and status of every file. Files that did not change are not parsed again; one that can't be parsed is failed, and an empty one skipped."""
+        after = self.store.latest()
+        found, old = self.scan(path), self._manifest()
+        status = written(refresh.ingest_status(found, old, prune))
         todo = found.join(status.filter("status in ('created', 'updated')").select("relpath"), "relpath", "left_semi")
+        segments = written(files.read_office(todo))
+        broken = segments.filter("kind = 'error'").select("relpath").distinct()
+        office = segments.join(broken, "relpath", "left_anti")
         plain = files.read_text(todo).select("relpath", "format", "title", T.normalize_text(F.col("body")).alias("body"))
-        segments = files.read_office(todo)
-        office = chunks.segments_to_body(segments.filter("kind != 'error'")).join(todo.select("relpath", "format"), "relpath")
-        parsed = plain.union(office.select("relpath", "format", files.title_of(F.col("relpath")).alias("title"), T.normalize_text(F.col("body")).alias("body"))).filter("body != ''")
-        parsed = parsed.withColumn("summary", T.summary(F.col("body")))
-        pages = sinks.wiki_pages(parsed)
-        cut = chunks.chunk_windows(parsed, "relpath", "body").withColumn("text", F.array_join("tokens", " "))
+        bodies = chunks.segments_to_body(office).join(todo.select("relpath", "format"), "relpath")
+        bodies = bodies.select("relpath", "format", files.title_of(F.col("relpath")).alias("title"), T.normalize_text(F.col("body")).alias("body"))
+        parsed = written(plain.union(bodies).filter("body != ''").withColumn("summary", T.summary(F.col("body"))))
+        pages = written(sinks.wiki_pages(parsed, self.wiki_pages.select("slug", "source_relpath") if after else None))
+        tree = written(self._tree(parsed))
         sha = todo.select("relpath", "sha256", "parser_fingerprint", F.col("length").alias("size_bytes"), "format")
-        pieces = cut.join(sha, "relpath").select(T.chunk_id(F.col("sha256"), F.concat_ws("|", "parser_fingerprint", "relpath"), F.col("chunk_idx")).alias("chunk_id"), "relpath", "chunk_idx", "text")
-        vectors = V.dense(V.hash_embedding(pieces, "chunk_id", "text"), "chunk_id").join(pieces.select("chunk_id", "relpath"), "chunk_id")
-        sections = trees.nest(trees.markdown_headings(parsed, "relpath", "body"))
-        flat = trees.single_root(parsed.join(sections.select("relpath").distinct(), "relpath", "left_anti"), "relpath", "title", "body")
-        nodes, edges = graph.document_graph(parsed, "relpath", "title", "body")
-        ids = pieces.groupBy("relpath").agg(F.array_sort(F.collect_list("chunk_id")).alias("vector_ids"))
-        entries = sha.join(pages.groupBy(F.col("source_relpath").alias("relpath")).agg(F.array_sort(F.collect_list("slug")).alias("wiki_pages")), "relpath").join(ids, "relpath", "left")
-        new = {"sources": (entries, "relpath"), "wiki_pages": (pages, "source_relpath"), "chunks": (pieces, "relpath"), "vectors": (vectors, "relpath"), "tree_nodes": (sections.unionByName(flat), "relpath"), "graph_nodes": (nodes, "source_relpath"), "graph_edges": (edges, "source_relpath")}
-        status = status.persist()
+        pieces = written(self._chunks(parsed, office, tree, sha))
+        nodes, edges = (written(x) for x in graph.document_graph(parsed, "relpath", "title", "body", tree))
+        ids = lambda rows, key, value, name: rows.groupBy(F.col(key).alias("relpath")).agg(F.array_sort(F.collect_set(value)).alias(name))  # noqa: E731  of one document
+        entries = sha.join(parsed.select("relpath", F.length("body").alias("body_length")), "relpath").withColumn("root", F.lit(path.rstrip("/")))
+        for part in (ids(pages, "source_relpath", "slug", "wiki_pages"), ids(pieces, "relpath", "chunk_id", "vector_ids"), ids(nodes, "source_relpath", "id", "graph_nodes"), ids(edges, "source_relpath", "id", "graph_edges"), tree.groupBy("relpath").agg(F.count("*").alias("page_tree"))):
+            entries = entries.join(part, "relpath", "left")
+        rows = {"sources": entries, "wiki_pages": pages, "chunks": pieces, "vectors": self._vectors(pieces), "tree_nodes": tree, "graph_nodes": nodes, "graph_edges": edges}
         gone = status.filter("status in ('updated', 'pruned')").select("relpath")
-        for name, (rows, key) in sorted(new.items(), key=lambda x: x[0] == "sources"):  # the manifest last, so a failed run is done again
-            t = self.tables[name]
-            kept = t.read().join(gone.select(F.col("relpath").alias(key)), key, "left_anti") if t.exists() else None
-            t.write(rows if kept is None else kept.unionByName(rows))
-        return status
-
-    def query(self, questions: DataFrame | str) -> DataFrame:
-        """answer, route, confidence, source and quote for each question (query_id, question), or for one."""
+        if not (parsed.isEmpty() and gone.isEmpty()):
+            self.store.commit(rows, gone, after)
+            self.rebuild_index()
+        empty = todo.select("relpath").join(broken, "relpath", "left_anti").join(parsed.select("relpath"), "relpath", "left_anti").select("relpath", F.lit("skipped").alias("now"))
+        now = broken.select("relpath", F.lit("failed").alias("now")).union(empty)
+        return status.join(now, "relpath", "left").select("relpath", F.coalesce("now", "status").alias("status"))
+
+    def _tree(self, parsed: DataFrame) -> DataFrame:
+        """Sections by format: headings of markdown and Word files, slides, sheets; one section for plain text and where there is none."""
+        heads = trees.markdown_headings(parsed.filter("format != 'txt'"), "relpath", "body").join(parsed.select("relpath", "format"), "relpath")
+        heads = heads.filter("format in ('md', 'docx') or level = 2")
+        heads = heads.withColumn("idx", F.row_number().over(Window.partitionBy("relpath").orderBy("start"))).drop("format")
+        sections = trees.nest(heads)
+        flat = trees.single_root(parsed.join(sections.select("relpath").distinct(), "relpath", "left_anti"), "relpath", "title", "body")
+        return sections.unionByName(flat)
+
+    def _chunks(self, parsed: DataFrame, office: DataFrame, tree: DataFrame, sha: DataFrame) -> DataFrame:
+        """chunk_id, relpath, chunk_idx, text, offset, tree_node_id, section_path, section_type and header of each chunk."""
+        text = parsed.filter("format in ('txt', 'md')")
+        cut = chunks.chunk_windows(text, "relpath", "body").withColumn("text", F.array_join("tokens", " ")).drop("tokens")
+        placed = cut.join(trees.chunk_offsets(cut, text), ["relpath", "chunk_idx"])
+        at = trees.sections_at(placed.select("relpath", "offset").distinct(), tree)
+        none = F.lit(None).cast("string")
+        one = placed.join(at, ["relpath", "offset"], "left").select("relpath", "chunk_idx", "text", "offset", F.col("node_id").alias("tree_node_id"), "section_path", none.alias("section_type"), none.alias("header"))
+        # chunks of segments know their heading, slide or sheet: the first section of that title
+        named = tree.groupBy("relpath", F.col("title").alias("named")).agg(F.min_by(F.struct("node_id", "section_path", "start_offset"), "preorder").alias("n"))
+        packed = chunks.segment_chunks(office).withColumn("named", F.regexp_replace(F.coalesce("header", "heading"), "^#+\\s*", ""))
+        root = tree.filter("preorder = 1").select("relpath", F.struct("node_id", "section_path", "start_offset").alias("first"))
+        two = packed.join(named, ["relpath", "named"], "left").join(root, "relpath").withColumn("n", F.coalesce("n", "first"))
+        two = two.select("relpath", "chunk_idx", "text", F.col("n.start_offset").alias("offset"), F.col("n.node_id").alias("tree_node_id"), F.col("n.section_path").alias("section_path"), "section_type", "header")
+        both = one.unionByName(two).join(sha.select("relpath", "sha256", "parser_fingerprint"), "relpath")
+        return both.withColumn("chunk_id", T.chunk_id(F.col("sha256"), F.concat_ws("|", "parser_fingerprint", "relpath"), F.col("chunk_idx"))).drop("sha256", "parser_fingerprint")
+
+    @staticmethod
+    def _vectors(pieces: DataFrame) -> DataFrame:
+        return V.embedded(pieces, "chunk_id", "text", "relpath")
+
+    def rebuild_index(self) -> None:
+        self.index.write(self.wiki_pages.select("slug", "title", "summary"))
+
+    def index_lines(self) -> DataFrame:
+        return sinks.index_lines(self.index.read())
+
+    def query(self, questions: DataFrame | str, writeback: str = "no", threshold: float = 0.75) -> DataFrame:
+        """answer, route, confidence, source, quote and section_path for each question (query_id, question), or for one. writeback: yes, auto (at the threshold) or no; then answers become pages, and `writeback` says which."""
         if isinstance(questions, str):
             questions = self.spark.createDataFrame([(0, questions)], "query_id long, question string")
+        out = written(retrieval.in_blocks(questions, self._answers))
+        if writeback == "no":
+            return out
+        gate = retrieval.writeback(out, writeback, threshold)
+        asked = out.join(questions, "query_id").filter("confidence > 0")
+        related = retrieval.related_pages(out.filter("source != ''").select("query_id", F.col("source").alias("relpath")), self.wiki_pages)
+        self._write_back(sinks.writeback_pages(asked, gate, related))
+        return out.join(gate.select("query_id", F.col("status").alias("writeback")), "query_id")
+
+    def _answers(self, questions: DataFrame) -> DataFrame:
         pages = self.wiki_pages
-        routed = retrieval.route(questions, retrieval.rule_table(self.spark))
+        routed = written(retrieval.route(questions, retrieval.rule_table(self.spark)))
         nodes = graph.merge_nodes(self.graph_nodes.withColumn("o", F.xxhash64("source_relpath", "label")), "o")
-        tree = trees.enrich(self.tree_nodes).withColumn("preorder", F.row_number().over(retrieval.Window.partitionBy("relpath").orderBy("start_offset", "node_id")))
+        tree = self.tree_nodes.withColumn("summary", F.concat(F.lit("Summary of: "), "title"))
         found = [
             retrieval.wiki_candidates(questions, pages, routed),
             retrieval.graph_candidates(questions, nodes, self.graph_edges, retrieval.keyword_table(self.spark)),
             retrieval.vector_candidates(questions, self.chunks, self.vectors),
             retrieval.tree_candidates(questions, tree),
         ]
-        return retrieval.answers(questions, retrieval.fuse(lint.every(found)), routed)
+        return retrieval.answers(questions, retrieval.fuse(union_all(found)), routed)
+
+    def _write_back(self, answers: DataFrame) -> None:
+        """Pages without a file: each is a document of its own, whose chunk can be found."""
+        after, old = self.store.latest(), self.wiki_pages.select("slug", "source_relpath")
+        rows = answers.withColumn("relpath", F.concat(F.lit("writeback/"), T.slug(F.col("title")))).dropDuplicates(["relpath"])
+        pages = written(sinks.wiki_pages(rows, old).withColumn("origin", F.lit("writeback")))
+        if pages.isEmpty():
+            return
+        source = pages.select(F.col("source_relpath").alias("relpath"), F.lit("writeback").alias("format"), F.sha2("body", 256).alias("sha256"), F.lit("*").alias("parser_fingerprint"), F.length("body").cast("long").alias("size_bytes"), F.array("slug").alias("wiki_pages"), F.length("body").alias("body_length"))
+        empty = {t: self.store.read(t).limit(0) for t in TABLES}
+        rows = empty | {"sources": empty["sources"].unionByName(source, allowMissingColumns=True), "wiki_pages": pages.select(empty["wiki_pages"].columns)}
+        self.store.commit(rows, after=after)
+        self.rebuild_index()
 
     def lint(self, path: str | None = None) -> DataFrame:
-        pages, sources = self.wiki_pages, self.sources
-        parts = [lint.check_wiki(pages, pages.select("slug")), lint.check_vectors(sources.filter("vector_ids is not null"), self.chunks)]
-        raw = self.scan(path).select("relpath") if path else sources.select("relpath")
-        return lint.every([*parts, lint.check_sources(sources, raw, pages)])
-
-    def refresh(self, path: str, prune: bool = False) -> DataFrame:
-        return refresh.plan(refresh.states(self.scan(path), self._manifest()), prune)
+        """Findings of all checks over the store. path: the raw files' folder, else those that were ingested."""
+        pages, sources = self.wiki_pages, self._manifest()
+        roots = [path] if path else [r["root"] for r in sources.select("root").distinct().collect()]  # as many as folders were ingested
+        raw = reduce(DataFrame.union, [self.scan(r).select("relpath") for r in roots]) if roots else sources.select("relpath")
+        current = F.lit(None).cast("string")
+        for k, v in FINGERPRINT.items():
+            current = F.when(F.col("format") == k, v).otherwise(current)
+        ingested = pages.filter("origin != 'writeback'")
+        tree = self.tree_nodes
+        nodes = graph.merge_nodes(self.graph_nodes.withColumn("o", F.xxhash64("source_relpath", "label")), "o")
+        parts = [
+            lint.check_wiki(pages, self.index.read()),
+            lint.check_sources(sources, raw.join(self._unreadable(roots), "relpath", "left_anti"), ingested),
+            lint.check_vectors(sources.filter("vector_ids is not null"), self.chunks),
+            lint.check_graph(sources.filter("graph_nodes is not null"), nodes, self.graph_edges),
+            lint.check_fingerprints(sources, current),
+            lint.check_trees(sources, tree.select("relpath").distinct().withColumn("corrupt", F.lit(None).cast("string")), tree, sources.select("relpath", F.col("body_length").alias("length"))),
+            lint.check_chunk_sections(self.chunks, tree),
+        ]
+        return union_all(parts)
+
+    def _unreadable(self, roots: list[str]) -> DataFrame:
+        """relpath of files that no ingest takes."""
+        parts = [self.scan(r).filter("issue is not null").select("relpath") for r in roots]
+        return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], "relpath string")
+
+    def fix(self, path: str | None = None, apply: bool = False) -> DataFrame:
+        """What lint's findings allow to mend (action, n, targets); with apply, the index is built anew and rows that no manifest entry has go."""
+        steps = written(lint.fix_plan(self.lint(path)))
+        if apply:
+            todo = {r["action"] for r in steps.select("action").distinct().collect()}  # a handful of kinds
+            if "rebuild_index" in todo:
+                self.rebuild_index()
+            if todo & {"prune_vectors", "prune_graph_nodes", "prune_graph_edges"}:
+                self._prune(steps)
+        return steps
+
+    def _prune(self, steps: DataFrame) -> None:
+        """Documents with rows to prune are written again without them."""
+        after, dropped = self.store.latest(), {}
+        for action, table, key in (("prune_vectors", "chunks", "chunk_id"), ("prune_vectors", "vectors", "chunk_id"), ("prune_graph_nodes", "graph_nodes", "id"), ("prune_graph_edges", "graph_edges", "id")):
+            dropped[table] = key, steps.filter(F.col("action") == action).select(F.explode("targets").alias(key))
+        touched = reduce(DataFrame.union, [self.store.read(t).join(gone, key, "left_semi").select(F.col(TABLES[t]).alias("relpath")) for t, (key, gone) in dropped.items()]).distinct()
+        touched = written(touched)
+        rows = {}
+        for table, doc in TABLES.items():
+            part = self.store.read(table).join(touched.select(F.col("relpath").alias(doc)), doc, "left_semi")
+            rows[table] = part.join(dropped[table][1], dropped[table][0], "left_anti") if table in dropped else part
+        self.store.commit(rows, touched, after)
+
+    def refresh(self, path: str, prune: bool = False, mode: str = "plan") -> DataFrame:
+        """The actions that bring the store up to date. mode: plan, or execute, which runs them and adds each one's kind of outcome; plans and runs are kept under the root."""
+        steps = refresh.plan(refresh.states(self.scan(path), self._manifest()), prune)
+        if mode != "execute":
+            return steps
+        steps, run = written(steps), uuid.uuid4().hex
+        steps.withColumn("run_id", F.lit(run)).write.mode("append").parquet(f"{self.root}/watch/plans")
+        # one ingest takes all new, changed and pruned files
+        done = refresh.execute(steps, {"prune": lambda _: None, "ingest": lambda _: None, "graphify_build": lambda _: self._refreshed(path, prune)}, "execute")
+        kinds = self.spark.createDataFrame([(k, v) for k, v in done.items() if not k.endswith("_error")], "kind string, outcome string")
+        out = steps.join(F.broadcast(kinds), "kind", "left").withColumn("outcome", F.coalesce("outcome", "status"))
+        out.withColumn("run_id", F.lit(run)).write.mode("append").parquet(f"{self.root}/watch/runs")
+        return out
+
+    def _refreshed(self, path: str, prune: bool) -> None:
+        self.ingest(path, prune)
+        self.graph_analytics(keep=True)
 
     def catalog(self, offset: int = 0, limit: int = 50) -> DataFrame:
         return catalog.page(self.sources, offset, limit)
 
+    def show(self, relpath: str) -> DataFrame:
+        """The manifest entry of one document."""
+        return self.sources.filter(F.col("relpath") == relpath)
+
     def extract(self) -> DataFrame:
         return catalog.extract(self.wiki_pages, "slug", "body")
 
-    def graph_analytics(self) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Nodes and edges of the unified graph, and its communities."""
+    def graph_analytics(self, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Nodes and edges of the unified graph, and its communities. keep: as the newest run under the root."""
         nodes = graph.merge_nodes(self.graph_nodes.withColumn("o", F.xxhash64("source_relpath", "label")), "o")
         n, e, _ = graph.unified(self.sources, self.wiki_pages, nodes, self.graph_edges)
-        return n, e, graph.community_summary(n, e, graph.communities(n, e))
+        n, e = written(n), written(e)
+        out = n, e, written(graph.community_summary(n, e, graph.communities(n, e)))
+        if keep:
+            for table, rows in zip(self.graph_runs.values(), out, strict=True):
+                table.write(rows)
+        return out
 
     def leases(self, events: DataFrame) -> DataFrame:
         return ledger.fold_leases(events)

@@ -2,36 +2,49 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import tokens
 
 DIMENSIONS = 128
-#: Query vectors that a task holds at once.
-BLOCK = 1024
+#: Query vectors, and vectors of the base, that a group holds at once; tokens whose buckets a task remembers.
+BLOCK, SHARD, MOST_KNOWN = 1024, 8192, 200_000
 
 
-def bucket(token: Column, dimensions: int = DIMENSIONS) -> Column:
-    """A bucket that every process gives alike."""
-    return (F.conv(F.substring(F.md5(token.cast("binary")), 1, 8), 16, 10).cast("long") % dimensions).cast("int")
+def _buckets(found: list[str], dimensions: int, known: dict[str, int]) -> list[int]:
+    """Buckets of tokens; known ones are looked up."""
+    for t in set(found).difference(known):
+        known[t] = int(hashlib.md5(t.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dimensions
+    return [known[t] for t in found]
 
 
-def hash_embedding(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, bucket and weight: token counts by bucket, scaled to length 1. Sparse: a bucket without tokens has no row."""
-    found = docs.select(id_col, F.explode(tokens(F.col(text_col))).alias("token")).groupBy(id_col, bucket(F.col("token")).alias("bucket")).agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(id_col)))
-    return found.select(id_col, "bucket", (F.col("n") / norm).alias("weight"))
+def embedded(docs: DataFrame, id_col: str, text_col: str, *more: str, dimensions: int = DIMENSIONS) -> DataFrame:
+    """id_col, further columns and vector: counts of a text's tokens by bucket, scaled to length 1; all 0 without tokens. Each text is embedded where it lies, with no shuffle; only its tokens and its vector pass between the JVM and Python."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            *kept, rows = batch.columns
+            sizes = np.asarray(pc.fill_null(pc.list_value_length(rows), 0), dtype=np.int64)
+            if len(known) > MOST_KNOWN:
+                known.clear()
+            at = np.array(_buckets(rows.flatten().to_pylist(), dimensions, known), dtype=np.int64)
+            counts = np.bincount(np.repeat(np.arange(len(sizes)) * dimensions, sizes) + at, minlength=len(sizes) * dimensions).reshape(-1, dimensions).astype(np.float64)
+            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            v = np.divide(counts, norm, out=counts, where=norm > 0)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dimensions), pa.array(v.ravel()))
+            yield pa.RecordBatch.from_arrays([*kept, lists], [*batch.schema.names[:-1], "vector"])
 
-def dense(sparse: DataFrame, id_col: str, dimensions: int = DIMENSIONS) -> DataFrame:
-    """id_col and vector from hash_embedding()."""
-    entries = F.map_from_entries(F.collect_list(F.struct("bucket", "weight")))
-    return sparse.groupBy(id_col).agg(entries.alias("m")).select(id_col, F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("vector"))
+    names = [id_col, *more]
+    shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
+    return docs.select(*names, tokens(F.col(text_col)).alias("__tokens")).mapInArrow(run, f"{shape}, vector array<double>")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -50,39 +63,62 @@ def top_k(scored: DataFrame, by: list[str], order: list[Column], k: int, rank: s
     return scored.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(rank) <= k)
 
 
+def _unit(x: np.ndarray) -> np.ndarray:
+    size = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, size, out=np.zeros_like(x), where=size > 0)
+
+
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    whole = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(whole.flatten(), dtype=np.float64).reshape(len(whole), -1)
+
+
+def _best(names: np.ndarray, queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query, id and similarity of the k nearest of each query among some vectors; ties to the smaller id."""
+    order = np.argsort(ids, kind="stable")
+    s = np.round(np.maximum(queries @ _unit(base[order]).T, 0.0), digits)
+    first = np.argsort(-s, axis=1, kind="stable")[:, :k]
+    return np.repeat(names, first.shape[1]), ids[order][first].ravel(), np.take_along_axis(s, first, axis=1).ravel()
+
+
 def nearest(base: DataFrame, base_id: str, base_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, digits: int = 4) -> DataFrame:
     """query_id, base_id, similarity (cosine, 0 at least, rounded) and rank of the k nearest of each query, exactly.
 
-    Queries go out in blocks of BLOCK, so what a task holds is bounded; each block is one pass over the base, multiplied
-    as matrices batch by batch. A batch passes on k rows a query; ties go to the smaller id.
+    Up to BLOCK queries (they are counted first) go to every task, and the base stays where it lies. More are dealt to blocks,
+    and the base to shards of SHARD rows; each block meets each shard in a group of bounded size. Similarities of a group, or
+    a batch, are one product of matrices, of which k rows a query pass on; ties go to the smaller id.
     """
     spark = base.sparkSession
-    rows = queries.select(F.col(query_id).alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v is not null")
-    found = None
-    ids = sorted((r.q, r.v) for r in rows.toLocalIterator())
+    rows = queries.select(F.col(query_id).cast("long").alias("q"), F.col(query_vector).cast("array<double>").alias("v")).filter("v is not null")
+    have = base.select(base_id, F.col(base_vector).cast("array<double>").alias("v")).filter("v is not null")
     kind = base.schema[base_id].dataType.simpleString()
-    for at in range(0, max(1, len(ids)), BLOCK):
-        part = ids[at : at + BLOCK]
-        names = np.array([i for i, _ in part], dtype=np.int64)
-        matrix = np.array([v for _, v in part], dtype=np.float64).reshape(len(part), -1)
-        size = np.linalg.norm(matrix, axis=1, keepdims=True)
-        shared = spark.sparkContext.broadcast((names, np.divide(matrix, size, out=np.zeros_like(matrix), where=size > 0)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+    shape = f"query_id long, {base_id} {kind}, similarity double"
+    asked = rows.count()
+
+    def table(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]], ids: pa.DataType) -> pa.Table:
+        q, i, s = (np.concatenate(x) for x in zip(*found, strict=True)) if found else ([], [], [])
+        return pa.table([pa.array(q, pa.int64()), pa.array(i, ids), pa.array(s, pa.float64())], names=["query_id", base_id, "similarity"])
+
+    if asked <= BLOCK:
+        few = rows.collect()  # BLOCK at most
+        shared = spark.sparkContext.broadcast((np.array([r.q for r in few], dtype=np.int64), _unit(np.array([r.v for r in few], dtype=np.float64).reshape(len(few), -1))))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
-            for batch in batches:
-                if not batch.num_rows or not len(names):
-                    continue
-                b = np.asarray(batch.column(1).flatten()).reshape(batch.num_rows, -1)
-                size = np.linalg.norm(b, axis=1, keepdims=True)
-                s = np.round(np.maximum(matrix @ np.divide(b, size, out=np.zeros_like(b), where=size > 0).T, 0.0), digits)
-                base_ids = np.asarray(batch.column(0))
-                order = np.argsort(base_ids, kind="stable")
-                first = order[np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]]
-                q = np.repeat(names, first.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(base_ids[first.ravel()]), pa.array(np.take_along_axis(s, first, axis=1).ravel())], ["query_id", base_id, "similarity"])
-
-        ok = base.select(base_id, F.col(base_vector).cast("array<double>").alias("v")).filter("v is not null")
-        out = ok.mapInArrow(run, f"query_id long, {base_id} {kind}, similarity double")
-        found = out if found is None else found.union(out)
+            for b in batches:
+                if b.num_rows and len(names):
+                    yield from table([_best(names, matrix, np.array(b.column(0)), _matrix(b.column(1)), k, digits)], b.schema.types[0]).to_batches()
+
+        found = have.mapInArrow(run, shape)
+    else:
+        blocks, shards = -(-asked // BLOCK), max(1, -(-base.count() // SHARD))
+        left = have.withColumn("shard", F.pmod(F.xxhash64(base_id), F.lit(shards))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        right = rows.withColumn("block", F.pmod(F.xxhash64("q"), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+
+        def meet(some: pa.Table, ask: pa.Table) -> pa.Table:
+            both = some.num_rows and ask.num_rows
+            return table([_best(np.array(ask.column("q")), _unit(_matrix(ask.column("v"))), np.array(some.column(base_id)), _matrix(some.column("v")), k, digits)] if both else [], some.schema.field(base_id).type)
+
+        left, right = left.withColumn("shard", F.col("shard").cast("long")), right.select("shard", "block", "q", "v")
+        found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(meet, shape)
     return top_k(found, ["query_id"], [F.desc("similarity"), F.col(base_id)], k)

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import TOKEN, tokens
+from lorespark.functions.text import tokens
 
 ISOLATED = ("table_row", "notes", "placeholder", "ocr_text")
 
@@ -31,51 +31,51 @@ def segments_to_body(segments: DataFrame) -> DataFrame:
     return parts.groupBy("relpath").agg(F.array_join(F.transform(ordered, lambda x: x.getField("part")), "").alias("body"))
 
 
+def _packed(parts: Column, size: int) -> Column:
+    """Texts of the pieces that parts (kind, n, text) make in order: a part that does not fit begins a new piece."""
+    none = F.array().cast("array<struct<kind:string,n:int,text:string>>")
+    start = F.struct(F.lit(0).alias("used"), none.alias("open"), F.array().cast("array<array<struct<kind:string,n:int,text:string>>>").alias("full"))
+
+    def place(state: Column, part: Column) -> Column:
+        used, open_, full = (state.getField(c) for c in ("used", "open", "full"))
+        fits = (F.size(open_) == 0) | (used + part.getField("n") <= size)
+        return F.struct(
+            F.when(fits, used + part.getField("n")).otherwise(part.getField("n")).alias("used"),
+            F.when(fits, F.array_append(open_, part)).otherwise(F.array(part)).alias("open"),
+            F.when(fits, full).otherwise(F.array_append(full, open_)).alias("full"),
+        )
+
+    return F.aggregate(parts, start, place, lambda state: F.array_append(state.getField("full"), state.getField("open")))
+
+
 def segment_chunks(segments: DataFrame, size: int = 512) -> DataFrame:
-    """relpath, chunk_idx, text, section_type of chunks packed from segments in order. One document is one group: packing is sequential inside it."""
-    import re
-
-    token = re.compile(TOKEN.replace("\\x{4e00}", "一").replace("\\x{9fff}", "鿿"))
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[str, str]] = []
-        lines: list[str] = []
-        held: list[tuple[str, str]] = []
-        count = 0
-
-        def emit(parts: list[str], kind: str) -> None:
-            text = "\n\n".join(p for p in [*lines, *parts] if p).strip()
-            if text:
-                out.append((text, kind))
-
-        def flush() -> None:
-            nonlocal held, count
-            if held:
-                emit([t for t, _ in held], held[0][1])
-            held, count = [], 0
-
-        for kind, text in pdf.sort_values("seg_idx")[["kind", "text"]].itertuples(index=False):
-            text = text or ""
-            if kind in ("sheet_header", "slide_header"):
-                flush()
-                lines = [text]
-            elif kind == "heading":
-                flush()
-                emit([text], kind)
-                lines = [*lines[:1], text]
-            elif kind in ISOLATED:
-                flush()
-                emit([text], kind)
-            else:
-                n = max(1, len(token.findall(text)))
-                if held and count + n > size:
-                    flush()
-                held.append((text, kind))
-                count += n
-        flush()
-        return pd.DataFrame({"relpath": pdf["relpath"].iloc[0], "chunk_idx": range(len(out)), "text": [t for t, _ in out], "section_type": [k for _, k in out]})
-
-    return segments.groupBy("relpath").applyInPandas(pack, "relpath string, chunk_idx int, text string, section_type string")
+    """relpath, chunk_idx, text, section_type, header and heading of the chunks of segments (relpath, seg_idx, kind, text).
+
+    Every chunk opens with its context: the sheet's or slide's header, or the first heading where there is none, and the
+    latest heading. Headings and ISOLATED kinds are chunks of their own; neighbouring other segments share one up to `size`
+    tokens, and are never cut. header: text of the sheet's or slide's header, which names it; heading: of the latest heading.
+
+    Context comes from windows over the document; a run of neighbours is one array, packed in order.
+    """
+    order = Window.partitionBy("relpath").orderBy("seg_idx")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    is_header, is_heading = F.col("kind").isin("sheet_header", "slide_header"), F.col("kind") == "heading"
+    single = is_header | is_heading | F.col("kind").isin(*ISOLATED)
+    rows = segments.select("relpath", "seg_idx", "kind", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumns({"part": F.sum(is_header.cast("int")).over(order), "header": F.last(F.when(is_header, F.col("text")), True).over(order)})
+    within = Window.partitionBy("relpath", "part").orderBy("seg_idx").rowsBetween(Window.unboundedPreceding, -1)
+    heading = F.when(is_heading, F.col("text"))
+    top = F.when(F.col("part") > 0, F.col("header")).otherwise(F.first(heading, True).over(within))
+    low = F.when((F.col("part") > 0) | (F.count(heading).over(within) > 1), F.last(heading, True).over(within))
+    begins = single | F.coalesce(F.lag(single).over(order), F.lit(True))
+    rows = rows.withColumns({"context": F.array(top, low), "heading": F.when(is_heading, F.col("text")).otherwise(F.last(heading, True).over(within)), "single": single, "run": F.sum(begins.cast("int")).over(order)}).filter(~is_header)
+    part = F.struct("seg_idx", F.struct("kind", F.greatest(F.size(tokens(F.col("text"), lower=False)), F.lit(1)).alias("n"), "text").alias("p"))
+    runs = rows.groupBy("relpath", "run").agg(F.transform(F.array_sort(F.collect_list(part)), lambda x: x.getField("p")).alias("parts"), F.min_by(F.struct("context", "header", "heading"), "seg_idx").alias("at"))
+    pieces = runs.select("relpath", "run", "at.context", "at.header", "at.heading", F.posexplode(_packed(F.col("parts"), size)).alias("nth", "piece"))
+    lines = F.filter(F.concat("context", F.transform("piece", lambda x: x.getField("text"))), lambda x: x != "")
+    whole = pieces.select("relpath", "run", "nth", F.regexp_replace(F.array_join(lines, "\n\n"), "^\\s+|\\s+$", "").alias("text"), F.col("piece")[0].getField("kind").alias("section_type"), "header", "heading").filter("text != ''")
+    place = F.row_number().over(Window.partitionBy("relpath").orderBy("run", "nth")) - 1
+    return whole.select("relpath", place.alias("chunk_idx"), "text", "section_type", "header", "heading")
 
 
 def join_tokens(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:

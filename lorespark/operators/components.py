@@ -1,30 +1,46 @@
-"""Connected components by label propagation with pointer jumping."""
+"""Connected components by contraction in a random order."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.operators.tables import written
+from lorespark.operators.tables import drop, written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """node and component (its smallest node) for every node of an edge.
 
-    Each round a node takes the smallest label among itself and its neighbours, then the label of its label, so long
-    chains take a logarithmic number of rounds. A node with very many neighbours costs a partial minimum on the map side.
-    Only the number of changed labels reaches the driver.
+    Every node is its own label at first. Each round puts the labels in another random order; a label gives way to its
+    first neighbour, or to that one's first neighbour, if that comes before itself. Edges become edges between labels, and
+    go once both ends are equal. The image of a connected graph is connected, so a component ends as one label; a constant
+    share of the labels that still have edges goes in each round, whatever the ids' order, so chains take a logarithmic
+    number of rounds. A node with very many neighbours costs a partial minimum on the map side. Only whether edges are left
+    reaches the driver.
     """
-    both = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null and a != b")
-    both = written(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("a")).alias("component")))
-    for _ in range(most_rounds):
-        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        least = labels.join(near, "node").select("node", F.least("component", "near").alias("next"), F.col("component").alias("was"))
-        over = labels.select(F.col("node").alias("next"), F.col("component").alias("jump"))
-        new = written(least.join(over, "next").select("node", F.least("next", "jump").alias("component"), "was"))
-        changed = new.filter("component != was").limit(1).count()
-        labels = new.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
+    left = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null and a != b")
+    left = written(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    labels = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
+    turn = 0
+    while left.limit(1).count():
+        turn += 1
+        ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("x"))
+        later, sooner = F.greatest(ranked("a"), ranked("b")), F.least(ranked("a"), ranked("b"))
+        first = left.select(later.getField("x").alias("a"), sooner.alias("b")).groupBy("a").agg(F.min("b").getField("x").alias("b"))
+        further = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
+        moved = written(first.join(further, "b", "left").select(F.col("a").alias("label"), F.coalesce("c", "b").alias("to")))
+        new = written(_renamed(labels, "label", moved))
+        rest = _renamed(_renamed(left, "a", moved), "b", moved).filter("a != b")
+        rest = written(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        for old in (left, labels, moved):
+            drop(old)
+        left, labels = rest, new
+    drop(left)
+    names = labels.groupBy("label").agg(F.min("node").alias("component"))
+    return labels.join(names, "label").select("node", "component")
+
+
+def _renamed(df: DataFrame, column: str, moved: DataFrame) -> DataFrame:
+    out = df.join(moved.select(F.col("label").alias(column), "to"), column, "left")
+    new: Column = F.coalesce("to", column).alias(column)
+    return out.select(*(new if c == column else c for c in df.columns))

@@ -5,84 +5,131 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import clean_label, contextual_entity_type, edge_id, node_id, split_targets
+from lorespark.functions.text import clean_label, contextual_entity_type, edge_id, node_id, slug, split_targets
 from lorespark.operators.components import connected_components
-
-# Relation, trigger between the labels, and whether the right label is the source; in the order they are tried.
-TRIGGERS = (
-    ("causes", "(?:導致|造成|引發|使得?)", False),
-    ("causes", "\\bcauses?\\b", False),
-    ("contradicts", "(?:與|和)", False),
-    ("contradicts", "\\b(?:contradicts?|conflicts with)\\b", False),
-    ("succeeds", "\\bsucceeds\\b", False),
-    ("succeeds", "(?:之後)?(?:接續|接著|後續是)", True),
-    ("succeeds", "\\b(?:is )?followed by\\b", True),
-    ("succeeds", "\\bprecedes\\b", True),
-    ("impacts", "(?:會|將|直接)?影響", False),
-    ("impacts", "\\b(?:affects?|impacts?)\\b", False),
-    ("depends_on", "依賴", False),
-    ("depends_on", "\\bdepends on\\b", False),
-    ("references", "(?:引用|參考)", False),
-    ("references", "\\breferences\\b", False),
-    ("belongs_to", "(?:隸屬於|屬於)", False),
-    ("belongs_to", "\\bbelongs to\\b", False),
-    ("owns", "(?:擁有|負責)", False),
-    ("owns", "\\bowns\\b", False),
+from lorespark.operators.trees import own_ranges
+
+# Relation, pattern with the left and the right label, and whether the right label is the source; in the order they are tried.
+PATTERNS = (
+    ("causes", "(.+?)(?:導致|造成|引發|使得?)(.+)", False),
+    ("causes", "(.+?)\\s+causes?\\s+(.+)", False),
+    ("contradicts", "([^，,。；;!?！？]+?)(?:與|和)([^，,。；;!?！？]+?)(?:矛盾|衝突)", False),
+    ("contradicts", "(?:.*\\b(?:however|but)\\s+)?([^.，,;；]+?)\\s+(?:contradicts?|conflicts with)\\s+([^.，,;；]+)", False),
+    ("succeeds", "(.+?)\\s+succeeds\\s+(.+)", False),
+    ("succeeds", "(.+?)(?:之後)?(?:接續|接著|後續是)(.+)", True),
+    ("succeeds", "(.+?)\\s+(?:followed by|is followed by)\\s+(.+)", True),
+    ("succeeds", "(.+?)\\s+precedes\\s+(.+)", True),
+    ("impacts", "(.+?)(?:會|將|直接)?影響(.+)", False),
+    ("impacts", "(.+?)\\s+(?:affects?|impacts?)\\s+(.+)", False),
+    ("depends_on", "(.+?)依賴(.+)", False),
+    ("depends_on", "(.+?)\\s+depends on\\s+(.+)", False),
+    ("references", "(.+?)(?:引用|參考)(.+)", False),
+    ("references", "(.+?)\\s+references\\s+(.+)", False),
+    ("belongs_to", "(.+?)(?:屬於|隸屬於)(.+)", False),
+    ("belongs_to", "(.+?)\\s+belongs to\\s+(.+)", False),
+    ("owns", "(.+?)(?:擁有|負責)(.+)", False),
+    ("owns", "(.+?)\\s+owns\\s+(.+)", False),
 )
-CLASH = "^(?<l>[^，。,.;；]+?)(?:與|和)(?<r>[^，。,.;；]+?)(?:互相|相互)?(?:矛盾|衝突)"
-ABBREVIATIONS = ("Mr", "Mrs", "Ms", "Dr", "St", "vs", "etc", "Inc", "Ltd", "Co")
+# What ends no sentence.
+ABBREVIATIONS = ("Dr.", "Mr.", "Ms.", "Mrs.", "Prof.", "Sr.", "Jr.", "St.", "U.S.", "U.K.")
+# Words that make a sentence one of several relations.
 MANY = ("依賴", "depends on", "影響", "affects", "導致", "causes", "矛盾", "contradicts", "接續", "followed by", "precedes", "succeeds")
 
 
-def sentences(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id_col, pos and sentence. A sentence with two relation words or more is cut at commas too."""
-    guard = "".join(f"(?<!\\b{a}\\.)" for a in ABBREVIATIONS)
-    cut = f"[\\n。！？!?;；]+|(?<=\\.){guard}\\s+(?=[A-Z\\x{{4e00}}-\\x{{9fff}}])"
+def sentences(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """id_col, further columns, pos and sentence. A sentence with two relation words or more is cut at commas too."""
+    guard = "".join("(?<!" + a.replace(".", "\\.") + ")" for a in ABBREVIATIONS)
+    cut = f"[\\n。！？!?;；]|(?<=[A-Za-z0-9]\\.){guard}\\s+(?=[A-Z\\x{{4e00}}-\\x{{9fff}}])"
     parts = F.filter(F.transform(F.split(F.regexp_replace(text_col, "\r\n?", "\n"), cut), lambda x: F.trim(x)), lambda x: x != "")
     count = lambda x: sum(((F.length(x) - F.length(F.replace(x, F.lit(k), F.lit("")))) / len(k) for k in MANY), F.lit(0.0))
     pieces = F.flatten(F.transform(parts, lambda x: F.when(count(x) > 1, F.filter(F.transform(F.split(x, "[，,]"), lambda z: F.trim(z)), lambda y: y != "")).otherwise(F.array(x))))
-    return docs.select(id_col, F.posexplode(pieces).alias("pos", "sentence"))
+    return docs.select(id_col, *more, F.posexplode(pieces).alias("pos", "sentence"))
 
 
 def relations(found: DataFrame, id_col: str) -> DataFrame:
-    """id_col, pos, relation, source, target, evidence. The first trigger with a label on its left decides; each target of a list is a row."""
+    """id_col, pos, relation, source, target, evidence, and further columns of found. The first pattern with a label on its left decides; each target of a list is a row."""
+    more = [c for c in found.columns if c not in (id_col, "pos", "sentence")]
     s = F.col("sentence")
-    match = F.lit(None).cast("struct<relation: string, left: string, right: string, reverse: boolean>")
-    for relation, trigger, reverse in reversed(TRIGGERS):
-        if relation == "contradicts" and trigger.startswith("(?:與"):
-            whole = CLASH.replace("?<l>", "").replace("?<r>", "")
-            left, right = clean_label(F.regexp_extract(s, whole, 1)), F.regexp_extract(s, whole, 2)
-        else:
-            whole = f"(?i)(.+?)\\s*{trigger}\\s*(.+)"
-            left, right = clean_label(F.regexp_extract(s, whole, 1)), F.regexp_extract(s, whole, 2)
-        hit = s.rlike(whole) & (left != "")
-        match = F.when(hit, F.struct(F.lit(relation).alias("relation"), left.alias("left"), right.alias("right"), F.lit(reverse).alias("reverse"))).otherwise(match)
-    rows = found.withColumn("m", match).filter("m is not null")
-    rows = rows.select(id_col, "pos", "sentence", "m.*").withColumn("other", F.explode(F.transform(split_targets(F.col("right")), clean_label))).filter("other != ''")
+    patterns = [f"(?i){p}" for _, p, _ in PATTERNS]
+    # lambdas keep the generated code small: a pattern is one call in it
+    sides = lambda k: F.array(*(F.regexp_extract(s, p, k) for p in patterns))
+    by_nth = lambda values: F.element_at(values, F.col("nth").cast("int"))
+    literal = lambda values: F.array(*map(F.lit, values))
+    # most sentences have none of them: one look tells
+    rows = found.filter(s.rlike("|".join(patterns))).withColumn("lefts", F.transform(sides(1), clean_label))
+    rows = rows.withColumn("nth", F.array_position(F.transform("lefts", lambda x: x != ""), True)).filter("nth > 0")
+    rows = rows.select(id_col, "pos", "sentence", *more, by_nth(literal([r for r, _, _ in PATTERNS])).alias("relation"), by_nth(literal([r for _, _, r in PATTERNS])).alias("reverse"), by_nth(F.col("lefts")).alias("left"), by_nth(sides(2)).alias("right"))
+    rows = rows.withColumn("other", F.explode(F.transform(split_targets(F.col("right")), clean_label))).filter("other != ''")
     return rows.select(
         id_col, "pos", "relation",
         F.when(F.col("reverse"), F.col("other")).otherwise(F.col("left")).alias("source"),
         F.when(F.col("reverse"), F.col("left")).otherwise(F.col("other")).alias("target"),
-        F.col("sentence").alias("evidence"),
+        F.col("sentence").alias("evidence"), *more,
     )
 
 
-def document_graph(docs: DataFrame, relpath: str, title: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes (id, type, label, source_relpath) and edges (id, relation, src, dst, source_relpath, evidence) of all documents. Each end of a relation is referenced by its document."""
-    rows = relations(sentences(docs, relpath, text), relpath)
-    kind_s, kind_t = contextual_entity_type(F.col("source"), F.col("relation"), "source"), contextual_entity_type(F.col("target"), F.col("relation"), "target")
-    rows = rows.withColumns({"src": node_id(kind_s, F.col("source")), "dst": node_id(kind_t, F.col("target")), "s_type": kind_s, "t_type": kind_t})
-    documents = docs.select(F.concat(F.lit("document:"), F.substring(F.sha1(F.col(relpath).cast("binary")), 1, 12)).alias("id"), F.lit("Document").alias("type"), F.col(title).alias("label"), F.col(relpath).alias("source_relpath"))
-    ends = rows.select(F.col(relpath).alias("source_relpath"), "evidence", "pos", F.explode(F.array(F.struct(F.col("src").alias("id"), F.col("s_type").alias("type"), F.col("source").alias("label")), F.struct(F.col("dst").alias("id"), F.col("t_type").alias("type"), F.col("target").alias("label")))).alias("e")).select("source_relpath", "evidence", "pos", "e.*")
-    nodes = documents.union(ends.select("id", "type", "label", "source_relpath"))
-    own = rows.select("relation", "src", "dst", F.col(relpath).alias("source_relpath"), "evidence", "pos")
-    own = own.withColumn("id", edge_id(F.col("source_relpath"), F.col("relation"), F.col("src"), F.col("dst")))
-    last = own.groupBy("id").agg(F.max_by(F.struct("relation", "src", "dst", "source_relpath", "evidence"), "pos").alias("e")).select("id", "e.*")
-    doc = F.concat(F.lit("document:"), F.substring(F.sha1(F.col("source_relpath").cast("binary")), 1, 12))
-    refs = ends.select(F.lit("references").alias("relation"), doc.alias("src"), F.col("id").alias("dst"), "source_relpath", "evidence", "pos")
-    refs = refs.withColumn("id", edge_id(F.col("source_relpath"), F.col("relation"), F.col("src"), F.col("dst")))
-    first = refs.groupBy("id").agg(F.min_by(F.struct("relation", "src", "dst", "source_relpath", "evidence"), "pos").alias("e")).select("id", "e.*")
-    return nodes, last.union(first)
+def section_id(relpath: Column, node: Column, title: Column) -> Column:
+    return F.concat(F.lit("document:section-"), F.substring(F.sha1(F.concat_ws("|", relpath, node).cast("binary")), 1, 12), F.lit("-"), slug(title))
+
+
+def document_graph(docs: DataFrame, relpath: str, title: str, text: str, tree: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes (id, type, label, source_relpath) and edges (id, relation, src, dst, source_relpath, evidence) of all documents.
+
+    tree: section nodes (relpath, node_id, parent_id, title, start_offset, end_offset, section_path). A section is a node that
+    belongs to its document, unless their labels are equal, and relations are looked for in each section's own ranges. The
+    document refers to each end of a relation. A target that several sources of a document depend on is a concept.
+    """
+    r = F.col(relpath)
+    docs = docs.select(r.alias("relpath"), F.col(title).alias("title"), F.col(text).alias("text"))
+    documents = docs.select("relpath", node_id(F.lit("Document"), F.col("title")).alias("document"), F.col("title").alias("document_title"))
+    nodes = documents.select(F.col("document").alias("id"), F.lit("Document").alias("type"), F.col("document_title").alias("label"), F.col("relpath").alias("source_relpath"))
+    edge = lambda relation, src, dst, evidence, pos: F.struct(F.lit(relation).alias("relation") if isinstance(relation, str) else relation.alias("relation"), src.alias("src"), dst.alias("dst"), evidence.alias("evidence"), pos.alias("pos"))
+    if tree is None:
+        pieces = docs.select("relpath", F.lit(None).cast("string").alias("section"), F.lit("").alias("prefix"), F.lit(0).alias("begin"), "text")
+        parts = None
+    else:
+        sections = tree.select("relpath", "node_id", F.col("title").alias("section"), F.concat(F.lit("Section: "), "section_path").alias("path"))
+        sections = sections.withColumn("id", section_id(F.col("relpath"), F.col("node_id"), F.col("section")))
+        own = own_ranges(tree).join(sections, ["relpath", "node_id"]).join(docs.select("relpath", "text"), "relpath")
+        pieces = own.select("relpath", "section", F.concat("path", F.lit(" | ")).alias("prefix"), F.col("start").alias("begin"), F.col("text").substr(F.col("start") + 1, F.col("end") - F.col("start")).alias("text"))
+        nodes = nodes.union(sections.select("id", F.lit("Document"), "section", "relpath"))
+        inside = sections.join(documents, "relpath").filter("section != document_title and id != document")
+        parts = inside.select("relpath", edge("belongs_to", F.col("id"), F.col("document"), F.col("path"), F.lit(-1).cast("long")).alias("e"))
+    found = relations(sentences(pieces, "relpath", "text", "section", "prefix", "begin"), "relpath").withColumn("at", F.col("begin").cast("long") * (1 << 24) + F.col("pos"))
+    kind = {end: contextual_entity_type(F.col(end), F.col("relation"), end, F.col("section")) for end in ("source", "target")}
+    found = found.withColumns({f"{end}_type": k for end, k in kind.items()}).join(documents, "relpath").withColumn("evidence", F.concat("prefix", "evidence"))
+    ends = found.select("relpath", "document", "evidence", "at", F.explode(F.array(*(F.struct(node_id(F.col(f"{e}_type"), F.col(e)).alias("id"), F.col(f"{e}_type").alias("type"), F.col(e).alias("label")) for e in ("source", "target")))).alias("e")).select("relpath", "document", "evidence", "at", "e.*")
+    nodes = nodes.union(ends.select("id", "type", "label", "relpath"))
+    named = found.select("relpath", edge(F.col("relation"), node_id(F.col("source_type"), F.col("source")), node_id(F.col("target_type"), F.col("target")), F.col("evidence"), F.col("at")).alias("e"))
+    # the first reference counts, but the last of the other relations
+    refs = ends.select("relpath", edge("references", F.col("document"), F.col("id"), F.col("evidence"), -F.col("at") - 2).alias("e"))
+    every = named.union(refs) if parts is None else named.union(refs).union(parts)
+    edges = _last(every.select(F.col("relpath").alias("source_relpath"), "e.*"))
+    return retag(nodes, edges)
+
+
+def _last(edges: DataFrame) -> DataFrame:
+    """One row of each edge: that of the largest pos."""
+    rows = edges.withColumn("id", edge_id(F.col("source_relpath"), F.col("relation"), F.col("src"), F.col("dst")))
+    return rows.groupBy("id").agg(F.max_by(F.struct("relation", "src", "dst", "source_relpath", "evidence"), F.struct("pos", "evidence")).alias("e")).select("id", "e.*")
+
+
+def shared_targets(edges: DataFrame) -> DataFrame:
+    """source_relpath, dst and n of targets that more than one source depends on: they become concepts."""
+    wanted = edges.filter("relation = 'depends_on'")
+    return wanted.groupBy("source_relpath", "dst").agg(F.countDistinct("src").alias("n")).filter("n > 1")
+
+
+def retag(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges in which each document's shared targets are concepts, under the ids that concepts have."""
+    shared = shared_targets(edges).select("source_relpath", F.col("dst").alias("id"))
+    label = nodes.filter("type != 'Concept'").groupBy("source_relpath", "id").agg(F.min("label").alias("label"))
+    new = shared.join(label, ["source_relpath", "id"]).select("source_relpath", F.col("id").alias("old"), node_id(F.lit("Concept"), F.col("label")).alias("new"))
+    renamed = nodes.join(new.withColumnRenamed("old", "id"), ["source_relpath", "id"], "left")
+    nodes = renamed.select(F.coalesce("new", "id").alias("id"), F.when(F.col("new").isNotNull(), "Concept").otherwise(F.col("type")).alias("type"), "label", "source_relpath")
+    for end in ("src", "dst"):
+        edges = edges.join(new.withColumnRenamed("old", end), ["source_relpath", end], "left").withColumn(end, F.coalesce("new", end)).drop("new")
+    return nodes, _last(edges.withColumn("pos", F.lit(0)).drop("id"))
 
 
 def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
@@ -92,12 +139,6 @@ def merge_nodes(nodes: DataFrame, order: str) -> DataFrame:
     return nodes.groupBy("id").agg(kind.alias("type"), label.alias("label"), F.array_sort(F.collect_set("label")).alias("aliases"), F.array_sort(F.collect_set("source_relpath")).alias("source_relpaths"))
 
 
-def retag_shared_targets(edges: DataFrame) -> DataFrame:
-    """source_relpath, dst and n of targets that more than one source depends on: they become concepts."""
-    wanted = edges.filter("relation = 'depends_on'")
-    return wanted.groupBy("source_relpath", "dst").agg(F.countDistinct("src").alias("n")).filter("n > 1")
-
-
 def remove_documents(nodes: DataFrame, edges: DataFrame, relpaths: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The graph without some documents: their edges, and nodes that no other document has."""
     left = edges.join(relpaths.select(F.col("relpath").alias("source_relpath")), "source_relpath", "left_anti")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorespark.operators.tables import union_all
+
 # Severities in order, and each category's severity.
 SEVERITIES = ("info", "warning", "error")
 SEVERITY = {
@@ -37,13 +37,9 @@ def repeated(rows: DataFrame, key: str) -> DataFrame:
     return rows.groupBy(key).count().filter("count > 1")
 
 
-def every(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)
-
-
 def check_wiki(pages: DataFrame, index: DataFrame) -> DataFrame:
     """pages: slug; index: slug, repeats kept."""
-    return every([
+    return union_all([
         finding(without(pages, "slug", index, "slug"), "orphan_page", F.col("slug"), "page is not in the index"),
         finding(without(index, "slug", pages, "slug"), "dead_link", F.col("slug"), "the index names a page that is missing"),
         finding(repeated(index, "slug"), "duplicate_slug", F.col("slug"), F.concat(F.lit("in the index "), F.col("count").cast("string"), F.lit(" times"))),
@@ -54,7 +50,7 @@ def check_wiki(pages: DataFrame, index: DataFrame) -> DataFrame:
 def check_sources(manifest: DataFrame, raw: DataFrame, pages: DataFrame) -> DataFrame:
     """manifest: relpath, wiki_pages; raw: relpath; pages: slug, origin, source_relpath."""
     named = manifest.select("relpath", F.explode("wiki_pages").alias("slug"))
-    return every([
+    return union_all([
         finding(without(manifest, "relpath", raw, "relpath"), "dangling_manifest_entry", F.col("relpath"), "the raw source is missing"),
         finding(without(named, "slug", pages, "slug"), "manifest_wiki_mismatch", F.col("relpath"), F.concat(F.lit("page is missing: "), "slug")),
         finding(without(raw, "relpath", manifest, "relpath"), "orphan_raw_source", F.col("relpath"), "not in the manifest"),
@@ -65,7 +61,7 @@ def check_sources(manifest: DataFrame, raw: DataFrame, pages: DataFrame) -> Data
 def check_vectors(manifest: DataFrame, chunks: DataFrame) -> DataFrame:
     """manifest: relpath, vector_ids; chunks: chunk_id."""
     ids = manifest.select("relpath", F.explode("vector_ids").alias("chunk_id"))
-    return every([
+    return union_all([
         finding(without(ids, "chunk_id", chunks, "chunk_id"), "manifest_vector_mismatch", F.col("relpath"), F.concat(F.lit("chunk is missing: "), "chunk_id")),
         finding(without(chunks, "chunk_id", ids, "chunk_id"), "orphan_vector_chunk", F.col("chunk_id"), "no manifest entry has it"),
     ])
@@ -76,7 +72,7 @@ def check_graph(manifest: DataFrame, nodes: DataFrame, edges: DataFrame) -> Data
     want_n, want_e = (manifest.select("relpath", F.explode(c).alias("id")) for c in ("graph_nodes", "graph_edges"))
     owned = nodes.select("id", F.explode("source_relpaths").alias("relpath")).join(manifest.select("relpath"), "relpath", "left_semi")
     ends = edges.select(F.col("id").alias("edge"), F.explode(F.array("src", "dst")).alias("id"))
-    return every([
+    return union_all([
         finding(without(want_n, "id", nodes, "id"), "graph_drift", F.col("id"), F.concat(F.lit("missing_node of "), "relpath")),
         finding(without(want_e, "id", edges, "id"), "graph_drift", F.col("id"), F.concat(F.lit("missing_edge of "), "relpath")),
         finding(without(nodes, "id", owned, "id"), "graph_drift", F.col("id"), "orphan_node"),
@@ -94,7 +90,7 @@ def check_fingerprints(manifest: DataFrame, current: Column) -> DataFrame:
 def check_artifacts(artifacts: DataFrame, kind: str) -> DataFrame:
     """artifacts: path, corrupt (the raw text where it could not be parsed), errors (array). kind: llm_artifact, wiki_candidate_artifact or watch_artifact."""
     bad = artifacts.filter("corrupt is null and size(errors) > 0")
-    return every([
+    return union_all([
         finding(artifacts.filter("corrupt is not null"), f"{kind}_corrupt", F.col("path"), "cannot be parsed"),
         finding(bad, f"{kind}_invalid", F.col("path"), F.array_join("errors", "; ")),
     ])
@@ -104,7 +100,7 @@ def check_synthesis(pages: DataFrame, candidates: DataFrame) -> DataFrame:
     """pages: slug, origin, metadata (map); candidates: candidate_id."""
     made = pages.filter("origin = 'llm_wiki'").withColumn("lacks", F.array_except(F.array(*map(F.lit, SYNTHESIS_KEYS)), F.map_keys("metadata")))
     named = made.filter("size(lacks) = 0").withColumn("candidate_id", F.element_at("metadata", "candidate_id"))
-    return every([
+    return union_all([
         finding(made.filter("size(lacks) > 0"), "wiki_synthesis_frontmatter_invalid", F.col("slug"), F.concat(F.lit("lacks "), F.array_join("lacks", ", "))),
         finding(without(named, "candidate_id", candidates, "candidate_id"), "wiki_candidate_artifact_invalid", F.col("slug"), "its candidate is missing"),
     ])
@@ -114,7 +110,7 @@ def check_runs(runs: DataFrame, latest: DataFrame, kind: str) -> DataFrame:
     """runs: run_id, status, files (array); latest: run_id. kind: graphify or watch."""
     lacks = F.array_except(F.array(*map(F.lit, GRAPHIFY_FILES)), F.coalesce("files", F.array().cast("array<string>")))
     partial = runs.filter(F.size(lacks) > 0) if kind == "graphify" else runs.filter("status = 'partial'")
-    return every([
+    return union_all([
         finding(partial, f"{kind}_partial_run", F.col("run_id"), "run is not complete"),
         finding(without(latest, "run_id", runs, "run_id"), f"{kind}_latest_mismatch", F.col("run_id"), "latest names a run that is missing"),
     ])
@@ -123,7 +119,7 @@ def check_runs(runs: DataFrame, latest: DataFrame, kind: str) -> DataFrame:
 def check_workspaces(registry: DataFrame, roots: DataFrame) -> DataFrame:
     """registry: workspace_id, root; roots: root that exists."""
     shared = registry.join(repeated(registry, "root"), "root", "left_semi")
-    return every([
+    return union_all([
         finding(without(registry, "root", roots, "root"), "workspace_root_missing", F.col("workspace_id"), F.col("root")),
         finding(shared, "workspace_duplicate_root", F.col("workspace_id"), F.col("root")),
     ])
@@ -131,7 +127,7 @@ def check_workspaces(registry: DataFrame, roots: DataFrame) -> DataFrame:
 
 def check_trees(manifest: DataFrame, trees: DataFrame, nodes: DataFrame, bodies: DataFrame) -> DataFrame:
     """manifest: relpath, page_tree; trees: relpath, corrupt; nodes: relpath, node_id, end_offset; bodies: relpath, length."""
-    return every([
+    return union_all([
         finding(without(manifest.filter("page_tree is not null"), "relpath", trees, "relpath"), "tree_missing", F.col("relpath"), "no tree"),
         finding(without(trees, "relpath", manifest, "relpath"), "tree_orphan", F.col("relpath"), "not in the manifest"),
         finding(trees.filter("corrupt is not null"), "tree_corrupt", F.col("relpath"), "cannot be parsed"),

@@ -1,7 +1,7 @@
 """Answering batches of questions: routing, four collectors, rank fusion, evidence, write-back.
 
-Questions are a stated set: a table (query_id, question) of at most MOST_QUESTIONS rows, which is checked before it is
-broadcast; larger sets go in blocks through `in_blocks`. Pages, chunks and trees may have any size: each is read once a
+Questions are a stated set: a table (query_id, question). A block of at most MOST_QUESTIONS is checked before it is
+broadcast; `in_blocks` makes such blocks of a set of any size, and answers them one after the other. Pages, chunks and trees may have any size: each is read once a
 block, scored where it lies, and cut to the best rows of each question before anything is shuffled.
 """
 
@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import evidence_quote, graph_terms, lexical_terms, query_terms
-from lorespark.functions.vectors import cosine, dense, hash_embedding, nearest, top_k
+from lorespark.functions.vectors import cosine, embedded, nearest, top_k
+from lorespark.operators.tables import union_all, written
 
 MOST_QUESTIONS = 5_000
 ROUTES = ("wiki", "graph", "vector", "page_tree")
@@ -42,11 +43,12 @@ def small(questions: DataFrame) -> DataFrame:
 
 
 def in_blocks(questions: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The union of the answers to blocks of questions that are each small enough to broadcast."""
-    n = questions.count()
-    blocks = max(1, -(-2 * n // MOST_QUESTIONS))
+    """The answers to all questions, block by block. A block holds half of MOST_QUESTIONS in expectation; each one's answers are written before the next begins."""
+    blocks = -(-2 * questions.count() // MOST_QUESTIONS)
+    if blocks <= 2:
+        return answer(questions)
     at = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
-    return reduce(DataFrame.union, (answer(questions.filter(at == k)) for k in range(blocks)))
+    return reduce(DataFrame.union, [written(answer(questions.filter(at == k))) for k in range(blocks)])
 
 
 def rule_table(spark: SparkSession, rules: tuple = RULES) -> DataFrame:
@@ -58,9 +60,8 @@ def route(questions: DataFrame, rules: DataFrame) -> DataFrame:
     """query_id, rule_id, route, secondary, hits (of the chosen rule) and score. The first rule with a keyword wins, else the most similar, else the default."""
     keys = F.concat("zh", "en")
     texts = rules.select(F.col("rule_id"), F.array_join(keys, " ").alias("text"))
-    prototypes = dense(hash_embedding(texts, "rule_id", "text"), "rule_id").withColumnRenamed("vector", "rule_vector")
-    vectors = dense(hash_embedding(questions, "query_id", "question"), "query_id")
-    asked = questions.join(vectors, "query_id", "left")
+    prototypes = embedded(texts, "rule_id", "text").withColumnRenamed("vector", "rule_vector")
+    asked = embedded(questions, "query_id", "question", "question")
     both = asked.crossJoin(F.broadcast(rules.join(prototypes, "rule_id")))  # a handful of rules
     q, low = F.col("question"), F.lower("question")
     hits = F.size(F.filter("zh", lambda k: q.contains(k))) + F.size(F.filter("en", lambda k: low.contains(k)))
@@ -110,52 +111,66 @@ class Containment:
         self.question, self.as_whole, self.as_term = u[:, 1], u[:, 2], u[:, 3]
         self.begin = np.searchsorted(u[:, 0], np.arange(len(number) + 1))
 
-    def score(self, fields: tuple[str, ...]) -> np.ndarray:
-        out = np.zeros(len(self.ids), dtype=np.int64)
+    def score(self, fields: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Questions that match, by their places, and their scores: work for what is found, not for each question."""
+        places, scores = [], []
         for text, whole, term in zip(fields, self.whole, self.term, strict=True):
-            out[self.empty] += whole  # the empty question is in every text
+            places.append(self.empty)  # the empty question is in every text
+            scores.append(np.full(len(self.empty), whole))
             hits = np.array([*{n for _, n in self.found.iter(text)}], dtype=np.int64) if len(self.found) else np.empty(0, dtype=np.int64)
             sizes = self.begin[hits + 1] - self.begin[hits]
             at = np.repeat(self.begin[hits] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
-            out += np.bincount(self.question[at], weights=whole * self.as_whole[at] + term * self.as_term[at], minlength=len(out)).astype(np.int64)
-        return out
+            places.append(self.question[at])
+            scores.append(whole * self.as_whole[at] + term * self.as_term[at])
+        question, at = np.unique(np.concatenate(places), return_inverse=True)
+        return question, np.bincount(at, weights=np.concatenate(scores), minlength=len(question)).astype(np.int64)
 
 
-def wiki_search(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """query_id, slug and score of the best page of each question; ties go to the first slug. Questions that match nothing have no row.
-
-    The score is that of wiki_score. A page is read once for all questions, and a batch of pages passes on its best one a question.
-    """
+def _scored(questions: DataFrame, rows: DataFrame, key: str, fields: list[Column], whole: tuple[int, ...], term: tuple[int, ...], best_only: bool) -> DataFrame:
+    """query_id, key and score of rows against the questions they match. Every row is read once for all questions, and only matches are looked at; best_only: a batch passes on its best row a question (ties: the first key)."""
     asked = questions.select("query_id", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms"))
-    rows = [(r.query_id, r.q, r.terms) for r in small(asked).collect()]  # at most MOST_QUESTIONS
-    shared = pages.sparkSession.sparkContext.broadcast(rows)
+    few = [(r.query_id, r.q, r.terms) for r in small(asked).collect()]  # at most MOST_QUESTIONS
+    shared, n_fields = rows.sparkSession.sparkContext.broadcast(few), len(fields)
 
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Containment(shared.value, (8, 6, 4), (4, 3, 1))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Containment(shared.value, whole, term)
         for batch in batches:
             if not batch.num_rows or not len(c.ids):
                 continue
-            order = np.argsort(np.array(batch.column(0).to_pylist(), dtype=object))
-            fields = [batch.column(k).to_pylist() for k in (1, 2, 3)]
-            top, where = np.zeros(len(c.ids), dtype=np.int64), np.full(len(c.ids), -1)
-            for r in order.tolist():
-                s = c.score((fields[0][r], fields[1][r], fields[2][r]))
-                better = s > top
-                top[better], where[better] = s[better], r
-            some = np.flatnonzero(where >= 0)
-            yield pa.RecordBatch.from_arrays([pa.array(c.ids[some]), batch.column(0).take(pa.array(where[some])), pa.array(top[some].astype(np.int32))], ["query_id", "slug", "score"])
+            order = np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable")
+            texts = [batch.column(k).to_pylist() for k in range(1, n_fields + 1)]
+            found = [(q, s, np.full(len(q), r)) for r in order.tolist() for q, s in [c.score(tuple(t[r] for t in texts))] if len(q)]
+            if not found:
+                continue
+            question, score, row = (np.concatenate(x) for x in zip(*found, strict=True))
+            if best_only:  # rows come in the order of their keys, so a stable sort leaves the first of equal ones first
+                by = np.lexsort((np.arange(len(score)), -score, question))
+                first = by[np.append(True, question[by][1:] != question[by][:-1])]
+                question, score, row = question[first], score[first], row[first]
+            yield pa.RecordBatch.from_arrays([pa.array(c.ids[question]), batch.column(0).take(pa.array(row)), pa.array(score.astype(np.int32))], ["query_id", key, "score"])
 
-    low = pages.select("slug", *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "summary", "body")))
-    return top_k(low.mapInArrow(best, "query_id long, slug string, score int"), ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
+    kind = rows.schema[key].dataType.simpleString()
+    low = rows.select(key, *(F.lower(F.coalesce(f, F.lit(""))) for f in fields))
+    return low.mapInArrow(run, f"query_id long, {key} {kind}, score int")
+
+
+def wiki_search(questions: DataFrame, pages: DataFrame) -> DataFrame:
+    """query_id, slug and score (of wiki_score) of the best page of each question; ties go to the first slug. Questions that match nothing have no row."""
+    found = _scored(questions, pages, "slug", [F.col(c) for c in ("title", "summary", "body")], (8, 6, 4), (4, 3, 1), True)
+    return top_k(found, ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
 
 
 def tree_boosted_search(questions: DataFrame, pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """query_id, slug and score of the best page, where sections count too: a source's best tree (relpath, tree_slug, title, summary) adds to its pages, and if any source matches only its pages count."""
-    asked = small(questions.select("query_id", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms")))
-    zero, low = F.lit(""), lambda c: F.lower(F.coalesce(c, F.lit("")))
-    tree = nodes.crossJoin(asked).withColumn("s", wiki_score(F.col("q"), F.col("terms"), low("title"), low("summary"), zero)).filter("s > 0")
-    boost = tree.groupBy("query_id", "relpath", "tree_slug").agg(F.sum("s").alias("s")).groupBy("query_id", F.col("relpath").alias("source_relpath")).agg(F.max("s").alias("boost"))
-    own = pages.crossJoin(asked).withColumn("s", wiki_score(F.col("q"), F.col("terms"), low("title"), low("summary"), low("body"))).select("query_id", "slug", "source_relpath", "s")
+    node = nodes.withColumn("at", F.struct("relpath", "tree_slug"))
+    tree = _scored(questions, node.withColumn("key", F.to_json("at")), "key", [F.col("title"), F.col("summary")], (8, 6), (4, 3), False)
+    tree = tree.withColumn("at", F.from_json("key", node.schema["at"].dataType.simpleString())).select("query_id", "at.*", "score")
+    boost = tree.groupBy("query_id", "relpath", "tree_slug").agg(F.sum("score").alias("s")).groupBy("query_id", F.col("relpath").alias("source_relpath")).agg(F.max("s").alias("boost"))
+    own = _scored(questions, pages, "slug", [F.col(c) for c in ("title", "summary", "body")], (8, 6, 4), (4, 3, 1), False)
+    own = own.join(pages.select("slug", "source_relpath"), "slug")
+    # pages of a source that matches count even if they match nothing themselves
+    more = boost.join(pages.select("slug", "source_relpath"), "source_relpath").select("slug", "query_id", F.lit(0).alias("score"), "source_relpath")
+    own = own.unionByName(more).groupBy("query_id", "slug", "source_relpath").agg(F.max("score").alias("s"))
     some = boost.select("query_id").distinct().withColumn("some", F.lit(True))
     both = own.join(boost, ["query_id", "source_relpath"], "left").join(some, "query_id", "left").filter("some is null or boost is not null")
     scored = both.select("query_id", "slug", (F.col("s") + F.coalesce("boost", F.lit(0))).alias("score")).filter("score > 0")
@@ -186,7 +201,7 @@ def wiki_candidates(questions: DataFrame, pages: DataFrame, routed: DataFrame) -
     words = reduce(lambda a, w: a | F.lower("question").contains(w), WIKI_WORDS, F.lit(False))
     open_ = questions.join(routed.select("query_id", "route"), "query_id").filter((F.col("route") == "wiki") | words)
     score = F.when(F.col("route") == "wiki", WIKI_PRIMARY).otherwise(WIKI_SECONDARY)
-    return open_.join(hit, "query_id").select("query_id", F.lit(0).alias("idx"), F.lit("wiki").alias("route"), score.alias("score"), F.concat("title", F.lit(": "), "summary").alias("text"), F.col("source_relpath").alias("relpath"))
+    return open_.join(hit, "query_id").select("query_id", F.lit(0).alias("idx"), F.lit("wiki").alias("route"), score.alias("score"), F.concat("title", F.lit(": "), "summary").alias("text"), F.col("source_relpath").alias("relpath"), F.lit(None).cast("string").alias("section_path"))
 
 
 def relevant(question: Column, text: Column, similarity: Column) -> Column:
@@ -195,23 +210,28 @@ def relevant(question: Column, text: Column, similarity: Column) -> Column:
     return F.when(F.size(terms) > 0, F.arrays_overlap(terms, lexical_terms(text))).otherwise(similarity >= SIMILARITY_FLOOR)
 
 
+def _path(df: DataFrame) -> Column:
+    """section_path of a table that may have none."""
+    return (F.col("section_path") if "section_path" in df.columns else F.lit(None).cast("string")).alias("section_path")
+
+
 def vector_candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 50, keep: int = 5) -> DataFrame:
     """chunks: chunk_id, relpath, text; vectors: chunk_id, vector."""
-    asked = dense(hash_embedding(questions, "query_id", "question"), "query_id").withColumnRenamed("vector", "v")
-    hits = nearest(vectors, "chunk_id", "vector", asked, "query_id", "v", k).join(chunks.select("chunk_id", "relpath", "text"), "chunk_id").join(small(questions), "query_id")
+    asked = embedded(questions, "query_id", "question").withColumnRenamed("vector", "v")
+    hits = nearest(vectors, "chunk_id", "vector", asked, "query_id", "v", k).join(chunks.select("chunk_id", "relpath", "text", _path(chunks)), "chunk_id").join(small(questions), "query_id")
     near = hits.filter(relevant(F.col("question"), F.col("text"), F.col("similarity"))).drop("rank")
     best = top_k(near, ["query_id"], [F.desc("similarity"), F.col("chunk_id")], keep)
-    return best.select("query_id", (F.col("rank") - 1).alias("idx"), F.lit("vector").alias("route"), F.col("similarity").alias("score"), "text", "relpath")
+    return best.select("query_id", (F.col("rank") - 1).alias("idx"), F.lit("vector").alias("route"), F.col("similarity").alias("score"), "text", "relpath", "section_path")
 
 
 def tree_candidates(questions: DataFrame, nodes: DataFrame, keep: int = 5) -> DataFrame:
     """nodes: relpath, preorder, title, summary. Through an inverted index of the terms, as only nodes with a common term count."""
     asked = small(questions).select("query_id", F.explode(lexical_terms(F.col("question"))).alias("term"))
-    have = nodes.filter("summary != ''").select("relpath", "preorder", "title", "summary", F.explode(F.concat(F.transform(lexical_terms(F.col("title")), lambda t: F.struct(t.alias("term"), F.lit(2).alias("w"))), F.transform(lexical_terms(F.col("summary")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))))).alias("e"))
-    scored = have.select("relpath", "preorder", "title", "summary", "e.term", "e.w").join(F.broadcast(asked), "term").groupBy("query_id", "relpath", "preorder", "title", "summary").agg(F.sum("w").alias("points"))
+    have = nodes.filter("summary != ''").select("relpath", "preorder", "title", "summary", _path(nodes), F.explode(F.concat(F.transform(lexical_terms(F.col("title")), lambda t: F.struct(t.alias("term"), F.lit(2).alias("w"))), F.transform(lexical_terms(F.col("summary")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))))).alias("e"))
+    scored = have.select("relpath", "preorder", "title", "summary", "section_path", "e.term", "e.w").join(F.broadcast(asked), "term").groupBy("query_id", "relpath", "preorder", "title", "summary", "section_path").agg(F.sum("w").alias("points"))
     scored = scored.withColumn("score", F.least(F.col("points") / 10, F.lit(0.85)))
     best = top_k(scored, ["query_id"], [F.desc("score"), F.col("relpath"), F.col("preorder")], keep)
-    return best.select("query_id", (F.col("rank") - 1).alias("idx"), F.lit("page_tree").alias("route"), "score", F.concat("title", F.lit(": "), "summary").alias("text"), "relpath")
+    return best.select("query_id", (F.col("rank") - 1).alias("idx"), F.lit("page_tree").alias("route"), "score", F.concat("title", F.lit(": "), "summary").alias("text"), "relpath", "section_path")
 
 
 def fuse(candidates: DataFrame) -> DataFrame:
@@ -232,7 +252,7 @@ def rerank(fused: DataFrame, ranking: DataFrame, most: int = 10) -> DataFrame:
 
 def answers(questions: DataFrame, fused: DataFrame, routed: DataFrame, missing: str = "no relevant knowledge found") -> DataFrame:
     """One row a question: answer, route, confidence (the winner's own score), source and quote; a fixed answer where nothing was found."""
-    best = fused.filter("position = 1").select("query_id", "text", F.col("route").alias("won"), "score", "relpath")
+    best = fused.filter("position = 1").select("query_id", "text", F.col("route").alias("won"), "score", "relpath", _path(fused))
     out = questions.join(routed.select("query_id", "route"), "query_id", "left").join(best, "query_id", "left")
     return out.select(
         "query_id",
@@ -241,6 +261,7 @@ def answers(questions: DataFrame, fused: DataFrame, routed: DataFrame, missing:
         F.coalesce("score", F.lit(0.0)).alias("confidence"),
         F.coalesce("relpath", F.lit("")).alias("source"),
         F.coalesce(evidence_quote(F.col("text")), F.lit("")).alias("quote"),
+        F.coalesce("section_path", F.lit("")).alias("section_path"),
     )
 
 
@@ -328,4 +349,4 @@ def graph_answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keyw
 
 def graph_candidates(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keywords: DataFrame) -> DataFrame:
     out = graph_answers(questions, nodes, edges, keywords)
-    return out.select("query_id", F.lit(0).alias("idx"), F.lit("graph").alias("route"), F.col("confidence").alias("score"), F.col("answer").alias("text"), "relpath")
+    return out.select("query_id", F.lit(0).alias("idx"), F.lit("graph").alias("route"), F.col("confidence").alias("score"), F.col("answer").alias("text"), "relpath", F.lit(None).cast("string").alias("section_path"))

@@ -4,22 +4,51 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a temporary folder only where it names none (tests)."""
+    """The session's spark.checkpoint.dir. Where it names none, a temporary folder, but only if all runs on one machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = tempfile.mkdtemp(prefix="lorespark-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
 
+def union_all(parts: list[DataFrame]) -> DataFrame:
+    """All rows of tables with the same columns. The first is dealt out anew: were all hashed by one key, Spark would pair up their partitions, whose numbers adaptive execution may change."""
+    return reduce(DataFrame.unionByName, [parts[0].repartition(partitions(parts[0].sparkSession)), *parts[1:]])
+
+
+def partitions(spark: SparkSession) -> int:
+    """The session's number of shuffle partitions, which users set in proportion to the input."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _folder(spark: SparkSession, path: str):
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()), folder
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder: computed once, with no lineage to lose."""
+    """df as a table in the shared folder: computed once, with no lineage to lose. It is deleted when the session's JVM ends, or by drop()."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/lorespark-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, folder = _folder(spark, path)
+    fs.deleteOnExit(folder)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes a table of written() that nothing reads any more."""
+    fs, folder = _folder(df.sparkSession, df.written_to)
+    fs.delete(folder, True)
+    fs.cancelDeleteOnExit(folder)

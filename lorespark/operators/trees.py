@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-NODE = "relpath string, node_id string, parent_id string, preorder int, depth int, level int, title string, start_offset int, end_offset int, section_path string"
-
+from lorespark.functions.text import TOKEN
 
 def markdown_headings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """relpath, idx, level, title, start, length (of the text) of each line `# title`, one to six signs."""
@@ -23,29 +23,41 @@ def markdown_headings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.select("relpath", idx.alias("idx"), F.length(sign).alias("level"), F.regexp_extract("line", "^(#{1,6})\\s+(.+?)\\s*$", 2).alias("title"), "start", "length")
 
 
+#: Levels of headings go from 1 to this.
+DEEPEST = 9
+
+
 def nest(headings: DataFrame) -> DataFrame:
-    """Tree nodes of headings (relpath, idx, level, title, start, length). Nesting follows the order inside one document, which is one group."""
-
-    def build(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = list(pdf.sort_values("idx")[["level", "title", "start"]].itertuples(index=False))
-        length, relpath = int(pdf["length"].iloc[0]), pdf["relpath"].iloc[0]
-        open_: list[tuple[int, str, str]] = []  # level, id, path
-        children: dict[str, int] = {}
-        out = []
-        for k, (level, title, start) in enumerate(rows):
-            while open_ and open_[-1][0] >= level:
-                open_.pop()
-            parent = open_[-1] if open_ else None
-            under = parent[1] if parent else ""
-            children[under] = children.get(under, 0) + 1
-            node = f"{under}.{children[under]}" if parent else f"n{children[under]}"
-            path = f"{parent[2]} > {title}" if parent else title
-            end = next((s for lv, _, s in rows[k + 1 :] if lv <= level), length)
-            out.append((relpath, node, under or None, k + 1, len(open_), level, title, start, end, path))
-            open_.append((level, node, path))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in NODE.split(", ")])
-
-    return headings.groupBy("relpath").applyInPandas(build, NODE)
+    """Tree nodes of headings (relpath, idx, level, title, start, length), for levels from 1 to DEEPEST.
+
+    A heading's parent is the nearest one before it of a lower level, and it ends where the next of its level or a lower one
+    starts. Both, and the chain of ancestors, come from windows over the document, with one column for each level.
+    """
+    order = Window.partitionBy("relpath").orderBy("idx")
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    at_level = lambda columns: F.array(*columns)[F.col("level") - 1]
+    levels = range(1, DEEPEST + 1)
+    above = [F.max(F.when(F.col("level") < n, F.col("idx"))).over(before) for n in levels]
+    ends = [F.min(F.when(F.col("level") <= n, F.col("start"))).over(after) for n in levels]
+    rows = headings.withColumns({"parent": at_level(above), "end": F.coalesce(at_level(ends), "length")})
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("relpath", "parent").orderBy("idx")))
+    # the last heading of each level; it is an ancestor if it comes after those of all lower levels
+    last = [F.last(F.when(F.col("level") == n, F.struct("idx", "nth", "title")), True).over(before) for n in levels]
+    rows = rows.withColumns({f"last{n}": c for n, c in zip(levels, last, strict=True)})
+    latest, chain = F.lit(0), []
+    for n in levels:
+        own = F.col(f"last{n}")
+        chain.append(F.when((F.col("level") > n) & (own.getField("idx") > latest), own))
+        latest = F.greatest(latest, own.getField("idx"))
+    rows = rows.withColumn("chain", F.filter(F.array(*chain), lambda x: x.isNotNull()))
+    joined = lambda field, sep: F.array_join(F.transform("chain", lambda x: x.getField(field).cast("string")), sep)
+    inner = F.size("chain") > 0
+    parent = F.when(inner, F.concat(F.lit("n"), joined("nth", ".")))
+    return rows.select(
+        "relpath", F.concat(F.coalesce(F.concat(parent, F.lit(".")), F.lit("n")), F.col("nth").cast("string")).alias("node_id"), parent.alias("parent_id"), F.col("idx").alias("preorder"),
+        F.size("chain").alias("depth"), "level", "title", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"),
+        F.when(inner, F.concat_ws(" > ", joined("title", " > "), "title")).otherwise(F.col("title")).alias("section_path"),
+    )
 
 
 def single_root(docs: DataFrame, id_col: str, title_col: str, text_col: str) -> DataFrame:
@@ -107,18 +119,19 @@ def enrich(nodes: DataFrame) -> DataFrame:
 
 
 def chunk_offsets(chunks: DataFrame, bodies: DataFrame) -> DataFrame:
-    """relpath, chunk_idx, offset: where each chunk begins in the body, looked for from where the one before was found (-1: nowhere). One document is one group."""
-
-    def find(pdf: pd.DataFrame) -> pd.DataFrame:
-        at, out = 0, []
-        body = pdf["body"].iloc[0] or ""
-        for text in pdf.sort_values("chunk_idx")["text"]:
-            k = body.find(text[:80], at)
-            out.append(k)
-            at = k + 1 if k >= 0 else at
-        return pd.DataFrame({"relpath": pdf["relpath"].iloc[0], "chunk_idx": sorted(pdf["chunk_idx"]), "offset": out})
-
-    return chunks.join(bodies, "relpath").groupBy("relpath").applyInPandas(find, "relpath string, chunk_idx int, offset int")
+    """relpath, chunk_idx, offset: where in the body (relpath, body) the token stands that each chunk (relpath, chunk_idx, start) begins with; -1 beyond the last token. A body is read once."""
+    token = re.compile(TOKEN.replace("\\x{4e00}", "一").replace("\\x{9fff}", "鿿"))
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for relpath, body, starts in pdf.itertuples(index=False):
+                places = [m.start() for m in token.finditer(body or "")]
+                out += [(relpath, s["chunk_idx"], places[s["start"]] if s["start"] < len(places) else -1) for s in starts]
+            yield pd.DataFrame(out, columns=["relpath", "chunk_idx", "offset"])
+
+    starts = chunks.groupBy("relpath").agg(F.collect_list(F.struct(F.col("chunk_idx").cast("int").alias("chunk_idx"), F.col("start").cast("int").alias("start"))).alias("starts"))
+    return bodies.select("relpath", "body").join(starts, "relpath").mapInPandas(find, "relpath string, chunk_idx int, offset int")
 
 
 def flatten_trees(trees: DataFrame) -> DataFrame:

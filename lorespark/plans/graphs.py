@@ -135,7 +135,7 @@ def graph_merge_nodes(spark: SparkSession, d: str) -> DataFrame:
 @query("""select 'all' source_relpath, l_suppkey dst, count(distinct l_partkey) n from lineitem group by 2 having count(distinct l_partkey) > 1""")
 def depends_on_fanin(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").select(F.lit("all").alias("source_relpath"), F.lit("depends_on").alias("relation"), F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
-    return G.retag_shared_targets(e)
+    return G.shared_targets(e)
 
 
 @query("""select id, type from (select 'customer:' || c_custkey id, case c_custkey % 10 when 0 then 'Document' else 'Person' end as type, c_custkey k from customer) where type = 'Document' or k in (select o_custkey from orders)""")

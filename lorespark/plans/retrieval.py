@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorespark.functions import text as T
 from lorespark.functions import vectors as V
 from lorespark.operators import retrieval as R
+from lorespark.operators.tables import union_all
 from lorespark.plans.registry import query, table
 
 TOKEN_SQL = r"[A-Za-z0-9]+|[\x{4e00}-\x{9fff}]|[^\s]"
@@ -50,8 +51,8 @@ EMBED_SQL = f"""(select id, b, n / sqrt(sum(n * n) over (partition by id)) w fro
 
 @query(f"""select id doc_id, count(*) n_buckets, round(max(w), 4) top, round(sum(w * w), 4) norm from {EMBED_SQL.replace('SOURCE', '(select doc_id id, text x from documents)')} group by 1""")
 def hash_embed_norms(spark: SparkSession, d: str) -> DataFrame:
-    e = V.hash_embedding(table(spark, d, "documents"), "doc_id", "text")
-    return e.groupBy("doc_id").agg(F.count("*").alias("n_buckets"), F.round(F.max("weight"), 4).alias("top"), F.round(F.sum(F.col("weight") * F.col("weight")), 4).alias("norm"))
+    e = V.embedded(table(spark, d, "documents"), "doc_id", "text").withColumn("norm", F.round(V.dot(F.col("vector"), F.col("vector")), 4)).filter("norm > 0")
+    return e.select("doc_id", F.size(F.filter("vector", lambda x: x > 0)).cast("long").alias("n_buckets"), F.round(F.array_max("vector"), 4).alias("top"), "norm")
 
 
 @query(f"""with e as {EMBED_SQL.replace('SOURCE', '(select doc_id id, text x from documents)')}, q as {EMBED_SQL.replace('SOURCE', f'(select query_id id, question x from {QUESTIONS_SQL})')},
@@ -59,17 +60,17 @@ def hash_embed_norms(spark: SparkSession, d: str) -> DataFrame:
   select query_id, doc_id, similarity, rank::int rank from (select *, row_number() over (partition by query_id order by similarity desc, doc_id) rank from s) where rank <= 5""")
 def hash_embed_cosine_topk(spark: SparkSession, d: str) -> DataFrame:
     docs, asked = table(spark, d, "documents"), questions(spark, d)
-    base = V.dense(V.hash_embedding(docs, "doc_id", "text"), "doc_id")
-    q = V.dense(V.hash_embedding(asked, "query_id", "question"), "query_id").withColumnRenamed("vector", "v")
+    base = V.embedded(docs, "doc_id", "text")
+    q = V.embedded(asked, "query_id", "question").withColumnRenamed("vector", "v")
     return V.nearest(base, "doc_id", "vector", q, "query_id", "v", 5)
 
 
-KNN_SQL = """(select q.vec_id query_id, e.vec_id, e.label, greatest(round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 4), 0) similarity from embeddings q, embeddings e where q.vec_id < 40)"""
+KNN_SQL = """(select q.vec_id query_id, e.vec_id, e.label, greatest(round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 4), 0) similarity from embeddings q, embeddings e where q.vec_id % 50 = 0)"""
 
 
 def knn(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "embeddings")
-    asked = e.filter("vec_id < 40").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))  # the question set of this query
+    asked = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("v"))  # every fiftieth vector asks
     return V.nearest(e, "vec_id", "embedding", asked, "query_id", "v", 10)
 
 
@@ -132,14 +133,14 @@ def related_pages(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(rf"""with q as (select query_id, lower(trim(question, ' ')) q, regexp_extract_all(lower(question), '[A-Za-z0-9\x{{4e00}}-\x{{9fff}}]{{2,}}') terms from {QUESTIONS_SQL}),
-  s as (select query_id, slug, right(slug, 1) r, (case when contains(title, q) then 8 else 0 end + case when contains(summary, q) then 6 else 0 end + case when contains(body, q) then 4 else 0 end
+  s as (select query_id, slug, (case when contains(title, q) then 8 else 0 end + case when contains(summary, q) then 6 else 0 end + case when contains(body, q) then 4 else 0 end
    + coalesce(list_sum(list_transform(terms, lambda t: case when contains(title, t) then 4 else 0 end + case when contains(summary, t) then 3 else 0 end + case when contains(body, t) then 1 else 0 end)), 0))::int own,
    (case when contains(summary, q) then 8 else 0 end + coalesce(list_sum(list_transform(terms, lambda t: case when contains(summary, t) then 4 else 0 end)), 0))::int b from q cross join {PAGES_SQL} p),
-  t as (select *, case when r = '0' then b else 0 end boost from s), u as (select *, max(boost) over (partition by query_id) > 0 any_boost from t)
+  t as (select *, b boost from s), u as (select *, max(boost) over (partition by query_id) > 0 any_boost from t)
   select query_id, slug, own + boost score from (select *, row_number() over (partition by query_id order by own + boost desc, slug) rn from u where own + boost > 0 and (not any_boost or boost > 0)) where rn = 1""")
 def tree_boosted_search(spark: SparkSession, d: str) -> DataFrame:
     wiki = pages(spark, d)
-    nodes = wiki.filter("slug like '%0'").select(F.col("source_relpath").alias("relpath"), F.lit("t").alias("tree_slug"), F.col("summary").alias("title"), F.lit("").alias("summary"))
+    nodes = wiki.select(F.col("source_relpath").alias("relpath"), F.lit("t").alias("tree_slug"), F.col("summary").alias("title"), F.lit("").alias("summary"))
     return R.tree_boosted_search(questions(spark, d), wiki, nodes)
 
 
@@ -149,9 +150,10 @@ def fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]
     routed = R.route(asked, R.rule_table(spark))
     docs = table(spark, d, "documents")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.concat(F.lit("doc/"), F.col("doc_id").cast("string")).alias("relpath"), "text")
-    vectors = V.dense(V.hash_embedding(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", "text"), "chunk_id")
+    vectors = V.embedded(docs.select(F.col("doc_id").alias("chunk_id"), "text"), "chunk_id", "text")
     nodes = wiki.select(F.col("source_relpath").alias("relpath"), F.lit(1).alias("preorder"), "title", "summary")
-    found = R.wiki_candidates(asked, wiki, routed).unionByName(R.vector_candidates(asked, chunks, vectors)).unionByName(R.tree_candidates(asked, nodes))
+    found = R.wiki_candidates(asked, wiki, routed)
+    found = union_all([found, R.vector_candidates(asked, chunks, vectors), R.tree_candidates(asked, nodes)])
     return asked, R.fuse(found), routed
 
 

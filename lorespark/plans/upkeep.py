@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.operators import catalog, lint, refresh
+from lorespark.operators.tables import union_all
 from lorespark.plans.registry import query, table
 
 
@@ -148,14 +149,14 @@ def lint_trees(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""with {WIKI_SQL}, f as (select 'orphan_page' category, 'warning' severity from p where slug not in (select slug from i) union all select 'dead_link', 'warning' from i where slug not in (select slug from p) union all select 'duplicate_slug', 'warning' from (select slug from i group by slug having count(*) > 1)
   union all select 'fingerprint_drift', 'info' from documents where doc_id % 7 <> 0 and doc_id % 10 <> 0 and doc_id % 5 = 0) select 'severity' kind, severity as name, count(*) n from f group by 2 union all select 'category', category, count(*) from f group by 2""")
 def lint_severity_counts(spark: SparkSession, d: str) -> DataFrame:
-    found = lint.every([lint.check_wiki(*wiki(spark, d)), lint.check_fingerprints(manifest(spark, d), F.lit("txt:v1:"))])
+    found = union_all([lint.check_wiki(*wiki(spark, d)), lint.check_fingerprints(manifest(spark, d), F.lit("txt:v1:"))])
     return lint.counts(found)
 
 
 @query(f"""with {WIKI_SQL}, f as (select slug from p where slug not in (select slug from i) union all select slug from i where slug not in (select slug from p) union all select slug from i group by slug having count(*) > 1) select 'rebuild_index' as action, count(*) n, count(distinct slug) n_targets from f
   union all select 'skip', count(*), count(*) from documents where doc_id % 7 <> 0 and doc_id % 10 <> 0 and doc_id % 5 = 0""")
 def lint_fix_plan(spark: SparkSession, d: str) -> DataFrame:
-    found = lint.every([lint.check_wiki(*wiki(spark, d)), lint.check_fingerprints(manifest(spark, d), F.lit("txt:v1:"))])
+    found = union_all([lint.check_wiki(*wiki(spark, d)), lint.check_fingerprints(manifest(spark, d), F.lit("txt:v1:"))])
     return lint.fix_plan(found).select("action", "n", F.size("targets").cast("long").alias("n_targets"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import signal
+import threading
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -151,15 +153,35 @@ def pptx_segments(z: zipfile.ZipFile, notes: bool = True) -> Iterator[tuple[str,
 READERS = {"docx": docx_segments, "xlsx": xlsx_segments, "pptx": pptx_segments}
 
 
-def read_office(files: DataFrame) -> DataFrame:
-    """Segments of docx, xlsx and pptx files, each parsed by itself; a file that can't be read has one segment of kind `error`."""
+class limited:  # noqa: N801
+    """Raises TimeoutError in its block after so many seconds, where signals can be used."""
+
+    def __init__(self, seconds: float) -> None:
+        self.seconds = seconds if threading.current_thread() is threading.main_thread() else 0.0
+
+    def __enter__(self) -> None:
+        if self.seconds:
+            self.before = signal.signal(signal.SIGALRM, self._over)
+            signal.setitimer(signal.ITIMER_REAL, self.seconds)
+
+    def _over(self, *_: object) -> None:
+        raise TimeoutError(f"parsing took more than {self.seconds:g} s")
+
+    def __exit__(self, *_: object) -> None:
+        if self.seconds:
+            signal.setitimer(signal.ITIMER_REAL, 0)
+            signal.signal(signal.SIGALRM, self.before)
+
+
+def read_office(files: DataFrame, seconds: float = 60.0) -> DataFrame:
+    """Segments of docx, xlsx and pptx files, each parsed by itself; a file that can't be read, or not in so many seconds, has one segment of kind `error`."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for relpath, kind, content in pdf.itertuples(index=False):
                 try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    with limited(seconds), zipfile.ZipFile(io.BytesIO(content)) as z:
                         found = [*READERS[kind](z)]
                 except Exception as e:  # noqa: BLE001  a bad file is a row, not a failed job
                     found = [("error", f"{type(e).__name__}: {e}"[:200], {})]

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import json
+import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -46,17 +48,121 @@ class VersionedTable:
         self.write(self.read().join(keys.select(key), key, "left_anti"))
 
 
-def last_wins(rows: DataFrame, key: str, order: Column) -> DataFrame:
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(order.desc()))).filter("__n = 1").drop("__n")
+class Conflict(RuntimeError):
+    """Another writer committed first; nothing of this commit is visible."""
 
 
-def wiki_pages(extracted: DataFrame) -> DataFrame:
-    """slug, title, summary, body, source_relpath, origin and text (markdown with front matter) of extracted documents (relpath, title, summary, body). Equal slugs get -2, -3, ... by relpath."""
-    at = F.row_number().over(Window.partitionBy("base").orderBy("relpath"))
-    rows = extracted.withColumn("base", slug(F.col("title"))).withColumn("slug", unique_slug(F.col("base"), at))
+class Store:
+    """Tables of documents that change together. A commit holds the rows of the documents it replaces, in a folder of its own
+    for each table, and becomes visible in all tables at once by one small file. Rows of other documents are not rewritten.
+
+    tables: name, and the column that says which document a row is of. Commits are numbered; the number's file is only
+    created if it is not there, and only if no other came since the rows were made, so of two writers one gets Conflict. A document's rows are those of its latest commit.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str]) -> None:
+        self.spark, self.root, self.tables = spark, root.rstrip("/"), tables
+        self._known: dict[str, str] = {}
+
+    def _path(self, path: str):
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
+
+    def _names(self, path: str) -> list[str]:
+        fs, folder = self._path(path)
+        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+    def commits(self) -> list[tuple[int, str]]:
+        """Number and batch of each commit. A number whose file is empty was taken by a writer that did not end."""
+        for name in self._names("commits"):
+            if name not in self._known:
+                fs, path = self._path(f"commits/{name}")
+                stream = fs.open(path)
+                batch = "".join(chr(c) for c in iter(stream.read, -1))
+                stream.close()
+                if batch:
+                    self._known[name] = batch
+        return sorted((int(n), batch) for n, batch in self._known.items())
+
+    def _batches(self, name: str) -> DataFrame | None:
+        paths = [f"{self.root}/{name}/{batch}" for _, batch in self.commits()]
+        return self.spark.read.parquet(*paths) if paths else None
+
+    def live(self) -> DataFrame | None:
+        """relpath and batch of the documents there are."""
+        entries = self._batches("entries")
+        if entries is None:
+            return None
+        last = entries.groupBy("relpath").agg(F.max_by(F.struct("batch", "gone"), "number").alias("e"))
+        return last.filter("not e.gone").select("relpath", "e.batch")
+
+    def exists(self) -> bool:
+        return bool(self.commits())
+
+    def read(self, name: str) -> DataFrame:
+        key = self.tables[name]
+        here = self.live().select(F.col("relpath").alias(key), "batch")
+        return self._batches(name).join(here, [key, "batch"], "left_semi").drop("batch")
+
+    def latest(self) -> int:
+        """The number of the last commit; 0 before the first."""
+        return (self.commits() or [(0, "")])[-1][0]
+
+    def commit(self, rows: dict[str, DataFrame], gone: DataFrame | None = None, after: int | None = None) -> None:
+        """rows: of every table, all rows of the documents that this commit replaces or adds; gone: relpath of those that go; after: the commit that rows were made from."""
+        after = self.latest() if after is None else after
+        number = max([after, *map(int, self._names("commits"))]) + 1
+        batch = uuid.uuid4().hex
+        for name in self.tables:
+            rows[name].withColumn("batch", F.lit(batch)).write.parquet(f"{self.root}/{name}/{batch}")
+        own = [self.spark.read.parquet(f"{self.root}/{name}/{batch}").select(F.col(key).alias("relpath")) for name, key in self.tables.items()]
+        entries = reduce(DataFrame.union, own).distinct().withColumn("gone", F.lit(False))
+        if gone is not None:
+            entries = entries.union(gone.select("relpath").distinct().join(entries, "relpath", "left_anti").withColumn("gone", F.lit(True)))
+        entries.withColumns({"batch": F.lit(batch), "number": F.lit(number)}).write.parquet(f"{self.root}/entries/{batch}")
+        if self.latest() > after:
+            raise Conflict(f"commit {self.latest()} came after {after}")
+        fs, done = self._path(f"commits/{number:08d}")
+        try:
+            stream = fs.create(done, False)
+        except Exception as e:
+            raise Conflict(f"commit {number} is taken") from e
+        stream.writeBytes(batch)
+        stream.close()
+
+    def vacuum(self) -> int:
+        """Deletes folders of commits that never became visible; how many."""
+        kept, n = {batch for _, batch in self.commits()}, 0
+        for name in (*self.tables, "entries"):
+            for batch in set(self._names(name)) - kept:
+                fs, folder = self._path(f"{name}/{batch}")
+                n += bool(fs.delete(folder, True))
+        return n
+
+
+def numbered_slugs(pages: DataFrame, old: DataFrame | None) -> DataFrame:
+    """pages (relpath, title) with a slug. A page keeps the slug it had under the same title; others of an equal slug get the next numbers after those there are, by relpath. old: slug, source_relpath."""
+    rows = pages.withColumn("base", slug(F.col("title")))
+    place = F.row_number().over(Window.partitionBy("base").orderBy("relpath"))
+    if old is None:
+        return rows.withColumn("slug", unique_slug(F.col("base"), place)).drop("base")
+    number = lambda s: F.when(s.rlike("-[0-9]+$"), F.regexp_extract(s, "-([0-9]{1,9})$", 1).cast("int"))
+    stem = F.regexp_replace("slug", "-[0-9]+$", "")
+    used = old.select(F.explode(F.array(F.struct(F.col("slug").alias("base"), F.lit(1).alias("n")), F.struct(stem.alias("base"), F.coalesce(number(F.col("slug")), F.lit(1)).alias("n")))).alias("u")).select("u.*")
+    used = used.groupBy("base").agg(F.max("n").alias("used"))
+    own = old.groupBy(F.col("source_relpath").alias("relpath")).agg(F.min("slug").alias("had"))
+    rows = rows.join(own, "relpath", "left")
+    keeps = F.coalesce((F.col("had") == F.col("base")) | ((F.regexp_replace("had", "-[0-9]+$", "") == F.col("base")) & F.col("had").rlike("-[0-9]+$")), F.lit(False))
+    rows = rows.withColumn("keeps", keeps).join(used, "base", "left")
+    place = F.sum((~F.col("keeps")).cast("int")).over(Window.partitionBy("base").orderBy("relpath")) + F.coalesce("used", F.lit(0))
+    return rows.withColumn("slug", F.when(F.col("keeps"), F.col("had")).otherwise(unique_slug(F.col("base"), place))).drop("base", "had", "keeps", "used")
+
+
+def wiki_pages(extracted: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """slug, title, summary, body, source_relpath, origin and text (markdown with front matter) of extracted documents (relpath, title, summary, body). old: pages there are (slug, source_relpath)."""
+    rows = numbered_slugs(extracted, old).withColumn("origin", F.lit("ingest"))
     quoted = lambda c: F.to_json(F.array(F.regexp_replace(c, "\\s+", " "))).substr(F.lit(2), F.length(F.to_json(F.array(F.regexp_replace(c, "\\s+", " ")))) - 2)
     lines = [F.concat(F.lit(f"{k}: "), quoted(F.col(c))) for k, c in (("slug", "slug"), ("title", "title"), ("summary", "summary"), ("source", "relpath"), ("origin", "origin"))]
-    rows = rows.withColumn("origin", F.lit("ingest"))
     text = F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), "body")
     return rows.select("slug", "title", "summary", "body", F.col("relpath").alias("source_relpath"), "origin", text.alias("text"))
 

@@ -55,7 +55,18 @@ def test_engine(spark, folder, tmp_path):
     out = engine.query("what does Project Atlas depend on").first()
     assert "Server Nine" in out.answer or "Atlas" in out.answer
     assert engine.query("zzzz qqqq").first().confidence == 0
-    assert engine.lint().count() == 0
+    assert first["broken.docx"] == "failed" and [r.category for r in engine.lint().collect()] == ["orphan_raw_source"]  # broken.docx
+    # sections by format: slides and sheets, headings, one section for plain text
+    tree = {}
+    for r in engine.tree_nodes.orderBy("relpath", "preorder").collect():
+        tree.setdefault(r.relpath, []).append((r.node_id, r.section_path))
+    assert tree["sub/notes.md"] == [("n1", "Title here"), ("n1.1", "Title here > Part")] and tree["project-atlas.txt"] == [("n1", "project atlas")]
+    assert tree["b.xlsx"] == [("n1", "One")] and tree["c.pptx"] == [("n1", "Slide 1")] and tree["a.docx"] == [("n1", "Head")]
+    assert engine.chunks.filter("tree_node_id is null").count() == 0
+    assert {(r.header, r.section_path) for r in engine.chunks.filter("relpath = 'b.xlsx'").collect()} == {("## One", "One")}
+    inside = engine.graph_edges.filter("relation = 'belongs_to' and source_relpath = 'sub/notes.md'").collect()
+    assert [r.evidence for r in inside] == ["Section: Title here > Part"]
+    assert engine.query("Atlas impacts Sales").first().section_path in ("", "Title here > Part")
     (folder / "project-atlas.txt").write_text("Project Atlas depends on Server Ten.\n")
     (folder / "latin.txt").unlink()
     plan = {r.action_id: r.status for r in engine.refresh(str(folder), prune=True).collect()}
@@ -69,6 +80,52 @@ def test_engine(spark, folder, tmp_path):
     assert engine.catalog().count() == engine.sources.count()
 
 
+def test_store_of_an_engine(spark, tmp_path):
+    root = tmp_path / "in"
+    root.mkdir()
+    (root / "a.md").write_text("# Same title\n\nAlpha depends on Beta.\n")
+    engine = Engine(spark, str(tmp_path / "kb"))
+    engine.ingest(str(root))
+    (root / "b.md").write_text("# Same title\n\nGamma depends on Delta.\n")
+    engine.ingest(str(root))
+    assert {r.source_relpath: r.slug for r in engine.wiki_pages.collect()} == {"a.md": "same-title", "b.md": "same-title-2"}
+    # an update keeps its slug, and only its own rows are written
+    (root / "a.md").write_text("# Same title\n\nAlpha depends on Epsilon.\n")
+    assert {r.relpath: r.status for r in engine.ingest(str(root)).collect()} == {"a.md": "updated", "b.md": "skipped"}
+    assert {r.source_relpath: r.slug for r in engine.wiki_pages.collect()} == {"a.md": "same-title", "b.md": "same-title-2"}
+    last = engine.store.commits()[-1][1]
+    assert [r.relpath for r in spark.read.parquet(f"{engine.root}/store/sources/{last}").collect()] == ["a.md"]
+    assert {r.dst for r in engine.graph_edges.filter("relation = 'depends_on'").collect()} == {"concept:epsilon", "concept:delta"}
+    # a writer that comes too late
+    with pytest.raises(sinks.Conflict):
+        engine.store.commit({t: engine.store.read(t).limit(0) for t in engine.store.tables}, after=1)
+    assert engine.store.vacuum() > 0 and engine.sources.count() == 2
+    # findings, and what mends them
+    engine.index.write(engine.index.read().filter("slug != 'same-title'").union(spark.createDataFrame([("gone", "t", "s")], "slug string, title string, summary string")))
+    assert {r.category for r in engine.lint().collect()} == {"orphan_page", "dead_link"}
+    (root / "b.md").unlink()
+    assert {r.category for r in engine.lint().collect()} == {"orphan_page", "dead_link", "dangling_manifest_entry"}
+    assert {r.action for r in engine.fix(apply=True).collect()} == {"rebuild_index", "skip"}
+    assert {r.category for r in engine.lint().collect()} == {"dangling_manifest_entry"}
+    # a refresh that runs
+    out = {r.action_id: r.outcome for r in engine.refresh(str(root), prune=True, mode="execute").collect()}
+    assert out == {"prune:b.md": "completed", "graphify:build": "completed"} and engine.sources.count() == 1 and engine.lint().count() == 0
+    assert engine.graph_runs["nodes"].read().count() > 0
+    # answers that become pages
+    answered = engine.query("what does Alpha depend on", writeback="yes").first()
+    assert answered.writeback == "forced" and engine.wiki_pages.filter("origin = 'writeback'").count() == 1
+    assert engine.lint().count() == 0 and engine._manifest().count() == 1
+
+
+def test_tasks_that_take_too_long():
+    import time
+
+    with pytest.raises(TimeoutError), files.limited(0.05):
+        time.sleep(1)
+    with files.limited(5):
+        pass
+
+
 def test_versions(spark, tmp_path):
     t = sinks.VersionedTable(spark, str(tmp_path / "t"))
     assert not t.exists()

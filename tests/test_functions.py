@@ -73,3 +73,76 @@ def test_segment_chunks(spark):
     rows = [("f", 0, "sheet_header", "## S"), ("f", 1, "table_row", "| a |"), ("f", 2, "paragraph", "one two"), ("f", 3, "paragraph", "three"), ("f", 4, "heading", "# H"), ("f", 5, "paragraph", "four")]
     df = spark.createDataFrame(rows, "relpath string, seg_idx int, kind string, text string")
     assert [r.text for r in chunks.segment_chunks(df, 3).orderBy("chunk_idx").collect()] == ["## S\n\n| a |", "## S\n\none two\n\nthree", "## S\n\n# H", "## S\n\n# H\n\nfour"]
+
+
+def test_segment_chunks_without_header(spark):
+    """The first heading takes the header's place; blank texts add nothing; long runs are packed in order."""
+    rows = [(0, "paragraph", "a"), (1, "heading", "# One"), (2, "paragraph", ""), (3, "heading", "# Two"), (4, "paragraph", "b c d"), (5, "paragraph", "e"), (6, "paragraph", "f g"), (7, "heading", "# Three"), (8, "notes", "n"), (9, "slide_header", "## S"), (10, "ocr_text", "o")]
+    df = spark.createDataFrame([("f", *r) for r in rows], "relpath string, seg_idx int, kind string, text string")
+    got = [(r.text, r.section_type, r.header, r.heading) for r in chunks.segment_chunks(df, 4).orderBy("chunk_idx").collect()]
+    assert got == [
+        ("a", "paragraph", None, None), ("# One", "heading", None, "# One"), ("# One", "paragraph", None, "# One"), ("# One\n\n# Two", "heading", None, "# Two"),
+        ("# One\n\n# Two\n\nb c d\n\ne", "paragraph", None, "# Two"), ("# One\n\n# Two\n\nf g", "paragraph", None, "# Two"), ("# One\n\n# Two\n\n# Three", "heading", None, "# Three"),
+        ("# One\n\n# Three\n\nn", "notes", None, "# Three"), ("## S\n\no", "ocr_text", "## S", None),
+    ]
+
+
+def test_nested_headings(spark):
+    levels = [2, 3, 3, 1, 4, 2, 6, 2, 9, 1]
+    df = spark.createDataFrame([("f", i + 1, v, f"t{i}", 10 * i, 100) for i, v in enumerate(levels)], "relpath string, idx int, level int, title string, start int, length int")
+    out = {r.preorder: r for r in trees.nest(df).collect()}
+    parents, kids = [], {}
+    for i, v in enumerate(levels):
+        up = next((j for j in range(i - 1, -1, -1) if levels[j] < v), None)
+        kids.setdefault(up, []).append(i)
+        parents.append(up)
+    name = lambda i: f"n{kids[None].index(i) + 1}" if parents[i] is None else f"{name(parents[i])}.{kids[parents[i]].index(i) + 1}"
+    path = lambda i: [*(path(parents[i]) if parents[i] is not None else []), f"t{i}"]
+    for i, v in enumerate(levels):
+        r = out[i + 1]
+        end = next((10 * j for j in range(i + 1, len(levels)) if levels[j] <= v), 100)
+        assert (r.node_id, r.parent_id, r.depth, r.section_path, r.end_offset) == (name(i), None if parents[i] is None else name(parents[i]), len(path(i)) - 1, " > ".join(path(i)), end)
+
+
+def test_chunk_offsets(spark):
+    body = "Alpha beta, gamma  delta.\nEps 漢字 end"
+    df = spark.createDataFrame([("f", body)], "relpath string, body string")
+    cut = chunks.chunk_windows(df, "relpath", "body", 3, 1)
+    for r in cut.join(trees.chunk_offsets(cut, df), ["relpath", "chunk_idx"]).collect():
+        assert body[r.offset :].startswith(r.tokens[0])
+
+
+def test_shared_targets_become_concepts(spark):
+    rows = [("d", "Plan A depends on Anna Bell. Plan B depends on Anna Bell. Plan C depends on Carl Dorn."), ("e", "Plan A depends on Anna Bell.")]
+    df = spark.createDataFrame(rows, "relpath string, body string").withColumn("title", F.lit("t"))
+    nodes, edges = graph.document_graph(df, "relpath", "title", "body")
+    ends = {(r.source_relpath, r.dst) for r in edges.filter("relation = 'depends_on'").collect()}
+    assert ends == {("d", "concept:anna-bell"), ("d", "person:carl-dorn"), ("e", "person:anna-bell")}
+    assert {(r.source_relpath, r.type) for r in nodes.filter("label = 'Anna Bell'").collect()} == {("d", "Concept"), ("e", "Person")}
+
+
+def test_many_queries_meet_shards(spark, monkeypatch):
+    from lorespark.functions import vectors
+
+    rng = __import__("random").Random(5)
+    base = spark.createDataFrame([(k, [rng.gauss(0, 1) for _ in range(6)]) for k in range(200)], "id long, v array<double>")
+    few = vectors.nearest(base, "id", "v", base.withColumnsRenamed({"id": "q", "v": "w"}), "q", "w", 3).orderBy("query_id", "rank").collect()
+    monkeypatch.setattr(vectors, "BLOCK", 30)
+    monkeypatch.setattr(vectors, "SHARD", 50)
+    many = vectors.nearest(base, "id", "v", base.withColumnsRenamed({"id": "q", "v": "w"}), "q", "w", 3).orderBy("query_id", "rank").collect()
+    assert many == few and len(few) == 600
+
+
+def test_questions_in_blocks(spark, monkeypatch):
+    from lorespark.operators import retrieval
+
+    monkeypatch.setattr(retrieval, "MOST_QUESTIONS", 40)
+    asked = spark.createDataFrame([(k, f"word{k} thing") for k in range(100)], "query_id long, question string")
+    pages = spark.createDataFrame([(f"s{k:03}", "thing", "", f"word{k}") for k in range(100)], "slug string, title string, summary string, body string")
+    out = {r.query_id: r.slug for r in retrieval.in_blocks(asked, lambda q: retrieval.wiki_search(q, pages)).collect()}
+    assert len(out) == 100 and out[7] == "s007"
+
+
+def test_long_chains_are_one_component(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(500)], "src long, dst long")
+    assert {r.component for r in components.connected_components(chain).collect()} == {0}
