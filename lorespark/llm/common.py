@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.operators.tables import written  # noqa: F401
+from lorespark.operators.tables import partitions, written  # noqa: F401
 
 #: A word is a maximal run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,11 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def partitions(spark: SparkSession) -> int:
-    """The session's number of shuffle partitions, which users set in proportion to the input."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def crc_bucket(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n (null id: null)."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
@@ -44,6 +39,18 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str, *more: Column) -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while (name := f"_{name}").lower() in taken:
+            pass
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
     """The batches, cut so that a piece has about SLICE_BYTES of text, or one row."""
     for batch in batches:

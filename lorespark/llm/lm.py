@@ -38,8 +38,8 @@ from lorespark.llm.common import FACTOR, mixed, partitions, release, scanned, sl
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 #: The end token's hash.
 END = np.uint64(0x5851F42D4C957F2D)
-#: Buckets, and parts, for each of the session's shuffle partitions: small groups, as a task holds one whole.
-BUCKETS = 4
+#: Buckets for each of the session's shuffle partitions, and training tokens for each part: small groups, as a task holds one whole.
+BUCKETS, PART = 4, 500_000
 #: Tokens of a lane: lanes are traversed side by side.
 LANE = 512
 
@@ -286,7 +286,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     # rows without an id are told apart by their text, so that they do not meet in one bucket
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("int")).repartition(n, "bucket")
     # both uses take placed as it is, so that Spark shuffles the texts once and uses them again
-    told = placed.groupBy("bucket").applyInArrow(_tell(order, n), TOLD)
+    parts = -(-total // PART) + 1
+    told = placed.groupBy("bucket").applyInArrow(_tell(order, parts), TOLD).repartition(parts, "part")
     answers = told.groupBy("part").applyInArrow(_sum, "bucket int, part int, size int, sums binary")
     schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order, total, distinct, mass, n), schema)
+    return placed.groupBy("bucket").cogroup(answers.groupBy("bucket")).applyInArrow(_score(order, total, distinct, mass, parts), schema)
