@@ -7,9 +7,10 @@ cut into windows that overlap by the widest filter; its prediction is the mean o
 A filter of width 2 sees 65,536 different inputs, so its values are tabulated once and looked up; wider filters are sums
 of such tables. That is the same arithmetic as the convolution, without multiplying at each position.
 
-Training sees a bounded sample (Settings.per_language texts of each language in expectation, spread by a hash of the id
-over all labelled rows). Prediction runs in the tasks; only the sample's windows and the counts by language reach the
-driver.
+Every language that labelled rows have is learnt. Training sees a bounded sample of rows: of each language the first by a
+hash of id and text, Settings.per_language of them, or fewer with many languages, so that all languages together have
+most_texts (each has one at least). Of a sampled text up to windows_per_text windows, spread over it, are learnt from.
+Prediction runs in the tasks, over whole texts; only the sample's windows and the counts by language reach the driver.
 
 Defined cases: null text or one without letters: `und`, score 0; null language: not learnt from; one language learnt:
 predicted for every text with letters; none learnt: `und`. Ties between languages go to the first by name. Equal texts
@@ -23,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.llm.common import slices, texts
@@ -37,7 +38,7 @@ class Settings:
     filters: int = 16
     per_language: int = 1500
     windows_per_text: int = 4
-    most_languages: int = 200
+    most_texts: int = 20_000
     epochs: int = 6
     batch: int = 64
     rate: float = 0.004
@@ -154,20 +155,24 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     s = settings
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), learn.alias("learn"))
     rows = rows.filter(F.col("learn") & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(s.most_languages).collect()
+    counts = rows.groupBy("lang").count().collect()
     network = Network(sorted(r["lang"] for r in counts), s)
     if len(counts) < 2:
         return network
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, s.per_language / r["count"])))))
-    chance = F.pmod(F.xxhash64(F.coalesce("id", F.lit(""))), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.filter(chance < F.element_at(share, F.col("lang"))).select("lang", "text")
+    most = max(1, min(s.per_language, s.most_texts // len(counts)))
+    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, (2.0 * most + 30) / r["count"])))))
+    place = F.xxhash64(F.coalesce("id", F.lit("")), "text")
+    # about twice what is wanted; then exactly that, cut in each task before rows move
+    near = rows.withColumn("place", F.pmod(place, F.lit(1 << 30))).filter(F.col("place") < F.element_at(share, F.col("lang")) * (1 << 30))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("place", "text"))
+    picked = near.withColumn("nth", nth).filter(F.col("nth") <= most).select("lang", "text")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             out = [(lang, w) for lang, t in zip(batch.column("lang").to_pylist(), texts(batch), strict=True) for w in _spread(t, s)]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.string()), pa.array([w for _, w in out], pa.binary())], ["lang", "w"])
 
-    # per_language * windows_per_text windows of each of most_languages languages at most, in expectation
+    # windows_per_text windows at most of most_texts texts, or of one of each language
     found = picked.mapInArrow(windows, "lang string, w binary").collect()
     found.sort(key=lambda r: (r["lang"], bytes(r["w"])))
     at = {lang: k for k, lang in enumerate(network.languages)}

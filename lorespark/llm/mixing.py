@@ -4,22 +4,32 @@ Documents fall into cells by source, language and topic. Their token masses are
 language and by topic all are the targets; a document's sampling rate is its cell's raked mass over its own mass, scaled
 so that the largest rate is 1, and a hash of its id decides.
 
+Targets: for each dimension given, weights of its groups (a dictionary, or a table with the columns <dimension> and
+`target`), or a power, which tempers the dimension's own shares (under 1 it lifts small groups). A topic is a column of
+the caller's, or else the form of the text (TOPICS).
+
 The cell table has one row for each (source, language, topic) that occurs. It is aggregated on the map side first, so
-a source with a third of all rows costs one row a task. Raking only touches the cell table: each sweep divides by three
-sums over it.
+a source with a third of all rows costs one row a task. Raking only touches the cell table: each step adds up its masses
+by one dimension (partial sums first) and multiplies. Sweeps go on until all shares are within `tolerance` of their
+targets, relative to them. Where the targets contradict the cells that occur, no such masses exist: raking ends when ten
+sweeps don't halve the largest error any more, and a warning tells it.
 
-Defined cases: a null source, language or text is a group of its own ('' as its name) or an empty text; a document
+Defined cases: a null source, language, topic or text is a group of its own ('' as its name) or an empty text; a document
 without words counts as one token; a target for a group that does not occur is left out and the others are scaled up; a
-group without a target keeps its own share; rows with equal ids are kept or dropped together; an empty table gives no
-rows. Further input columns are ignored by mixing_rates and kept by sample.
+group without a target keeps its own share; negative or null targets count as none, a target of 0 leaves no document;
+rows with equal ids are kept or dropped together; an empty table gives no rows. Further input columns, whatever their
+names, are ignored by mixing_rates and kept by sample.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import warnings
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import WORD, written
+from lorespark.llm.common import WORD, unused, written
+from lorespark.operators.tables import drop
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Topics by form, the first that holds: a pattern in the text, and the topic's name.
@@ -33,16 +43,20 @@ def topic(text: Column) -> Column:
     return out
 
 
-def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+#: Targets of a dimension: weights by group, a table (<dimension>, target), or the power of its own shares.
+Targets = dict[str, float] | DataFrame | float
+
+
+def grouped(text_col: str, source_col: str, lang_col: str, topic_col: str | None) -> list[Column]:
+    """source, lang and topic of a row."""
+    named = lambda c, d: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(d)
+    return [named(source_col, "source"), named(lang_col, "lang"), named(topic_col, "topic") if topic_col else topic(F.col(text_col).cast("string")).alias("topic")]
+
+
+def described(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
     """doc_id, source, lang, topic and tokens of each row's whole text."""
-    text = F.col(text_col).cast("string")
-    return docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
-        topic(text).alias("topic"),
-        F.greatest(F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)), F.lit(1)).cast("long").alias("tokens"),
-    )
+    tokens = F.greatest(F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)), F.lit(1)).cast("long")
+    return docs.select(F.col(id_col).alias("doc_id"), *grouped(text_col, source_col, lang_col, topic_col), tokens.alias("tokens"))
 
 
 def scalar(df: DataFrame, what: Column) -> float:
@@ -50,49 +64,75 @@ def scalar(df: DataFrame, what: Column) -> float:
     return float(df.agg(what).first()[0] or 0)
 
 
-def tempered(cells: DataFrame, dimension: str, power: float) -> DataFrame:
-    """Targets for a dimension: its shares to a power, scaled to 1. A power under 1 lifts small groups."""
-    sums = cells.groupBy(dimension).agg(F.pow(F.sum("tokens").cast("double"), F.lit(power)).alias("target"))
-    return sums.withColumn("target", F.col("target") / (scalar(sums, F.sum("target")) or 1.0))
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame], sweeps: int) -> DataFrame:
-    """The cells with `own` and `raked`: masses whose shares follow the targets (dimension, target) after so many sweeps."""
-    out = cells.withColumn("own", F.col("tokens") / (scalar(cells, F.sum("tokens")) or 1.0))
-    for d, t in targets.items():
-        goal = t.groupBy(F.coalesce(F.col(d).cast("string"), F.lit("")).alias(d)).agg(F.max("target").alias("given"))
-        shares = out.groupBy(d).agg(F.sum("own").alias("share")).join(goal, d, "left").select(d, F.coalesce("given", "share").alias(f"goal_{d}"))
-        total = scalar(shares, F.sum(f"goal_{d}")) or 1.0
-        out = out.join(shares.withColumn(f"goal_{d}", F.col(f"goal_{d}") / total), d)
-    out = out.withColumn("raked", F.col("own"))
-    for _ in range(sweeps):
-        for d in targets:
-            out = out.withColumn("raked", F.col("raked") * F.col(f"goal_{d}") / F.sum("raked").over(Window.partitionBy(d)))
+def goals(cells: DataFrame, dimension: str, targets: Targets) -> DataFrame:
+    """dimension and goal: the share that each of its groups shall have."""
+    shares = cells.groupBy(dimension).agg(F.sum("own").alias("share"))
+    if isinstance(targets, DataFrame):
+        given = targets.groupBy(F.coalesce(F.col(dimension).cast("string"), F.lit("")).alias(dimension)).agg(F.max("target").alias("given"))
+        shares = shares.join(given, dimension, "left")
+    elif isinstance(targets, dict):
+        given = F.lit(None).cast("double")
+        for name, weight in targets.items():
+            given = F.when(F.col(dimension) == name, F.lit(float(weight))).otherwise(given)
+        shares = shares.withColumn("given", given)
+    else:
+        shares = shares.withColumn("given", F.pow("share", F.lit(float(targets))))
+    # what has no target keeps its own share; the given ones share out the rest in proportion
+    given = F.when(F.col("given") >= 0, F.col("given"))
+    shares = shares.select(dimension, "share", given.alias("given"))
+    weight, kept = (scalar(shares, x) for x in (F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("share")))))
+    return shares.select(dimension, F.when(F.col("given").isNull() | F.lit(weight <= 0), F.col("share")).otherwise(F.col("given") / (weight or 1.0) * (1 - kept)).alias("goal"))
+
+
+def rake(cells: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9) -> DataFrame:
+    """The cells (DIMENSIONS, tokens) with `own` and `raked`: masses, whose shares follow the targets to the tolerance."""
+    total = scalar(cells, F.sum("tokens")) or 1.0
+    out = written(cells.withColumn("own", F.col("tokens") / total).withColumn("raked", F.col("tokens") / total))
+    wanted = {d: written(goals(out, d, t)) for d, t in targets.items()}
+    errors: list[float] = []
+    while wanted:
+        error = 0.0
+        for d, goal in wanted.items():
+            mass = out.groupBy(d).agg(F.sum("raked").alias("mass")).join(goal, d)
+            mass = written(mass.select(d, "mass", "goal", F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(0.0).alias("factor")))
+            error = max(error, scalar(mass, F.max(F.abs(F.col("mass") - F.col("goal")) / F.greatest("goal", F.lit(1e-12)))))
+            new = written(out.join(mass.select(d, "factor"), d).withColumn("raked", F.col("raked") * F.col("factor")).select(*out.columns))
+            for old in (out, mass):
+                drop(old)
+            out = new
+        errors.append(error)
+        if error <= tolerance:
+            break
+        if len(errors) > 10 and error > errors[-11] / 2:
+            warnings.warn(f"raking ended at a relative error of {error:.3g}: the targets don't fit the cells that occur", stacklevel=2)
+            break
+    for goal in wanted.values():
+        drop(goal)
     return out
 
 
-def cell_rates(rows: DataFrame, powers: dict[str, float], sweeps: int = 6) -> DataFrame:
-    """source, lang, topic and the rate of each cell, from the rows of described(). powers: exponents of the dimensions' tempered targets."""
-    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    raked = rake(cells, {d: tempered(cells, d, p) for d, p in powers.items()}, sweeps)
-    rates = written(raked.select(*DIMENSIONS, (F.col("raked") / F.col("own")).alias("rate")))
-    return rates.withColumn("rate", F.col("rate") / (scalar(rates, F.max("rate")) or 1.0))
+def cell_rates(rows: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9) -> DataFrame:
+    """source, lang, topic and the rate of each cell, from the rows of described()."""
+    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    raked = rake(cells, targets, tolerance).withColumn("rate", F.col("raked") / F.col("own"))
+    return raked.select(*DIMENSIONS, (F.col("rate") / (scalar(raked, F.max("rate")) or 1.0)).alias("rate"))
 
 
-def mixing_rates(docs: DataFrame, powers: dict[str, float], sweeps: int = 6, seed: str = "mix", **columns: str) -> DataFrame:
-    """doc_id, source, lang, topic, tokens, rate and kept for each row."""
+def mixing_rates(docs: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9, seed: str = "mix", **columns: str) -> DataFrame:
+    """doc_id, source, lang, topic, tokens, rate and kept for each row. columns: as described() names them."""
     rows = described(docs, **columns)
     # one row for each cell that occurs; Spark broadcasts it only while it is under the session's broadcast threshold
-    out = rows.join(cell_rates(rows, powers, sweeps), [*DIMENSIONS], "left")
+    out = rows.join(cell_rates(rows, targets, tolerance), [*DIMENSIONS], "left")
     return out.withColumn("kept", chance(F.col("doc_id"), seed) < F.col("rate")).select("doc_id", *DIMENSIONS, "tokens", "rate", "kept")
 
 
-def sample(docs: DataFrame, powers: dict[str, float], sweeps: int = 6, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
-    rates = cell_rates(described(docs, id_col, text_col, source_col, lang_col), powers, sweeps)
-    rates = rates.select(F.struct(*DIMENSIONS).alias("__cell"), F.col("rate").alias("__rate"))
-    cell = F.struct(F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"), topic(F.col(text_col).cast("string")).alias("topic"))
-    return docs.withColumn("__cell", cell).join(rates, "__cell", "left").filter(chance(F.col(id_col), seed) < F.col("__rate")).drop("__cell", "__rate")
+    cell, rate = unused(docs, "cell", "rate")
+    rates = cell_rates(described(docs, id_col, text_col, source_col, lang_col, topic_col), targets, tolerance)
+    rates = rates.select(F.struct(*DIMENSIONS).alias(cell), F.col("rate").alias(rate))
+    placed = docs.withColumn(cell, F.struct(*grouped(text_col, source_col, lang_col, topic_col)))
+    return placed.join(rates, cell, "left").filter(chance(F.col(id_col), seed) < F.col(rate)).select(*(placed[c] for c in docs.columns))
 
 
 def chance(id_: Column, seed: str) -> Column:
@@ -101,25 +141,27 @@ def chance(id_: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / float(1 << 48)
 
 
-def oracle(powers: dict[str, float], sweeps: int = 6, seed: str = "mix") -> str:
-    """The same rows in DuckDB."""
+def oracle(targets: dict[str, dict[str, float] | float], sweeps: int = 12, seed: str = "mix", digits: int = 6) -> str:
+    """The same rows in DuckDB, from a fixed number of sweeps: enough for rates to the digits given."""
     topics = " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{n}'" for p, n in TOPICS)
     out = [
         f"""with r as (select doc_id, coalesce(source, '') source, coalesce(lang, '') lang, case {topics} else 'prose' end topic,
         greatest(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')), 1)::bigint tokens from documents),
         c as (select source, lang, topic, sum(tokens)::bigint tokens from r group by all),"""
     ]
-    for d, p in powers.items():
-        out.append(f"g_{d} as (select {d}, m / sum(m) over () goal from (select {d}, pow(sum(tokens)::double, {p}) m from c group by 1)),")
+    for d, t in targets.items():
+        given = "case " + " ".join(f"when {d} = '{k}' then {v}::double" for k, v in t.items()) + " end" if isinstance(t, dict) else f"pow(share, {t})"
+        out.append(f"s_{d} as (select *, {given} given from (select {d}, sum(tokens)::double / (select sum(tokens) from c) share from c group by 1)),")
+        out.append(f"g_{d} as (select {d}, case when given is null then share else given / sum(given) over () * (1 - coalesce(sum(case when given is null then share end) over (), 0)) end goal from s_{d}),")
     out.append("w0 as (select *, tokens::double / sum(tokens) over () own, tokens::double / sum(tokens) over () raked from c),")
     k = 0
     for _ in range(sweeps):
-        for d in powers:
+        for d in targets:
             k += 1
             out.append(f"w{k} as (select w.* replace (raked * g.goal / sum(raked) over (partition by w.{d}) as raked) from w{k - 1} w join g_{d} g on w.{d} = g.{d}),")
     out.append(f"z as (select source, lang, topic, (raked / own) / max(raked / own) over () rate from w{k})")
     out.append(
-        f"""select doc_id, source, lang, topic, tokens, round(rate, 9) rate,
+        f"""select doc_id, source, lang, topic, tokens, round(rate, {digits}) rate,
         ('0x' || substr(md5('{seed}:' || coalesce(doc_id::varchar, '')), 1, 12))::bigint / {float(1 << 48)} < rate kept from r join z using (source, lang, topic)"""
     )
     return "\n".join(out)

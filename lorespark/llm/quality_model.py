@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import WORD, release
+from lorespark.llm.common import WORD, release, unused
 
 
 def statistics(text: Column) -> dict[str, Column]:
@@ -115,8 +115,34 @@ def holds(rule: Rule, values: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(values: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3, bins: int = 64, penalty: float = 0.002, rounds: int = 400, seed: int = 3) -> RuleModel:
-    """values: (rows, FEATURES); labels: 0 or 1."""
+def _lasso(masks: list[np.ndarray], y: np.ndarray, penalty: float, rounds: int) -> tuple[float, np.ndarray]:
+    """Bias and weights of the logistic model with an L1 penalty, by an accelerated proximal gradient."""
+    share = float(y.mean())
+    # single precision, changed in place: the one large array of a fit
+    a = np.empty((len(y), len(masks)), dtype=np.float32)
+    for k, m in enumerate(masks):
+        a[:, k] = m
+    mean = a.mean(axis=0, dtype=float)
+    scale = np.sqrt(mean * (1 - mean))
+    a -= mean.astype(np.float32)
+    a /= scale.astype(np.float32)
+    w, b, t = np.zeros(a.shape[1]), np.log(share / (1 - share)), 1.0
+    v, c = w.copy(), b
+    rate = 4 / (float(np.linalg.eigvalsh((a.T @ a).astype(float)).max()) / len(y) + 1)
+    for _ in range(rounds):
+        e = 1 / (1 + np.exp(-(a @ v.astype(np.float32) + c))) - y
+        new = v - rate * (e.astype(np.float32) @ a) / len(y)
+        new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
+        new_b = c - rate * e.mean()
+        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        v, c = new + (t - 1) / s * (new - w), new_b + (t - 1) / s * (new_b - b)
+        w, b, t = new, new_b, s
+    w = w / scale
+    return float(b - (w * mean).sum()), w
+
+
+def fit(values: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3, bins: int = 64, penalty: float = 0.002, rounds: int = 400, most_rules: int = 40, seed: int = 3) -> RuleModel:
+    """values: (rows, FEATURES); labels: 0 or 1. The heaviest `most_rules` rules of a first fit are fitted again, so the expression stays small."""
     y = labels.astype(float)
     share = float(y.mean()) if len(y) else 0.5
     if share in (0.0, 1.0) or len(y) < 20:
@@ -137,31 +163,18 @@ def fit(values: np.ndarray, labels: np.ndarray, trees: int = 40, depth: int = 3,
     kept = [(r, m) for r in rules if 0.002 < (m := holds(r, values)).mean() < 0.998]
     if not kept:
         return RuleModel(float(np.log(share / (1 - share))), [])
-    # single precision, changed in place: the one large array of a fit
-    a = np.empty((len(y), len(kept)), dtype=np.float32)
-    for k, (_, m) in enumerate(kept):
-        a[:, k] = m
-    mean = a.mean(axis=0, dtype=float)
-    scale = np.sqrt(mean * (1 - mean))
-    a -= mean.astype(np.float32)
-    a /= scale.astype(np.float32)
-    # accelerated proximal gradient for the L1-penalised logistic loss
-    w, b, t = np.zeros(a.shape[1]), np.log(share / (1 - share)), 1.0
-    v, c = w.copy(), b
-    rate = 4 / (float(np.linalg.eigvalsh((a.T @ a).astype(float)).max()) / len(y) + 1)
-    for _ in range(rounds):
-        e = 1 / (1 + np.exp(-(a @ v.astype(np.float32) + c))) - y
-        new = v - rate * (e.astype(np.float32) @ a) / len(y)
-        new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
-        new_b = c - rate * e.mean()
-        s = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        v, c = new + (t - 1) / s * (new - w), new_b + (t - 1) / s * (new_b - b)
-        w, b, t = new, new_b, s
-    w = w / scale
-    return RuleModel(float(b - (w * mean).sum()), [(r, float(x)) for (r, _), x in zip(kept, w, strict=True) if abs(x) > 1e-4])
+    _, w = _lasso([m for _, m in kept], y, penalty, rounds)
+    # by what a rule moves over the rows
+    weight = np.abs(w) * np.array([np.sqrt(m.mean() * (1 - m.mean())) for _, m in kept])
+    heavy = np.argsort(-weight, kind="stable")[:most_rules]
+    kept = [kept[k] for k in sorted(heavy[weight[heavy] > 1e-5])]
+    if not kept:
+        return RuleModel(float(np.log(share / (1 - share))), [])
+    bias, w = _lasso([m for _, m in kept], y, penalty / 4, rounds)
+    return RuleModel(bias, [(r, float(x)) for (r, _), x in zip(kept, w, strict=True) if abs(x) > 1e-4])
 
 
-def with_features(docs: DataFrame, text_col: str = "text", into: str = "__features") -> DataFrame:
+def with_features(docs: DataFrame, text_col: str, into: str) -> DataFrame:
     """docs with a struct of the features of each row's whole text."""
     counted = docs.withColumn(into, F.struct(*(c.alias(k) for k, c in statistics(F.col(text_col).cast("string")).items())))
     return counted.withColumn(into, F.struct(*(c.alias(k) for k, c in ratios(F.col(into)).items())))
@@ -189,5 +202,6 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 
 
 def keep(docs: DataFrame, model: RuleModel, least: float = 0.7, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, whose score reaches `least`."""
-    return with_features(docs, text_col).filter(model.score(F.col("__features")) >= least).drop("__features")
+    """The rows of docs, all columns, whatever their names, whose score reaches `least`."""
+    (into,) = unused(docs, "features")
+    return with_features(docs, text_col, into).filter(model.score(F.col(into)) >= least).drop(into)

@@ -67,12 +67,12 @@ def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
 
 
-#: Exponents of the target shares: the hot source and language shrink, small ones grow, topics move little.
-MIX = {"source": 0.9, "lang": 0.9, "topic": 0.95}
+#: Targets: the hot source shrinks and small ones grow, languages have given weights, topics move little.
+MIX: dict[str, mixing.Targets] = {"source": 0.9, "lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": 0.95}
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixing_rates(table(spark, sf_dir, "documents"), MIX).withColumn("rate", F.round("rate", 9))
+    return mixing.mixing_rates(table(spark, sf_dir, "documents"), MIX).withColumn("rate", F.round("rate", 6))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -117,27 +117,50 @@ def test_quality_model_odd_texts(spark):
     assert model.rules
     out = quality_model.score(odd(spark), model).collect()
     assert len(out) == len(ODD) and all(0 <= r.score <= 1 for r in out)
-    rows = odd(spark).drop("__features")  # the name that keep() uses for itself
+    rows = odd(spark).withColumns({"__features": F.lit(1), "_features": F.lit("mine"), "f": F.lit(2)})
     kept = quality_model.keep(rows, model, 0.0)
-    assert kept.columns == rows.columns and kept.count() == len(ODD)
+    assert kept.columns == rows.columns and kept.filter("_features = 'mine'").count() == len(ODD)
     none = quality_model.train(docs, labels.filter("false"), F.lit(True))
     assert {r.score for r in quality_model.score(odd(spark), none).collect()} == {0.5}
     assert quality_model.score(odd(spark).filter("false"), model).count() == 0
 
 
-def test_mixing_reaches_targets(spark):
+@pytest.mark.parametrize("table", [False, True])
+def test_mixing_reaches_targets(spark, table):
+    """Marginals of the raked masses are the targets, given as weights or as a table."""
     rows = mixing.described(spark.read.parquet(f"{SF}/documents.parquet"))
     cells = rows.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    targets = {d: mixing.tempered(cells, d, p) for d, p in MIX.items()}
-    raked = mixing.rake(cells, targets, 6).persist()
-    total = raked.agg(F.sum("raked")).first()[0]
-    for d, t in targets.items():
-        off = raked.groupBy(d).agg((F.sum("raked") / total).alias("got")).join(t, d).agg(F.max(F.abs(F.col("got") - F.col("target")))).first()[0]
-        assert off < 1e-3
+    lang = {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 1.0, "nowhere": 7.0}
+    topic = {"code": 0.2}  # the others keep their shares
+    own = {d: {r[0]: r[1] for r in rows.groupBy(d).agg(F.sum("tokens")).collect()} for d in mixing.DIMENSIONS}
+    total = sum(own["lang"].values())
+    given = {"source": 0.5, "lang": lang, "topic": topic}
+    if table:
+        given["lang"] = spark.createDataFrame([*lang.items(), (None, 3.0)], "lang string, target double")
+    raked = {d: {} for d in own}
+    for r in mixing.rake(cells, given).collect():
+        for d in own:
+            raked[d][r[d]] = raked[d].get(r[d], 0) + r.raked
+    assert raked["lang"] == pytest.approx({"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}, abs=1e-6)
+    rest = sum(v for k, v in own["topic"].items() if k != "code") / total
+    assert raked["topic"] == pytest.approx({k: (1 - rest if k == "code" else v / total) for k, v in own["topic"].items()}, abs=1e-6)
+    roots = {k: (v / total) ** 0.5 for k, v in own["source"].items()}
+    assert raked["source"] == pytest.approx({k: v / sum(roots.values()) for k, v in roots.items()}, abs=1e-6)
+
+
+def test_mixing_keeps_by_rate(spark):
     out = mixing.mixing_rates(spark.read.parquet(f"{SF}/documents.parquet"), MIX).agg(F.max("rate"), F.count("*"), F.sum("rate"), F.count_if("kept")).first()
     assert out[0] == pytest.approx(1) and out[1] == 1000 and abs(out[3] - out[2]) < 70
 
 
+def test_mixing_says_when_targets_contradict(spark):
+    cells = spark.createDataFrame([("a", "en", "x", 10), ("b", "de", "x", 10)], "source string, lang string, topic string, tokens long")
+    with pytest.warns(UserWarning, match="targets don't fit"):
+        assert mixing.rake(cells, {"source": {"a": 1.0, "b": 3.0}, "lang": {"en": 1.0, "de": 1.0}}).count() == 2
+    out = {r.source: r.raked for r in mixing.rake(cells, {"source": {"a": 0.0, "b": 1.0}}).collect()}
+    assert out == {"a": 0.0, "b": pytest.approx(1.0)}
+
+
 def test_mixing_odd_rows(spark):
     rows = [(k, "some words here", "a" if k % 3 else None, "en") for k in range(30)] + [(None, None, None, None), (5, "", "b", None), (5, "", "b", None)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, source string, lang string, topic string")
@@ -145,4 +168,8 @@ def test_mixing_odd_rows(spark):
     assert len(out) == len(rows) and all(0 < r.rate <= 1 for r in out)
     kept = mixing.sample(df, MIX)
     assert kept.columns == df.columns and kept.count() == sum(r.kept for r in out)
+    by_column = {r.topic for r in mixing.mixing_rates(df, MIX, topic_col="topic").collect()}
+    assert by_column == {"x"}
+    clash = df.withColumns({"_cell": F.lit(1), "__CELL": F.lit("y"), "_rate": F.lit(None), "tokens": F.lit(3)})
+    assert mixing.sample(clash, MIX).columns == clash.columns and mixing.sample(clash, MIX).count() == kept.count()
     assert mixing.mixing_rates(df.filter("false"), MIX).count() == 0 and mixing.sample(df.filter("false"), MIX).count() == 0
