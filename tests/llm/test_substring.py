@@ -3,6 +3,7 @@ import pyarrow.parquet as pq
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lorespark.llm import substring
 from lorespark.llm.fmindex import FmIndex
@@ -74,11 +75,38 @@ def test_corpus(spark, sf):
     assert sum(r[2] for r in out) > 0
 
 
+@pytest.mark.parametrize("hot", [0, 3, 10**9])
+def test_hot_anchors_are_dealt_by_window(spark, hot, monkeypatch):
+    """The result is the same wherever windows are dealt."""
+    monkeypatch.setattr(substring, "HOT", hot)
+    rng = np.random.default_rng(7)
+    hub = "one passage that very many of these texts have in them at some place or other".split()
+    rows = [(i, " ".join([*rng.choice(list("abcd"), 9), *hub[: rng.integers(9, 16)], *rng.choice(list("abcd"), rng.integers(0, 9))])) for i in range(300)]
+    rows += [(None, rows[0][1])] * 3 + [(301, None), (302, rows[1][1]), (302, rows[1][1])]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_many_contexts_of_one_anchor(spark):
+    """100,000 passages around one anchor: keys tell them apart."""
+    rows = [(i, f"w{i} x{i} y{i} z{i} the hub of all of it here w{i} x{i} y{i} z{i}") for i in range(100_000)] + [(100_000, rows_text(5)), (100_001, rows_text(77_777))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    out = {r.doc_id: r.n_removed for r in substring.dedup(df).filter("n_removed > 0").collect()}
+    assert out == {100_000: 15, 100_001: 15}
+
+
+def rows_text(i):
+    return f"w{i} x{i} y{i} z{i} the hub of all of it here w{i} x{i} y{i} z{i}"
+
+
 def test_texts_keep_columns(spark):
     df = spark.createDataFrame([(1, "a " * 20, None, [1]), (2, "x  " + "a " * 20, 2**60, None), (3, None, 1, None)], "doc_id long, text string, kept long, __n array<int>")
     out = {r.doc_id: r for r in substring.dedup_texts(df).collect()}
     assert out[1].text == "a " * 20 and out[2].text == "x" and out[2].kept == 2**60 and out[1].kept is None and out[3].text is None
     assert substring.dedup_texts(df).columns == df.columns
+    clash = df.withColumns({c: F.lit("mine") for c in ("__text", "__id", "id", "bucket", "__bucket", "n_words", "c0", "C1")})
+    rows = substring.dedup_texts(clash).collect()
+    assert all(r[c] == "mine" for r in rows for c in ("__text", "__id", "id", "bucket", "__bucket", "n_words", "c0", "C1"))
+    assert {r.doc_id: r.text for r in rows} == {k: r.text for k, r in out.items()}
 
 
 @settings(max_examples=100, deadline=None)
