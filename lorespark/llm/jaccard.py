@@ -2,12 +2,14 @@
 
 A text is the set of its five-word shingles (a text of fewer words: one shingle of all of them). Texts with equal sets
 are collapsed to one before anything else, so copies cost one row. Each of `trees` prefix tries holds all texts by a
-signature of `depth` MinHash values. Texts that share a node are candidates; prefixes are shortened from
-`depth` one value at a time, until the chance that a pair at the threshold shares a node in some tree reaches `recall`.
+signature of `depth` MinHash values, in sorted order, so a prefix is a range of texts. The prefix that two texts must share
+is shortened from `depth`, one value at a time, until the chance that a pair at the threshold shares it in some tree reaches
+`recall`. How far that is depends on the texts: sets of few shingles can only have a few similarities, and where the least
+one that counts is well above the threshold, a longer prefix does; sets of many shingles need the shortest one.
 
-Each text is compared with all other members of its nodes of the shortest prefix; deeper nodes hold no further pairs.
-Each pair is verified once, on the whole sets, so `n_links` counts every link of a pair that meets in a node. Classes are
-the connected components of the links.
+Each text is compared with all other members of its nodes of that length; deeper nodes hold no further pairs. Each pair
+is verified once, on the whole sets, so `n_links` counts every link of a pair that meets in a node. Classes are the
+connected components of the links.
 
 Skew: texts lie in buckets by key, and buckets in about sqrt(2 n) blocks. A bucket tells each of its nodes once and gets
 back which blocks hold members of the node; a text then goes once to each pair of blocks in which it can meet another. So
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.llm.common import WordHashes, id_and_text, mixed, partitions, release, rolling, scanned, slices, texts
+from lorespark.llm.common import WordHashes, id_and_text, mixed, partitions, release, rolling, scanned, slices, texts, unused
 from lorespark.operators.components import connected_components
 from lorespark.operators.tables import written
 
@@ -56,36 +58,87 @@ def set_key(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def least_similarity(m: int, threshold: float) -> float:
+    """The least Jaccard similarity, from the threshold on, that a set of m can have with another set."""
+    found = []
+    for q in range(math.ceil(threshold * m - 1e-9), math.floor(m / threshold + 1e-9) + 1):
+        i = math.ceil(threshold * (m + q) / (1 + threshold) - 1e-9)
+        if i <= min(m, q) and (q != m or i < m):
+            found.append(i / (m + q - i))
+    return min(found, default=1.0)
+
+
 class Forest:
     def __init__(self, trees: int = 16, depth: int = 8, threshold: float = 0.8, recall: float = 0.995, seed: int = 5) -> None:
         rng = np.random.default_rng(seed)
-        self.trees, self.threshold = trees, threshold
-        #: The shortest prefix: the longest at which the wanted recall is reached. Texts that share more values share it, too.
-        self.depth = next((d for d in range(depth, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
-        depth = self.depth
+        self.trees, self.depth, self.threshold = trees, depth, threshold
+        shortened = lambda s: next((d for d in range(depth, 1, -1) if 1 - (1 - s**d) ** trees >= recall), 1)
+        #: The shortest prefix: what sets of any size share at the threshold.
+        self.shortest = shortened(threshold)
+        #: Prefixes of sets by their size, as far as some are longer; larger sets need the shortest.
+        by_size = [shortened(least_similarity(m, threshold)) if m else depth for m in range(200)]
+        longer = max((m for m in range(1, 200) if by_size[m] > self.shortest), default=0)
+        self.by_size = np.array([*by_size[: longer + 1], self.shortest])
+        #: Sets up to this size may meet one that needs a longer prefix, so they have all values.
+        self.small = math.floor(longer / threshold + 1e-9)
         self.factors = rng.integers(1, 1 << 63, trees * depth, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.salts = rng.integers(0, 1 << 63, trees * depth, dtype=np.uint64)
 
+    def prefixes(self, sizes: np.ndarray) -> np.ndarray:
+        """How many values a set of each size must share."""
+        return self.by_size[np.minimum(sizes, len(self.by_size) - 1)]
+
     def signatures(self, sets: list[np.ndarray]) -> np.ndarray:
-        """16 bits of each MinHash value of non-empty sets, (sets, trees * depth)."""
-        flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
-        out = np.empty((len(sets), len(self.factors)), dtype=np.uint16)
-        buffer = np.empty_like(flat)
-        for k, (f, s) in enumerate(zip(self.factors, self.salts, strict=True)):
-            np.bitwise_xor(flat, s, out=buffer)
-            buffer *= f
-            # the low bits of the smallest value are as good as random, but for a mix
-            out[:, k] = mixed(np.minimum.reduceat(buffer, starts)) >> np.uint64(48)
+        """16 bits of each MinHash value of non-empty sets, (sets, trees * depth). Large sets have 0 beyond the shortest prefix."""
+        out = np.zeros((len(sets), len(self.factors)), dtype=np.uint16)
+        sizes = np.fromiter(map(len, sets), dtype=np.int64, count=len(sets))
+        for rows, first, last in ((np.arange(len(sets)), 0, self.shortest), (np.flatnonzero(sizes <= self.small), self.shortest, self.depth)):
+            if not len(rows) or first == last:
+                continue
+            flat, starts = np.concatenate([sets[r] for r in rows.tolist()]), np.cumsum(sizes[rows]) - sizes[rows]
+            buffer = np.empty_like(flat)
+            for k in (t * self.depth + d for t in range(self.trees) for d in range(first, last)):
+                np.bitwise_xor(flat, self.salts[k], out=buffer)
+                buffer *= self.factors[k]
+                # the low bits of the smallest value are as good as random, but for a mix
+                out[rows, k] = mixed(np.minimum.reduceat(buffer, starts)) >> np.uint64(48)
         return out
 
     def nodes(self, signatures: np.ndarray) -> np.ndarray:
-        """Key of each text's node in each tree, (texts, trees)."""
+        """Key of each text's node of the shortest prefix in each tree, (texts, trees)."""
         s = signatures.reshape(len(signatures), self.trees, self.depth).astype(np.uint64)
         at = mixed(np.broadcast_to(np.arange(1, self.trees + 1, dtype=np.uint64), s.shape[:2]).copy())
-        for d in range(self.depth):
+        for d in range(self.shortest):
             at = mixed(at * np.uint64(3) + s[:, :, d] + np.uint64(1))
         return at.view(np.int64)
 
+    def packed(self, signatures: np.ndarray) -> list[bytes]:
+        """Of each text its nodes, then the values beyond the shortest prefix, by tree."""
+        deeper = signatures.reshape(len(signatures), self.trees, self.depth)[:, :, self.shortest :]
+        return [a.tobytes() + b.tobytes() for a, b in zip(self.nodes(signatures), deeper, strict=True)]
+
+    def tries(self, packed: list[bytes]) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """For each tree, and each length of a prefix from the shortest on: the texts in the trie's order, and where the range of each text's prefix begins and ends."""
+        whole = np.frombuffer(b"".join(packed), dtype=np.uint8).reshape(len(packed), -1)
+        nodes = np.ascontiguousarray(whole[:, : 8 * self.trees]).view(np.int64)
+        deeper = np.ascontiguousarray(whole[:, 8 * self.trees :]).view(np.uint16).reshape(len(packed), self.trees, -1)
+        out = []
+        for t in range(self.trees):
+            values = [nodes[:, t], *deeper[:, t].T]
+            order = np.lexsort(values[::-1])
+            ranges, new = [], np.zeros(len(order), dtype=bool)
+            new[:1] = True
+            for v in values:
+                v = v[order]
+                new[1:] |= v[1:] != v[:-1]
+                starts = np.flatnonzero(new)
+                group = np.cumsum(new) - 1
+                low, high = np.empty(len(order), dtype=np.int64), np.empty(len(order), dtype=np.int64)
+                low[order], high[order] = starts[group], np.append(starts[1:], len(order))[group]
+                ranges.append((order, low, high))
+            out.append(ranges)
+        return out
+
 
 def _hashed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, text and a hash of the text, which with the id tells rows apart that share one."""
@@ -114,10 +167,13 @@ def _bucketed(df: DataFrame, n: int, key: str = "key") -> DataFrame:
     return df.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(n)).cast("int"))
 
 
+def _signatures(t: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
+
+
 def _nodes(forest: Forest, t: pa.RecordBatch | pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Keys of the texts, and their nodes, (texts, trees)."""
-    signatures = np.frombuffer(b"".join(t.column("signature").to_pylist()), dtype=np.uint16).reshape(t.num_rows, -1)
-    return np.asarray(t.column("key")), forest.nodes(signatures)
+    return np.asarray(t.column("key")), forest.nodes(_signatures(t))
 
 
 def _tell(forest: Forest):
@@ -163,7 +219,7 @@ def _placed(forest: Forest, n_blocks: int):
         unit = np.minimum(own, other) * n_blocks + np.maximum(own, other)
         found = np.unique(np.stack([np.repeat(row, size), unit], axis=1), axis=0)
         row, unit = found[:, 0], found[:, 1]
-        packed = [x.tobytes() for x in node]
+        packed = forest.packed(_signatures(left))
         made = pa.table({"unit": pa.array(unit), "key": pa.array(key[row]), "nodes": pa.array([packed[i] for i in row.tolist()], pa.binary())})
         del key, node, known, at, tree, other, found, packed
         release()
@@ -184,27 +240,28 @@ def _sets(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return (both % most).astype(np.int32), np.cumsum(lengths) - lengths, lengths
 
 
-def _compared(threshold: float):
+def _compared(forest: Forest):
     """Of all pairs of a pair of blocks that share a node: the number n of links of each key, and links (key, pivot) that join the same keys as all of them."""
 
     def run(t: pa.Table) -> pa.Table:
-        key, block = np.asarray(t.column("key")), np.asarray(t.column("block"))
-        nodes = np.frombuffer(b"".join(t.column("nodes").to_pylist()), dtype=np.int64).reshape(len(key), -1)
+        key, block, threshold = np.asarray(t.column("key")), np.asarray(t.column("block")), forest.threshold
+        tries = forest.tries(t.column("nodes").to_pylist())
         flat, starts, lengths = _sets([x or b"" for x in t.column("text").cast(pa.binary()).to_pylist()])
         mixed_blocks = bool((block != block[0]).any())
-        groups = []  # of each tree: texts by node, and where each text's node begins and ends
-        for column in nodes.T:
-            order = np.argsort(column, kind="stable")
-            ranked = column[order]
-            groups.append((order, np.searchsorted(ranked, column), np.searchsorted(ranked, column, side="right")))
+        prefix = forest.prefixes(lengths) - forest.shortest
+        longest = int(prefix.max(initial=0))
         count, label = np.zeros(len(key), dtype=np.int64), np.arange(len(key))
         there, near = np.zeros(int(flat.max(initial=-1)) + 1, dtype=np.uint8), np.zeros(len(key), dtype=bool)
         keys, others = [], []
         for i in range(len(key)):
             near[:] = False
-            for order, low, high in groups:
-                if high[i] - low[i] > 1:
-                    near[order[low[i] : high[i]]] = True
+            for ranges in tries:
+                # who needs no longer prefix than this text, and then who needs a longer one
+                for d in range(prefix[i], longest + 1):
+                    order, low, high = ranges[d]
+                    if high[i] - low[i] > 1:
+                        some = order[low[i] : high[i]]
+                        near[some if longest == prefix[i] else some[prefix[some] <= d] if d == prefix[i] else some[prefix[some] == d]] = True
             near[: i + 1] = False
             if mixed_blocks:
                 near &= block != block[i]
@@ -234,7 +291,7 @@ def _compared(threshold: float):
             "pivot": pa.array([*[None] * len(some), *others], pa.int64()),
             "n": pa.array([*count[some].tolist(), *[None] * len(keys)], pa.int64()),
         })
-        del nodes, flat, starts, lengths, groups, there, near
+        del tries, flat, starts, lengths, there, near
         release()
         return made
 
@@ -256,7 +313,7 @@ def links(texts_of: Callable[[DataFrame], DataFrame], reps: DataFrame, forest: F
     units = written(placed.groupBy("bucket").cogroup(shared.groupBy("bucket")).applyInArrow(_placed(forest, n_blocks), "unit long, key long, nodes binary"))
     used = texts_of(units.select("key").distinct())
     sent = _bucketed(units.join(used, "key"), n).select("unit", "key", (F.col("bucket") % n_blocks).alias("block"), "nodes", "text")
-    return written(sent.groupBy("unit").applyInArrow(_compared(forest.threshold), "key long, pivot long, n long"))
+    return written(sent.groupBy("unit").applyInArrow(_compared(forest), "key long, pivot long, n long"))
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest | None = None) -> DataFrame:
@@ -289,6 +346,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", for
 
 def distinct_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", forest: Forest | None = None) -> DataFrame:
     """The rows of docs, all columns, of which each class keeps one: that with the smallest id (of equal rows all)."""
-    gone = classes(docs, id_col, text_col, forest).filter("class_size > 1 and not (doc_id <=> class_id)").select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash")).distinct()
-    same = F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__hash"))
+    i, h = unused(docs, "id", "hash")
+    gone = classes(docs, id_col, text_col, forest).filter("class_size > 1 and not (doc_id <=> class_id)").select(F.col("doc_id").alias(i), F.col("hash").alias(h)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(i)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(h))
     return docs.join(gone, same, "left_anti")

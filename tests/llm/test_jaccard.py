@@ -1,3 +1,4 @@
+import numpy as np
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,7 @@ def test_corpus(spark, sf):
     assert result(out) == want
     found = out.select("doc_id", "n_links", "n_copies").groupBy().agg(F.sum(F.col("n_links") / F.col("n_copies"))).first()[0]
     print("links", len(links), "found", (found or 0) / 2)
+    assert 0.95 * len(links) <= found / 2 <= len(links)
 
 
 def test_cases(spark):
@@ -70,9 +72,32 @@ def test_cases(spark):
     assert (3, near) in kept and (5, "other text of five words here") in kept and (6, "a b") in kept
     assert not any(t == long for _, t in kept)
     assert jaccard.distinct_documents(df).columns == df.columns
+    clash = df.withColumns({c: F.lit("mine") for c in ("__id", "__hash", "_id", "_HASH", "signature", "class_id")})
+    assert jaccard.distinct_documents(clash).filter("__id = 'mine' and _id = 'mine'").count() == jaccard.distinct_documents(df).count()
     assert jaccard.classes(df.filter("false")).count() == 0
 
 
+def test_prefixes_follow_the_sizes():
+    f = jaccard.Forest()
+    for m in range(1, 60):
+        least = min((i / (m + q - i) for q in range(1, 100) for i in range(1, min(m, q) + (q != m)) if i / (m + q - i) >= 0.8), default=1.0)
+        assert jaccard.least_similarity(m, 0.8) == pytest.approx(least)
+        d = int(f.prefixes(np.array([m]))[0])
+        assert 1 - (1 - least**d) ** f.trees >= 0.995 and (d == f.depth or 1 - (1 - least ** (d + 1)) ** f.trees < 0.995)
+    assert f.shortest == 5 and f.prefixes(np.array([1000]))[0] == 5 and f.prefixes(np.array([7]))[0] == 8
+
+
+def test_short_texts(spark):
+    """Sets of a few shingles, where the prefixes that two texts must share differ."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for i in range(400):
+        w = [f"w{i}_{k}" for k in range(int(rng.integers(5, 22)))]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w, f"x{i}"])), (3 * i + 2, " ".join(w[1:]))]
+    want, found = linked(rows, spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sum(want) > 400 and 0.985 * sum(want) <= sum(found) <= sum(want)
+
+
 def test_large_group(spark):
     base = [f"w{k}" for k in range(200)]
     rows = [(i, " ".join(base[: i % 200] + [f"n{i}"] + base[i % 200 + 1 :])) for i in range(400)]
