@@ -4,7 +4,8 @@ Greedy longest match proposes the tokens of a word. A word's BPE encoding is rig
 makes of the token's own text, and no merge crosses the border of any two neighbours. The second test runs for all
 neighbours of a batch at once: both tokens are taken apart along the border, from their last merge back to characters,
 and each pair that meets there must not have a merge that comes before the merge that took either of them away. Only
-words with a failing pair, or a token that BPE would not make, are merged step by step.
+words with a failing pair, or a token that BPE would not make, are merged step by step: short ones side by side, each of
+more than LONG letters by a heap of its merges, so that time grows with its length and not with the square of it.
 
 Defined cases: a null text is an empty text; an empty text has no ids and decodes to an empty string; a text of any
 length is encoded whole; equal texts get equal ids; a null list of ids decodes to an empty string; an id outside the
@@ -13,6 +14,7 @@ vocabulary decodes to nothing, as in the tokenizers library. Further input colum
 
 from __future__ import annotations
 
+import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -25,6 +27,8 @@ from pyspark.sql import DataFrame
 from lorespark.llm.common import id_and_text, release, slices, texts
 
 NEVER = np.int64(1) << 40
+#: Letters of a word beyond which it is merged alone.
+LONG = 200
 #: Chunks of text without white space whose ids a task remembers, in each of two generations.
 REMEMBERED = 120_000
 
@@ -88,6 +92,7 @@ class WordBpe:
         keys = a << 20 | b
         order = np.argsort(keys, kind="stable")
         self.pair_keys, self.pair_ranks = keys[order], order.astype(np.int64)
+        self.ranks: dict[int, int] = {}  # for long words only, so it is made with the first one
         made_ids = np.flatnonzero(self.born >= 0)
         fits = np.ones(n, dtype=bool)
         fits[made_ids] = self.fit(self.left[made_ids], self.right[made_ids], self.born[made_ids])
@@ -121,8 +126,47 @@ class WordBpe:
         k = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[k] == key, self.pair_ranks[k], NEVER)
 
+    def merged_long(self, letters: np.ndarray) -> list[int]:
+        """Ids of one long word: always its merge of lowest rank, of equal ones the left."""
+        ranks, made = self.ranks, self.made
+        if not ranks:
+            ranks.update(zip(self.pair_keys.tolist(), self.pair_ranks.tolist(), strict=True))
+        n, ids = len(letters), [*self.letter_ids[letters[:-1]].tolist(), int(self.end_ids[letters[-1]])]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        todo = [r << 32 | k for k in range(n - 1) if (r := ranks.get(ids[k] << 20 | ids[k + 1])) is not None]
+        heapq.heapify(todo)
+        while todo:
+            merge = heapq.heappop(todo)
+            rank, k = merge >> 32, merge & 0xFFFFFFFF
+            other = after[k]
+            if ids[k] < 0 or other >= n or ranks.get(ids[k] << 20 | ids[other]) != rank:
+                continue  # one of the two has changed since
+            ids[k], ids[other] = int(made[rank]), -1
+            after[k] = beyond = after[other]
+            if beyond < n:
+                before[beyond] = k
+                if (r := ranks.get(ids[k] << 20 | ids[beyond])) is not None:
+                    heapq.heappush(todo, r << 32 | k)
+            if (left := before[k]) >= 0 and (r := ranks.get(ids[left] << 20 | ids[k])) is not None:
+                heapq.heappush(todo, r << 32 | left)
+        return [x for x in ids if x >= 0]
+
     def merged(self, letters: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids by merging of words given as bytes, and each id's word. In each round every word makes its merge of lowest rank, of equal ones the left."""
+        """Ids by merging of words given as bytes, and each id's word."""
+        starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
+        sizes = np.diff(np.append(starts, len(word)))
+        long = np.flatnonzero(sizes > LONG)
+        if not len(long):
+            return self.merged_together(letters, word)
+        short = np.repeat(sizes <= LONG, sizes)
+        parts = [self.merged_together(letters[short], word[short])] if short.any() else []
+        for k in long.tolist():
+            ids = self.merged_long(letters[starts[k] : starts[k] + sizes[k]])
+            parts.append((np.array(ids, dtype=np.int64), np.full(len(ids), word[starts[k]])))
+        return np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts])
+
+    def merged_together(self, letters: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by merging of short words given as bytes, and each id's word. In each round every word makes its merge of lowest rank, of equal ones the left."""
         last = np.append(word[1:] != word[:-1], True)
         ids = np.where(last, self.end_ids[letters], self.letter_ids[letters])
         done = []

@@ -64,3 +64,27 @@ def test_query(spark):
         assert x.n_tokens == len(ids)
         assert x.ids_sha256 == hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest()
         assert x.decoded_sha256 == hashlib.sha256(REAL.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_long_words():
+    """Words of many letters, alone and among others, against the library; time grows with the length."""
+    import random
+    import time
+
+    r = random.Random(3)
+    word = lambda n, letters: "".join(r.choice(letters) for _ in range(n))
+    check(WordBpe(PATH), [word(201, "abcdefghij"), f"the {word(5000, 'abcdefghijklmnopqrstuvwxyz')} cat {word(300, 'ab')} {word(150, 'etaoin')}", "a" * 3001, word(2000, "éßab")])
+    bpe, seconds = WordBpe(PATH), []
+    for n in (50_000, 400_000):
+        began = time.process_time()
+        bpe.encode([word(n, "abcdefghijklmnopqrstuvwxyz").encode()])
+        seconds.append(time.process_time() - began)
+    assert seconds[1] < 24 * seconds[0] + 1
+
+
+def test_word_of_a_million_letters():
+    import random
+
+    r = random.Random(4)
+    text = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    check(WordBpe(PATH), [text])
