@@ -94,24 +94,24 @@ def needed_bands(similarity: float, rows: int, miss: float) -> int:
 class Templates:
     """Templates with their band keys. Those of one number of shingles share their windows."""
 
-    def __init__(self, notices: list[tuple[int, str]], least: float = 0.8, rows: int = 2, miss: float = 1e-4, seed: int = 17) -> None:
-        self.least, self.rows = least, rows
+    def __init__(self, notices: list[tuple[int, str]], least: float = 0.8, rows: int = 2, miss: float = 1e-4, seed: int = 17, size: int = SHINGLE) -> None:
+        self.least, self.rows, self.size = least, rows, size
         self.number, self.sets, self.places, self.hashes = [], [], [], []
         for number, text in notices:
             words = text.encode().translate(FOLD).split()
-            if len(words) >= SHINGLE:
-                grams = [b" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)]
-                self.number.append(number)
-                self.sets.append({g: n for n, g in enumerate(dict.fromkeys(grams))})
-                self.places.append(len(grams))
-                self.hashes.append(np.unique(rolling(scanned([b" ".join(words)])[3], SHINGLE)))
+            grams = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)]
+            self.number.append(number)
+            self.sets.append({g: n for n, g in enumerate(dict.fromkeys(grams))})
+            self.places.append(len(grams))
+            self.hashes.append(np.unique(rolling(scanned([b" ".join(words)])[3], size)))
         rng = np.random.default_rng(seed)
         self.classes = []  # places, step, width, bands, members
         for n in sorted(set(self.places)):
             step = max(1, n // 8)
             members = [t for t, p in enumerate(self.places) if p == n]
             m = min(len(self.sets[t]) for t in members)
-            similarity = least * m / (n + step - 1 + (1 - least) * m)
+            shared = math.ceil(least * m - 1e-9)
+            similarity = shared / (n + step - 1 + m - shared)
             self.classes.append((n, step, n + step - 1, needed_bands(similarity, rows, miss), members))
         most = max((c[3] for c in self.classes), default=0)
         self.factors = rng.integers(0, 1 << 31, most * rows, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -168,7 +168,7 @@ class Templates:
     def best(self, t: int, words: list[bytes], h: np.ndarray) -> tuple[int, int]:
         """Most shingles of the template within its number of consecutive places, and where they first start."""
         at = np.flatnonzero(np.isin(h, self.hashes[t])).tolist()
-        found = [(i, g) for i in at if (g := self.sets[t].get(b" ".join(words[i : i + SHINGLE]))) is not None]
+        found = [(i, g) for i in at if (g := self.sets[t].get(b" ".join(words[i : i + self.size]))) is not None]
         counts, most, first, low = [0] * len(self.sets[t]), 0, -1, 0
         distinct = 0
         for i, g in found:
@@ -187,24 +187,26 @@ class Templates:
 FIELDS = "doc_id long, template long, shared long, shingles long, containment double, first_word long"
 
 
-def _scan(templates: Templates):
+def _scan(groups: list[Templates]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             raw = [x.translate(FOLD) for x in texts(batch)]
             whole, begin, end, words, row = scanned(raw)
-            if len(words) < SHINGLE:
-                continue
-            h = rolling(words, SHINGLE)
-            none = row[: len(h)] != row[SHINGLE - 1 :]
-            candidates = {(r, t) for at, width, t in templates.met(h, none) for r in range(row[at], row[min(at + width, len(h)) - 1] + 1)}
             ids, out = batch.column("doc_id").to_pylist(), []
-            for r, t in sorted(candidates):
-                a, b = np.searchsorted(row, [r, r + 1])
-                own = [whole[x:y] for x, y in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)]
-                shared, first = templates.best(t, own, h[a : max(a, b - SHINGLE + 1)])
-                m = len(templates.sets[t])
-                if shared >= templates.least * m - 1e-9:
-                    out.append((ids[r], templates.number[t], shared, m, shared / m, first))
+            for templates in groups:
+                size = templates.size
+                if len(words) < size:
+                    continue
+                h = rolling(words, size)
+                none = row[: len(h)] != row[size - 1 :]
+                candidates = {(r, t) for at, width, t in templates.met(h, none) for r in range(row[at], row[min(at + width, len(h)) - 1] + 1)}
+                for r, t in sorted(candidates):
+                    a, b = np.searchsorted(row, [r, r + 1])
+                    own = [whole[x:y] for x, y in zip(begin[a:b].tolist(), end[a:b].tolist(), strict=True)]
+                    shared, first = templates.best(t, own, h[a : max(a, b - size + 1)])
+                    m = len(templates.sets[t])
+                    if shared >= templates.least * m - 1e-9:
+                        out.append((ids[r], templates.number[t], shared, m, shared / m, first))
             if out:
                 kinds = (*[pa.int64()] * 4, pa.float64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True), kinds, strict=True)], [x.split()[0] for x in FIELDS.split(", ")])
@@ -212,6 +214,15 @@ def _scan(templates: Templates):
     return run
 
 
+def _by_size(notices: list[tuple[int, str]], least: float) -> list[Templates]:
+    """Notices of fewer than SHINGLE words are one shingle of all their words; those without words are none."""
+    sizes: dict[int, list[tuple[int, str]]] = {}
+    for number, text in notices:
+        if n := len(text.encode().translate(FOLD).split()):
+            sizes.setdefault(min(n, SHINGLE), []).append((number, text))
+    return [Templates(x, least, size=n) for n, x in sorted(sizes.items())]
+
+
 def scan(docs: DataFrame, notices: Iterable[tuple[str, str]] = NOTICES, id_col: str = "doc_id", text_col: str = "text", least: float = 0.8, most_bytes: int = 1 << 20) -> DataFrame:
     """doc_id, template (its number in notices), license, shared and shingles (of the template), containment and first_word (where the best run starts; words count from 0) of each template in each row."""
     notices = list(notices)
@@ -223,7 +234,7 @@ def scan(docs: DataFrame, notices: Iterable[tuple[str, str]] = NOTICES, id_col:
         blocks[-1].append((n, text))
         size += len(text)
     rows = id_and_text(docs, id_col, text_col)
-    found = reduce(DataFrame.union, (rows.mapInArrow(_scan(Templates(block, least)), FIELDS) for block in blocks))
+    found = reduce(DataFrame.union, (rows.mapInArrow(_scan(_by_size(block, least)), FIELDS) for block in blocks))
     names = docs.sparkSession.createDataFrame([(n, name) for n, (name, _) in enumerate(notices)], "template long, license string")
     return found.join(names.hint("broadcast"), "template").select("doc_id", "template", "license", "shared", "shingles", "containment", "first_word")
 
@@ -234,14 +245,14 @@ def oracle(notices: Iterable[tuple[str, str]] = NOTICES) -> str:
     values = ", ".join(f"({n}, '{name}', '{text}')" for n, name, text in quoted)
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     words = f"regexp_extract_all(translate(text, '{upper}', '{lower}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
-    grams = "list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' '))"
+    grams = "list_transform(range(1, len(words) - size + 2), lambda i: array_to_string(words[i:i + size - 1], ' '))"
     return f"""
         with notice(template, license, text) as (values {values}),
-        wanted as (select template, license, {words} as words from notice),
-        grams as (select template, license, len(words) - 4 as places, unnest(list_distinct({grams})) as gram from wanted where len(words) > 4),
+        wanted as (select *, least(len(words), {SHINGLE}) as size from (select template, license, {words} as words from notice)),
+        grams as (select template, license, len(words) - size + 1 as places, unnest(list_distinct({grams})) as gram from wanted where len(words) > 0),
         template as (select *, count(*) over (partition by template) as shingles from grams),
         own as (select doc_id, {words} as words from documents where text is not null),
-        shingle as (select doc_id, unnest({grams}) as gram, unnest(range(0, len(words) - 4)) as place from own where len(words) > 4),
+        shingle as (select doc_id, unnest({grams}) as gram, unnest(range(0, len(words) - size + 1)) as place from own, (select distinct size from wanted) where len(words) >= size),
         hit as (select doc_id, template, license, places, shingles, gram, place from shingle join template using (gram)),
         run as (
             select a.doc_id, a.template, a.license, a.shingles, a.place, count(distinct b.gram) as shared

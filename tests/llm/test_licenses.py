@@ -18,10 +18,11 @@ def brute(rows, notices):
     out = []
     for i, text in rows:
         own = words(text)
-        grams = [tuple(own[k : k + 5]) for k in range(len(own) - 4)]
         for n, (_, notice) in enumerate(notices):
             w = words(notice)
-            places = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+            s = min(5, len(w))  # a notice of fewer words is one shingle
+            grams = [tuple(own[k : k + s]) for k in range(len(own) - s + 1)]
+            places = [tuple(w[k : k + s]) for k in range(len(w) - s + 1)] if w else []
             if not places:
                 continue
             runs = [(len(set(places) & set(grams[k : k + len(places)])), -k) for k in range(len(grams)) if grams[k] in places]
@@ -77,7 +78,13 @@ def test_defined_cases(spark):
     assert got(out) == sorted([(None, 0, 1, 1, 0), (3, 0, 1, 1, 0), (3, 0, 1, 1, 0), (4, 0, 1, 1, 200_000)], key=repr)
     assert {r.license for r in out.collect()} == {"MIT"}
     assert licenses.scan(df.limit(0)).count() == 0
-    assert licenses.scan(df, [("short", "MIT License")]).count() == 0 and licenses.scan(df, []).count() == 0
+    assert {r.doc_id for r in licenses.scan(df, [("short", "MIT License"), ("none", "--")]).collect()} == {None, 3, 4, 6} and licenses.scan(df, []).count() == 0
+
+
+def test_every_notice_is_found(spark):
+    rows = [(n, f"some words before it {text} and after") for n, (_, text) in enumerate(licenses.NOTICES)]
+    found = {(r.doc_id, r.template) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {(n, n) for n, _ in rows} <= found
 
 
 def test_bands_keep_their_promise():
