@@ -13,9 +13,10 @@ on words, over the whole document.
 The templates go to every task; they are taken in blocks of at most `most_bytes`, one scan for each block. A document is
 scanned in the task that reads it: nothing is shuffled, and copies or common lines gather nowhere.
 
-Defined cases: a null text, and one of fewer than five words, contains nothing; so does an empty table. Rows are judged
-one by one, so repeated rows give repeated results; a null id stays null. A template of fewer than five words is never
-found. Of equally good places the first counts. A text may contain several templates. Further input columns are ignored.
+Defined cases: a null text, and one without words, contains nothing; so does an empty table. Rows are judged
+one by one, so repeated rows give repeated results; a null id stays null. A template of fewer than five words is one
+shingle of all its words, one without words is never found. Of equally good places the first counts. A text may contain
+several templates. Further input columns are ignored.
 """
 
 from __future__ import annotations

@@ -24,6 +24,7 @@ names, are ignored by mixing_rates and kept by sample.
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,47 +79,57 @@ def goals(cells: DataFrame, dimension: str, targets: Targets) -> DataFrame:
     else:
         shares = shares.withColumn("given", F.pow("share", F.lit(float(targets))))
     # what has no target keeps its own share; the given ones share out the rest in proportion
-    given = F.when(F.col("given") >= 0, F.col("given"))
-    shares = shares.select(dimension, "share", given.alias("given"))
-    weight, kept = (scalar(shares, x) for x in (F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("share")))))
+    shares = written(shares.select(dimension, "share", F.when(F.col("given") >= 0, F.col("given")).alias("given")))
+    sums = shares.agg(F.sum("given"), F.sum(F.when(F.col("given").isNull(), F.col("share")))).first()
+    weight, kept = (float(x or 0) for x in sums)
     return shares.select(dimension, F.when(F.col("given").isNull() | F.lit(weight <= 0), F.col("share")).otherwise(F.col("given") / (weight or 1.0) * (1 - kept)).alias("goal"))
 
 
-def rake(cells: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9) -> DataFrame:
-    """The cells (DIMENSIONS, tokens) with `own` and `raked`: masses, whose shares follow the targets to the tolerance."""
+def rake(cells: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-6) -> DataFrame:
+    """The cells (DIMENSIONS, tokens) with `own` and `raked`: masses, whose shares follow the targets to the tolerance.
+
+    A raked mass is the own one times a factor of each dimension's group; a step makes one dimension's factors anew, from the
+    cells and the others' factors, which are small tables.
+    """
     total = scalar(cells, F.sum("tokens")) or 1.0
-    out = written(cells.withColumn("own", F.col("tokens") / total).withColumn("raked", F.col("tokens") / total))
-    wanted = {d: written(goals(out, d, t)) for d, t in targets.items()}
+    out = cells.withColumn("own", F.col("tokens") / total)
+    wanted = {d: goals(out, d, t) for d, t in targets.items()}
+    factors: dict[str, DataFrame] = {}
+
+    def raked(but: str | None = None) -> DataFrame:
+        rows, mass = out, F.col("own")
+        for d, f in factors.items():
+            if d != but:
+                rows, mass = rows.join(f.select(d, F.col("factor").alias(f"factor_{d}")), d), mass * F.col(f"factor_{d}")
+        return rows.withColumn("raked", mass)
+
     errors: list[float] = []
     while wanted:
-        error = 0.0
         for d, goal in wanted.items():
-            mass = out.groupBy(d).agg(F.sum("raked").alias("mass")).join(goal, d)
-            mass = written(mass.select(d, "mass", "goal", F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(0.0).alias("factor")))
-            error = max(error, scalar(mass, F.max(F.abs(F.col("mass") - F.col("goal")) / F.greatest("goal", F.lit(1e-12)))))
-            new = written(out.join(mass.select(d, "factor"), d).withColumn("raked", F.col("raked") * F.col("factor")).select(*out.columns))
-            for old in (out, mass):
-                drop(old)
-            out = new
-        errors.append(error)
-        if error <= tolerance:
+            mass = raked(d).groupBy(d).agg(F.sum("raked").alias("mass")).join(goal, d)
+            before = mass.join(factors[d].select(d, F.col("factor").alias("old")), d) if d in factors else mass.withColumn("old", F.lit(1.0))
+            off = F.abs(F.col("mass") * F.col("old") - F.col("goal")) / F.greatest("goal", F.lit(1e-12))
+            new = written(before.select(d, F.when(F.col("mass") > 0, F.col("goal") / F.col("mass")).otherwise(0.0).alias("factor"), off.alias("off")))
+            if d in factors:
+                drop(factors[d])
+            factors[d] = new
+        errors.append(max(scalar(reduce(DataFrame.union, [f.select("off") for f in factors.values()]), F.max("off")), 0.0))
+        if errors[-1] <= tolerance:
             break
-        if len(errors) > 10 and error > errors[-11] / 2:
-            warnings.warn(f"raking ended at a relative error of {error:.3g}: the targets don't fit the cells that occur", stacklevel=2)
+        if len(errors) > 10 and errors[-1] > errors[-11] / 2:
+            warnings.warn(f"raking ended at a relative error of {errors[-1]:.3g}: the targets don't fit the cells that occur", stacklevel=2)
             break
-    for goal in wanted.values():
-        drop(goal)
-    return out
+    return raked().select(*cells.columns, "own", "raked")
 
 
-def cell_rates(rows: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9) -> DataFrame:
+def cell_rates(rows: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-6) -> DataFrame:
     """source, lang, topic and the rate of each cell, from the rows of described()."""
-    cells = rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
-    raked = rake(cells, targets, tolerance).withColumn("rate", F.col("raked") / F.col("own"))
-    return raked.select(*DIMENSIONS, (F.col("rate") / (scalar(raked, F.max("rate")) or 1.0)).alias("rate"))
+    cells = written(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    rates = written(rake(cells, targets, tolerance).select(*DIMENSIONS, (F.col("raked") / F.col("own")).alias("rate")))
+    return rates.withColumn("rate", F.col("rate") / (scalar(rates, F.max("rate")) or 1.0))
 
 
-def mixing_rates(docs: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9, seed: str = "mix", **columns: str) -> DataFrame:
+def mixing_rates(docs: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-6, seed: str = "mix", **columns: str) -> DataFrame:
     """doc_id, source, lang, topic, tokens, rate and kept for each row. columns: as described() names them."""
     rows = described(docs, **columns)
     # one row for each cell that occurs; Spark broadcasts it only while it is under the session's broadcast threshold
@@ -126,7 +137,7 @@ def mixing_rates(docs: DataFrame, targets: dict[str, Targets], tolerance: float
     return out.withColumn("kept", chance(F.col("doc_id"), seed) < F.col("rate")).select("doc_id", *DIMENSIONS, "tokens", "rate", "kept")
 
 
-def sample(docs: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-9, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
+def sample(docs: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-6, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", topic_col: str | None = None) -> DataFrame:
     """The rows of docs that are kept, with their columns."""
     cell, rate = unused(docs, "cell", "rate")
     rates = cell_rates(described(docs, id_col, text_col, source_col, lang_col, topic_col), targets, tolerance)
@@ -141,7 +152,7 @@ def chance(id_: Column, seed: str) -> Column:
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / float(1 << 48)
 
 
-def oracle(targets: dict[str, dict[str, float] | float], sweeps: int = 12, seed: str = "mix", digits: int = 6) -> str:
+def oracle(targets: dict[str, dict[str, float] | float], sweeps: int = 12, seed: str = "mix", digits: int = 4) -> str:
     """The same rows in DuckDB, from a fixed number of sweeps: enough for rates to the digits given."""
     topics = " ".join(f"when regexp_matches(coalesce(text, ''), '{p}') then '{n}'" for p, n in TOPICS)
     out = [

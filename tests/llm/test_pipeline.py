@@ -1,4 +1,6 @@
 import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -41,3 +43,36 @@ def test_stages_against_brute_force(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 50
+
+
+#: Nulls in every column, empty and repeated rows, equal ids, and columns named like the operators' own.
+LONG = " ".join(f"w{k}" for k in range(40))
+ODD = [
+    (1, LONG, "en", "a", 200), (1, LONG, "en", "a", 200), (2, LONG + " more", None, "a", None), (3, None, "en", None, 0), (4, "", "de", "b", 0), (None, LONG, "en", "a", 200),
+    (None, None, None, None, None), (None, None, None, None, None), (5, " \t\n", "fr", "b", 3), (6, "x" * 5000, "en", "a", 5000), (7, "one two", "en", "a", 7),
+]
+CLASHES = ("id", "text_", "bucket", "__id", "__text", "_id", "_hash", "_cell", "_rate", "_features", "c0", "n_words", "kept", "topic", "tokens", "rate", "key", "signature")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_odd_rows_of_each_stage(spark, name):
+    stage = dict(corpus_pipeline.STAGES)[name]
+    docs = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("mine") for c in CLASHES})
+    out = stage(spark, docs, SF)
+    rows = out.collect()
+    if name == "bpe":
+        assert len(rows) == len(ODD) and all(r.n_tokens == len(r.ids) for r in rows)
+    else:
+        assert out.columns == docs.columns and all(r[c] == "mine" for r in rows for c in CLASHES)
+        assert len(rows) <= len(ODD)
+    if name == "ngram_jaccard_join":
+        # copies and near copies leave the smallest id, equal rows of one id stay together, texts without words stay
+        assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in rows) == sorted([(1, "w0"), (1, "w0"), (3, ""), (4, ""), (0, ""), (0, ""), (5, " \t"), (6, "xx"), (7, "on")])
+    if name == "substring_dedup":
+        got = {(r.doc_id, r.text, r.n_chars) for r in rows if r.doc_id in (1, 2, None)}
+        assert len(rows) == len(ODD) and got == {(1, LONG, len(LONG)), (2, "more", 4), (None, LONG, len(LONG)), (None, None, None)}
+    if name == "quality_classifier":
+        # equal texts are judged alike
+        assert sum(r.text == LONG for r in rows) in (0, 3)
+    empty = stage(spark, docs.filter("false"), SF)
+    assert empty.count() == 0
