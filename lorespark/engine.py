@@ -181,8 +181,8 @@ class Engine:
         return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], "relpath string")
 
     def fix(self, path: str | None = None, apply: bool = False) -> DataFrame:
-        """What lint's findings allow to mend (action, n, targets); with apply, the index is built anew and rows that no manifest entry has go."""
-        steps = written(lint.fix_plan(self.lint(path)))
+        """What lint's findings allow to mend (action, target); with apply, the index is built anew and rows that no manifest entry has go."""
+        steps = written(lint.fix_plan(self.lint(path)).distinct())
         if apply:
             todo = {r["action"] for r in steps.select("action").distinct().collect()}  # a handful of kinds
             if "rebuild_index" in todo:
@@ -195,7 +195,7 @@ class Engine:
         """Documents with rows to prune are written again without them."""
         after, dropped = self.store.latest(), {}
         for action, table, key in (("prune_vectors", "chunks", "chunk_id"), ("prune_vectors", "vectors", "chunk_id"), ("prune_graph_nodes", "graph_nodes", "id"), ("prune_graph_edges", "graph_edges", "id")):
-            dropped[table] = key, steps.filter(F.col("action") == action).select(F.explode("targets").alias(key))
+            dropped[table] = key, steps.filter(F.col("action") == action).select(F.col("target").alias(key))
         touched = reduce(DataFrame.union, [self.store.read(t).join(gone, key, "left_semi").select(F.col(TABLES[t]).alias("relpath")) for t, (key, gone) in dropped.items()]).distinct()
         touched = written(touched)
         rows = {}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,16 +49,21 @@ OUTCOME = "resource_key string, ts timestamp, agent_id string, op string, outcom
 
 
 def fold_leases(events: DataFrame) -> DataFrame:
-    """The outcome of each lease event (resource_key, agent_id, op, ts, ttl_seconds), by resource in order of time, then agent. One resource is one group: its state is a sequence."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        lease, out = None, []
-        for r in pdf.sort_values(["ts", "agent_id", "op"]).itertuples(index=False):
-            lease, outcome = step(lease, r.agent_id, r.op, int(r.ts.timestamp()), int(r.ttl_seconds))
-            out.append((r.resource_key, r.ts, r.agent_id, r.op, outcome, lease[0] if lease else None))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")])
-
-    return events.groupBy("resource_key").applyInPandas(fold, OUTCOME)
+    """The outcome of each lease event (resource_key, agent_id, op, ts, ttl_seconds), by resource in order of time, then agent. Spark sorts a resource's events; a task holds one batch of them and the lease in force, however many there are."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, lease = None, None
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if r.resource_key != key:
+                    key, lease = r.resource_key, None
+                lease, outcome = step(lease, r.agent_id, r.op, int(r.ts.timestamp()), int(r.ttl_seconds))
+                out.append((r.resource_key, r.ts, r.agent_id, r.op, outcome, lease[0] if lease else None))
+            yield pd.DataFrame(out, columns=[c.split()[0] for c in OUTCOME.split(", ")])
+
+    order = ["resource_key", "ts", "agent_id", "op"]
+    return events.select(*order, "ttl_seconds").repartition("resource_key").sortWithinPartitions(*order).mapInPandas(fold, OUTCOME)
 
 
 def lease_status(leases: DataFrame, now: Column, stale: bool = True) -> DataFrame:

@@ -168,7 +168,7 @@ def exceeds(findings: DataFrame, threshold: str = "error") -> bool:
 
 
 def fix_plan(findings: DataFrame) -> DataFrame:
-    """action, n and targets (sorted) of the fixes that are allowed; findings without one are skipped with a reason."""
+    """action and target of each finding: the fix that is allowed, or skip."""
     action = (
         F.when(F.col("category").isin("orphan_page", "dead_link", "duplicate_slug"), "rebuild_index")
         .when(F.col("category") == "orphan_vector_chunk", "prune_vectors")
@@ -176,7 +176,7 @@ def fix_plan(findings: DataFrame) -> DataFrame:
         .when((F.col("category") == "graph_drift") & F.col("message").rlike("^(orphan|dangling)_edge"), "prune_graph_edges")
         .otherwise("skip")
     )
-    return findings.groupBy(action.alias("action")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("target")).alias("targets"))
+    return findings.select(action.alias("action"), "target")
 
 
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:

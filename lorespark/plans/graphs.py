@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
@@ -152,26 +152,25 @@ def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
     return G.first_wins(rows, "id", F.col("o_orderdate"), F.col("first_order")).drop("o_orderdate")
 
 
-def pairs(spark: SparkSession, d: str) -> DataFrame:
-    """Suppliers and parts, each only linked to those of the same small number, so that there are many components."""
-    e = table(spark, d, "lineitem").filter("l_quantity >= 49 and l_partkey % 7 = l_suppkey % 7")
-    return e.select((F.col("l_suppkey") * 2).alias("src"), (F.col("l_partkey") * 2 + 1).alias("dst")).distinct()
+def chains(spark: SparkSession, d: str) -> DataFrame:
+    """Each line of an order is linked to the line before it, the first to the customer: a component a customer, of chains that meet in it."""
+    line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    e = table(spark, d, "lineitem").select("l_orderkey", line.alias("src")).distinct().join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    before = F.lag("src").over(Window.partitionBy("l_orderkey").orderBy("src"))
+    return e.select("src", F.coalesce(before, -F.col("o_custkey")).alias("dst"))
 
 
-PAIRS_SQL = "(select distinct l_suppkey * 2 src, l_partkey * 2 + 1 dst from lineitem where l_quantity >= 49 and l_partkey % 7 = l_suppkey % 7)"
-REACH_SQL = f"""with recursive b as materialized (select src a, dst b from {PAIRS_SQL} union select dst, src from {PAIRS_SQL}), r(node, reach) as (select a, a from b union select r.node, b.b from r join b on r.reach = b.a)"""
+NODES_OF_CHAINS_SQL = "(select distinct l_orderkey * 8 + l_linenumber node, -o_custkey component from lineitem join orders on l_orderkey = o_orderkey union select -o_custkey, -o_custkey from lineitem join orders on l_orderkey = o_orderkey)"
 
 
-@query(f"{REACH_SQL} select node, min(reach) component from r group by 1")
+@query(f"select node, component from {NODES_OF_CHAINS_SQL}")
 def components_of_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return connected_components(pairs(spark, d))
+    return connected_components(chains(spark, d))
 
 
-@query(f"{REACH_SQL}, c as (select node, min(reach) component from r group by 1) select component, count(*) n_nodes, dense_rank() over (order by component)::int number from c group by 1")
+@query(f"select component, count(*) n_nodes, dense_rank() over (order by component)::int number from {NODES_OF_CHAINS_SQL} group by 1")
 def community_sizes(spark: SparkSession, d: str) -> DataFrame:
-    sizes = connected_components(pairs(spark, d)).groupBy("component").agg(F.count("*").alias("n_nodes"))
-    from pyspark.sql import Window
-
+    sizes = connected_components(chains(spark, d)).groupBy("component").agg(F.count("*").alias("n_nodes"))
     # one row a component, ranked inside ranges whose sizes are added up, so no task has all of them
     part = F.pmod(F.floor(F.col("component") / 1000), F.lit(1 << 30)).alias("p")
     s = sizes.withColumn("p", part)

@@ -125,9 +125,9 @@ def writeback_gate(spark: SparkSession, d: str) -> DataFrame:
     return R.writeback(g).join(g.select("query_id", "best"), "query_id")
 
 
-@query("""select l_suppkey query_id, list_sort(list_distinct(list('p' || l_partkey))) slugs from (select distinct l_suppkey, l_partkey from lineitem where l_quantity > 45) group by 1""")
+@query("""select l_suppkey query_id, list_sort(list_distinct(list('p' || l_partkey))) slugs from (select distinct l_suppkey, l_partkey from lineitem) group by 1""")
 def related_pages(spark: SparkSession, d: str) -> DataFrame:
-    touched = table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").cast("string").alias("relpath"))
+    touched = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query_id"), F.col("l_partkey").cast("string").alias("relpath"))
     wiki = table(spark, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("slug"), F.col("p_partkey").cast("string").alias("source_relpath"))
     return R.related_pages(touched, wiki)
 

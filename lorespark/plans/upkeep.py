@@ -157,7 +157,7 @@ def lint_severity_counts(spark: SparkSession, d: str) -> DataFrame:
   union all select 'skip', count(*), count(*) from documents where doc_id % 7 <> 0 and doc_id % 10 <> 0 and doc_id % 5 = 0""")
 def lint_fix_plan(spark: SparkSession, d: str) -> DataFrame:
     found = union_all([lint.check_wiki(*wiki(spark, d)), lint.check_fingerprints(manifest(spark, d), F.lit("txt:v1:"))])
-    return lint.fix_plan(found).select("action", "n", F.size("targets").cast("long").alias("n_targets"))
+    return lint.fix_plan(found).groupBy("action").agg(F.count("*").alias("n"), F.countDistinct("target").alias("n_targets"))
 
 
 @query("""select o_orderkey id, list_filter([case when o_orderstatus not in ('F', 'O') then 'label' end, case when o_totalprice > 100000 then 'confidence' end, case when o_orderkey % 5 = 0 then 'relation_type' end, case when o_orderkey % 3 = 0 then 'self_relation' end, case when o_orderkey % 4 = 0 then 'unknown_entity' end], lambda x: x is not null) errors from orders""")
