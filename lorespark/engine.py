@@ -162,7 +162,7 @@ class Engine:
         for k, v in FINGERPRINT.items():
             current = F.when(F.col("format") == k, v).otherwise(current)
         ingested = pages.filter("origin != 'writeback'")
-        tree = self.tree_nodes
+        tree, bodies = self.tree_nodes, sources.select("relpath", F.col("body_length").alias("length"))
         nodes = graph.merge_nodes(self.graph_nodes.withColumn("o", F.xxhash64("source_relpath", "label")), "o")
         parts = [
             lint.check_wiki(pages, self.index.read()),
@@ -170,8 +170,8 @@ class Engine:
             lint.check_vectors(sources.filter("vector_ids is not null"), self.chunks),
             lint.check_graph(sources.filter("graph_nodes is not null"), nodes, self.graph_edges),
             lint.check_fingerprints(sources, current),
-            lint.check_trees(sources, tree.select("relpath").distinct().withColumn("corrupt", F.lit(None).cast("string")), tree, sources.select("relpath", F.col("body_length").alias("length"))),
-            lint.check_chunk_sections(self.chunks, tree),
+            lint.check_trees(sources, tree.select("relpath").distinct().withColumn("corrupt", F.lit(None).cast("string")), tree, bodies),
+            lint.check_chunk_sections(self.chunks, tree, bodies),
         ]
         return union_all(parts)
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.operators.tables import union_all
+from lorespark.operators.trees import coverage
 
 # Severities in order, and each category's severity.
 SEVERITIES = ("info", "warning", "error")
@@ -135,9 +136,13 @@ def check_trees(manifest: DataFrame, trees: DataFrame, nodes: DataFrame, bodies:
     ])
 
 
-def check_chunk_sections(chunks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """chunks: chunk_id, relpath, tree_node_id, offset; nodes: relpath, node_id, start_offset, end_offset. Only documents with a tree count."""
-    rows = chunks.join(nodes.select("relpath").distinct(), "relpath", "left_semi")
+def check_chunk_sections(chunks: DataFrame, nodes: DataFrame, bodies: DataFrame | None = None) -> DataFrame:
+    """chunks: chunk_id, relpath, tree_node_id, offset; nodes: relpath, node_id, start_offset, end_offset. Only documents with a tree count; with bodies (relpath, length), only those whose sections leave no gap."""
+    whole = nodes.select("relpath").distinct()
+    if bodies is not None:
+        spans = nodes.select("relpath", F.col("start_offset").alias("start"), F.col("end_offset").alias("end")).join(bodies.select("relpath", "length"), "relpath")
+        whole = coverage(spans, "relpath", F.col("length")).filter("covered")
+    rows = chunks.join(whole, "relpath", "left_semi")
     known = nodes.select("relpath", F.col("node_id").alias("tree_node_id"), "start_offset", "end_offset", F.lit(True).alias("known"))
     rows = rows.join(known, ["relpath", "tree_node_id"], "left")
     reason = F.when(F.col("tree_node_id").isNull(), "missing_tree_node_id").when(F.col("known").isNull(), "unknown_tree_node_id").when((F.col("offset") < F.col("start_offset")) | (F.col("offset") >= F.col("end_offset")), "offset_gap")

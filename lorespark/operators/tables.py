@@ -52,3 +52,24 @@ def drop(df: DataFrame) -> None:
     fs, folder = _folder(df.sparkSession, df.written_to)
     fs.delete(folder, True)
     fs.cancelDeleteOnExit(folder)
+
+
+def create_once(spark: SparkSession, path: str, content: str) -> bool:
+    """Writes a small file that is not there yet; False if it is. Of several writers at a time one gets True."""
+    fs, file = _folder(spark, path)
+    if fs.getUri().getScheme() == "file":
+        # Hadoop's local file system looks first and creates then; Java's own call does both at once
+        fs.mkdirs(file.getParent())
+        if not spark._jvm.java.io.File(file.toUri().getPath()).createNewFile():
+            return False
+        stream = fs.create(file, True)
+    else:
+        try:
+            stream = fs.create(file, False)
+        except Exception:  # noqa: BLE001  every store has its own word for it
+            if not fs.exists(file):
+                raise
+            return False
+    stream.write(bytearray(content.encode()))
+    stream.close()
+    return True

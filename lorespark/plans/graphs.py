@@ -172,7 +172,7 @@ def components_of_pairs(spark: SparkSession, d: str) -> DataFrame:
 def community_sizes(spark: SparkSession, d: str) -> DataFrame:
     sizes = connected_components(chains(spark, d)).groupBy("component").agg(F.count("*").alias("n_nodes"))
     # one row a component, ranked inside ranges whose sizes are added up, so no task has all of them
-    part = F.pmod(F.floor(F.col("component") / 1000), F.lit(1 << 30)).alias("p")
+    part = F.floor(F.col("component") / 1000)
     s = sizes.withColumn("p", part)
     before = s.groupBy("p").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     at = F.row_number().over(Window.partitionBy("p").orderBy("component"))

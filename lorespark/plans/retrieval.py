@@ -144,8 +144,8 @@ def tree_boosted_search(spark: SparkSession, d: str) -> DataFrame:
     return R.tree_boosted_search(questions(spark, d), wiki, nodes)
 
 
-def fused(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    asked = questions(spark, d)
+def fused(spark: SparkSession, d: str, asked: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    asked = questions(spark, d) if asked is None else asked
     wiki = pages(spark, d)
     routed = R.route(asked, R.rule_table(spark))
     docs = table(spark, d, "documents")

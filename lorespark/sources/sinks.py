@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import slug, unique_slug
+from lorespark.operators.tables import create_once
 
 
 class VersionedTable:
@@ -122,13 +123,8 @@ class Store:
         entries.withColumns({"batch": F.lit(batch), "number": F.lit(number)}).write.parquet(f"{self.root}/entries/{batch}")
         if self.latest() > after:
             raise Conflict(f"commit {self.latest()} came after {after}")
-        fs, done = self._path(f"commits/{number:08d}")
-        try:
-            stream = fs.create(done, False)
-        except Exception as e:
-            raise Conflict(f"commit {number} is taken") from e
-        stream.writeBytes(batch)
-        stream.close()
+        if not create_once(self.spark, f"{self.root}/commits/{number:08d}", batch):
+            raise Conflict(f"commit {number} is taken")
 
     def vacuum(self) -> int:
         """Deletes folders of commits that never became visible; how many."""
