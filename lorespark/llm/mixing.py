@@ -11,7 +11,7 @@ the caller's, or else the form of the text (TOPICS).
 The cell table has one row for each (source, language, topic) that occurs. It is aggregated on the map side first, so
 a source with a third of all rows costs one row a task. Raking only touches the cell table: each step adds up its masses
 by one dimension (partial sums first) and multiplies. Sweeps go on until all shares are within `tolerance` of their
-targets, relative to them. Where the targets contradict the cells that occur, no such masses exist: raking ends when ten
+targets, relative to them. Where the targets contradict the cells that occur, no such masses exist: raking ends when five
 sweeps don't halve the largest error any more, and a warning tells it.
 
 Defined cases: a null source, language, topic or text is a group of its own ('' as its name) or an empty text; a document
@@ -116,7 +116,7 @@ def rake(cells: DataFrame, targets: dict[str, Targets], tolerance: float = 1e-6)
         errors.append(max(scalar(reduce(DataFrame.union, [f.select("off") for f in factors.values()]), F.max("off")), 0.0))
         if errors[-1] <= tolerance:
             break
-        if len(errors) > 10 and errors[-1] > errors[-11] / 2:
+        if len(errors) > 5 and errors[-1] > errors[-6] / 2:
             warnings.warn(f"raking ended at a relative error of {errors[-1]:.3g}: the targets don't fit the cells that occur", stacklevel=2)
             break
     return raked().select(*cells.columns, "own", "raked")

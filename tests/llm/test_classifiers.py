@@ -1,4 +1,5 @@
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -7,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorespark.llm import langid, mixing, quality_model, quality_rules
-from lorespark.llm.common import held_out
+from lorespark.llm.common import held_out, written
 from lorespark.llm.queries import MIX, op5_langid, op7_quality_rules, op9_quality_model
 
 SF = "/root/testdata/sf0.01"
@@ -191,7 +192,7 @@ def test_quality_model_odd_texts(spark):
 def test_mixing_reaches_targets(spark, table):
     """Marginals of the raked masses are the targets, given as weights or as a table."""
     rows = mixing.described(spark.read.parquet(f"{SF}/documents.parquet"))
-    cells = rows.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    cells = written(rows.groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     lang = {"en": 2.0, "de": 1.0, "fr": 1.0, "es": 1.0, "nowhere": 7.0}
     topic = {"code": 0.2}  # the others keep their shares
     own = {d: {r[0]: r[1] for r in rows.groupBy(d).agg(F.sum("tokens")).collect()} for d in mixing.DIMENSIONS}
