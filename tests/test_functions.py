@@ -146,3 +146,37 @@ def test_questions_in_blocks(spark, monkeypatch):
 def test_long_chains_are_one_component(spark):
     chain = spark.createDataFrame([(k, k + 1) for k in range(500)], "src long, dst long")
     assert {r.component for r in components.connected_components(chain).collect()} == {0}
+
+
+def test_leases_against_a_plain_fold(spark):
+    """Outcomes of random events, resource by resource, in whatever partitions they come."""
+    import random
+    from datetime import datetime, timezone
+
+    r = random.Random(8)
+    rows = sorted({(f"r{r.randrange(3)}", r.randrange(4000), f"a{r.randrange(3)}", r.choice(["claim", "renew", "release"])) for _ in range(600)})
+    ttl = lambda k: (0, 50, 300)[k % 3]
+    df = spark.createDataFrame([(res, agent, op, datetime.fromtimestamp(ts, timezone.utc), ttl(ts)) for res, ts, agent, op in rows], "resource_key string, agent_id string, op string, ts timestamp, ttl_seconds int")
+    want, state = [], {}
+    for res, ts, agent, op in rows:
+        owner, until = state.get(res, (None, 0))
+        if until <= ts:
+            owner = None
+        if ttl(ts) == 0:
+            outcome = "invalid_ttl"
+        elif op == "claim":
+            outcome = "claimed" if owner is None else "renewed" if owner == agent else "conflict"
+        elif owner is None:
+            outcome = "no_lease"
+        elif owner != agent:
+            outcome = "not_owner"
+        else:
+            outcome = "renewed" if op == "renew" else "released"
+        if outcome in ("claimed", "renewed"):
+            owner, until = agent, ts + ttl(ts)
+        elif outcome == "released":
+            owner = None
+        state[res] = owner, until
+        want.append((res, ts, agent, op, outcome, owner))
+    got = sorted((x.resource_key, int(x.ts.timestamp()), x.agent_id, x.op, x.outcome, x.owner) for x in ledger.fold_leases(df.repartition(5)).collect())
+    assert got == sorted(want)
