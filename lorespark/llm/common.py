@@ -140,14 +140,14 @@ def _powers(n: int) -> list[np.ndarray]:
     return _POWERS
 
 
-def scanned(rows: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The texts in a row, and of each word its begin, its end, its 64-bit hash and its text's number.
+def scanned(rows: list[bytes], separator: np.ndarray = _SPACE) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in a row, and of each word its begin, its end, its 64-bit hash and its text's number. separator: for each byte whether it parts words; a line feed must.
 
     Hashes are polynomials over bytes, taken for all words at once as differences of running sums.
     """
     whole = b"\n".join(rows)
     b = np.frombuffer(whole, dtype=np.uint8)
-    inside = ~_SPACE[b]
+    inside = ~separator[b]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], inside, [False]]).astype(np.int8)))
     begin, end = edge[::2], edge[1::2]
     hashes = np.empty(len(begin), dtype=np.uint64)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, infill, jaccard, langid, licenses, lm, mixing, quality_model, substring
+from lorespark.llm import ann, decontaminate, infill, jaccard, langid, licenses, lm, mixing, quality_model, substring
 from lorespark.llm.bpe import bpe_decode, bpe_encode
 from lorespark.llm.common import held_out, table
 from lorespark.llm.quality_rules import quality_rules
@@ -75,6 +75,36 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixing_rates(table(spark, sf_dir, "documents"), MIX).withColumn("rate", F.round("rate", 4))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+DECONTAMINATE_SQL = r"""
+with docs as materialized (
+    select row_number() over () as r, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+),
+items as materialized (
+    select item_id::varchar as item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark
+),
+widths as (select item_id, w, least(len(w), 10) as k from items where len(w) > 0),
+asked as (select distinct item_id, k, w[i:i + k - 1] as x from (select item_id, w, k, unnest(range(1, len(w) - k + 2)) as i from widths)),
+places as (select r, k, i, w[i:i + k - 1] as x from (select r, w, k, unnest(range(1, len(w) - k + 2)) as i from docs, (select distinct k from widths) where len(w) >= k)),
+found as materialized (select p.r, p.i, p.k, a.item_id from places p join asked a on a.k = p.k and a.x = p.x),
+hit as (select r, count(*) as n from (select distinct r, unnest(range(i, i + k)) as at from (select distinct r, i, k from found)) group by r),
+named as (select r, count(*) as n, string_agg(item_id, ',' order by item_id) as names from (select distinct r, item_id from found where item_id is not null) group by r)
+select doc_id, len(w) as n_words, coalesce(hit.n, 0) as n_hit, coalesce(named.n, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(hit.n, 0) > 0 as contaminated
+from docs left join hit using (r) left join named using (r)
+"""
+
+
 def op12_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = infill.fill_in_middle(table(spark, sf_dir, "documents"))
     return out.select(
@@ -119,8 +149,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_model": op9_quality_model,
         "op10_mixing": op10_mixing,
         "op12_infill": op12_infill,
+        "op13_decontaminate": op13_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle(), "op10_mixing": mixing.oracle(MIX), "op12_infill": INFILL_SQL}
+    return {"op4_license_scan": licenses.oracle(), "op10_mixing": mixing.oracle(MIX), "op12_infill": INFILL_SQL, "op13_decontaminate": DECONTAMINATE_SQL}
