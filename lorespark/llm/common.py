@@ -51,14 +51,14 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """The batches, cut so that a piece has about SLICE_BYTES of text, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, cut so that a piece has about `size` bytes of text, or one row."""
     for batch in batches:
         rows = batch.num_rows
         if not rows:
             continue
         sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64)
-        piece = np.cumsum(sizes) // SLICE_BYTES
+        piece = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), rows]
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:

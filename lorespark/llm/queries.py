@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorespark.llm import ann, decontaminate, infill, jaccard, langid, licenses, lm, mixing, quality_model, substring
+from lorespark.llm import ann, decontaminate, divergence, infill, jaccard, langid, licenses, lm, mixing, quality_model, substring
 from lorespark.llm.bpe import bpe_decode, bpe_encode
 from lorespark.llm.common import held_out, table
 from lorespark.llm.quality_rules import quality_rules
@@ -83,6 +83,45 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+DIVERGENCE_SQL = r"""
+with docs as materialized (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as w
+    from documents
+),
+occurrences as materialized (select r, lang, source, unnest(w) as term from docs),
+kept as materialized (select lang, term from occurrences group by lang, term having count(distinct r) >= 3),
+groups as (select distinct lang, source from docs),
+sizes as (select lang, count(*) as v from kept group by lang),
+counts as materialized (select o.lang, o.source, o.term, count(*) as n from occurrences o semi join kept k on o.lang = k.lang and o.term = k.term group by all),
+group_totals as (select lang, source, sum(n) as total from counts group by all),
+lang_counts as (select lang, term, sum(n) as n from counts group by all),
+lang_totals as (select lang, sum(n) as total from lang_counts group by all),
+p as materialized (
+    select g.lang, g.source, k.term, coalesce(c.n, 0) as n, 1 + (1000000000::hugeint * (coalesce(c.n, 0) + 1)) // (coalesce(t.total, 0) + s.v) as p
+    from groups g join kept k using (lang) join sizes s using (lang)
+    left join counts c on c.lang = g.lang and c.source = g.source and c.term = k.term left join group_totals t on t.lang = g.lang and t.source = g.source
+),
+q as (select c.lang, c.term, 1 + (1000000000::hugeint * (c.n + 1)) // (t.total + s.v) as q from lang_counts c join lang_totals t using (lang) join sizes s using (lang)),
+sums as (
+    select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+),
+pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source left join sums s on s.lang = a.lang and s.source = a.source and s.item = b.source
+),
+terms as (select p.lang, p.source, 'term' as part, p.term as item, (((p - q) * (p - q)) // q)::bigint as value from p join q on p.lang = q.lang and p.term = q.term where n > 0 and p > q)
+select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from pairs
+union all
+select *, row_number() over (partition by lang, source order by value desc, item)::int as rank from terms qualify rank <= 200
+"""
+
+
 DECONTAMINATE_SQL = r"""
 with docs as materialized (
     select row_number() over () as r, doc_id,
@@ -148,10 +187,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_lm_score": op8_lm_score,
         "op9_quality_model": op9_quality_model,
         "op10_mixing": op10_mixing,
+        "op11_divergence": op11_divergence,
         "op12_infill": op12_infill,
         "op13_decontaminate": op13_decontaminate,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_license_scan": licenses.oracle(), "op10_mixing": mixing.oracle(MIX), "op12_infill": INFILL_SQL, "op13_decontaminate": DECONTAMINATE_SQL}
+    return {"op4_license_scan": licenses.oracle(), "op10_mixing": mixing.oracle(MIX), "op11_divergence": DIVERGENCE_SQL, "op12_infill": INFILL_SQL, "op13_decontaminate": DECONTAMINATE_SQL}
