@@ -3,8 +3,13 @@
 Vectors are projected on a number of random directions, and each direction keeps one array sorted by projection. A query
 opens a window around its own projection in each array; a vector collides in as many arrays as have it in the window.
 Windows widen step by step (virtual rehashing: nothing is hashed again), and a vector whose collisions pass the threshold
-is verified exactly, once. A query ends when its windows are so wide, against the distance of its k-th best, that a
-nearer vector would pass the threshold almost surely, or when all vectors are verified. There is no cap on candidates.
+is verified exactly, once; no cosine of any other vector is computed. A query ends when its windows are so wide, against
+the distance of its k-th best, that a nearer vector would pass the threshold almost surely, or when all vectors are
+verified. There is no cap on candidates.
+
+A projection of a difference of length d is normal with deviation d. So a window of REACH times d holds a vector at
+distance d with a known probability, and one at RATIO times d with a smaller one. plan() takes from these how many arrays
+and which threshold it needs to miss MISSED of the first at most, and to pass PASSED of the second.
 
 Where the work goes:
 
@@ -25,7 +30,9 @@ than k: all of them; ties go to the smaller id; no vectors or queries: no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -35,16 +42,18 @@ from pyspark.sql import functions as F
 from lorespark.llm.common import release
 from lorespark.operators.tables import written
 
-#: Width of a window, in units of a distance, within which two of three projections of that distance fall.
-REACH = 1.0
-#: The same for 99 of 100 projections: how far a cell may lie from a query.
+#: Half the width of a window, in units of the distance that it must reach.
+REACH = 1.5
+#: A vector this many times as far as the k-th nearest is far; shares of near ones that are missed, and of far ones that pass.
+RATIO, MISSED, PASSED = 1.25, 0.03, 0.15
+#: Distances within which 99 of 100 projections of a distance fall: how far a cell may lie from a query.
 CELL_REACH = 2.576
 #: Rounding of projections.
 ROUNDING = 1e-9
 #: Parts that each direction of the cells is cut into.
 PARTS = 4
-#: Queries whose cosines are computed together, and decimals in which cosines are compared.
-TOGETHER, DECIMALS = 32, 12
+#: Decimals in which cosines are compared.
+DECIMALS = 12
 SEED = 11
 
 
@@ -52,55 +61,73 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((n, dim))
 
 
+def plan(reach: float = REACH, ratio: float = RATIO, missed: float = MISSED, passed: float = PASSED) -> tuple[int, int]:
+    """Number of arrays, and of collisions that make a candidate."""
+    normal = NormalDist()
+    near, far = (2 * normal.cdf(reach / r) - 1 for r in (1.0, ratio))
+    near_z, far_z = -normal.inv_cdf(missed), -normal.inv_cdf(passed)
+    arrays = math.ceil(((near_z * math.sqrt(near * (1 - near)) + far_z * math.sqrt(far * (1 - far))) / (near - far)) ** 2)
+    return arrays, math.floor(arrays * near - near_z * math.sqrt(arrays * near * (1 - near)))
+
+
 class CollisionIndex:
-    """Sorted projections of the vectors of one group (65,535 at most).
+    """Sorted projections of the vectors of one group.
 
     A window is a range of ranks in a sorted array, so a vector's collisions are the arrays in which its rank is in the
     window. All arrays are tested at once; widening a window only moves its two ranks.
     """
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, arrays: int = 16, threshold: float = 0.5, widen: float = 1.4, seed: int = SEED) -> None:
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, arrays: int | None = None, least: int | None = None, widen: float = 1.3, seed: int = SEED) -> None:
         self.ids, self.vectors, self.widen = ids, vectors, widen
         self.norms = np.sqrt((vectors * vectors).sum(axis=1))
-        self.least = int(np.ceil(threshold * arrays))
+        planned = plan()
+        arrays = planned[0] if arrays is None else arrays
+        self.least = planned[1] if least is None else least
         self.directions = directions(vectors.shape[1], arrays, seed)
         at = ((vectors / self.norms[:, None]) @ self.directions.T).T
         order = np.argsort(at, axis=1, kind="stable")
         self.sorted = np.take_along_axis(at, order, axis=1)
-        self.ranks = np.empty(at.shape, dtype=np.uint16)
-        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=np.uint16)[None, :], axis=1)
+        self.rank = np.uint16 if len(ids) < 1 << 16 else np.uint32
+        self.ranks = np.empty(at.shape, dtype=self.rank)
+        np.put_along_axis(self.ranks, order, np.arange(len(ids), dtype=self.rank)[None, :], axis=1)
 
     def colliding(self, centre: np.ndarray, reach: float) -> np.ndarray:
         """The vectors that are in enough of the windows of centre +- reach."""
         low = np.array([s.searchsorted(c - reach, side="left") for s, c in zip(self.sorted, centre, strict=True)])
         high = np.array([s.searchsorted(c + reach, side="right") for s, c in zip(self.sorted, centre, strict=True)])
         # numbers wrap, so ranks under the window are beyond its width, too; a window of all has no other ranks
-        inside = self.ranks - low.astype(np.uint16)[:, None] < (high - low).astype(np.uint16)[:, None]
-        return np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint8) >= self.least)
+        inside = self.ranks - low.astype(self.rank)[:, None] < (high - low).astype(self.rank)[:, None]
+        return np.flatnonzero(np.add.reduce(inside, axis=0, dtype=np.uint16) >= self.least)
 
-    def nearest(self, own: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query's row, id and cosine of the k nearest found of each query. own: ids that the queries must not find; bound: distance (of unit vectors) beyond which nothing matters, NaN: unknown."""
+    def nearest(self, own: np.ndarray, queries: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Query's row, id and cosine of the k nearest found of each query, and how many vectors were verified for it. own: ids that the queries must not find; bound: distance (of unit vectors) beyond which nothing matters, NaN: unknown."""
         size = np.sqrt((queries * queries).sum(axis=1))
         centre = (queries / size[:, None]) @ self.directions.T
-        # cosines of one block at once; only those of colliding vectors are looked at
-        cosines = np.round((queries @ self.vectors.T) / (size[:, None] * self.norms), DECIMALS)
         out = []
         for q in range(len(queries)):
-            reach = 0.1 if np.isnan(bound[q]) else REACH * bound[q] + ROUNDING
-            others = len(self.ids) - np.count_nonzero(self.ids == own[q])
+            known = not np.isnan(bound[q])
+            reach = REACH * bound[q] + ROUNDING if known else 0.1
+            verified = self.ids == own[q]
+            others = len(self.ids) - int(verified.sum())
+            at, cosine = np.empty(0, dtype=np.int64), np.empty(0)
             while True:
                 found = self.colliding(centre[q], reach)
-                found = found[self.ids[found] != own[q]]
-                c = cosines[q, found]
-                least = np.partition(c, len(c) - k)[len(c) - k] if len(c) >= k else -2.0
-                # windows as wide as REACH times the k-th distance: a nearer vector collides in two of three arrays
-                if not np.isnan(bound[q]) or len(found) == others or len(c) >= k and reach >= REACH * np.sqrt(max(0.0, 2 - 2 * least)):
+                found = found[~verified[found]]
+                verified[found] = True
+                at = np.concatenate([at, found])
+                cosine = np.concatenate([cosine, (self.vectors[found] @ queries[q]) / (self.norms[found] * size[q])])
+                compared = np.round(cosine, DECIMALS)
+                least = np.partition(compared, len(at) - k)[len(at) - k] if len(at) >= k else -2.0
+                # no wider than the k-th best so far asks for
+                enough = REACH * np.sqrt(max(0.0, 2 - 2 * least)) + ROUNDING if len(at) >= k else np.inf
+                if known or len(at) == others or reach >= enough:
                     break
-                reach *= self.widen
-            best = found[c >= least]
-            best = best[np.lexsort((self.ids[best], -cosines[q, best]))[:k]]
-            exact = (self.vectors[best] * queries[q]).sum(axis=1) / (self.norms[best] * size[q])
-            out.append((np.full(len(best), q), self.ids[best], exact))
+                reach = min(reach * self.widen, enough)
+            best = np.flatnonzero(compared >= least)
+            best = best[np.lexsort((self.ids[at[best]], -compared[best]))[:k]]
+            # the order of a product's sum depends on how many rows it has: the reported ones are summed alike
+            exact = (self.vectors[at[best]] * queries[q]).sum(axis=1) / (self.norms[at[best]] * size[q])
+            out.append((np.full(len(best), q), self.ids[at[best]], exact, np.full(len(best), len(at))))
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -111,18 +138,17 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 def _search(k: int, index: dict):
     def run(have: pa.Table, ask: pa.Table) -> pa.Table:
-        parts = []
         if have.num_rows and ask.num_rows:
             at = CollisionIndex(np.asarray(have.column("id")), _matrix(have.column("v")), **index)
-            ids, vectors, bound = np.asarray(ask.column("id")), _matrix(ask.column("v")), np.asarray(ask.column("bound").fill_null(np.nan), dtype=np.float64)
-            for a in range(0, len(ids), TOGETHER):
-                part = slice(a, a + TOGETHER)
-                row, found, cosine = at.nearest(ids[part], vectors[part], bound[part], k)
-                parts.append((ids[part][row], found, cosine))
-            del at, vectors
+            ids = np.asarray(ask.column("id"))
+            row, found, cosine, verified = at.nearest(ids, _matrix(ask.column("v")), np.asarray(ask.column("bound").fill_null(np.nan), dtype=np.float64), k)
+            # the number is told once for each query
+            columns = [ids[row], found, cosine, np.where(np.append(True, row[1:] != row[:-1]), verified, 0)[: len(row)]]
+            del at
             release()
-        columns = [np.concatenate(x) for x in zip(*parts, strict=True)] if parts else [[], [], []]
-        return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+        else:
+            columns = [[], [], [], []]
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.int64()), strict=True)], names=["query_id", "vec_id", "score", "verified"])
 
     return run
 
@@ -189,7 +215,7 @@ def _reached(cuts: dict[int, np.ndarray], g: int):
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = 4096, block_rows: int = 1024, **index: float) -> DataFrame:
-    """query_id, rank (from 1), vec_id and score (cosine). is_query: a condition on the column `id`."""
+    """query_id, rank (from 1), vec_id, score (cosine) and verified (how many vectors the query was compared with exactly). is_query: a condition on the column `id`."""
     v, key = F.col("v"), ["dim", "cell"]
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).filter("id is not null and v is not null")
     rows = rows.filter(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0))
@@ -219,16 +245,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
         right = ask.join(blocks.drop("subs"), key).withColumn("block", F.pmod(F.xxhash64("id"), "blocks")).withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), F.col("subs") - 1)))
         by = [*key, "sub", "block"]
         left, right = left.select(*by, "id", "v"), right.select(*by, "id", "v", "bound")
-        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k, index), "query_id long, vec_id long, score double")
+        found = left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(_search(k, index), "query_id long, vec_id long, score double, verified long")
         return written(ranked(found))
 
     def ranked(found: DataFrame) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-        return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        whole = Window.partitionBy("query_id")
+        rank = F.row_number().over(whole.orderBy(F.desc("score"), "vec_id"))
+        counted = found.withColumns({"verified": F.sum("verified").over(whole), "rank": rank})
+        return counted.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score", "verified")
 
     near = searched(asked.select("dim", "cell", "id", "v", F.lit(None).cast("double").alias("bound")))
     if count <= shard_rows:
         return near
     bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("id"), F.sqrt(F.greatest(2 - 2 * F.col("score"), F.lit(0.0))).alias("bound"))
     further = asked.join(bound, "id", "left").select("dim", "cell", "id", "v", "at", "bound").mapInArrow(_reached(cuts, g), "dim int, id long, v array<double>, bound double, cell long")
-    return ranked(near.drop("rank").union(searched(further).drop("rank")))
+    # each part's number is of a query, on all its rows: told once again
+    once = [x.withColumn("verified", F.when(F.col("rank") == 1, F.col("verified")).otherwise(0)).drop("rank") for x in (near, searched(further))]
+    return ranked(once[0].union(once[1]))

@@ -29,8 +29,10 @@ def test_recall_and_scores(spark, sf):
         for v, c in zip(mine.vec_id, mine.score):
             a, b = x[ids == v][0], x[ids == own][0]
             assert c == pytest.approx((a @ b) / np.sqrt((a @ a) * (b @ b)), abs=1e-12)
-    print("recall", hit / (5 * len(queries)))
+    share = out.groupby("query_id").verified.first().mean() / len(ids)
+    print("recall", hit / (5 * len(queries)), "verified", share)
     assert hit >= 0.95 * 5 * len(queries)
+    assert share < 0.5  # vectors without structure: the k-th nearest is at three quarters of the median distance
 
 
 def test_recall_across_cells(spark):
@@ -42,8 +44,28 @@ def test_recall_across_cells(spark):
     df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
     out = ann.nearest(df, F.col("id") % 50 == 0, 5, shard_rows=100, block_rows=7).toPandas()
     hit = sum(len(set(exact(ids, x, x[ids == own][0], own, 5)[0]) & set(out[out.query_id == own].vec_id)) for own in ids[ids % 50 == 0])
-    print("recall", hit / 200)
-    assert len(out) == 200 and hit >= 190
+    share = out.groupby("query_id").verified.first().mean() / 2000
+    print("recall", hit / 200, "verified", share)
+    assert len(out) == 200 and hit >= 190 and share < 0.35
+
+
+def test_plan_and_collisions():
+    """The plan's shares of near and far vectors hold, and only vectors that collide often enough are verified."""
+    arrays, least = ann.plan()
+    rng = np.random.default_rng(3)
+    d, n = 48, 20_000
+    q = np.eye(d)[0]
+    for distance, low, high in ((0.6, 0.95, 1.0), (0.6 * ann.RATIO, 0.03, 0.2), (1.4, 0.0, 0.001)):
+        c = 1 - distance**2 / 2
+        side = rng.standard_normal((n, d))
+        side[:, 0] = 0
+        x = np.append(c * q[None] + np.sqrt(1 - c * c) * side / np.linalg.norm(side, axis=1, keepdims=True), -q[None], axis=0)
+        index = ann.CollisionIndex(np.arange(n + 1), x)
+        assert index.directions.shape[0] == arrays and index.least == least
+        found = index.colliding(q @ index.directions.T, ann.REACH * 0.6)
+        assert low <= len(found) / n <= high
+        *_, verified = index.nearest(np.array([-1]), q[None], np.array([0.6]), 5)
+        assert len(verified) == min(5, len(found)) and (verified == len(found)).all()
 
 
 def test_cases(spark):
