@@ -286,7 +286,8 @@ def score(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     # rows without an id are told apart by their text, so that they do not meet in one bucket
     placed = rows.withColumn("bucket", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(n)).cast("int")).repartition(n, "bucket")
     # both uses take placed as it is, so that Spark shuffles the texts once and uses them again
-    parts = -(-total // PART) + 1
+    # a bucket tells one row a part, so parts follow the session's partitions where those follow the input
+    parts = min(-(-total // PART) + 1, n)
     told = placed.groupBy("bucket").applyInArrow(_tell(order, parts), TOLD).repartition(parts, "part")
     answers = told.groupBy("part").applyInArrow(_sum, "bucket int, part int, size int, sums binary")
     schema = "doc_id long, learn boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
