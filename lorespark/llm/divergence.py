@@ -26,6 +26,7 @@ by 64-bit hashes. A sum stays below 2^63 for up to 5e8 kept terms a language and
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,5 +246,9 @@ def audit(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", t
     priced = dealt.groupBy("bucket").cogroup(everywhere.groupBy("bucket")).applyInArrow(price(terms), _SCHEMA)
     summed = written(priced.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value")))
     by_value = Window.partitionBy("lang", "source", "part").orderBy(F.col("value").desc(), F.col("item"))
-    ranked = [summed.filter(F.col("part") == p).withColumn("rank", F.row_number().over(by_value)) for p in ("pair", "term")]
-    return ranked[0].unionByName(ranked[1].filter(F.col("rank") <= terms))
+    ranked = lambda part, rows: rows.filter(F.col("part") == part).withColumn("rank", F.row_number().over(by_value))
+    # a group's terms come from all buckets: cut them in as many parts as its rows then come from
+    salt = F.pmod(F.xxhash64("item"), F.lit(max(1, math.isqrt(n))))
+    cut = summed.withColumn("salt", salt).withColumn("at", F.row_number().over(Window.partitionBy("lang", "source", "part", "salt").orderBy(F.col("value").desc(), F.col("item"))))
+    dearest = ranked("term", cut.filter((F.col("part") == "term") & (F.col("at") <= terms)).drop("salt", "at"))
+    return ranked("pair", summed).unionByName(dearest.filter(F.col("rank") <= terms))
