@@ -5,18 +5,31 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 from lorespark.functions import vectors as V
-from lorespark.operators import catalog, chunks, graph, ledger, lint, refresh, retrieval, trees
+from lorespark.operators import catalog, chunks, graph, ledger, lint, postings, refresh, retrieval, trees
 from lorespark.operators.tables import union_all, written
 from lorespark.sources import files, sinks
+from lorespark.streaming import ledger as ledger_stream
 
 FINGERPRINT = {"txt": "txt:v1:", "md": "md:v1:", "docx": "docx:v1:", "xlsx": "xlsx:v1:", "pptx": "pptx:v1:"}
 #: Tables, and the column that names a row's document.
-TABLES = {"sources": "relpath", "wiki_pages": "source_relpath", "chunks": "relpath", "vectors": "relpath", "tree_nodes": "relpath", "graph_nodes": "source_relpath", "graph_edges": "source_relpath"}
+TABLES = {"sources": "relpath", "wiki_pages": "source_relpath", "chunks": "relpath", "vectors": "relpath", "tree_nodes": "relpath", "graph_nodes": "source_relpath", "graph_edges": "source_relpath", "wiki_index": "source_relpath"}
+
+
+def _summed(nodes: DataFrame) -> DataFrame:
+    """Tree nodes with the summary that searches see."""
+    return nodes.withColumn("summary", F.concat(F.lit("Summary of: "), "title"))
+
+
+#: Lists by term that every commit, and every range of the store's base, has of its pages and tree nodes.
+LISTS = {
+    "page_lists": lambda tables, docs, by: postings.build(postings.page_entries(tables["wiki_pages"], *by), docs, *by),
+    "node_lists": lambda tables, docs, by: postings.build(postings.node_entries(_summed(tables["tree_nodes"]), *by), docs, *by),
+}
 
 
 class Engine:
@@ -24,8 +37,9 @@ class Engine:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self.store = sinks.Store(spark, f"{self.root}/store", TABLES)
-        self.index = sinks.VersionedTable(spark, f"{self.root}/index")
+        self.store = sinks.Store(spark, f"{self.root}/store", TABLES, derived=LISTS)
+        #: Blocks of page lists that the last query found and read.
+        self.blocks: dict[str, int] = {}
         self.graph_runs = {t: sinks.VersionedTable(spark, f"{self.root}/graphify/{t}") for t in ("nodes", "edges", "communities")}
 
     def __getattr__(self, name: str) -> DataFrame:
@@ -33,8 +47,16 @@ class Engine:
             return self.store.read(name)
         raise AttributeError(name)
 
-    def scan(self, path: str) -> DataFrame:
-        found = files.checked(files.discover(self.spark, path))
+    def scan(self, path: str, whole: bool = False) -> DataFrame:
+        """The files of a folder with format, digest, parser and issue. Files of the length and time they had when they were ingested are not read, but with whole."""
+        if whole or not self.store.exists():
+            return self._named(files.checked(files.discover(self.spark, path)))
+        current = F.create_map(*(F.lit(x) for kv in FINGERPRINT.items() for x in kv))
+        known = self._manifest().filter((F.col("root") == path.rstrip("/")) & (F.col("parser_fingerprint") == F.try_element_at(current, "format")))
+        return self._named(files.rescan(self.spark, path, known.select("relpath", F.col("size_bytes").alias("length"), F.col("modified").alias("modificationTime"), "sha256")))
+
+    @staticmethod
+    def _named(found: DataFrame) -> DataFrame:
         f = F.lit(None).cast("string")
         for k, v in FINGERPRINT.items():
             f = F.when(F.col("format") == k, v).otherwise(f)
@@ -45,15 +67,16 @@ class Engine:
         """Sources that came from files; pages written back have none."""
         if self.store.exists():
             return self.sources.filter("format != 'writeback'")
-        return self.spark.createDataFrame([], "relpath string, format string, sha256 string, parser_fingerprint string, size_bytes long, wiki_pages array<string>, vector_ids array<string>, graph_nodes array<string>, graph_edges array<string>, page_tree long, body_length int, root string")
+        return self.spark.createDataFrame([], "relpath string, format string, sha256 string, parser_fingerprint string, size_bytes long, wiki_pages array<string>, vector_ids array<string>, graph_nodes array<string>, graph_edges array<string>, page_tree long, body_length int, root string, modified timestamp")
 
-    def ingest(self, path: str, prune: bool = False) -> DataFrame:
-        """Ingests new and changed files; relpath and status of every file. Files that did not change are not parsed again; one that can't be parsed is failed, and an empty one skipped."""
+    def ingest(self, path: str, prune: bool = False, found: DataFrame | None = None, stream: tuple[str, int] | None = None) -> DataFrame:
+        """Ingests new and changed files; relpath and status of every file. Files that did not change are not parsed again; one that can't be parsed is failed and keeps the document it had, and an empty one is skipped and has none. found: files of scan() in place of a new scan; stream: see Store.commit."""
         after = self.store.latest()
-        found, old = self.scan(path), self._manifest()
+        found, old = self.scan(path) if found is None else found, self._manifest()
         status = written(refresh.ingest_status(found, old, prune))
         todo = found.join(status.filter("status in ('created', 'updated')").select("relpath"), "relpath", "left_semi")
-        segments = written(files.read_office(todo))
+        # texts as they stand in the body, so that sections and chunks have their offsets
+        segments = written(files.read_office(todo).withColumn("text", F.when(F.col("kind") == "error", F.col("text")).otherwise(T.normalize_text(F.col("text")))))
         broken = segments.filter("kind = 'error'").select("relpath").distinct()
         office = segments.join(broken, "relpath", "left_anti")
         plain = files.read_text(todo).select("relpath", "format", "title", T.normalize_text(F.col("body")).alias("body"))
@@ -61,36 +84,49 @@ class Engine:
         bodies = bodies.select("relpath", "format", files.title_of(F.col("relpath")).alias("title"), T.normalize_text(F.col("body")).alias("body"))
         parsed = written(plain.union(bodies).filter("body != ''").withColumn("summary", T.summary(F.col("body"))))
         pages = written(sinks.wiki_pages(parsed, self.wiki_pages.select("slug", "source_relpath") if after else None))
-        tree = written(self._tree(parsed))
-        sha = todo.select("relpath", "sha256", "parser_fingerprint", F.col("length").alias("size_bytes"), "format")
+        tree = written(self._tree(parsed, office))
+        sha = todo.select("relpath", "sha256", "parser_fingerprint", F.col("length").alias("size_bytes"), "format", F.col("modificationTime").alias("modified"))
         pieces = written(self._chunks(parsed, office, tree, sha))
         nodes, edges = (written(x) for x in graph.document_graph(parsed, "relpath", "title", "body", tree))
         ids = lambda rows, key, value, name: rows.groupBy(F.col(key).alias("relpath")).agg(F.array_sort(F.collect_set(value)).alias(name))  # noqa: E731  of one document
         entries = sha.join(parsed.select("relpath", F.length("body").alias("body_length")), "relpath").withColumn("root", F.lit(path.rstrip("/")))
         for part in (ids(pages, "source_relpath", "slug", "wiki_pages"), ids(pieces, "relpath", "chunk_id", "vector_ids"), ids(nodes, "source_relpath", "id", "graph_nodes"), ids(edges, "source_relpath", "id", "graph_edges"), tree.groupBy("relpath").agg(F.count("*").alias("page_tree"))):
             entries = entries.join(part, "relpath", "left")
-        rows = {"sources": entries, "wiki_pages": pages, "chunks": pieces, "vectors": self._vectors(pieces), "tree_nodes": tree, "graph_nodes": nodes, "graph_edges": edges}
-        gone = status.filter("status in ('updated', 'pruned')").select("relpath")
+        rows = {"sources": entries, "wiki_pages": pages, "wiki_index": self._index(pages), "chunks": pieces, "vectors": self._vectors(pieces), "tree_nodes": tree, "graph_nodes": nodes, "graph_edges": edges}
+        # a file whose new content cannot be parsed keeps its old document; one that is empty now has none
+        gone = status.filter("status in ('updated', 'pruned')").select("relpath").join(broken, "relpath", "left_anti")
         if not (parsed.isEmpty() and gone.isEmpty()):
-            self.store.commit(rows, gone, after)
-            self.rebuild_index()
+            self.store.commit(rows, gone, after, stream)
         empty = todo.select("relpath").join(broken, "relpath", "left_anti").join(parsed.select("relpath"), "relpath", "left_anti").select("relpath", F.lit("skipped").alias("now"))
         now = broken.select("relpath", F.lit("failed").alias("now")).union(empty)
         return status.join(now, "relpath", "left").select("relpath", F.coalesce("now", "status").alias("status"))
 
-    def _tree(self, parsed: DataFrame) -> DataFrame:
-        """Sections by format: headings of markdown and Word files, slides, sheets; one section for plain text and where there is none."""
-        heads = trees.markdown_headings(parsed.filter("format != 'txt'"), "relpath", "body").join(parsed.select("relpath", "format"), "relpath")
-        heads = heads.filter("format in ('md', 'docx') or level = 2")
-        heads = heads.withColumn("idx", F.row_number().over(Window.partitionBy("relpath").orderBy("start"))).drop("format")
-        sections = trees.nest(heads)
+    def follow(self, path: str, checkpoint: str, prune: bool = False) -> DataFrame:
+        """Ingests the files that came since the last call, in micro-batches, and gives the number of the last one. A batch carries its number into the commit, so that one that is run again after a stop changes nothing. Files that changed or went are those that differ from a listing of the folder: they are looked for after the new ones."""
+        name = f"follow:{path.rstrip('/')}"
+
+        def apply(new: DataFrame, number: int) -> None:
+            self.ingest(path, found=written(self._named(files.checked(files.relative(new, path)))), stream=(name, number))
+
+        query = ledger_stream.refresh_stream(self.spark, path, apply, checkpoint)
+        query.awaitTermination()
+        if query.exception() is not None:
+            raise query.exception()
+        self.ingest(path, prune)
+        return self.spark.createDataFrame([(self.store.applied(name),)], "batch long")
+
+    def _tree(self, parsed: DataFrame, office: DataFrame) -> DataFrame:
+        """Sections by format: headings of markdown and Word files, slides with their headings, sheets; one section for plain text and where there is none."""
+        spans = chunks.segment_spans(office).join(parsed.select("relpath", "format"), "relpath")
+        heads = trees.markdown_headings(parsed.filter("format = 'md'"), "relpath", "body").unionByName(trees.segment_headings(spans.filter("format = 'docx'")))
+        sections = trees.nest(heads).unionByName(trees.header_tree(spans.filter("format in ('pptx', 'xlsx')")))
         flat = trees.single_root(parsed.join(sections.select("relpath").distinct(), "relpath", "left_anti"), "relpath", "title", "body")
         return sections.unionByName(flat)
 
     def _chunks(self, parsed: DataFrame, office: DataFrame, tree: DataFrame, sha: DataFrame) -> DataFrame:
         """chunk_id, relpath, chunk_idx, text, offset, tree_node_id, section_path, section_type and header of each chunk."""
         text = parsed.filter("format in ('txt', 'md')")
-        cut = chunks.chunk_windows(text, "relpath", "body").withColumn("text", F.array_join("tokens", " ")).drop("tokens")
+        cut = chunks.chunk_windows(text, "relpath", "body").withColumn("text", chunks.joined(F.col("tokens"))).drop("tokens")
         placed = cut.join(trees.chunk_offsets(cut, text), ["relpath", "chunk_idx"])
         at = trees.sections_at(placed.select("relpath", "offset").distinct(), tree)
         none = F.lit(None).cast("string")
@@ -108,11 +144,22 @@ class Engine:
     def _vectors(pieces: DataFrame) -> DataFrame:
         return V.embedded(pieces, "chunk_id", "text", "relpath")
 
+    @staticmethod
+    def _index(pages: DataFrame) -> DataFrame:
+        """The index's rows of pages; they change with the pages, in one commit."""
+        return pages.select("slug", "title", "summary", "source_relpath")
+
     def rebuild_index(self) -> None:
-        self.index.write(self.wiki_pages.select("slug", "title", "summary"))
+        """Documents whose index is not that of their pages are written again with it."""
+        after, pages = self.store.latest(), self._index(self.wiki_pages)
+        wrong = written(pages.exceptAll(self.wiki_index).union(self.wiki_index.exceptAll(pages)).select(F.col("source_relpath").alias("relpath")).distinct())
+        if wrong.isEmpty():
+            return
+        rows = {t: self.store.read(t).join(wrong.withColumnRenamed("relpath", doc), doc, "left_semi") for t, doc in TABLES.items()}
+        self.store.commit(rows | {"wiki_index": self._index(rows["wiki_pages"])}, wrong, after)
 
     def index_lines(self) -> DataFrame:
-        return sinks.index_lines(self.index.read())
+        return sinks.index_lines(self.wiki_index)
 
     def query(self, questions: DataFrame | str, writeback: str = "no", threshold: float = 0.75) -> DataFrame:
         """answer, route, confidence, source, quote and section_path for each question (query_id, question), or for one. writeback: yes, auto (at the threshold) or no; then answers become pages, and `writeback` says which."""
@@ -131,12 +178,15 @@ class Engine:
         pages = self.wiki_pages
         routed = written(retrieval.route(questions, retrieval.rule_table(self.spark)))
         nodes = graph.merge_nodes(self.graph_nodes.withColumn("o", F.xxhash64("source_relpath", "label")), "o")
-        tree = self.tree_nodes.withColumn("summary", F.concat(F.lit("Summary of: "), "title"))
+        at = self.store.latest()
+        current = lambda rows: self.store.current(rows, at)
+        best, self.blocks = postings.page_search(questions, self.store.segments("page_lists", at), pages, current)
+        sections = postings.node_search(questions, self.store.segments("node_lists", at), current).join(_summed(self.tree_nodes), ["relpath", "preorder"])
         found = [
-            retrieval.wiki_candidates(questions, pages, routed),
+            retrieval.wiki_candidates(questions, pages, routed, best),
             retrieval.graph_candidates(questions, nodes, self.graph_edges, retrieval.keyword_table(self.spark)),
             retrieval.vector_candidates(questions, self.chunks, self.vectors),
-            retrieval.tree_candidates(questions, tree),
+            retrieval.node_candidates(sections),
         ]
         return retrieval.answers(questions, retrieval.fuse(union_all(found)), routed)
 
@@ -149,9 +199,8 @@ class Engine:
             return
         source = pages.select(F.col("source_relpath").alias("relpath"), F.lit("writeback").alias("format"), F.sha2("body", 256).alias("sha256"), F.lit("*").alias("parser_fingerprint"), F.length("body").cast("long").alias("size_bytes"), F.array("slug").alias("wiki_pages"), F.length("body").alias("body_length"))
         empty = {t: self.store.read(t).limit(0) for t in TABLES}
-        rows = empty | {"sources": empty["sources"].unionByName(source, allowMissingColumns=True), "wiki_pages": pages.select(empty["wiki_pages"].columns)}
+        rows = empty | {"sources": empty["sources"].unionByName(source, allowMissingColumns=True), "wiki_pages": pages.select(empty["wiki_pages"].columns), "wiki_index": self._index(pages)}
         self.store.commit(rows, after=after)
-        self.rebuild_index()
 
     def lint(self, path: str | None = None) -> DataFrame:
         """Findings of all checks over the store. path: the raw files' folder, else those that were ingested."""
@@ -165,7 +214,7 @@ class Engine:
         tree, bodies = self.tree_nodes, sources.select("relpath", F.col("body_length").alias("length"))
         nodes = graph.merge_nodes(self.graph_nodes.withColumn("o", F.xxhash64("source_relpath", "label")), "o")
         parts = [
-            lint.check_wiki(pages, self.index.read()),
+            lint.check_wiki(pages, self.wiki_index),
             lint.check_sources(sources, raw.join(self._unreadable(roots), "relpath", "left_anti"), ingested),
             lint.check_vectors(sources.filter("vector_ids is not null"), self.chunks),
             lint.check_graph(sources.filter("graph_nodes is not null"), nodes, self.graph_edges),
@@ -211,15 +260,18 @@ class Engine:
             return steps
         steps, run = written(steps), uuid.uuid4().hex
         steps.withColumn("run_id", F.lit(run)).write.mode("append").parquet(f"{self.root}/watch/plans")
-        # one ingest takes all new, changed and pruned files
-        done = refresh.execute(steps, {"prune": lambda _: None, "ingest": lambda _: None, "graphify_build": lambda _: self._refreshed(path, prune)}, "execute")
-        kinds = self.spark.createDataFrame([(k, v) for k, v in done.items() if not k.endswith("_error")], "kind string, outcome string")
-        out = steps.join(F.broadcast(kinds), "kind", "left").withColumn("outcome", F.coalesce("outcome", "status"))
+
+        def ingested(_: DataFrame) -> DataFrame:
+            """One ingest takes all new, changed and pruned files; what became of each is what it says."""
+            became = F.when(F.col("status") == "failed", "failed").when(F.col("status").isin("created", "updated", "pruned"), "completed").otherwise("skipped")
+            verb = F.when(F.col("status") == "pruned", "prune:").otherwise("ingest:")
+            return written(self.ingest(path, prune).select(F.concat(verb, "relpath").alias("action_id"), became.alias("outcome")))
+
+        out = written(refresh.execute(steps, {("prune", "ingest"): ingested, ("graphify_build",): lambda _: self._kept_graph()}, "execute"))
         out.withColumn("run_id", F.lit(run)).write.mode("append").parquet(f"{self.root}/watch/runs")
         return out
 
-    def _refreshed(self, path: str, prune: bool) -> None:
-        self.ingest(path, prune)
+    def _kept_graph(self) -> None:
         self.graph_analytics(keep=True)
 
     def catalog(self, offset: int = 0, limit: int = 50) -> DataFrame:
@@ -227,7 +279,7 @@ class Engine:
 
     def show(self, relpath: str) -> DataFrame:
         """The manifest entry of one document."""
-        return self.sources.filter(F.col("relpath") == relpath)
+        return self.store.read("sources", relpath)
 
     def extract(self) -> DataFrame:
         return catalog.extract(self.wiki_pages, "slug", "body")

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +28,16 @@ def segments_to_body(segments: DataFrame) -> DataFrame:
     return parts.groupBy("relpath").agg(F.array_join(F.transform(ordered, lambda x: x.getField("part")), "").alias("body"))
 
 
+def segment_spans(segments: DataFrame) -> DataFrame:
+    """segments with start and end of each text in the body that segments_to_body makes; for texts that normalizing leaves as they are."""
+    order = Window.partitionBy("relpath").orderBy("seg_idx")
+    before = F.lag("kind").over(order)
+    glue = F.when(before.isNull(), 0).when(F.col("kind").isin("table_row", "ocr_text") & (before == F.col("kind")), 1).otherwise(2)
+    rows = segments.filter("text != ''").withColumn("glue", glue)
+    end = F.sum(F.col("glue") + F.length("text")).over(order).cast("int")
+    return rows.withColumn("end", end).withColumn("start", F.col("end") - F.length("text")).drop("glue")
+
+
 def _packed(parts: Column, size: int) -> Column:
     """Texts of the pieces that parts (kind, n, text) make in order: a part that does not fit begins a new piece."""
     none = F.array().cast("array<struct<kind:string,n:int,text:string>>")
@@ -78,20 +85,13 @@ def segment_chunks(segments: DataFrame, size: int = 512) -> DataFrame:
     return whole.select("relpath", place.alias("chunk_idx"), "text", "section_type", "header", "heading")
 
 
-def join_tokens(docs: DataFrame, id_col: str, tokens_col: str) -> DataFrame:
-    """id_col and text: tokens put together again, with no blank before closing or after opening punctuation or between Han characters."""
-
-    def glue(ts: list[str]) -> str:
-        out = ""
-        for t in ts:
-            last = out[-1:]
-            han = "一" <= t[:1] <= "鿿"
-            close = t in ".,!?;:%)]}、。，；：！？" or last in "([{/-_" or t in "/-_" or han and ("一" <= last <= "鿿")
-            out += t if not out or close else f" {t}"
-        return out
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame({id_col: pdf[id_col], "text": [glue(list(x)) if x is not None else None for x in pdf[tokens_col]]})
-
-    return docs.select(id_col, tokens_col).mapInPandas(run, f"{id_col} {docs.schema[id_col].dataType.simpleString()}, text string")
+def joined(tokens: Column) -> Column:
+    """Tokens put together again: a blank stands between a token of ASCII letters or digits and an ASCII token behind it, unless that closes, joins or shortens what it follows."""
+    glued = F.transform(
+        tokens,
+        lambda t, k: F.when(
+            (k > 0) & F.get(tokens, k - 1).rlike("^[A-Za-z0-9]") & t.rlike("^[\\x00-\\x7F&&[^.,!?;:)\\]}/%_'-]]"),
+            F.concat(F.lit(" "), t),
+        ).otherwise(t),
+    )
+    return F.array_join(glued, "")

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorespark.operators.tables import drop, written
+from lorespark.operators.tables import drop, partitions, written
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -40,6 +40,38 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     return labels.join(names, "label").select("node", "component")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """rows with their number from 1 in the order of a key that does not repeat. Rows are dealt by ranges of the key; what a single task sees is one row a range."""
+    n = partitions(rows.sparkSession)
+    dealt = written(rows.repartitionByRange(n, key).withColumn("__part", F.spark_partition_id()))
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = dealt.groupBy("__part").count().withColumn("__before", before)
+    at = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return dealt.join(F.broadcast(parts), "__part").withColumn("number", at + F.col("__before")).drop("__part", "count", "__before")  # a row a partition
+
+
+def updated(member: DataFrame, edges: DataFrame, added: DataFrame, removed: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """connected_components(edges) from what they were (node, component) before edges were added and removed. edges: all there are now.
+
+    Components that lose no edge stay whole, so they are single nodes of a small graph whose edges are the added ones.
+    Only the nodes of components that lose an edge are searched anew, over their own edges.
+    """
+    ends = lambda df: df.select(F.explode(F.array(src, dst)).alias("node"))
+    touched = written(ends(removed).join(member, "node").select("component").distinct())
+    again = member.join(touched, "component", "left_semi").select("node")
+    inside = edges.join(again.select(F.col("node").alias(src)), src, "left_semi").join(again.select(F.col("node").alias(dst)), dst, "left_semi")
+    whole = member.join(touched, "component", "left_anti")
+    # what edges are left in the touched components; a node that lost them all may be none any more
+    kept = written(whole.select("node", "component").unionByName(connected_components(inside, src, dst).select("node", "component")))
+    name = lambda side: kept.select(F.col("node").alias(side), F.col("component").alias(f"__{side}"))
+    links = added.join(name(src), src, "left").join(name(dst), dst, "left")
+    links = links.select(F.coalesce(f"__{src}", src).alias("src"), F.coalesce(f"__{dst}", dst).alias("dst"))
+    joined = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    old = kept.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    new = ends(added.filter(F.col(src) != F.col(dst))).distinct().join(kept.select("node"), "node", "left_anti")
+    return written(old.unionByName(new.join(joined.select(F.col("component").alias("node"), F.col("to").alias("component")), "node")))
+
+
 def _renamed(df: DataFrame, column: str, moved: DataFrame) -> DataFrame:
     out = df.join(moved.select(F.col("label").alias(column), "to"), column, "left")
     new: Column = F.coalesce("to", column).alias(column)

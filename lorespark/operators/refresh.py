@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import fingerprint_compatible
 
+BUILD = "graphify:build"
 STATES = ("unchanged", "new", "stale", "missing", "unsupported", "corrupt")
 
 
@@ -39,20 +41,25 @@ def ingest_status(files: DataFrame, manifest: DataFrame, prune: bool = False) ->
 
 
 def plan(found: DataFrame, prune: bool = False, build: bool = True) -> DataFrame:
-    """action_id, kind, status and depends_on: what a refresh has to do; the graph build comes after all ingests and prunes."""
+    """action_id, kind, status and n_depends: what a refresh has to do, and after how many other actions; see dependencies()."""
     kind = F.when(F.col("state").isin("new", "stale"), "ingest").when(F.col("state").isin("unsupported", "corrupt"), "report_issue")
     if prune:
         kind = kind.when(F.col("state") == "missing", "prune")
     verb = F.when(F.col("kind") == "report_issue", "issue").otherwise(F.col("kind"))
     steps = found.withColumn("kind", kind).filter("kind is not null")
-    steps = steps.select(F.concat(verb, F.lit(":"), "relpath").alias("action_id"), "kind", F.when(F.col("kind") == "report_issue", "skipped").otherwise("planned").alias("status"), F.array().cast("array<string>").alias("depends_on"))
+    steps = steps.select(F.concat(verb, F.lit(":"), "relpath").alias("action_id"), "kind", F.when(F.col("kind") == "report_issue", "skipped").otherwise("planned").alias("status"), F.lit(0).cast("long").alias("n_depends"))
     if not build:
         return steps
-    some = steps.agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("kind").isin("ingest", "prune"), F.col("action_id")))).alias("depends_on"))
-    last = some.filter("n > 0").select(F.lit("graphify:build").alias("action_id"), F.lit("graphify_build").alias("kind"), F.lit("planned").alias("status"), "depends_on")
+    some = steps.agg(F.count("*").alias("n"), F.count(F.when(F.col("kind").isin("ingest", "prune"), 1)).alias("n_depends"))
+    last = some.filter("n > 0").select(F.lit(BUILD).alias("action_id"), F.lit("graphify_build").alias("kind"), F.lit("planned").alias("status"), "n_depends")
     return steps.unionByName(last)
 
 
+def dependencies(steps: DataFrame) -> DataFrame:
+    """action_id and depends_on, a row for each: the graph build comes after all ingests and prunes."""
+    return steps.filter("kind in ('ingest', 'prune')").select(F.lit(BUILD).alias("action_id"), F.col("action_id").alias("depends_on"))
+
+
 def lineage(found: DataFrame, artifacts: DataFrame) -> DataFrame:
     """artifact_id, kind and reason of artifacts (artifact_id, kind, relpath) whose source changed or is gone."""
     changed = found.filter("state in ('stale', 'missing')").select("relpath", F.concat(F.lit("source_"), "state").alias("reason"))
@@ -68,23 +75,28 @@ def fingerprint(rows: DataFrame, *columns: str) -> str:
     return sums.select(F.sha2(F.concat_ws("|", "n", "a", "b"), 256)).first()[0]
 
 
-def execute(steps: DataFrame, handlers: dict[str, Callable[[DataFrame], None]], mode: str = "dry-run") -> dict[str, str]:
-    """Runs a plan by kind, ingests and prunes before the build: one call a kind, over all of its actions. After a failure the rest is skipped."""
-    done: dict[str, str] = {}
-    for kind in ("prune", "ingest", "graphify_build"):
-        part = steps.filter((F.col("kind") == kind) & (F.col("status") == "planned"))
+def execute(steps: DataFrame, handlers: dict[tuple[str, ...], Callable[[DataFrame], DataFrame | None]], mode: str = "dry-run") -> DataFrame:
+    """steps with the outcome of each and the error, if any. A handler has the kinds of actions that it runs in one call, in the handlers' order. It gives the outcome of each action (action_id, outcome) as it was, or nothing where all that it did not raise for is completed. What a handler raises fails its actions, and those of later handlers are skipped."""
+    parts, failed = [steps.filter("status != 'planned'").select("action_id", F.lit("skipped").alias("outcome"), F.lit(None).cast("string").alias("error"))], False
+    for kinds, handler in handlers.items():
+        part = steps.filter(F.col("kind").isin(*kinds) & (F.col("status") == "planned"))
         if part.isEmpty():
             continue
-        if mode != "execute" or "failed" in done.values():
-            done[kind] = "skipped"
-            continue
-        try:
-            handlers[kind](part)
-            done[kind] = "completed"
-        except Exception as e:  # noqa: BLE001  the state is the report
-            done[kind] = "failed"
-            done[f"{kind}_error"] = str(e)[:200]
-    return done
+        outcome, error, told = "completed", None, None
+        if mode != "execute" or failed:
+            outcome = "skipped"
+        else:
+            try:
+                told = handler(part)
+            except Exception as e:  # noqa: BLE001  the state is the report
+                outcome, error, failed = "failed", str(e)[:200], True
+        rows = part.select("action_id", F.lit(outcome).alias("outcome"), F.lit(error).cast("string").alias("error"))
+        if told is not None:
+            # an action that the handler says nothing of did not happen
+            own = told.select("action_id", F.col("outcome").alias("told"))
+            rows = rows.join(own, "action_id", "left").select("action_id", F.coalesce("told", F.lit("skipped")).alias("outcome"), F.when(F.col("told") == "failed", "not parsed").alias("error"))
+        parts.append(rows)
+    return steps.join(reduce(DataFrame.unionByName, parts), "action_id", "left")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:

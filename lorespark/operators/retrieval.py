@@ -196,8 +196,9 @@ def wiki_overview(pages: DataFrame, n: int = 5) -> DataFrame:
     return first.agg(F.array_join(lines, "\n").alias("overview"))
 
 
-def wiki_candidates(questions: DataFrame, pages: DataFrame, routed: DataFrame) -> DataFrame:
-    hit = wiki_search(questions, pages).join(pages.select("slug", "title", "summary", "source_relpath"), "slug")
+def wiki_candidates(questions: DataFrame, pages: DataFrame, routed: DataFrame, best: DataFrame | None = None) -> DataFrame:
+    """best: what wiki_search gives, if it is there."""
+    hit = (wiki_search(questions, pages) if best is None else best).join(pages.select("slug", "title", "summary", "source_relpath"), "slug")
     words = reduce(lambda a, w: a | F.lower("question").contains(w), WIKI_WORDS, F.lit(False))
     open_ = questions.join(routed.select("query_id", "route"), "query_id").filter((F.col("route") == "wiki") | words)
     score = F.when(F.col("route") == "wiki", WIKI_PRIMARY).otherwise(WIKI_SECONDARY)
@@ -230,7 +231,11 @@ def tree_candidates(questions: DataFrame, nodes: DataFrame, keep: int = 5) -> Da
     have = nodes.filter("summary != ''").select("relpath", "preorder", "title", "summary", _path(nodes), F.explode(F.concat(F.transform(lexical_terms(F.col("title")), lambda t: F.struct(t.alias("term"), F.lit(2).alias("w"))), F.transform(lexical_terms(F.col("summary")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))))).alias("e"))
     scored = have.select("relpath", "preorder", "title", "summary", "section_path", "e.term", "e.w").join(F.broadcast(asked), "term").groupBy("query_id", "relpath", "preorder", "title", "summary", "section_path").agg(F.sum("w").alias("points"))
     scored = scored.withColumn("score", F.least(F.col("points") / 10, F.lit(0.85)))
-    best = top_k(scored, ["query_id"], [F.desc("score"), F.col("relpath"), F.col("preorder")], keep)
+    return node_candidates(top_k(scored, ["query_id"], [F.desc("score"), F.col("relpath"), F.col("preorder")], keep))
+
+
+def node_candidates(best: DataFrame) -> DataFrame:
+    """Candidates from the best nodes (query_id, rank, score, title, summary, relpath, section_path)."""
     return best.select("query_id", (F.col("rank") - 1).alias("idx"), F.lit("page_tree").alias("route"), "score", F.concat("title", F.lit(": "), "summary").alias("text"), "relpath", "section_path")
 
 
@@ -279,8 +284,8 @@ def related_pages(touched: DataFrame, pages: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
 
 
-def graph_scores(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keywords: DataFrame) -> DataFrame:
-    """query_id, edge id and score of edges with a score. nodes: id, label, aliases; edges: id, relation, src, dst, evidence; keywords: relation, keyword.
+def graph_scores(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keywords: DataFrame, most: int | None = None) -> DataFrame:
+    """query_id, edge id and score of edges with a score. most: of edges that have nothing but a wanted relation, only those that are among so many smallest ids of it: enough for the first `most` answers, as these all score alike. nodes: id, label, aliases; edges: id, relation, src, dst, evidence; keywords: relation, keyword.
 
     A node needs a common term or an alias in the question, an edge a scored end, a wanted relation or a common term, so
     questions meet nodes and edges through terms and relations. Aliases are looked up by the terms they hold.
@@ -295,8 +300,14 @@ def graph_scores(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keywo
     wanted = desired_relations(questions, keywords)
     ends = edges.select("id", F.explode(F.array("src", "dst")).alias("node")).join(node, "node").groupBy("query_id", "id").agg((1.5 * F.max("node_score")).alias("s"))
     words = edges.select("id", F.explode(graph_terms(F.col("evidence"))).alias("term")).join(q_terms.select("query_id", "term"), "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("s"))
-    kinds = edges.select("id", "relation").join(F.broadcast(wanted), "relation").select("query_id", "id", F.lit(4.0).alias("s"))
-    return ends.union(words).union(kinds).groupBy("query_id", "id").agg(F.sum("s").alias("score")).filter("score > 0")
+    found = ends.union(words)
+    if most is None:
+        found = found.union(edges.select("id", "relation").join(F.broadcast(wanted), "relation").select("query_id", "id", F.lit(4.0).alias("s")))
+        return found.groupBy("query_id", "id").agg(F.sum("s").alias("score")).filter("score > 0")
+    first = top_k(edges.select("id", "relation"), ["relation"], [F.col("id")], most)
+    found = found.union(first.join(F.broadcast(wanted), "relation").select("query_id", "id", F.lit(0.0).alias("s"))).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
+    kind = found.join(edges.select("id", "relation"), "id").join(F.broadcast(wanted.withColumn("is_wanted", F.lit(4.0))), ["query_id", "relation"], "left")
+    return kind.select("query_id", "id", (F.col("s") + F.coalesce("is_wanted", F.lit(0.0))).alias("score")).filter("score > 0")
 
 
 def desired_relations(questions: DataFrame, keywords: DataFrame) -> DataFrame:
@@ -326,11 +337,12 @@ def keyword_table(spark: SparkSession) -> DataFrame:
 
 def graph_answers(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keywords: DataFrame, keep: int = 3) -> DataFrame:
     """query_id, answer, confidence, n_edges. Edges of a wanted relation push the others out; the first three make the answer."""
-    scored = graph_scores(questions, nodes, edges, keywords).join(edges, "id")
+    scored = graph_scores(questions, nodes, edges, keywords, keep).join(edges, "id")
     wanted = F.broadcast(desired_relations(questions, keywords).withColumn("wanted", F.lit(1)))
     scored = scored.join(wanted, ["query_id", "relation"], "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
-    some = F.max("wanted").over(Window.partitionBy("query_id"))
-    best = top_k(scored.withColumn("some", some).filter("wanted = some"), ["query_id"], [F.desc("score"), F.col("id")], keep)
+    # wanted ones come first, so the first row tells whether there are any; a partition passes on `keep` rows a question
+    best = top_k(scored, ["query_id"], [F.desc("wanted"), F.desc("score"), F.col("id")], keep)
+    best = best.withColumn("some", F.max("wanted").over(Window.partitionBy("query_id"))).filter("wanted = some")
     label = nodes.select("id", "label")
     best = best.join(label.select(F.col("id").alias("src"), F.col("label").alias("s")), "src").join(label.select(F.col("id").alias("dst"), F.col("label").alias("t")), "dst")
     groups = best.groupBy("query_id", "relation", "s").agg(F.min("rank").alias("at"), F.array_sort(F.collect_list(F.struct("rank", "t"))).alias("ts"))

@@ -55,21 +55,52 @@ def drop(df: DataFrame) -> None:
 
 
 def create_once(spark: SparkSession, path: str, content: str) -> bool:
-    """Writes a small file that is not there yet; False if it is. Of several writers at a time one gets True."""
+    """Writes a small file that is not there yet; False if it is. Of several writers at a time one gets True, and nobody sees the file without its content."""
     fs, file = _folder(spark, path)
-    if fs.getUri().getScheme() == "file":
-        # Hadoop's local file system looks first and creates then; Java's own call does both at once
-        fs.mkdirs(file.getParent())
-        if not spark._jvm.java.io.File(file.toUri().getPath()).createNewFile():
-            return False
-        stream = fs.create(file, True)
-    else:
-        try:
-            stream = fs.create(file, False)
-        except Exception:  # noqa: BLE001  every store has its own word for it
-            if not fs.exists(file):
-                raise
-            return False
+    fs.mkdirs(file.getParent())
+    jvm = spark._jvm
+    draft = jvm.org.apache.hadoop.fs.Path(file.getParent(), f".{file.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(draft, False)
     stream.write(bytearray(content.encode()))
     stream.close()
-    return True
+    try:
+        if fs.getUri().getScheme() == "file":
+            # Hadoop's local rename replaces; a hard link fails if the name is taken, and gives the whole file its name at once
+            path_of = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+            try:
+                jvm.java.nio.file.Files.createLink(path_of(file), path_of(draft))
+            except Exception:  # noqa: BLE001
+                if not fs.exists(file):
+                    raise
+                return False
+            return True
+        # a rename onto a name that is taken fails
+        return not fs.exists(file) and bool(fs.rename(draft, file))
+    finally:
+        fs.delete(draft, False)
+
+
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What a folder holds, sorted, drafts left out; nothing if there is none."""
+    fs, folder = _folder(spark, path)
+    return sorted(n for s in fs.listStatus(folder) if not (n := s.getPath().getName()).startswith(".")) if fs.exists(folder) else []
+
+
+def ages(spark: SparkSession, path: str) -> list[tuple[str, float]]:
+    """What a folder holds, and when each was changed, in seconds since 1970."""
+    fs, folder = _folder(spark, path)
+    return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(folder)] if fs.exists(folder) else []
+
+
+def delete(spark: SparkSession, path: str) -> bool:
+    fs, folder = _folder(spark, path)
+    return bool(fs.delete(folder, True))
+
+
+def read_small(spark: SparkSession, path: str) -> str:
+    fs, file = _folder(spark, path)
+    stream = fs.open(file)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()

@@ -1,4 +1,4 @@
-"""Section trees: headings to nodes with spans, paths, range joins from offsets to sections, coverage."""
+"""Section trees: headings to nodes with spans, paths, sections of offsets by a sweep, coverage."""
 
 from __future__ import annotations
 
@@ -6,21 +6,24 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import TOKEN
 
+#: A heading's line.
+HEADING = "^(#{1,6})[^\\S\\n]+(\\S.*?)[^\\S\\n]*$"
+
+
 def markdown_headings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """relpath, idx, level, title, start, length (of the text) of each line `# title`, one to six signs."""
-    lines = docs.select(F.col(id_col).alias("relpath"), F.length(text_col).alias("length"), F.split(text_col, "\n").alias("lines"))
-    # each line's offset: the lengths of the lines before it, and their line ends
-    starts = F.aggregate("lines", F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda s, x: F.struct((s.getField("at") + F.length(x) + 1).alias("at"), F.concat(s.getField("all"), F.array(s.getField("at"))).alias("all")))
-    rows = lines.filter(F.exists("lines", lambda x: x.rlike("^#{1,6}\\s+\\S"))).select("relpath", "length", F.explode(F.arrays_zip(F.col("lines").alias("line"), starts.getField("all").alias("start"))).alias("z"))
-    rows = rows.select("relpath", "length", "z.line", "z.start").filter(F.col("line").rlike("^#{1,6}\\s+\\S"))
-    sign = F.regexp_extract("line", "^(#{1,6})\\s+(.+?)\\s*$", 1)
+    """relpath, idx, level, title, start, length (of the text) of each line `# title`, one to six signs. A text is cut before its headings, and each part's offset is a running sum over the parts."""
+    parts = docs.select(F.col(id_col).alias("relpath"), F.length(text_col).alias("length"), F.posexplode(F.split(text_col, "(?md)(?=^#{1,6}[^\\S\\n]+\\S)")).alias("nth", "part"))
+    before = F.sum(F.length("part")).over(Window.partitionBy("relpath").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1))
+    line = F.substring_index("part", "\n", 1)
+    rows = parts.withColumns({"start": F.coalesce(before, F.lit(0)).cast("int"), "line": line}).filter(line.rlike(HEADING))
     idx = F.row_number().over(Window.partitionBy("relpath").orderBy("start"))
-    return rows.select("relpath", idx.alias("idx"), F.length(sign).alias("level"), F.regexp_extract("line", "^(#{1,6})\\s+(.+?)\\s*$", 2).alias("title"), "start", "length")
+    return rows.select("relpath", idx.alias("idx"), F.length(F.regexp_extract("line", HEADING, 1)).alias("level"), F.regexp_extract("line", HEADING, 2).alias("title"), "start", "length")
 
 
 #: Levels of headings go from 1 to this.
@@ -34,7 +37,9 @@ def nest(headings: DataFrame) -> DataFrame:
     starts. Both, and the chain of ancestors, come from windows over the document, with one column for each level.
     """
     order = Window.partitionBy("relpath").orderBy("idx")
-    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    # what follows, from the end on: a frame that grows takes linear time, one that shrinks does not
+    after = Window.partitionBy("relpath").orderBy(F.desc("idx")).rowsBetween(Window.unboundedPreceding, -1)
     at_level = lambda columns: F.array(*columns)[F.col("level") - 1]
     levels = range(1, DEEPEST + 1)
     above = [F.max(F.when(F.col("level") < n, F.col("idx"))).over(before) for n in levels]
@@ -68,19 +73,65 @@ def single_root(docs: DataFrame, id_col: str, title_col: str, text_col: str) ->
     )
 
 
-def segment_sections(segments: DataFrame, header: str) -> DataFrame:
-    """relpath, title, start, end of the runs of segments that begin with a header kind (slides, sheets), from running offsets."""
-    w = Window.partitionBy("relpath").orderBy("seg_idx")
-    at = F.coalesce(F.sum(F.length("text") + 2).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = segments.withColumns({"start": at, "section": F.sum(F.when(F.col("kind") == header, 1).otherwise(0)).over(w)}).filter("section > 0")
-    return rows.groupBy("relpath", "section").agg(F.min_by("text", "seg_idx").alias("title"), F.min("start").cast("int").alias("start"), F.max(F.col("start") + F.length("text")).cast("int").alias("end"))
+def _clean(title: Column) -> Column:
+    """A heading's text without its signs."""
+    return F.trim(F.regexp_replace(title, "^#+\\s*", ""))
+
+
+def segment_headings(spans: DataFrame) -> DataFrame:
+    """Headings for nest(), from the segments that are headings (relpath, seg_idx, kind, text, metadata, start, end); a paragraph that looks like one is none."""
+    whole = F.max("end").over(Window.partitionBy("relpath"))
+    rows = spans.withColumn("length", whole).filter("kind = 'heading'")
+    idx = F.row_number().over(Window.partitionBy("relpath").orderBy("seg_idx"))
+    level = F.coalesce(F.try_element_at("metadata", F.lit("level")).cast("int"), F.length(F.regexp_extract("text", "^(#+)", 1)))
+    return rows.select("relpath", idx.alias("idx"), F.least(F.greatest(level, F.lit(1)), F.lit(DEEPEST)).alias("level"), _clean(F.col("text")).alias("title"), "start", "length")
+
+
+def header_tree(spans: DataFrame) -> DataFrame:
+    """Tree nodes of slides and sheets: each header's run of segments is a section, and a slide's headings are its children, each as long as its own text."""
+    is_header = F.col("kind").isin("slide_header", "sheet_header")
+    order = Window.partitionBy("relpath").orderBy("seg_idx")
+    rows = spans.withColumn("k", F.sum(is_header.cast("int")).over(order)).filter("k > 0")
+    run, inside = Window.partitionBy("relpath", "k"), Window.partitionBy("relpath", "k").orderBy("seg_idx")
+    is_child = (F.col("kind") == "heading") & (F.col("top_kind") == "slide_header")
+    sheet = F.when(F.col("kind") == "sheet_header", F.try_element_at("metadata", F.lit("sheet_name")))
+    rows = rows.withColumns({"section_end": F.max("end").over(run), "top_kind": F.first("kind").over(inside), "named": F.coalesce(sheet, _clean(F.col("text")))})
+    rows = rows.withColumns({"top": F.first("named").over(inside), "j": F.sum(is_child.cast("int")).over(inside)}).filter(is_header | is_child)
+    rows = rows.withColumn("preorder", F.row_number().over(order))
+    parent = F.concat(F.lit("n"), F.col("k").cast("string"))
+    return rows.select(
+        "relpath", F.when(is_header, parent).otherwise(F.concat(parent, F.lit("."), F.col("j").cast("string"))).alias("node_id"), F.when(~is_header, parent).alias("parent_id"), "preorder",
+        F.when(is_header, 0).otherwise(1).alias("depth"), F.when(is_header, 1).otherwise(2).alias("level"), F.col("named").alias("title"), F.col("start").alias("start_offset"),
+        F.when(is_header, F.col("section_end")).otherwise(F.col("end")).alias("end_offset"), F.when(is_header, F.col("named")).otherwise(F.concat("top", F.lit(" > "), "named")).alias("section_path"),
+    )
 
 
 def sections_at(offsets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """relpath, offset and the deepest node that holds it. The join is by document; the range is a filter on it."""
-    held = offsets.join(nodes.select("relpath", "node_id", "depth", "preorder", "section_path", "start_offset", "end_offset"), "relpath")
-    held = held.filter((F.col("start_offset") <= F.col("offset")) & (F.col("offset") < F.col("end_offset")))
-    return held.groupBy("relpath", "offset").agg(F.max_by(F.struct("node_id", "section_path"), F.struct("depth", -F.col("preorder"))).alias("n")).select("relpath", "offset", "n.*")
+    """relpath, offset and the deepest node that holds it (of several the first). Starts of sections and offsets of a document pass once, in order; what is held meanwhile are the sections that are open."""
+    none = lambda kind: F.lit(None).cast(kind)
+    begin = nodes.select("relpath", F.col("start_offset").cast("long").alias("at"), F.lit(0).alias("kind"), F.col("end_offset").cast("long").alias("end"), "depth", "preorder", "node_id", "section_path")
+    ask = offsets.select("relpath", F.col("offset").cast("long").alias("at"), F.lit(1).alias("kind"), none("long").alias("end"), none("int").alias("depth"), none("int").alias("preorder"), none("string").alias("node_id"), none("string").alias("section_path")).distinct()
+    order = ["relpath", "at", "kind"]
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        document, opened = None, []
+        for b in batches:
+            out = []
+            for relpath, at, kind, end, depth, preorder, node, path in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if relpath != document:
+                    document, opened = relpath, []
+                if kind == 0:
+                    opened.append((end, depth, -preorder, node, path))
+                else:
+                    opened = [x for x in opened if x[0] > at]
+                    if opened:
+                        best = max(opened, key=lambda x: x[1:3])
+                        out.append((relpath, at, best[3], best[4]))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.string()), strict=True)], ["relpath", "offset", "node_id", "section_path"])
+
+    both = begin.unionByName(ask).repartition("relpath").sortWithinPartitions(*order)
+    return both.mapInArrow(sweep, "relpath string, offset int, node_id string, section_path string")
 
 
 def own_ranges(nodes: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from lorespark.functions import text as T
 from lorespark.operators import graph as G
 from lorespark.operators import retrieval as R
 from lorespark.operators import trees as P
-from lorespark.operators.components import connected_components
+from lorespark.operators.components import connected_components, numbered
 from lorespark.plans.registry import query, table
 
 
@@ -171,12 +171,7 @@ def components_of_pairs(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select component, count(*) n_nodes, dense_rank() over (order by component)::int number from {NODES_OF_CHAINS_SQL} group by 1")
 def community_sizes(spark: SparkSession, d: str) -> DataFrame:
     sizes = connected_components(chains(spark, d)).groupBy("component").agg(F.count("*").alias("n_nodes"))
-    # one row a component, ranked inside ranges whose sizes are added up, so no task has all of them
-    part = F.floor(F.col("component") / 1000)
-    s = sizes.withColumn("p", part)
-    before = s.groupBy("p").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = F.row_number().over(Window.partitionBy("p").orderBy("component"))
-    return s.join(before, "p").select("component", "n_nodes", (at + F.col("before")).cast("int").alias("number"))
+    return numbered(sizes, "component").select("component", "n_nodes", F.col("number").cast("int").alias("number"))
 
 
 def graph_layers(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:

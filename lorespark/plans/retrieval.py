@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
 from lorespark.functions import vectors as V
+from lorespark.operators import postings as P
 from lorespark.operators import retrieval as R
-from lorespark.operators.tables import union_all
+from lorespark.operators.tables import union_all, written
 from lorespark.plans.registry import query, table
 
 TOKEN_SQL = r"[A-Za-z0-9]+|[\x{4e00}-\x{9fff}]|[^\s]"
@@ -33,14 +34,29 @@ PAGES_SQL = """(select 'doc' || lpad(doc_id::varchar, 10, '0') slug, lower(sourc
 QUESTIONS_SQL = """(select item_id query_id, case item_id % 3 when 0 then 'summary of ' when 1 then 'why ' else '' end || text question from benchmark)"""
 
 
-@query(rf"""with q as (select query_id, lower(trim(question, ' ')) q, regexp_extract_all(lower(question), '[A-Za-z0-9\x{{4e00}}-\x{{9fff}}]{{2,}}') terms from {QUESTIONS_SQL}),
+WIKI_SQL = rf"""with q as (select query_id, lower(trim(question, ' ')) q, regexp_extract_all(lower(question), '[A-Za-z0-9\x{{4e00}}-\x{{9fff}}]{{2,}}') terms from {QUESTIONS_SQL}),
   s as (select query_id, slug, (case when contains(title, q) then 8 else 0 end + case when contains(summary, q) then 6 else 0 end + case when contains(body, q) then 4 else 0 end
    + coalesce(list_sum(list_transform(terms, lambda t: case when contains(title, t) then 4 else 0 end + case when contains(summary, t) then 3 else 0 end + case when contains(body, t) then 1 else 0 end)), 0))::int score from q cross join {PAGES_SQL} p)
-  select query_id, slug, score from (select *, row_number() over (partition by query_id order by score desc, slug) rn from s where score > 0) where rn = 1""")
+  select query_id, slug, score from (select *, row_number() over (partition by query_id order by score desc, slug) rn from s where score > 0) where rn = 1"""
+
+
+@query(WIKI_SQL)
 def wiki_search_best(spark: SparkSession, d: str) -> DataFrame:
     return R.wiki_search(questions(spark, d), pages(spark, d))
 
 
+def page_lists(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The pages, and their posting lists."""
+    wiki = pages(spark, d)
+    return wiki, written(P.build(P.page_entries(wiki), wiki.count()).withColumn("batch", F.lit("")))
+
+
+@query(WIKI_SQL)
+def wiki_search_postings(spark: SparkSession, d: str) -> DataFrame:
+    wiki, lists = page_lists(spark, d)
+    return P.page_search(questions(spark, d), lists, wiki, lambda rows: rows)[0]
+
+
 @query(f"""select string_agg('- ' || title || ': ' || summary, chr(10) order by slug) overview from (select slug, source || ' ' || lang title, substring(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' '), 1, 80) summary from (select *, 'doc' || lpad(doc_id::varchar, 10, '0') slug from documents) order by slug limit 5)""")
 def wiki_overview(spark: SparkSession, d: str) -> DataFrame:
     return R.wiki_overview(pages(spark, d))

@@ -50,7 +50,12 @@ def watch_state_counts(spark: SparkSession, d: str) -> DataFrame:
   case when state in ('corrupt', 'unsupported') then 'skipped' else 'planned' end status, 0::bigint n_depends from {STATE_SQL} where state <> 'unchanged') select * from a union all select 'graphify:build', 'graphify_build', 'planned', (select count(*) from a where kind in ('ingest', 'prune'))""")
 def watch_plan_actions(spark: SparkSession, d: str) -> DataFrame:
     steps = refresh.plan(refresh.states(files(spark, d), manifest(spark, d)), prune=True)
-    return steps.select("action_id", "kind", "status", F.size("depends_on").cast("long").alias("n_depends"))
+    return steps.select("action_id", "kind", "status", "n_depends")
+
+
+@query(f"""select 'graphify:build' action_id, case state when 'missing' then 'prune:' else 'ingest:' end || relpath depends_on from {STATE_SQL} where state in ('missing', 'new', 'stale')""")
+def watch_plan_dependencies(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.dependencies(refresh.plan(refresh.states(files(spark, d), manifest(spark, d)), prune=True))
 
 
 @query("""select relpath, status from (select 'doc/' || doc_id relpath, case when doc_id % 13 = 0 or doc_id % 17 = 0 then 'failed' when doc_id % 7 = 0 then 'created' when doc_id % 11 = 0 then 'updated' when doc_id % 10 = 0 then 'skipped' when doc_id % 5 = 0 then 'updated' else 'skipped' end status from documents

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lorespark.engine import Engine
 from lorespark.operators import catalog, ledger, refresh
-from lorespark.operators.tables import create_once, union_all, written
+from lorespark.operators.tables import create_once, names, read_small, union_all, written
 from lorespark.sources.sinks import VersionedTable
 
 EVENT = "number int, resource_key string, agent_id string, op string, ts timestamp, ttl_seconds int"
@@ -30,21 +30,13 @@ class Coordination:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
-    def _lines(self, folder: str, known: dict[str, str]) -> tuple[int, list[dict]]:
-        """The next number of a folder, and its events in order. A file that stays empty is of a writer that ended before it wrote: no event."""
-        fs, path = self._fs(folder)
-        names = sorted(s.getPath().getName() for s in fs.listStatus(path)) if fs.exists(path) else []
-        for name in names:
-            for _ in range(50):
-                if known.get(name):
-                    break
-                fs, file = self._fs(f"{folder}/{name}")
-                stream = fs.open(file)
-                known[name] = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                if not known[name]:
-                    time.sleep(0.1)
-        return len(names), [json.loads(known[name]) for name in names if known[name]]
+    def _lines(self, folder: str, known: dict[str, dict]) -> tuple[int, list[dict]]:
+        """The next number of a folder, and its events in order."""
+        found = names(self.spark, folder)
+        for name in found:
+            if name not in known:
+                known[name] = json.loads(read_small(self.spark, f"{folder}/{name}"))
+        return len(found), [known[name] for name in found]
 
     def _try(self, agent: str, resource: str, op: str, ttl: int, now: float | None) -> str:
         if not 1 <= ttl <= 86_400:

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import table_row
+from lorespark.operators.tables import written
 
 # Formats by suffix, what their files begin with, limits in MB, and the main part of Office files.
 FORMATS = ("txt", "md", "pdf", "docx", "xlsx", "pptx", "png", "jpg", "jpeg")
@@ -26,14 +27,37 @@ MAIN_PART = {"docx": "word/document.xml", "xlsx": "xl/workbook.xml", "pptx": "pp
 SEGMENT = "relpath string, seg_idx int, kind string, text string, metadata map<string,string>"
 
 
-def discover(spark: SparkSession, root: str) -> DataFrame:
-    """relpath, path, length and content of all files under a folder. Content is only read where a plan uses it. Spark lists no empty files."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+#: Changed files that are named one by one to Spark's reader; more are found by a scan of the whole folder.
+MOST_NAMED = 10_000
+
+
+def discover(spark: SparkSession, root: str, paths: list[str] | None = None) -> DataFrame:
+    """relpath, path, modificationTime, length and content of all files under a folder, or of some of them. Content is only read where a plan uses it. Spark lists no empty files."""
+    return relative(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root if paths is None else paths), root)
+
+
+def relative(files: DataFrame, root: str) -> DataFrame:
+    """Files of Spark's reader with the path below the root."""
     top = root.rstrip("/").split("://")[-1].lstrip("/")
     rel = F.regexp_replace("path", f"^.*?{re.escape(top)}/", "")
     return files.select(F.when(F.col("path").endswith(top), F.regexp_extract("path", "[^/]+$", 0)).otherwise(rel).alias("relpath"), "path", "modificationTime", "length", "content")
 
 
+def rescan(spark: SparkSession, root: str, known: DataFrame) -> DataFrame:
+    """Files as checked() has them, where only changed ones are read. known: relpath, length, modificationTime and sha256 of files whose digest is known; a file of the same length and time has it still, and no content here."""
+    listed = discover(spark, root).select("relpath", "path", "modificationTime", "length")
+    same = written(listed.join(known, ["relpath", "length", "modificationTime"]))
+    changed = listed.join(same.select("relpath"), "relpath", "left_anti").select("relpath", "path")
+    few = [r["path"] for r in changed.select("path").limit(MOST_NAMED + 1).collect()]
+    if len(few) > MOST_NAMED:
+        read = discover(spark, root).join(changed.select("relpath"), "relpath", "left_semi")
+    else:
+        read = discover(spark, root, [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in few]) if few else discover(spark, root).limit(0)
+    none = same.withColumns({"content": F.lit(None).cast("binary"), "format": format_of(F.col("path")), "issue": F.lit(None).cast("string")})
+    read = checked(read)
+    return read.unionByName(none.select(read.columns))
+
+
 def format_of(path: Column) -> Column:
     suffix = F.lower(F.regexp_extract(path, "\\.([^./]+)$", 1))
     return F.when(suffix.isin(*FORMATS), suffix)

@@ -4,135 +4,293 @@ from __future__ import annotations
 
 import html
 import json
+import time
 import uuid
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lorespark.functions.text import slug, unique_slug
-from lorespark.operators.tables import create_once
+from lorespark.operators.tables import ages, create_once, delete, names, read_small, written
+
+
+class Conflict(RuntimeError):
+    """Another writer committed first; nothing of this commit is visible."""
 
 
 class VersionedTable:
-    """A Parquet table of versions. Readers follow the newest complete one, so a failed write changes nothing they see."""
+    """A Parquet table of versions. A version is a folder of its own, and becomes visible by one numbered file that only one writer can create: readers follow the newest number, a failed write changes nothing they see, and of two writers from the same version one gets Conflict."""
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
 
-    def _versions(self) -> list[int]:
-        jvm = self.spark._jvm
-        folder = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not fs.exists(folder):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(folder)]
-        done = [int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
-        return sorted(done)
+    def version(self) -> int:
+        """The newest version's number; 0 before the first."""
+        return max([0, *map(int, names(self.spark, f"{self.path}/versions"))])
 
     def exists(self) -> bool:
-        return bool(self._versions())
-
-    def read(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/v={self._versions()[-1]}")
-
-    def write(self, df: DataFrame) -> None:
-        n = (self._versions() or [0])[-1] + 1
-        df.write.mode("overwrite").parquet(f"{self.path}/v={n}")
+        return self.version() > 0
+
+    def read(self, version: int | None = None) -> DataFrame:
+        version = self.version() if version is None else version
+        return self.spark.read.parquet(f"{self.path}/data/{read_small(self.spark, f'{self.path}/versions/{version:08d}')}")
+
+    def write(self, df: DataFrame, after: int | None = None) -> None:
+        """after: the version that df was made from, else the newest."""
+        after, batch = self.version() if after is None else after, uuid.uuid4().hex
+        df.write.parquet(f"{self.path}/data/{batch}")
+        if not create_once(self.spark, f"{self.path}/versions/{after + 1:08d}", batch):
+            raise Conflict(f"version {after + 1} is taken")
+
+    def _changed(self, change: Callable[[DataFrame | None], DataFrame], tries: int = 20) -> None:
+        """Writes what change makes of the newest version, anew if another writer was faster."""
+        for k in range(tries):
+            after = self.version()
+            try:
+                return self.write(change(self.read(after) if after else None), after)
+            except Conflict:
+                if k == tries - 1:
+                    raise
 
     def upsert(self, new: DataFrame, key: str) -> None:
         """Rows of new in place of those with the same key."""
-        old = self.read() if self.exists() else None
-        self.write(new if old is None else old.join(new.select(key).distinct(), key, "left_anti").unionByName(new))
+        self._changed(lambda old: new if old is None else old.join(new.select(key).distinct(), key, "left_anti").unionByName(new))
 
     def delete(self, keys: DataFrame, key: str) -> None:
-        self.write(self.read().join(keys.select(key), key, "left_anti"))
+        self._changed(lambda old: old.join(keys.select(key), key, "left_anti"))
 
 
-class Conflict(RuntimeError):
-    """Another writer committed first; nothing of this commit is visible."""
+#: Makes a derived table of tables, for so many documents at most in a part, keeping columns that parts are told by.
+Derive = Callable[[dict[str, DataFrame], int, tuple[str, ...]], DataFrame]
+
+
+def _range_of(lows: list[str]):
+    """Rows of relpath with the number of the range that each is in; -1 where there are no ranges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = [max(bisect_right(lows, p) - 1, 0 if lows else -1) for p in b.column("relpath").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("relpath"), pa.array(at, pa.int32())], ["relpath", "old"])
+
+    return run
 
 
 class Store:
     """Tables of documents that change together. A commit holds the rows of the documents it replaces, in a folder of its own
-    for each table, and becomes visible in all tables at once by one small file. Rows of other documents are not rewritten.
+    for each table, and becomes visible in all tables at once by one small numbered file. Rows of other documents are not rewritten.
 
-    tables: name, and the column that says which document a row is of. Commits are numbered; the number's file is only
-    created if it is not there, and only if no other came since the rows were made, so of two writers one gets Conflict. A document's rows are those of its latest commit.
-    """
+    tables: name, and the column that says which document a row is of. A commit's number follows the one its rows were made
+    from, and its file can only be created once, so of two writers one gets Conflict. A document's rows are those of its
+    latest commit.
 
-    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str]) -> None:
-        self.spark, self.root, self.tables = spark, root.rstrip("/"), tables
-        self._known: dict[str, str] = {}
-
-    def _path(self, path: str):
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{path}")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
-
-    def _names(self, path: str) -> list[str]:
-        fs, folder = self._path(path)
-        return sorted(s.getPath().getName() for s in fs.listStatus(folder)) if fs.exists(folder) else []
-
-    def commits(self) -> list[tuple[int, str]]:
-        """Number and batch of each commit. A number whose file is empty was taken by a writer that did not end."""
-        for name in self._names("commits"):
-            if name not in self._known:
-                fs, path = self._path(f"commits/{name}")
-                stream = fs.open(path)
-                batch = "".join(chr(c) for c in iter(stream.read, -1))
-                stream.close()
-                if batch:
-                    self._known[name] = batch
-        return sorted((int(n), batch) for n, batch in self._known.items())
-
-    def _batches(self, name: str) -> DataFrame | None:
-        paths = [f"{self.root}/{name}/{batch}" for _, batch in self.commits()]
-        return self.spark.read.parquet(*paths) if paths else None
-
-    def live(self) -> DataFrame | None:
-        """relpath and batch of the documents there are."""
-        entries = self._batches("entries")
-        if entries is None:
-            return None
-        last = entries.groupBy("relpath").agg(F.max_by(F.struct("batch", "gone"), "number").alias("e"))
-        return last.filter("not e.gone").select("relpath", "e.batch")
+    After `most_deltas` commits compact() merges them into a base: documents in ranges of relpath, about `range_docs` in each,
+    with one folder a table and range. Only ranges with changed documents are written; a base's file lists all ranges with
+    their folder, number of documents and digest. So a read looks at the last base and the few commits after it, a read
+    of one document at one range of it and the commits whose documents may include it. The file has a line for each range.
 
-    def exists(self) -> bool:
-        return bool(self.commits())
+    derived: tables that are made of the tables' rows of one commit, or of one range of a base, such as lists by term: their
+    rows are of many documents. segments() has all parts of one, and current() leaves out what it has of replaced documents.
+
+    Every number is a snapshot that can be read until expire() drops it; pinned() keeps one while it is read.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, tables: dict[str, str], most_deltas: int = 20, range_docs: int = 50_000, derived: dict[str, Derive] | None = None) -> None:
+        self.spark, self.root, self.most_deltas, self.range_docs = spark, root.rstrip("/"), most_deltas, range_docs
+        self.tables, self.keys, self.derived = tables, tables | {"documents": "relpath"}, derived or {}
+        self._known: dict[int, dict] = {}
 
-    def read(self, name: str) -> DataFrame:
-        key = self.tables[name]
-        here = self.live().select(F.col("relpath").alias(key), "batch")
-        return self._batches(name).join(here, [key, "batch"], "left_semi").drop("batch")
+    def commits(self) -> list[tuple[int, dict]]:
+        """Number and content of each commit there is. Their files never change, so each is read once."""
+        numbers = sorted(int(n) for n in names(self.spark, f"{self.root}/commits"))
+        for n in numbers:
+            if n not in self._known:
+                self._known[n] = json.loads(read_small(self.spark, f"{self.root}/commits/{n:08d}"))
+        return [(n, self._known[n]) for n in numbers]
 
     def latest(self) -> int:
         """The number of the last commit; 0 before the first."""
-        return (self.commits() or [(0, "")])[-1][0]
+        return max([0, *map(int, names(self.spark, f"{self.root}/commits"))])
 
-    def commit(self, rows: dict[str, DataFrame], gone: DataFrame | None = None, after: int | None = None) -> None:
-        """rows: of every table, all rows of the documents that this commit replaces or adds; gone: relpath of those that go; after: the commit that rows were made from."""
+    def exists(self) -> bool:
+        return self.latest() > 0
+
+    def state(self, at: int | None = None, relpath: str | None = None) -> tuple[list[dict], list[dict]]:
+        """The base's ranges and the commits after it, as of a number; with relpath, only those that may have that document."""
+        seen = [(n, c) for n, c in self.commits() if at is None or n <= at]
+        base = max([n for n, c in seen if c["kind"] == "base"], default=0)
+        if at and (not seen or not base and seen[0][0] > 1):
+            raise ValueError(f"snapshot {at} is expired")
+        ranges = next((c["ranges"] for n, c in seen if n == base), [])
+        deltas = [c for n, c in seen if n > base]
+        if relpath is not None:
+            ranges = ranges[max(0, bisect_right([r["low"] for r in ranges], relpath) - 1) :][:1]
+            deltas = [c for c in deltas if c["docs"] and c["low"] <= relpath <= c["high"]]
+        return ranges, deltas
+
+    def folders(self, name: str, at: int | None = None, relpath: str | None = None) -> list[str]:
+        """The folders that a read of a table looks at."""
+        ranges, deltas = self.state(at, relpath)
+        return self._base_folders(name, ranges) + [f"{self.root}/{name}/{c['batch']}" for c in deltas]
+
+    def _base_folders(self, name: str, ranges: list[dict]) -> list[str]:
+        return [f"{self.root}/{name}/{r['folder']}/range={r['part']}" for r in ranges if name in r["tables"]]
+
+    def _touched(self, deltas: list[dict]) -> DataFrame:
+        """Of documents in commits: relpath, the batch of the last, and whether they went with it."""
+        entries = self.spark.read.parquet(*(f"{self.root}/entries/{c['batch']}" for c in deltas))
+        return entries.groupBy("relpath").agg(F.max_by(F.struct("batch", "gone"), "number").alias("e")).select("relpath", "e.*")
+
+    def _schema(self, name: str) -> T.StructType:
+        """A table's columns. Commits keep them, so that no file is opened for it."""
+        return T.StructType.fromJson(json.loads(self.commits()[-1][1]["schemas"][name]))
+
+    def _rows(self, name: str, ranges: list[dict], deltas: list[dict]) -> DataFrame:
+        schema, key, parts = self._schema(name), self.keys[name], []
+        touched = self._touched(deltas) if deltas else None
+        if folders := self._base_folders(name, ranges):
+            base = self.spark.read.schema(schema).parquet(*folders)
+            parts.append(base if touched is None else base.join(touched.select(F.col("relpath").alias(key)), key, "left_anti").select(schema.names))
+        if touched is not None:
+            new = self.spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.StringType())])).parquet(*(f"{self.root}/{name}/{c['batch']}" for c in deltas))
+            here = touched.filter("not gone").select(F.col("relpath").alias(key), "batch")
+            parts.append(new.join(here, [key, "batch"], "left_semi").select(schema.names))
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], schema)
+
+    def read(self, name: str, relpath: str | None = None, at: int | None = None) -> DataFrame:
+        """A table's rows; of one document, or as of a number."""
+        out = self._rows(name, *self.state(at, relpath))
+        return out if relpath is None else out.filter(F.col(self.keys[name]) == relpath)
+
+    def segments(self, name: str, at: int | None = None) -> DataFrame:
+        """The rows of a derived table in all parts, with the batch of each; empty for the base."""
+        ranges, deltas = self.state(at)
+        parts = [self.spark.read.parquet(*folders).withColumn("batch", F.lit(""))] if (folders := self._base_folders(name, ranges)) else []
+        if deltas:
+            parts.append(self.spark.read.parquet(*(f"{self.root}/{name}/{c['batch']}" for c in deltas)))
+        return reduce(DataFrame.unionByName, parts)
+
+    def current(self, rows: DataFrame, at: int | None = None) -> DataFrame:
+        """The rows (relpath, batch, ...) from segments() that are of documents as they are at a number."""
+        _, deltas = self.state(at)
+        if not deltas:
+            return rows
+        last = self._touched(deltas).select("relpath", F.col("batch").alias("last"), "gone")
+        fits = F.when(F.col("last").isNull(), True).otherwise((F.col("batch") == F.col("last")) & ~F.col("gone"))
+        return rows.join(last, "relpath", "left").filter(fits).drop("last", "gone")
+
+    def live(self, at: int | None = None) -> DataFrame:
+        """relpath of the documents there are."""
+        return self.read("documents", at=at)
+
+    def applied(self, stream: str) -> int:
+        """The last batch of a stream that is in the store; -1: none."""
+        return max([c["streams"].get(stream, -1) for _, c in self.commits()], default=-1)
+
+    def commit(self, rows: dict[str, DataFrame], gone: DataFrame | None = None, after: int | None = None, stream: tuple[str, int] | None = None) -> bool:
+        """rows: of every table, all rows of the documents that this commit replaces or adds; gone: relpath of those that go; after: the commit that rows were made from. stream: a stream's name and the number of its batch; a batch that is in the store already changes nothing, and False says so."""
         after = self.latest() if after is None else after
-        number = max([after, *map(int, self._names("commits"))]) + 1
+        if stream and self.applied(stream[0]) >= stream[1]:
+            return False
         batch = uuid.uuid4().hex
         for name in self.tables:
             rows[name].withColumn("batch", F.lit(batch)).write.parquet(f"{self.root}/{name}/{batch}")
         own = [self.spark.read.parquet(f"{self.root}/{name}/{batch}").select(F.col(key).alias("relpath")) for name, key in self.tables.items()]
-        entries = reduce(DataFrame.union, own).distinct().withColumn("gone", F.lit(False))
-        if gone is not None:
-            entries = entries.union(gone.select("relpath").distinct().join(entries, "relpath", "left_anti").withColumn("gone", F.lit(True)))
-        entries.withColumns({"batch": F.lit(batch), "number": F.lit(number)}).write.parquet(f"{self.root}/entries/{batch}")
-        if self.latest() > after:
+        reduce(DataFrame.union, own).distinct().withColumn("batch", F.lit(batch)).write.parquet(f"{self.root}/documents/{batch}")
+        there = self.spark.read.parquet(f"{self.root}/documents/{batch}").select("relpath", F.lit(False).alias("gone"))
+        entries = there if gone is None else there.union(gone.select("relpath").distinct().join(there, "relpath", "left_anti").withColumn("gone", F.lit(True)))
+        entries.withColumns({"batch": F.lit(batch), "number": F.lit(after + 1)}).write.parquet(f"{self.root}/entries/{batch}")
+        docs, low, high = self.spark.read.parquet(f"{self.root}/entries/{batch}").agg(F.count(F.lit(1)), F.min("relpath"), F.max("relpath")).first()
+        for name, make in self.derived.items():
+            made = make({t: self.spark.read.parquet(f"{self.root}/{t}/{batch}") for t in self.tables}, docs, ())
+            made.withColumn("batch", F.lit(batch)).write.parquet(f"{self.root}/{name}/{batch}")
+        schemas = {name: rows[name].schema.json() for name in self.tables} | {"documents": there.select("relpath").schema.json()}
+        self._publish(after, {"kind": "delta", "batch": batch, "docs": docs, "low": low, "high": high, "schemas": schemas, "streams": dict([stream]) if stream else {}})
+        if len(self.state()[1]) >= self.most_deltas:
+            try:
+                self.compact()
+            except Conflict:
+                pass  # another commit came; the next one tries again
+        return True
+
+    def _publish(self, after: int, content: dict) -> None:
+        if self.latest() > after or not create_once(self.spark, f"{self.root}/commits/{after + 1:08d}", json.dumps(content)):
             raise Conflict(f"commit {self.latest()} came after {after}")
-        if not create_once(self.spark, f"{self.root}/commits/{number:08d}", batch):
-            raise Conflict(f"commit {number} is taken")
-
-    def vacuum(self) -> int:
-        """Deletes folders of commits that never became visible; how many."""
-        kept, n = {batch for _, batch in self.commits()}, 0
-        for name in (*self.tables, "entries"):
-            for batch in set(self._names(name)) - kept:
-                fs, folder = self._path(f"{name}/{batch}")
-                n += bool(fs.delete(folder, True))
+
+    def compact(self) -> None:
+        """Merges the commits since the last base into a new base. Ranges with changed documents are cut anew, by number of documents; the others stay as they are."""
+        after = self.latest()
+        ranges, deltas = self.state(after)
+        if not deltas:
+            return
+        lows = [r["low"] for r in ranges]
+        numbered = lambda docs: docs.select("relpath").mapInArrow(_range_of(lows), "relpath string, old int")
+        changed = {r["old"] for r in numbered(self._touched(deltas)).select("old").distinct().collect()}  # a row a range
+        kept, old = [r for k, r in enumerate(ranges) if k not in changed], [r for k, r in enumerate(ranges) if k in changed]
+        docs = written(numbered(self._rows("documents", old, deltas)))
+        cut = written(docs.repartitionByRange(max(1, -(-docs.count() // self.range_docs)), "old", "relpath").withColumn("piece", F.spark_partition_id()))
+        digest = F.sum(F.xxhash64("relpath").cast("decimal(38,0)")).cast("string")
+        pieces = cut.groupBy("old", "piece").agg(F.min("relpath").alias("low"), F.count(F.lit(1)).alias("docs"), digest.alias("digest")).orderBy("low").collect()  # a row a range
+        parts = self.spark.createDataFrame([(p["old"], p["piece"], k) for k, p in enumerate(pieces)], "old int, piece int, range int")
+        part_of = written(cut.join(F.broadcast(parts), ["old", "piece"]).select("relpath", "range"))
+        batch = uuid.uuid4().hex
+        for name, key in self.keys.items():
+            rows = self._rows(name, old, deltas).join(part_of.withColumnRenamed("relpath", key), key)
+            rows.repartition(max(1, len(pieces)), "range").sortWithinPartitions("range", key).write.partitionBy("range").parquet(f"{self.root}/{name}/{batch}")
+        for name, make in self.derived.items():
+            own = {t: self.spark.read.schema(T.StructType([*self._schema(t).fields, T.StructField("range", T.IntegerType())])).parquet(f"{self.root}/{t}/{batch}") for t in self.tables}
+            made = make(own, max([p["docs"] for p in pieces], default=0), ("range",))
+            made.repartition(max(1, len(pieces)), "range").sortWithinPartitions("range", *made.columns[1:2]).write.partitionBy("range").parquet(f"{self.root}/{name}/{batch}")
+        held = {name: set(names(self.spark, f"{self.root}/{name}/{batch}")) for name in (*self.keys, *self.derived)}
+        new = [{"low": p["low"], "folder": batch, "part": k, "docs": p["docs"], "digest": p["digest"], "tables": [name for name in held if f"range={k}" in held[name]]} for k, p in enumerate(pieces)]
+        streams = {s: self.applied(s) for s in {s for _, c in self.commits() for s in c["streams"]}}
+        self._publish(after, {"kind": "base", "batch": batch, "ranges": sorted(kept + new, key=lambda r: r["low"]), "schemas": {name: self._schema(name).json() for name in self.keys}, "streams": streams})
+
+    def verify(self) -> list[int]:
+        """Numbers of the base's ranges whose documents are not those that its file tells the number and digest of."""
+        ranges, _ = self.state()
+        found = {}
+        if folders := self._base_folders("documents", ranges):
+            # rows know their range by their file: ranges of one batch and of others may have the same part
+            rows = self.spark.read.parquet(*folders).withColumn("folder", F.regexp_extract(F.input_file_name(), "([0-9a-f]{32}/range=[0-9]+)/[^/]*$", 1))
+            told = rows.groupBy("folder").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("relpath").cast("decimal(38,0)")).cast("string").alias("digest"))
+            found = {r["folder"]: (r["n"], r["digest"]) for r in told.collect()}  # a row a range
+        return [k for k, r in enumerate(ranges) if found.get(f"{r['folder']}/range={r['part']}") != (r["docs"], r["digest"])]
+
+    @contextmanager
+    def pinned(self, seconds: float = 3600.0) -> Iterator[int]:
+        """The number of a snapshot that stays readable in the block, for so many seconds at most if its reader is lost."""
+        number, name = self.latest(), f"{self.root}/pins/{uuid.uuid4().hex}"
+        create_once(self.spark, name, json.dumps({"number": number, "until": time.time() + seconds}))
+        try:
+            yield number
+        finally:
+            delete(self.spark, name)
+
+    def expire(self) -> int:
+        """Drops snapshots before the last base, but for what pins need; how many commits. Their folders go with vacuum()."""
+        pins = [json.loads(read_small(self.spark, f"{self.root}/pins/{n}")) for n in names(self.spark, f"{self.root}/pins")]
+        oldest = min([p["number"] for p in pins if p["until"] > time.time()], default=self.latest())
+        base = max([n for n, c in self.commits() if c["kind"] == "base" and n <= oldest], default=0)
+        gone = [n for n, _ in self.commits() if n < base]
+        for n in gone:  # the oldest first, so that what is left is always whole
+            delete(self.spark, f"{self.root}/commits/{n:08d}")
+        return len(gone)
+
+    def vacuum(self, min_age: float = 86_400.0) -> int:
+        """Deletes folders that no commit names: of commits that never became visible, and of expired ones; how many. min_age: seconds that a folder is left alone, as its writer may still be at work."""
+        commits = [c for _, c in self.commits()]
+        kept = {c["batch"] for c in commits if c["kind"] == "delta"} | {r["folder"] for c in commits if c["kind"] == "base" for r in c["ranges"]}
+        n = 0
+        for name in (*self.keys, *self.derived, "entries"):
+            for batch, changed in ages(self.spark, f"{self.root}/{name}"):
+                if batch not in kept and time.time() - changed >= min_age:
+                    n += delete(self.spark, f"{self.root}/{name}/{batch}")
         return n
 
 

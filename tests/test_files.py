@@ -61,7 +61,7 @@ def test_engine(spark, folder, tmp_path):
     for r in engine.tree_nodes.orderBy("relpath", "preorder").collect():
         tree.setdefault(r.relpath, []).append((r.node_id, r.section_path))
     assert tree["sub/notes.md"] == [("n1", "Title here"), ("n1.1", "Title here > Part")] and tree["project-atlas.txt"] == [("n1", "project atlas")]
-    assert tree["b.xlsx"] == [("n1", "One")] and tree["c.pptx"] == [("n1", "Slide 1")] and tree["a.docx"] == [("n1", "Head")]
+    assert tree["b.xlsx"] == [("n1", "One")] and tree["c.pptx"] == [("n1", "Slide 1"), ("n1.1", "Slide 1 > Deck")] and tree["a.docx"] == [("n1", "Head")]
     assert engine.chunks.filter("tree_node_id is null").count() == 0
     assert {(r.header, r.section_path) for r in engine.chunks.filter("relpath = 'b.xlsx'").collect()} == {("## One", "One")}
     inside = engine.graph_edges.filter("relation = 'belongs_to' and source_relpath = 'sub/notes.md'").collect()
@@ -80,6 +80,128 @@ def test_engine(spark, folder, tmp_path):
     assert engine.catalog().count() == engine.sources.count()
 
 
+def test_failed_updates_and_true_outcomes(spark, tmp_path, monkeypatch):
+    """A file that cannot be parsed any more keeps its document; a refresh tells what ran."""
+    root = tmp_path / "in"
+    root.mkdir()
+    good = {"word/document.xml": f'<w:document {W}><w:body><w:p><w:r><w:t>Alpha depends on Beta.</w:t></w:r></w:p><w:p><w:r><w:t># no heading</w:t></w:r></w:p></w:body></w:document>'}
+    office(root / "a.docx", good)
+    (root / "b.txt").write_text("專案依賴伺服器。It doesn't matter (much), 50% off - a/b.\n")
+    engine = Engine(spark, str(tmp_path / "kb"))
+    engine.ingest(str(root))
+    assert engine.chunks.filter("relpath = 'b.txt'").first().text == "專案依賴伺服器。It doesn't matter (much),50%off-a/b."
+    assert [r.title for r in engine.tree_nodes.filter("relpath = 'a.docx'").collect()] == ["a"]  # a paragraph is no heading
+    (root / "a.docx").write_bytes(b"PK\x03\x04rubbish")
+    (root / "c.txt").write_text("Gamma depends on Delta.\n")
+    assert {r.relpath: r.status for r in engine.ingest(str(root)).collect()} == {"a.docx": "failed", "b.txt": "skipped", "c.txt": "created"}
+    assert {r.relpath for r in engine.sources.collect()} == {"a.docx", "b.txt", "c.txt"} and engine.wiki_pages.filter("source_relpath = 'a.docx'").count() == 1
+    (root / "b.txt").write_text("Beta depends on Zeta.\n")
+    out = {r.action_id: r.outcome for r in engine.refresh(str(root), mode="execute").collect()}
+    assert out == {"ingest:a.docx": "failed", "ingest:b.txt": "completed", "graphify:build": "completed"}
+    # a graph build that raises: what was ingested stays so
+    (root / "b.txt").write_text("Beta depends on Theta.\n")
+    monkeypatch.setattr(engine, "graph_analytics", lambda keep: 1 / 0)
+    rows = {r.action_id: (r.outcome, r.error) for r in engine.refresh(str(root), mode="execute").collect()}
+    assert rows["ingest:b.txt"] == ("completed", None) and rows["graphify:build"] == ("failed", "division by zero")
+    # an ingest that raises: nothing happened
+    (root / "b.txt").write_text("Beta depends on Kappa.\n")
+    monkeypatch.setattr(engine, "ingest", lambda *_: 1 / 0)
+    rows = {r.action_id: r.outcome for r in engine.refresh(str(root), mode="execute").collect()}
+    assert rows == {"ingest:a.docx": "failed", "ingest:b.txt": "failed", "graphify:build": "skipped"}
+    # an empty file has no document
+    monkeypatch.undo()
+    (root / "c.txt").write_text(" \n")
+    assert {r.relpath: r.status for r in engine.ingest(str(root)).collect()}["c.txt"] == "skipped" and engine.sources.filter("relpath = 'c.txt'").count() == 0
+
+
+TABLES = {"docs": "relpath", "parts": "doc"}
+
+
+def rows_of(spark, ids, text):
+    docs = spark.createDataFrame([(i, text) for i in ids], "relpath string, text string").coalesce(1)
+    return {"docs": docs, "parts": docs.filter("relpath < 'm'").select(F.col("relpath").alias("doc"), F.length("text").alias("n"))}
+
+
+def test_store_over_many_commits(spark, tmp_path):
+    """Commits against a plain dictionary, with compaction on the way; bounded reads, snapshots, pins, digests."""
+    import random
+
+    rng = random.Random(5)
+    store = sinks.Store(spark, str(tmp_path / "s"), TABLES, most_deltas=6, range_docs=8)
+    want, pinned, seen = {}, None, None
+    names = [f"{c}{k}" for c in "azmq" for k in range(10)]
+    for k in range(26):
+        ids = rng.sample(names, 3)
+        gone = [x for x in rng.sample(names, 2) if x not in ids]
+        store.commit(rows_of(spark, ids, f"t{k}"), spark.createDataFrame([(x,) for x in gone], "relpath string").coalesce(1))
+        want |= dict.fromkeys(ids, f"t{k}")
+        for x in gone:
+            want.pop(x, None)
+        if k == 8:
+            pinned, seen = store.pinned(), dict(want)
+            at = pinned.__enter__()
+    assert {r.relpath: r.text for r in store.read("docs").collect()} == want
+    assert {r.doc: r.n for r in store.read("parts").collect()} == {x: len(t) for x, t in want.items() if x < "m"}
+    assert {r.relpath for r in store.live().collect()} == set(want) and store.verify() == []
+    ranges, deltas = store.state()
+    assert len(deltas) < 6 and 3 < len(ranges) <= 12 and len(store.folders("docs")) <= len(ranges) + len(deltas)
+    one = next(iter(want))
+    assert len(store.state(relpath=one)[0]) == 1 and [r.text for r in store.read("docs", one).collect()] == [want[one]]
+    # ranges without changed documents are not written again
+    store.compact()
+    before = {(r["folder"], r["part"]) for r in store.state()[0]}
+    store.commit(rows_of(spark, [min(want)], "new"))
+    store.compact()
+    after = {(r["folder"], r["part"]) for r in store.state()[0]}
+    assert len(before & after) >= len(before) - 2 and {r.relpath: r.text for r in store.read("docs").collect()} == want | {min(want): "new"}
+    # the pinned snapshot stays until its reader is done
+    store.expire()
+    assert {r.relpath: r.text for r in store.read("docs", at=at).collect()} == seen
+    pinned.__exit__(None, None, None)
+    store.expire()
+    assert store.vacuum(min_age=0) > 0 and len(store.commits()) == 1
+    with pytest.raises(ValueError):
+        store.read("docs", at=at)
+    assert {r.relpath: r.text for r in store.read("docs").collect()} == want | {min(want): "new"} and store.verify() == []
+
+
+def test_racing_writers(spark, tmp_path):
+    """Of writers from one state one wins, in the store and in a table of versions; a crash before the last step changes nothing."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    store = sinks.Store(spark, str(tmp_path / "s"), TABLES)
+    store.commit(rows_of(spark, ["a"], "t"))
+
+    def write(k):
+        try:
+            return store.commit(rows_of(spark, [f"b{k}"], "t"), after=1)
+        except sinks.Conflict:
+            return "late"
+
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(map(str, pool.map(write, range(4)))) == ["True", "late", "late", "late"]
+    assert store.live().count() == 2
+    table = sinks.VersionedTable(spark, str(tmp_path / "v"))
+    with ThreadPoolExecutor(4) as pool:  # each adds its row to what the ones before it made
+        list(pool.map(lambda k: table.upsert(spark.createDataFrame([(k, "x")], "k int, v string"), "k"), range(4)))
+    assert {r.k for r in table.read().collect()} == {0, 1, 2, 3} and table.version() == 4
+
+    def crash(*_):
+        raise OSError
+
+    publish, store._publish = store._publish, crash
+    for step in (lambda: store.commit(rows_of(spark, ["c"], "t")), store.compact):
+        with pytest.raises(OSError):
+            step()
+    store._publish = publish
+    assert store.live().count() == 2 and store.latest() == 2
+    # a batch of a stream counts once, whatever came between
+    assert store.commit(rows_of(spark, ["d"], "t"), stream=("files", 0)) and not store.commit(rows_of(spark, ["d"], "other"), stream=("files", 0))
+    store.compact()
+    assert not store.commit(rows_of(spark, ["d"], "other"), stream=("files", 0)) and store.commit(rows_of(spark, ["d"], "next"), stream=("files", 1))
+    assert [r.text for r in store.read("docs", "d").collect()] == ["next"]
+
+
 def test_store_of_an_engine(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
@@ -93,15 +215,17 @@ def test_store_of_an_engine(spark, tmp_path):
     (root / "a.md").write_text("# Same title\n\nAlpha depends on Epsilon.\n")
     assert {r.relpath: r.status for r in engine.ingest(str(root)).collect()} == {"a.md": "updated", "b.md": "skipped"}
     assert {r.source_relpath: r.slug for r in engine.wiki_pages.collect()} == {"a.md": "same-title", "b.md": "same-title-2"}
-    last = engine.store.commits()[-1][1]
+    last = engine.store.commits()[-1][1]["batch"]
     assert [r.relpath for r in spark.read.parquet(f"{engine.root}/store/sources/{last}").collect()] == ["a.md"]
     assert {r.dst for r in engine.graph_edges.filter("relation = 'depends_on'").collect()} == {"concept:epsilon", "concept:delta"}
     # a writer that comes too late
     with pytest.raises(sinks.Conflict):
         engine.store.commit({t: engine.store.read(t).limit(0) for t in engine.store.tables}, after=1)
-    assert engine.store.vacuum() > 0 and engine.sources.count() == 2
+    assert engine.store.vacuum() == 0 and engine.store.vacuum(min_age=0) > 0 and engine.sources.count() == 2
     # findings, and what mends them
-    engine.index.write(engine.index.read().filter("slug != 'same-title'").union(spark.createDataFrame([("gone", "t", "s")], "slug string, title string, summary string")))
+    rows = {t: engine.store.read(t, "a.md") for t in engine.store.tables}
+    rows["wiki_index"] = spark.createDataFrame([("gone", "t", "s", "a.md")], rows["wiki_index"].schema)
+    engine.store.commit(rows)
     assert {r.category for r in engine.lint().collect()} == {"orphan_page", "dead_link"}
     (root / "b.md").unlink()
     assert {r.category for r in engine.lint().collect()} == {"orphan_page", "dead_link", "dangling_manifest_entry"}
@@ -131,7 +255,7 @@ def test_versions(spark, tmp_path):
     assert not t.exists()
     t.upsert(spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string"), "k")
     t.upsert(spark.createDataFrame([(2, "c")], "k int, v string"), "k")
-    (tmp_path / "t/v=9").mkdir()  # a version that was not finished
+    (tmp_path / "t/data/unfinished").mkdir()  # a version that was not finished
     assert sorted(map(tuple, t.read().collect())) == [(1, "a"), (2, "c")]
     t.delete(spark.createDataFrame([(1,)], "k int"), "k")
     assert [tuple(r) for r in t.read().collect()] == [(2, "c")]
