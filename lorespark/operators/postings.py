@@ -20,6 +20,7 @@ So lists of frequent terms are mostly skipped. The blocks read are counted.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +31,6 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import lexical_terms, query_terms
 from lorespark.functions.vectors import top_k
 from lorespark.operators.retrieval import Containment, small, wiki_score, wiki_search
-from lorespark.operators.tables import written
 
 BLOCK, PART_DOCS = 512, 50_000
 #: Postings of a question that are read before the first score is known, but for one whole term.
@@ -108,57 +108,75 @@ def page_search(questions: DataFrame, lists: DataFrame, pages: DataFrame, curren
     """query_id, slug and score of the best page of each question, as wiki_search gives them, and the numbers of blocks: all, of lists with a question's term, and read.
 
     lists: as built, with the batch of each; current: leaves of rows (relpath, batch, ...) those of documents as they are.
+    What is told of a question and its terms is on the driver, as their number is checked: lists, postings and pages are not.
     """
     spark = questions.sparkSession
-    asked = written(questions.select("query_id", "question", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms")))
-    terms = asked.select("query_id", F.explode("terms").alias("t")).groupBy("query_id", "t").agg(F.count(F.lit(1)).cast("int").alias("times"))
-    words = [r["t"] for r in small(asked).select(F.explode("terms").alias("t")).distinct().collect()]  # of MOST_QUESTIONS at most
+    asked = questions.select("query_id", "question", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms"))
+    few = {r["query_id"]: r for r in small(asked).collect()}  # MOST_QUESTIONS at most
+    words = sorted({t for r in few.values() for t in r["terms"]})
     heads = lists.select("term", "n", "marks")
-    hits = written(heads.mapInArrow(_asked_in(words), "term string, n int, marks int, t string").groupBy("t", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"), F.bit_or("marks").alias("marks")))
-    of_t = hits.groupBy("t").agg(F.sum("n").alias("n"), F.bit_or("marks").alias("marks"))
-    # the most that a question's terms count, from each one on in order of their lists' lengths
-    order = Window.partitionBy("query_id").orderBy("n", "t")
-    ranked = terms.join(of_t, "t").withColumn("most", F.col("times") * impact(F.col("marks")))
-    ranked = ranked.withColumns({"rest": F.sum("most").over(order.rowsBetween(0, Window.unboundedFollowing)), "before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "there": F.sum("times").over(Window.partitionBy("query_id"))})
-    ranked = written(ranked)
-
-    def partial(chosen: DataFrame) -> DataFrame:
-        """What pages have by the terms chosen: query_id, relpath, key, least."""
-        posts = current(_read(lists, chosen.join(hits.select("t", "term"), "t")))
-        one = posts.groupBy("query_id", "t", "times", "relpath", "key").agg(F.bit_or("mask").alias("mask"))
+    hits = heads.mapInArrow(_asked_in(words), "term string, n int, marks int, t string").groupBy("t", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"), F.bit_or("marks").alias("marks")).persist()
+    of_t = {r["t"]: (r["n"], r["marks"]) for r in hits.groupBy("t").agg(F.sum("n").alias("n"), F.bit_or("marks").alias("marks")).collect()}  # a row a term asked for
+    # each question's terms by the length of their lists, and the most that a term counts
+    ordered: dict[int, list[tuple[int, str, int, int]]] = {}
+    for i, r in few.items():
+        times = Counter(t for t in r["terms"] if t in of_t)
+        ordered[i] = sorted((of_t[t][0], t, n, n * _most(of_t[t][1])) for t, n in times.items())
+
+    def first_of(rows: list[tuple[int, str, int, int]]) -> int:
+        """How many terms are read before a score is known."""
+        lengths = np.cumsum([x[0] for x in rows])
+        return max(min(1, len(rows)), int((lengths <= FIRST).sum()))
+
+    def partial(read: dict[int, int]) -> DataFrame:
+        """What pages have by the first terms of each question: query_id, relpath, key, least, have."""
+        chosen = [(i, t, n) for i, k in read.items() for _, t, n, _ in ordered[i][:k]]
+        wanted = spark.createDataFrame(chosen, "query_id long, t string, times int").join(hits.select("t", "term"), "t")
+        one = current(_read(lists, wanted)).groupBy("query_id", "t", "times", "relpath", "key").agg(F.bit_or("mask").alias("mask"))
         return one.groupBy("query_id", "relpath", "key").agg(F.sum(F.col("times") * impact(F.col("mask"))).cast("int").alias("least"), F.sum("times").alias("have"))
 
     texts = pages.select(F.col("source_relpath").alias("relpath"), F.col("slug").alias("key"), *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "summary", "body")))
+    told = F.broadcast(spark.createDataFrame([(i, r["q"], r["terms"]) for i, r in few.items()], "query_id long, q string, terms array<string>"))  # of checked size
 
     def scored(some: DataFrame) -> DataFrame:
         """query_id, slug and score, by their texts, of pages (query_id, relpath, key)."""
-        have = texts.join(some, ["relpath", "key"]).join(F.broadcast(asked.select("query_id", "q", "terms")), "query_id")  # of checked size
+        have = texts.join(some, ["relpath", "key"]).join(told, "query_id")
         score = wiki_score(F.col("q"), F.col("terms"), F.col("title"), F.col("summary"), F.col("body"))
         return have.select("query_id", F.col("key").alias("slug"), score.cast("int").alias("score"))
 
-    early = (F.col("before") + F.col("n") <= FIRST) | (F.col("before") == 0)
-    first = ranked.filter(early)
-    seen = written(partial(first))
-    best = written(scored(top_k(seen, ["query_id"], [F.desc("least"), F.col("key")], 1).select("query_id", "relpath", "key")).select("query_id", F.col("score").alias("reached")))
+    read = {i: first_of(rows) for i, rows in ordered.items() if rows}
+    seen = partial(read).persist()
+    best = {r["query_id"]: r["score"] for r in scored(top_k(seen, ["query_id"], [F.desc("least"), F.col("key")], 1).select("query_id", "relpath", "key")).collect()}
     # a page in no list that is read has, by the others, less than what is reached; and it lacks the rarest term, so it does not hold the whole question
-    open_ = ranked.join(best, "query_id", "left").withColumn("reached", F.coalesce("reached", F.lit(1)))
-    chosen = written(open_.filter(early | (F.col("rest") >= F.col("reached"))))
-    if chosen.count() > first.count():
-        seen = written(partial(chosen))
-    unread = open_.join(chosen.select("query_id", "t"), ["query_id", "t"], "left_anti").groupBy("query_id").agg(F.sum("most").alias("unread"))
-    # the whole question counts 18 at most, and only where every term of it is
-    whole = chosen.groupBy("query_id").agg(F.sum("times").alias("read"), F.first("reached").alias("reached"), F.first("there").alias("there")).join(asked.select("query_id", F.size("terms").alias("n_terms")), "query_id")
-    bonus = F.when((F.col("have") == F.col("read")) & (F.col("there") == F.col("n_terms")), 18).otherwise(0)
-    able = seen.join(whole, "query_id").join(unread, "query_id", "left").filter(F.col("least") + F.coalesce("unread", F.lit(0)) + bonus >= F.col("reached"))
+    more, limits = dict(read), []
+    for i, k in read.items():
+        rows, reached = ordered[i], best.get(i, 1)
+        while k < len(rows) and sum(x[3] for x in rows[k:]) >= reached:
+            k += 1
+        more[i] = k
+        # the whole question counts 18 at most, and only where every term of it is
+        every = len(few[i]["terms"]) == sum(x[2] for x in rows)
+        limits.append((i, reached - sum(x[3] for x in rows[k:]), sum(x[2] for x in rows[:k]) if every else -1))
+    if more != read:
+        seen = partial(more)
+    bounds = F.broadcast(spark.createDataFrame(limits, "query_id long, needs int, all_read long"))
+    able = seen.join(bounds, "query_id").filter(F.col("least") + F.when(F.col("have") == F.col("all_read"), 18).otherwise(0) >= F.col("needs"))
     found = scored(able.select("query_id", "relpath", "key")).filter("score > 0")
-    # questions without a term have no lists: their pages are looked for in the texts
-    bare = asked.filter(F.size("terms") == 0).select("query_id", "question")
     found = top_k(found, ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
-    if not bare.isEmpty():
-        found = found.unionByName(wiki_search(bare, pages))
-    read = chosen.join(hits.select("t", "term", "blocks"), "t").select("term", "blocks").distinct()
-    counts = {"all": heads.count(), "matching": hits.select("term", "blocks").distinct().agg(F.sum("blocks")).first()[0] or 0, "read": read.agg(F.sum("blocks")).first()[0] or 0}
-    return found, counts
+    # questions without a term have no lists: their pages are looked for in the texts
+    bare = [(i, r["question"]) for i, r in few.items() if not r["terms"]]
+    if bare:
+        found = found.unionByName(wiki_search(spark.createDataFrame(bare, "query_id long, question string"), pages))
+    used = sorted({x[1] for i, k in more.items() for x in ordered[i][:k]})
+    one = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    words_of = hits.groupBy("term").agg(F.first("blocks").alias("blocks"), F.bool_or(F.col("t").isin(used)).alias("used"))
+    matching, taken = words_of.agg(one("blocks"), one(F.when(F.col("used"), F.col("blocks")))).first()
+    return found, {"all": heads.count(), "matching": matching, "read": taken}
+
+
+def _most(marks: int) -> int:
+    """impact() of a number."""
+    return 4 * bool(marks & TITLE) + 3 * bool(marks & SUMMARY) + bool(marks & BODY)
 
 
 def node_search(questions: DataFrame, lists: DataFrame, current: Callable[[DataFrame], DataFrame], keep: int = 5) -> DataFrame:
