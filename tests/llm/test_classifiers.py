@@ -51,6 +51,40 @@ def test_rules_odd_texts(spark):
     assert quality_rules.quality_rules(odd(spark).filter("false")).count() == 0
 
 
+def test_posteriors_equal_plain_expectation_maximisation(spark):
+    """Each text by itself, in plain Python: what a vote tells of a text, and how often texts are good, by turns."""
+    rows = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    names = [f"vote_{n}" for n, _ in quality_rules.rules()]
+    votes = [[r[n] for n in names] for r in rows]
+    good = []
+    for v in votes:
+        yes, no = v.count(1), v.count(0)
+        share = (yes + 1) / (yes + no + 2)
+        good.append(max(share, 0.9) if yes > 2 * no else min(share, 0.3))
+    prior = 0.5
+    for _ in range(200):
+        before, prior = prior, (sum(good) + 1) / (len(good) + 2)
+        tells = []
+        for k in range(len(names)):
+            seen = {(y, x): 0.5 for y in (0, 1) for x in (-1, 0, 1)}
+            for v, p in zip(votes, good):
+                seen[1, v[k]] += p
+                seen[0, v[k]] += 1 - p
+            tells.append({(y, x): n / sum(seen[y, z] for z in (-1, 0, 1)) for (y, x), n in seen.items()})
+        good = []
+        for v in votes:
+            one, other = prior, 1 - prior
+            for t, x in zip(tells, v):
+                one, other = one * t[1, x], other * t[0, x]
+            good.append(one / (one + other))
+        if abs(prior - before) < 1e-9:
+            break
+    # the last step sets the odds with the prior and what votes tell that its good texts led to
+    assert [r.p_good for r in rows] == pytest.approx(good, abs=1e-6)
+    assert [r.kept for r in rows] == [not r.base_failed and r.p_good >= 0.5 for r in rows]
+    assert 0.5 < sum(r.kept for r in rows) / len(rows) < 1 and min(r.p_good for r in rows) < 0.1
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(0)
     good = rng.random(20_000) < 0.8
