@@ -25,6 +25,8 @@ def _summed(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("summary", F.concat(F.lit("Summary of: "), "title"))
 
 
+#: Tables of a run of graph analytics.
+PARTS = ("nodes", "edges", "communities")
 #: Lists by term that every commit, and every range of the store's base, has of its pages and tree nodes.
 LISTS = {
     "page_lists": lambda tables, docs, by: postings.build(postings.page_entries(tables["wiki_pages"], *by), docs, *by),
@@ -38,9 +40,10 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
         self.store = sinks.Store(spark, f"{self.root}/store", TABLES, derived=LISTS)
+        self.candidates = sinks.VersionedTable(spark, f"{self.root}/candidates")
         #: Blocks of page lists that the last query found and read.
         self.blocks: dict[str, int] = {}
-        self.graph_runs = {t: sinks.VersionedTable(spark, f"{self.root}/graphify/{t}") for t in ("nodes", "edges", "communities")}
+        self.graph_runs = sinks.VersionedTable(spark, f"{self.root}/graphify/runs")
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
@@ -83,7 +86,11 @@ class Engine:
         bodies = chunks.segments_to_body(office).join(todo.select("relpath", "format"), "relpath")
         bodies = bodies.select("relpath", "format", files.title_of(F.col("relpath")).alias("title"), T.normalize_text(F.col("body")).alias("body"))
         parsed = written(plain.union(bodies).filter("body != ''").withColumn("summary", T.summary(F.col("body"))))
-        pages = written(sinks.wiki_pages(parsed, self.wiki_pages.select("slug", "source_relpath") if after else None))
+        pages = written(sinks.wiki_pages(parsed, self.wiki_pages.select("slug", "source_relpath", "origin") if after else None))
+        if after:
+            # pages that were made of a document stay when it changes
+            own = self.wiki_pages.filter("origin = 'llm_wiki'").join(parsed.select(F.col("relpath").alias("source_relpath")), "source_relpath", "left_semi")
+            pages = written(pages.unionByName(own.select(pages.columns)))
         tree = written(self._tree(parsed, office))
         sha = todo.select("relpath", "sha256", "parser_fingerprint", F.col("length").alias("size_bytes"), "format", F.col("modificationTime").alias("modified"))
         pieces = written(self._chunks(parsed, office, tree, sha))
@@ -268,7 +275,7 @@ class Engine:
             return written(self.ingest(path, prune).select(F.concat(verb, "relpath").alias("action_id"), became.alias("outcome")))
 
         out = written(refresh.execute(steps, {("prune", "ingest"): ingested, ("graphify_build",): lambda _: self._kept_graph()}, "execute"))
-        out.withColumn("run_id", F.lit(run)).write.mode("append").parquet(f"{self.root}/watch/runs")
+        out.withColumns({"run_id": F.lit(run), "at": F.current_timestamp()}).write.mode("append").parquet(f"{self.root}/watch/runs")
         return out
 
     def _kept_graph(self) -> None:
@@ -281,8 +288,45 @@ class Engine:
         """The manifest entry of one document."""
         return self.store.read("sources", relpath)
 
-    def extract(self) -> DataFrame:
-        return catalog.extract(self.wiki_pages, "slug", "body")
+    def extract(self, again: bool = False) -> DataFrame:
+        """What the extractor finds in each page (slug, label, confidence, summary, concept), made once for each text of a page; again: made anew."""
+        from lorespark.services import Artifacts
+
+        pages = self.wiki_pages.select("slug", "body", "source_relpath")
+        asked = pages.withColumn("idempotency_key", F.concat_ws(":", F.lit("extract:v1"), "slug", F.sha2("body", 256)))
+        made = lambda todo: catalog.extract(todo, "idempotency_key", "body").join(todo.select("idempotency_key", "slug", "source_relpath"), "idempotency_key")
+        return Artifacts(self.spark, self.root).store_or_reuse(asked, made, F.lit(True) if again else None)
+
+    def synthesize(self) -> DataFrame:
+        """A page candidate for each document, from its extraction, its entities and what its graph says; kept under candidate_id, with the digest of the source it is made of."""
+        found = self.extract().groupBy(F.col("source_relpath").alias("relpath")).agg(F.min_by("artifact_id", "slug").alias("artifact_id"), F.min_by("summary", "slug").alias("summary"))
+        entities = self.graph_nodes.groupBy(F.col("source_relpath").alias("relpath")).agg(F.slice(F.array_sort(F.collect_set("label")), 1, 8).alias("entities"))
+        facts = self.graph_edges.filter("relation != 'belongs_to'").groupBy(F.col("source_relpath").alias("relpath")).agg(F.slice(F.array_sort(F.collect_set("evidence")), 1, 8).alias("facts"))
+        none = F.array().cast("array<string>")
+        rows = found.join(entities, "relpath", "left").join(facts, "relpath", "left").withColumns({"entities": F.coalesce("entities", none), "facts": F.coalesce("facts", none)})
+        made = catalog.synthesize(rows).join(self.sources.select("relpath", "sha256", "parser_fingerprint"), "relpath")
+        made = written(made.dropDuplicates(["target_slug"]))
+        self.candidates.upsert(made, "candidate_id")
+        return made
+
+    def apply(self, candidate_ids: DataFrame | None = None) -> DataFrame:
+        """candidate_id, target_slug and operation of stored candidates, all or some. Those that create or update become pages of their source, in one commit; stale: the source is another than the candidate was made of, or gone; conflict: the slug is a page of other origin or source."""
+        after = self.store.latest()
+        asked = self.candidates.read() if candidate_ids is None else self.candidates.read().join(candidate_ids.select("candidate_id"), "candidate_id", "left_semi")
+        now = self.sources.select("relpath", F.col("sha256").alias("is_sha"), F.col("parser_fingerprint").alias("is_parser"))
+        fresh = (F.col("sha256") == F.col("is_sha")) & (F.col("parser_fingerprint") == F.col("is_parser"))
+        asked = asked.join(now, "relpath", "left").withColumn("fresh", F.coalesce(fresh, F.lit(False))).drop("is_sha", "is_parser")
+        what = catalog.apply_operation(asked, self.wiki_pages).join(asked.select("candidate_id", "fresh"), "candidate_id")
+        what = written(what.select("candidate_id", "target_slug", F.when(F.col("fresh"), F.col("operation")).otherwise("stale").alias("operation")))
+        todo = written(asked.join(what.filter("operation in ('create', 'update')").select("candidate_id"), "candidate_id", "left_semi").dropDuplicates(["target_slug"]))
+        if not todo.isEmpty():
+            rows = {t: self.store.read(t).join(todo.select(F.col("relpath").alias(doc)).distinct(), doc, "left_semi") for t, doc in TABLES.items()}
+            new = sinks.page_text(todo.select(F.col("target_slug").alias("slug"), "title", "summary", "body", "relpath", F.lit("llm_wiki").alias("origin")))
+            pages = rows["wiki_pages"].join(new.select("slug"), "slug", "left_anti").unionByName(new.select(rows["wiki_pages"].columns))
+            slugs = pages.groupBy(F.col("source_relpath").alias("relpath")).agg(F.array_sort(F.collect_set("slug")).alias("s"))
+            sources = rows["sources"].join(slugs, "relpath").withColumn("wiki_pages", F.col("s")).select(rows["sources"].columns)
+            self.store.commit(rows | {"wiki_pages": pages, "wiki_index": self._index(pages), "sources": sources}, None, after)
+        return what
 
     def graph_analytics(self, keep: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Nodes and edges of the unified graph, and its communities. keep: as the newest run under the root."""
@@ -291,9 +335,28 @@ class Engine:
         n, e = written(n), written(e)
         out = n, e, written(graph.community_summary(n, e, graph.communities(n, e)))
         if keep:
-            for table, rows in zip(self.graph_runs.values(), out, strict=True):
-                table.write(rows)
+            run = uuid.uuid4().hex
+            for name, rows in zip(PARTS, out, strict=True):
+                rows.write.parquet(f"{self.root}/graphify/{run}/{name}")
+            # the run is there once its row is, with all of its parts
+            row = self.spark.createDataFrame([(run, self.store.latest(), *(rows.count() for rows in out))], "run_id string, store_commit long, nodes long, edges long, communities long")
+            self.graph_runs.upsert(row.withColumns({"status": F.lit("complete"), "at": F.current_timestamp()}), "run_id")
         return out
 
+    def graph_run(self, run_id: str | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Nodes, edges and communities of a kept run, the latest else."""
+        run = run_id or self.graph_runs.read().orderBy(F.desc("at"), "run_id").first()["run_id"]
+        return tuple(self.spark.read.parquet(f"{self.root}/graphify/{run}/{name}") for name in PARTS)
+
+    def watch_runs(self) -> DataFrame:
+        """The actions of all runs of refresh, with their outcomes; see watch_status."""
+        return self.spark.read.parquet(f"{self.root}/watch/runs")
+
+    def watch_status(self) -> DataFrame:
+        """run_id, at, and how many actions had each outcome; the latest run first."""
+        sums = [F.count(F.when(F.col("outcome") == o, 1)).alias(o) for o in refresh.OUTCOMES]
+        status = F.when(F.col("failed") > 0, "partial").otherwise("complete").alias("status")
+        return self.watch_runs().groupBy("run_id").agg(F.max("at").alias("at"), *sums).select("*", status).orderBy(F.desc("at"), "run_id")
+
     def leases(self, events: DataFrame) -> DataFrame:
         return ledger.fold_leases(events)

@@ -2,13 +2,40 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.operators.tables import drop, partitions, written
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+#: Edges that a single task joins up, for callers that ask for it.
+TOGETHER = 200_000
+
+
+def _joined_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each node of few edges, and one node of its component."""
+    parent: dict = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    kind = None
+    for b in batches:
+        kind = b.schema.types[0]
+        for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            parent[root(x)] = root(y)
+    if parent:
+        nodes = list(parent)
+        yield pa.RecordBatch.from_arrays([pa.array(nodes, kind), pa.array([root(x) for x in nodes], kind)], ["label", "to"])
+
+
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", together: int = 0) -> DataFrame:
     """node and component (its smallest node) for every node of an edge.
 
     Every node is its own label at first. Each round puts the labels in another random order; a label gives way to its
@@ -16,13 +43,22 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     go once both ends are equal. The image of a connected graph is connected, so a component ends as one label; a constant
     share of the labels that still have edges goes in each round, whatever the ids' order, so chains take a logarithmic
     number of rounds. A node with very many neighbours costs a partial minimum on the map side. Only whether edges are left
-    reaches the driver.
+    reaches the driver. together: once no more edges than this are left, one task joins them up.
     """
     left = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null and a != b")
     left = written(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     labels = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
     turn = 0
     while left.limit(1).count():
+        if together and left.count() <= together:
+            # count() reads the files' ends only
+            kind = left.schema["a"].dataType.simpleString()
+            last = written(left.select("a", "b").coalesce(1).mapInArrow(_joined_up, f"label {kind}, to {kind}"))
+            new = written(_renamed(labels, "label", last))
+            drop(labels)
+            drop(last)
+            labels = new
+            break
         turn += 1
         ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("x"))
         later, sooner = F.greatest(ranked("a"), ranked("b")), F.least(ranked("a"), ranked("b"))
@@ -62,11 +98,11 @@ def updated(member: DataFrame, edges: DataFrame, added: DataFrame, removed: Data
     inside = edges.join(again.select(F.col("node").alias(src)), src, "left_semi").join(again.select(F.col("node").alias(dst)), dst, "left_semi")
     whole = member.join(touched, "component", "left_anti")
     # what edges are left in the touched components; a node that lost them all may be none any more
-    kept = written(whole.select("node", "component").unionByName(connected_components(inside, src, dst).select("node", "component")))
+    kept = written(whole.select("node", "component").unionByName(connected_components(inside, src, dst, TOGETHER).select("node", "component")))
     name = lambda side: kept.select(F.col("node").alias(side), F.col("component").alias(f"__{side}"))
     links = added.join(name(src), src, "left").join(name(dst), dst, "left")
     links = links.select(F.coalesce(f"__{src}", src).alias("src"), F.coalesce(f"__{dst}", dst).alias("dst"))
-    joined = connected_components(links).select(F.col("node").alias("component"), F.col("component").alias("to"))
+    joined = connected_components(links, together=TOGETHER).select(F.col("node").alias("component"), F.col("component").alias("to"))
     old = kept.join(joined, "component", "left").select("node", F.coalesce("to", "component").alias("component"))
     new = ends(added.filter(F.col(src) != F.col(dst))).distinct().join(kept.select("node"), "node", "left_anti")
     return written(old.unionByName(new.join(joined.select(F.col("component").alias("node"), F.col("to").alias("component")), "node")))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import clean_label, contextual_entity_type, edge_id, node_id, slug, split_targets
-from lorespark.operators.components import connected_components
+from lorespark.operators.components import TOGETHER, connected_components
 from lorespark.operators.trees import own_ranges
 
 # Relation, pattern with the left and the right label, and whether the right label is the source; in the order they are tried.
@@ -185,7 +185,7 @@ def unified(sources: DataFrame, pages: DataFrame, nodes: DataFrame, edges: DataF
 
 def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """id and community of each node: connected components, numbered by their smallest node. A node without edges is its own."""
-    parts = connected_components(edges).select(F.col("node").alias("id"), "component")
+    parts = connected_components(edges, together=TOGETHER).select(F.col("node").alias("id"), "component")
     return nodes.select("id").join(parts, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 

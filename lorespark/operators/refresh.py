@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from lorespark.functions.text import fingerprint_compatible
 
 BUILD = "graphify:build"
+OUTCOMES = ("planned", "skipped", "completed", "failed")
+INGESTED = ("created", "updated", "skipped", "failed", "pruned")
 STATES = ("unchanged", "new", "stale", "missing", "unsupported", "corrupt")
 
 
@@ -25,8 +27,7 @@ def states(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def state_counts(found: DataFrame) -> DataFrame:
     """state and n for each of STATES, none left out."""
-    all_ = found.sparkSession.createDataFrame([(s,) for s in STATES], "state string")
-    return all_.join(found.groupBy("state").count(), "state", "left").select("state", F.coalesce("count", F.lit(0)).alias("n"))
+    return counts(found, "state", STATES)
 
 
 def ingest_status(files: DataFrame, manifest: DataFrame, prune: bool = False) -> DataFrame:
@@ -60,6 +61,12 @@ def dependencies(steps: DataFrame) -> DataFrame:
     return steps.filter("kind in ('ingest', 'prune')").select(F.lit(BUILD).alias("action_id"), F.col("action_id").alias("depends_on"))
 
 
+def counts(rows: DataFrame, column: str, values: tuple[str, ...]) -> DataFrame:
+    """column and n for each of values, none left out."""
+    all_ = rows.sparkSession.createDataFrame([(v,) for v in values], f"{column} string")
+    return all_.join(rows.groupBy(column).count(), column, "left").select(column, F.coalesce("count", F.lit(0)).alias("n"))
+
+
 def lineage(found: DataFrame, artifacts: DataFrame) -> DataFrame:
     """artifact_id, kind and reason of artifacts (artifact_id, kind, relpath) whose source changed or is gone."""
     changed = found.filter("state in ('stale', 'missing')").select("relpath", F.concat(F.lit("source_"), "state").alias("reason"))

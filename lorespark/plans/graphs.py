@@ -9,7 +9,7 @@ from lorespark.functions import text as T
 from lorespark.operators import graph as G
 from lorespark.operators import retrieval as R
 from lorespark.operators import trees as P
-from lorespark.operators.components import connected_components, numbered
+from lorespark.operators.components import TOGETHER, connected_components, numbered
 from lorespark.plans.registry import query, table
 
 
@@ -165,12 +165,12 @@ NODES_OF_CHAINS_SQL = "(select distinct l_orderkey * 8 + l_linenumber node, -o_c
 
 @query(f"select node, component from {NODES_OF_CHAINS_SQL}")
 def components_of_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return connected_components(chains(spark, d))
+    return connected_components(chains(spark, d), together=TOGETHER)
 
 
 @query(f"select component, count(*) n_nodes, dense_rank() over (order by component)::int number from {NODES_OF_CHAINS_SQL} group by 1")
 def community_sizes(spark: SparkSession, d: str) -> DataFrame:
-    sizes = connected_components(chains(spark, d)).groupBy("component").agg(F.count("*").alias("n_nodes"))
+    sizes = connected_components(chains(spark, d), together=TOGETHER).groupBy("component").agg(F.count("*").alias("n_nodes"))
     return numbered(sizes, "component").select("component", "n_nodes", F.col("number").cast("int").alias("number"))
 
 

@@ -58,6 +58,21 @@ def watch_plan_dependencies(spark: SparkSession, d: str) -> DataFrame:
     return refresh.dependencies(refresh.plan(refresh.states(files(spark, d), manifest(spark, d)), prune=True))
 
 
+@query(f"""with a as (select case when state in ('corrupt', 'unsupported') then 'skipped' else 'planned' end status from {STATE_SQL} where state <> 'unchanged' union all select 'planned')
+  select s status, count(a.status) n from (select unnest(['planned', 'skipped', 'completed', 'failed']) s) left join a on a.status = s group by 1""")
+def watch_action_counts(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.counts(refresh.plan(refresh.states(files(spark, d), manifest(spark, d)), prune=True), "status", refresh.OUTCOMES)
+
+
+INGEST_SQL = """select relpath, status from (select 'doc/' || doc_id relpath, case when doc_id % 13 = 0 or doc_id % 17 = 0 then 'failed' when doc_id % 7 = 0 then 'created' when doc_id % 11 = 0 then 'updated' when doc_id % 10 = 0 then 'skipped' when doc_id % 5 = 0 then 'updated' else 'skipped' end status from documents
+  union all select 'gone/' || doc_id, 'pruned' from documents where doc_id % 19 = 0)"""
+
+
+@query(f"""select s status, count(a.status) n from (select unnest(['created', 'updated', 'skipped', 'failed', 'pruned']) s) left join ({INGEST_SQL}) a on a.status = s group by 1""")
+def ingest_counts(spark: SparkSession, d: str) -> DataFrame:
+    return refresh.counts(refresh.ingest_status(files(spark, d), manifest(spark, d), prune=True), "status", refresh.INGESTED)
+
+
 @query("""select relpath, status from (select 'doc/' || doc_id relpath, case when doc_id % 13 = 0 or doc_id % 17 = 0 then 'failed' when doc_id % 7 = 0 then 'created' when doc_id % 11 = 0 then 'updated' when doc_id % 10 = 0 then 'skipped' when doc_id % 5 = 0 then 'updated' else 'skipped' end status from documents
   union all select 'gone/' || doc_id, 'pruned' from documents where doc_id % 19 = 0)""")
 def ingest_status(spark: SparkSession, d: str) -> DataFrame:

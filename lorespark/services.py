@@ -72,6 +72,51 @@ class Coordination:
         events = self.spark.read.schema("number int, resource_key string, agent_id string, op string, at long, ttl_seconds int").option("recursiveFileLookup", "true").json(f"{self.root}/leases")
         return ledger.fold_leases(events.withColumn("ts", F.timestamp_seconds("at")).drop("at"))
 
+    def _session(self, agent: str, op: str, now: float | None, session: str) -> str:
+        row = self.spark.createDataFrame([(session, agent, op, int(time.time() if now is None else now))], "session_id string, agent_id string, op string, at long")
+        row.coalesce(1).write.mode("append").parquet(f"{self.root}/sessions")
+        return session
+
+    def start_session(self, agent: str, now: float | None = None) -> str:
+        """The id of the agent's session: the one that is open, else a new one."""
+        open_ = self.sessions(now).filter((F.col("agent_id") == agent) & (F.col("status") != "closed")).select("session_id").first()
+        return self._session(agent, "heartbeat" if open_ else "start", now, open_["session_id"] if open_ else uuid.uuid4().hex)
+
+    def heartbeat(self, agent: str, now: float | None = None) -> str:
+        return self._in_session(agent, "heartbeat", now)
+
+    def close_session(self, agent: str, now: float | None = None) -> str:
+        return self._in_session(agent, "close", now)
+
+    def _in_session(self, agent: str, op: str, now: float | None) -> str:
+        open_ = self.sessions(now).filter((F.col("agent_id") == agent) & (F.col("status") != "closed")).select("session_id").first()
+        if open_ is None:
+            raise KeyError(f"agent {agent} has no session")
+        return self._session(agent, op, now, open_["session_id"])
+
+    def sessions(self, now: float | None = None, ttl_seconds: int = ledger.TTL_SECONDS) -> DataFrame:
+        """session_id, agent_id, last_seen and status (active, stale or closed) of all sessions."""
+        fs, path = self._fs(f"{self.root}/sessions")
+        schema = "session_id string, agent_id string, op string, at long"
+        events = self.spark.read.schema(schema).parquet(f"{self.root}/sessions") if fs.exists(path) else self.spark.createDataFrame([], schema)
+        # a close is a session's last event, even in the second of another
+        events = events.withColumn("ts", F.timestamp_micros(F.col("at") * 1_000_000 + (F.col("op") == "close").cast("long")))
+        at = F.timestamp_seconds(F.lit(int(time.time() if now is None else now)))
+        agents = events.select("session_id", "agent_id").distinct()
+        return ledger.session_status(events, "session_id", "ts", "op", at, "close", ttl_seconds).join(agents, "session_id").select("session_id", "agent_id", "last_seen", "status")
+
+    def lint(self, now: float | None = None) -> DataFrame:
+        """Leases that ran out and were not taken again, and sessions that went stale: kind and what."""
+        last = self.leases().filter("outcome in ('claimed', 'renewed', 'released')").groupBy("resource_key").agg(F.max_by("outcome", "ts").alias("last"))
+        fs, path = self._fs(f"{self.root}/leases")
+        held = self.spark.createDataFrame([], "kind string, target string")
+        if fs.exists(path):
+            raw = self.spark.read.schema("resource_key string, op string, at long, ttl_seconds long").option("recursiveFileLookup", "true").json(f"{self.root}/leases")
+            ends = raw.filter("op != 'release'").groupBy("resource_key").agg(F.max(F.col("at") + F.col("ttl_seconds")).alias("end"))
+            late = ends.join(last.filter("last != 'released'"), "resource_key").filter(F.col("end") <= int(time.time() if now is None else now))
+            held = late.select(F.lit("stale_lease").alias("kind"), F.col("resource_key").alias("target"))
+        return held.union(self.sessions(now).filter("status = 'stale'").select(F.lit("stale_session"), "session_id"))
+
     def hand_off(self, sender: str, receiver: str, resource: str, summary: str) -> str:
         number = uuid.uuid4().hex
         row = self.spark.createDataFrame([(number, sender, receiver, resource, summary)], HANDOFF.rpartition(",")[0])

@@ -295,7 +295,7 @@ class Store:
 
 
 def numbered_slugs(pages: DataFrame, old: DataFrame | None) -> DataFrame:
-    """pages (relpath, title) with a slug. A page keeps the slug it had under the same title; others of an equal slug get the next numbers after those there are, by relpath. old: slug, source_relpath."""
+    """pages (relpath, title) with a slug. A page keeps the slug it had under the same title; others of an equal slug get the next numbers after those there are, by relpath. old: slug, source_relpath and, if it is there, origin: pages made of a document are not its own."""
     rows = pages.withColumn("base", slug(F.col("title")))
     place = F.row_number().over(Window.partitionBy("base").orderBy("relpath"))
     if old is None:
@@ -304,7 +304,8 @@ def numbered_slugs(pages: DataFrame, old: DataFrame | None) -> DataFrame:
     stem = F.regexp_replace("slug", "-[0-9]+$", "")
     used = old.select(F.explode(F.array(F.struct(F.col("slug").alias("base"), F.lit(1).alias("n")), F.struct(stem.alias("base"), F.coalesce(number(F.col("slug")), F.lit(1)).alias("n")))).alias("u")).select("u.*")
     used = used.groupBy("base").agg(F.max("n").alias("used"))
-    own = old.groupBy(F.col("source_relpath").alias("relpath")).agg(F.min("slug").alias("had"))
+    own = old.filter("origin = 'ingest'") if "origin" in old.columns else old
+    own = own.groupBy(F.col("source_relpath").alias("relpath")).agg(F.min("slug").alias("had"))
     rows = rows.join(own, "relpath", "left")
     keeps = F.coalesce((F.col("had") == F.col("base")) | ((F.regexp_replace("had", "-[0-9]+$", "") == F.col("base")) & F.col("had").rlike("-[0-9]+$")), F.lit(False))
     rows = rows.withColumn("keeps", keeps).join(used, "base", "left")
@@ -314,7 +315,11 @@ def numbered_slugs(pages: DataFrame, old: DataFrame | None) -> DataFrame:
 
 def wiki_pages(extracted: DataFrame, old: DataFrame | None = None) -> DataFrame:
     """slug, title, summary, body, source_relpath, origin and text (markdown with front matter) of extracted documents (relpath, title, summary, body). old: pages there are (slug, source_relpath)."""
-    rows = numbered_slugs(extracted, old).withColumn("origin", F.lit("ingest"))
+    return page_text(numbered_slugs(extracted, old).withColumn("origin", F.lit("ingest")))
+
+
+def page_text(rows: DataFrame) -> DataFrame:
+    """slug, title, summary, body, source_relpath, origin and text of rows (slug, title, summary, body, relpath, origin)."""
     quoted = lambda c: F.to_json(F.array(F.regexp_replace(c, "\\s+", " "))).substr(F.lit(2), F.length(F.to_json(F.array(F.regexp_replace(c, "\\s+", " ")))) - 2)
     lines = [F.concat(F.lit(f"{k}: "), quoted(F.col(c))) for k, c in (("slug", "slug"), ("title", "title"), ("summary", "summary"), ("source", "relpath"), ("origin", "origin"))]
     text = F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), "body")

@@ -234,7 +234,20 @@ def test_store_of_an_engine(spark, tmp_path):
     # a refresh that runs
     out = {r.action_id: r.outcome for r in engine.refresh(str(root), prune=True, mode="execute").collect()}
     assert out == {"prune:b.md": "completed", "graphify:build": "completed"} and engine.sources.count() == 1 and engine.lint().count() == 0
-    assert engine.graph_runs["nodes"].read().count() > 0
+    assert engine.graph_run()[0].count() == engine.graph_runs.read().first().nodes > 0
+    assert [(r.completed, r.failed, r.status) for r in engine.watch_status().collect()] == [(2, 0, "complete")]
+    # pages made of extractions: once for each text, kept when the source changes, not against other pages
+    first = {r.slug: r.artifact_id for r in engine.extract().collect()}
+    assert {r.slug: r.artifact_id for r in engine.extract().collect()} == first and engine.extract(again=True).count() == len(first)
+    engine.synthesize()
+    done = {r.target_slug: r.operation for r in engine.apply().collect()}
+    assert set(done.values()) == {"create"} and engine.wiki_pages.filter("origin = 'llm_wiki'").count() == len(done)
+    assert {r.operation for r in engine.apply().collect()} == {"already_applied"} and engine.lint().count() == 0
+    (root / "a.md").write_text("# Same title\n\nAlpha depends on Omega.\n")
+    engine.ingest(str(root))
+    assert engine.wiki_pages.filter("origin = 'llm_wiki'").count() == len(done) and {r.operation for r in engine.apply().collect()} == {"stale"}
+    assert [r.slug for r in engine.wiki_pages.filter("origin = 'ingest'").collect()] == ["same-title"]
+    assert engine.lint().count() == 0
     # answers that become pages
     answered = engine.query("what does Alpha depend on", writeback="yes").first()
     assert answered.writeback == "forced" and engine.wiki_pages.filter("origin = 'writeback'").count() == 1

@@ -164,6 +164,18 @@ def test_numbers(spark):
     assert [r.number for r in out] == list(range(1, 3001))
 
 
+def test_components_in_rounds_and_in_one_task(spark):
+    """Whatever is left to one task, components are the same; names are numbers or strings."""
+    rng = random.Random(8)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(300)] + [(k, k + 1) for k in range(500, 600)]
+    df = spark.createDataFrame(edges, "src long, dst long")
+    rounds = sorted(map(tuple, components.connected_components(df).collect()))
+    for together in (10**6, 40):
+        assert sorted(map(tuple, components.connected_components(df, together=together).collect())) == rounds
+    text = df.select(*(F.lpad(F.col(c).cast("string"), 5, "0").alias(c) for c in ("src", "dst")))
+    assert sorted((int(r[0]), int(r[1])) for r in components.connected_components(text, together=10**6).collect()) == rounds
+
+
 def test_components_after_changes(spark):
     """Labels brought up to date equal labels made anew, after random insertions and removals."""
     rng = random.Random(4)

@@ -19,6 +19,27 @@ def test_one_claim_wins(spark, tmp_path):
     assert c.handoffs(agent="b").count() == 1 and c.handoffs(resource="page/z").count() == 0
 
 
+def test_sessions(spark, tmp_path):
+    c = Coordination(spark, str(tmp_path))
+    assert c.sessions(1000).count() == 0
+    one = c.start_session("a", now=1000)
+    assert c.start_session("a", now=1010) == one and c.heartbeat("a", now=1020) == one
+    two = c.start_session("b", now=1020)
+    assert c.close_session("b", now=1020) == two and {r.session_id: r.status for r in c.sessions(1030).collect()} == {one: "active", two: "closed"}
+    assert {r.session_id: r.status for r in c.sessions(4000).collect()} == {one: "stale", two: "closed"}
+    c.claim("a", "page/x", 60, now=1000)
+    c.claim("a", "page/y", 60, now=1000)
+    c.release("a", "page/y", now=1010)
+    assert {tuple(r) for r in c.lint(now=4000).collect()} == {("stale_lease", "page/x"), ("stale_session", one)}
+    assert c.lint(now=1030).count() == 0 and c.start_session("b", now=1040) != two
+    try:
+        c.heartbeat("nobody")
+    except KeyError:
+        pass
+    else:
+        raise AssertionError
+
+
 def test_workspaces(spark, tmp_path):
     root = tmp_path / "in"
     root.mkdir()
