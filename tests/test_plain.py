@@ -197,3 +197,68 @@ def test_dependencies(spark):
     steps = refresh.plan(found, prune=True)
     assert sorted(map(tuple, refresh.dependencies(steps).collect())) == [(refresh.BUILD, "ingest:a"), (refresh.BUILD, "prune:b")]
     assert {r.action_id: r.n_depends for r in steps.collect()} == {"ingest:a": 0, "prune:b": 0, "issue:c": 0, refresh.BUILD: 2}
+
+
+def test_fused_answers(spark):
+    """Reciprocal ranks of all collectors' candidates, added up by hand: the flagship query's rows."""
+    from lorespark.functions import vectors as V
+    from lorespark.plans import retrieval as Q
+
+    asked, wiki = Q.questions(spark, SF), Q.pages(spark, SF)
+    routed = R.route(asked, R.rule_table(spark))
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    relpath = F.concat(F.lit("doc/"), F.col("doc_id").cast("string"))
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), relpath.alias("relpath"), "text")
+    nodes = wiki.select(F.col("source_relpath").alias("relpath"), F.lit(1).alias("preorder"), "title", "summary")
+    parts = [R.wiki_candidates(asked, wiki, routed), R.vector_candidates(asked, chunks, V.embedded(chunks, "chunk_id", "text")), R.tree_candidates(asked, nodes)]
+    found = defaultdict(lambda: defaultdict(list))
+    for p in parts:
+        for r in p.collect():
+            found[r.query_id][r.route].append((-r.score, r.idx, r.text, r.relpath))
+    routes = {r.query_id: r.route for r in routed.collect()}
+    want = {}
+    for q in rows("benchmark"):
+        best = []
+        for route, cs in found[q["item_id"]].items():
+            for rank, (score, idx, text, path) in enumerate(sorted(cs, key=lambda c: c[:2]), 1):
+                best.append((-1 / (60 + rank), score, R.ROUTES.index(route), idx, route, text, path))
+        if best:
+            _, score, _, _, route, text, path = min(best)
+            want[q["item_id"]] = (text, route, -score, path, " ".join(text.split())[:240])
+        else:
+            want[q["item_id"]] = ("no relevant knowledge found", routes[q["item_id"]], 0.0, "", "")
+    got = {r.query_id: (r.answer, r.route, r.confidence, r.source, r.quote) for r in catalogue.queries()["q_fused_retrieval"](spark, SF).collect()}
+    assert got == want and len({w[1] for w in want.values()}) > 1
+
+
+def test_graph_answer_texts(spark):
+    """The three best edges of each question as sentences, from the scores of all edges."""
+    from lorespark.plans.graphs import graph_questions, star_graph
+
+    nodes, edges = star_graph(spark, SF)
+    asked, words = graph_questions(spark, SF), R.keyword_table(spark)
+    by_id, labels = {r.id: r for r in edges.collect()}, {r.id: r.label for r in nodes.collect()}
+    scores = defaultdict(list)
+    for r in R.graph_scores(asked, nodes, edges, words).collect():
+        scores[r.query_id].append((r.score, r.id))
+    want = {}
+    for q in asked.collect():
+        low = q.question.lower()
+        relations = {r for r, ks in R.RELATION_WORDS if any(k in low for k in ks)}
+        own = [(s, i) for s, i in scores[q.query_id] if by_id[i].relation in relations] or scores[q.query_id]
+        best = sorted(own, key=lambda x: (-x[0], x[1]))[:3]
+        if not best:
+            continue
+        sentences = {}
+        for _, i in best:
+            e = by_id[i]
+            ts = sentences.setdefault((e.relation, labels[e.src]), [])
+            if labels[e.dst] not in ts:
+                ts.append(labels[e.dst])
+        text = "；".join(R.SENTENCES[r].format(s, "、".join(ts)) for (r, s), ts in sentences.items())
+        evidence = by_id[best[0][1]].evidence
+        if any(w in low for w in R.EXPLAIN_WORDS) and evidence:
+            text += f"（依據：{evidence[:100]}）"
+        want[q.query_id] = (text, round(min(0.99, 0.55 + min(best[0][0], 6.0) * 0.06 + (len(best) - 1) * 0.05), 4), len(best))
+    got = {r.query_id: (r.answer, r.confidence, r.n_edges) for r in catalogue.queries()["graph_answer_texts"](spark, SF).collect()}
+    assert got == want and len(want) > 5
