@@ -16,6 +16,8 @@ from lorespark.operators.tables import create_once, names, read_small, union_all
 from lorespark.sources.sinks import VersionedTable
 
 EVENT = "number int, resource_key string, agent_id string, op string, ts timestamp, ttl_seconds int"
+#: Events of a resource after which its lease is kept, so that a claim reads fewer events than that.
+SNAPSHOT_EVERY = 64
 HANDOFF = "handoff_id string, from_agent string, to_agent string, resource_key string, summary string, ts timestamp"
 
 
@@ -30,28 +32,40 @@ class Coordination:
         folder = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()), folder
 
-    def _lines(self, folder: str, known: dict[str, dict]) -> tuple[int, list[dict]]:
-        """The next number of a folder, and its events in order."""
+    def _lines(self, folder: str, known: dict[str, dict], start: int) -> tuple[int, list[dict]]:
+        """The next number of a folder, and its events from a number on, in order."""
         found = names(self.spark, folder)
-        for name in found:
+        for name in found[start:]:
             if name not in known:
                 known[name] = json.loads(read_small(self.spark, f"{folder}/{name}"))
-        return len(found), [known[name] for name in found]
+        return len(found), [known[name] for name in found[start:]]
+
+    def _snapshot(self, folder: str) -> tuple[int, tuple[str, int, int] | None]:
+        """How many events the latest snapshot of a resource has, and its lease after them."""
+        found = names(self.spark, f"{folder}/snapshots")
+        if not found:
+            return 0, None
+        lease = json.loads(read_small(self.spark, f"{folder}/snapshots/{found[-1]}"))
+        return int(found[-1].partition(".")[0]), tuple(lease) if lease else None
 
     def _try(self, agent: str, resource: str, op: str, ttl: int, now: float | None) -> str:
         if not 1 <= ttl <= 86_400:
             return "invalid_ttl"
-        folder, known = f"{self.root}/leases/{uuid.uuid5(uuid.NAMESPACE_URL, resource).hex}", {}
+        at_resource = f"{self.root}/claims/{uuid.uuid5(uuid.NAMESPACE_URL, resource).hex}"
+        folder, known = f"{at_resource}/leases", {}
+        start, before = self._snapshot(at_resource)
         while True:
-            at, lease, outcome = int(time.time() if now is None else now), None, ""
-            number, events = self._lines(folder, known)
+            at, lease = int(time.time() if now is None else now), before
+            number, events = self._lines(folder, known, start)
             for e in events:
                 lease, _ = ledger.step(lease, e["agent_id"], e["op"], e["at"], e["ttl_seconds"])
-            _, outcome = ledger.step(lease, agent, op, at, ttl)
+            after, outcome = ledger.step(lease, agent, op, at, ttl)
             if outcome not in ("claimed", "renewed", "released"):
                 return outcome  # what changes nothing is not written
             event = {"number": number, "resource_key": resource, "agent_id": agent, "op": op, "at": at, "ttl_seconds": ttl}
             if create_once(self.spark, f"{folder}/{number:08d}.json", json.dumps(event)):
+                if (number + 1) % SNAPSHOT_EVERY == 0:
+                    create_once(self.spark, f"{at_resource}/snapshots/{number + 1:08d}.json", json.dumps(after))
                 return outcome  # else another agent was faster: look again
 
     def claim(self, agent: str, resource: str, ttl: int = ledger.TTL_SECONDS, now: float | None = None) -> str:
@@ -64,12 +78,18 @@ class Coordination:
     def release(self, agent: str, resource: str, now: float | None = None) -> str:
         return self._try(agent, resource, "release", ledger.TTL_SECONDS, now)
 
+    def _events(self) -> DataFrame | None:
+        fs, path = self._fs(f"{self.root}/claims")
+        if not fs.exists(path):
+            return None
+        schema = "number int, resource_key string, agent_id string, op string, at long, ttl_seconds int"
+        return self.spark.read.schema(schema).json(f"{self.root}/claims/*/leases")
+
     def leases(self) -> DataFrame:
         """The events of all resources, with what became of them."""
-        fs, path = self._fs(f"{self.root}/leases")
-        if not fs.exists(path):
+        events = self._events()
+        if events is None:
             return ledger.fold_leases(self.spark.createDataFrame([], EVENT))
-        events = self.spark.read.schema("number int, resource_key string, agent_id string, op string, at long, ttl_seconds int").option("recursiveFileLookup", "true").json(f"{self.root}/leases")
         return ledger.fold_leases(events.withColumn("ts", F.timestamp_seconds("at")).drop("at"))
 
     def _session(self, agent: str, op: str, now: float | None, session: str) -> str:
@@ -108,10 +128,8 @@ class Coordination:
     def lint(self, now: float | None = None) -> DataFrame:
         """Leases that ran out and were not taken again, and sessions that went stale: kind and what."""
         last = self.leases().filter("outcome in ('claimed', 'renewed', 'released')").groupBy("resource_key").agg(F.max_by("outcome", "ts").alias("last"))
-        fs, path = self._fs(f"{self.root}/leases")
-        held = self.spark.createDataFrame([], "kind string, target string")
-        if fs.exists(path):
-            raw = self.spark.read.schema("resource_key string, op string, at long, ttl_seconds long").option("recursiveFileLookup", "true").json(f"{self.root}/leases")
+        held, raw = self.spark.createDataFrame([], "kind string, target string"), self._events()
+        if raw is not None:
             ends = raw.filter("op != 'release'").groupBy("resource_key").agg(F.max(F.col("at") + F.col("ttl_seconds")).alias("end"))
             late = ends.join(last.filter("last != 'released'"), "resource_key").filter(F.col("end") <= int(time.time() if now is None else now))
             held = late.select(F.lit("stale_lease").alias("kind"), F.col("resource_key").alias("target"))

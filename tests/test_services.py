@@ -19,6 +19,23 @@ def test_one_claim_wins(spark, tmp_path):
     assert c.handoffs(agent="b").count() == 1 and c.handoffs(resource="page/z").count() == 0
 
 
+def test_claims_read_few_events(spark, tmp_path, monkeypatch):
+    """After a snapshot only the events behind it are read, and outcomes stay those of the fold over all."""
+    from lorespark import services
+
+    monkeypatch.setattr(services, "SNAPSHOT_EVERY", 4)
+    c, read = Coordination(spark, str(tmp_path)), []
+    lines = c._lines
+    monkeypatch.setattr(c, "_lines", lambda folder, known, start: (lambda out: read.append(len(out[1])) or out)(lines(folder, known, start)))
+    out = []
+    for k in range(22):
+        agent = f"a{k % 3 // 2}"
+        out.append((k, agent, c.claim(agent, "r", 20, now=1000 + 9 * k) if k % 5 else c.release(agent, "r", now=1000 + 9 * k)))
+    assert max(read) < 4 and {x[2] for x in out} >= {"claimed", "renewed", "conflict"}
+    changed = [x[2] for x in out if x[2] in ("claimed", "renewed", "released")]
+    assert [r.outcome for r in c.leases().orderBy("ts").collect()] == changed
+
+
 def test_sessions(spark, tmp_path):
     c = Coordination(spark, str(tmp_path))
     assert c.sessions(1000).count() == 0
