@@ -200,5 +200,7 @@ def score(docs: DataFrame, model: RuleModel, id_col: str = "doc_id", text_col: s
 
 def keep(docs: DataFrame, model: RuleModel, least: float = 0.7, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whatever their names, whose score reaches `least`."""
-    (into,) = unused(docs, "features")
-    return with_features(docs, text_col, into).filter(model.score(F.col(into)) >= least).drop(into)
+    into, scored, part = unused(docs, "features", "score", "part")
+    rows = with_features(docs, text_col, into).withColumns({scored: model.score(F.col(into)), part: F.spark_partition_id()})
+    # a filter on the score alone would be moved below the features and compute them anew for each rule; not past this column
+    return rows.filter((F.col(scored) >= least) & (F.col(part) >= 0)).drop(into, scored, part)
