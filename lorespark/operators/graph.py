@@ -30,6 +30,13 @@ PATTERNS = (
     ("owns", "(.+?)(?:擁有|負責)(.+)", False),
     ("owns", "(.+?)\\s+owns\\s+(.+)", False),
 )
+# The words of each pattern, without its labels; where none of them is, the pattern does not fit.
+TRIGGERS = (
+    "導致|造成|引發|使", "\\scauses?\\s", "矛盾|衝突", "\\s(?:contradicts?|conflicts with)\\s", "\\ssucceeds\\s", "接續|接著|後續是", "\\s(?:is )?followed by\\s", "\\sprecedes\\s", "影響",
+    "\\s(?:affects?|impacts?)\\s", "依賴", "\\sdepends on\\s", "引用|參考", "\\sreferences\\s", "屬於", "\\sbelongs to\\s", "擁有|負責", "\\sowns\\s",
+)
+# A label that may begin anywhere begins as far left as it can: behind the start, or behind a character that it cannot hold.
+STARTS = (("(.+?)", "(?:^|(?<=[\\n\\r\\x{85}\\x{2028}\\x{2029}]))"), ("([^，,。；;!?！？]+?)(?:與", "(?:^|(?<=[，,。；;!?！？]))"))
 # What ends no sentence.
 ABBREVIATIONS = ("Dr.", "Mr.", "Ms.", "Mrs.", "Prof.", "Sr.", "Jr.", "St.", "U.S.", "U.K.")
 # Words that make a sentence one of several relations.
@@ -47,16 +54,20 @@ def sentences(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
 
 
 def relations(found: DataFrame, id_col: str) -> DataFrame:
-    """id_col, pos, relation, source, target, evidence, and further columns of found. The first pattern with a label on its left decides; each target of a list is a row."""
+    """id_col, pos, relation, source, target, evidence, and further columns of found. The first pattern with a label on its left decides; each target of a list is a row.
+
+    One search for the words of all patterns leaves out most sentences, in time that grows with their length. Of the others, only
+    patterns whose words are there are tried, each from the places where its label can begin.
+    """
     more = [c for c in found.columns if c not in (id_col, "pos", "sentence")]
     s = F.col("sentence")
-    patterns = [f"(?i){p}" for _, p, _ in PATTERNS]
+    start = lambda p: next((at for head, at in STARTS if p.startswith(head)), "")
+    patterns = [f"(?i){start(p)}{p}" for _, p, _ in PATTERNS]
     # lambdas keep the generated code small: a pattern is one call in it
-    sides = lambda k: F.array(*(F.regexp_extract(s, p, k) for p in patterns))
+    sides = lambda k: F.array(*(F.when(s.rlike(f"(?i){t}"), F.regexp_extract(s, p, k)).otherwise("") for p, t in zip(patterns, TRIGGERS, strict=True)))
     by_nth = lambda values: F.element_at(values, F.col("nth").cast("int"))
     literal = lambda values: F.array(*map(F.lit, values))
-    # most sentences have none of them: one look tells
-    rows = found.filter(s.rlike("|".join(patterns))).withColumn("lefts", F.transform(sides(1), clean_label))
+    rows = found.filter(s.rlike("(?i)" + "|".join(TRIGGERS))).withColumn("lefts", F.transform(sides(1), clean_label))
     rows = rows.withColumn("nth", F.array_position(F.transform("lefts", lambda x: x != ""), True)).filter("nth > 0")
     rows = rows.select(id_col, "pos", "sentence", *more, by_nth(literal([r for r, _, _ in PATTERNS])).alias("relation"), by_nth(literal([r for _, _, r in PATTERNS])).alias("reverse"), by_nth(F.col("lefts")).alias("left"), by_nth(sides(2)).alias("right"))
     rows = rows.withColumn("other", F.explode(F.transform(split_targets(F.col("right")), clean_label))).filter("other != ''")

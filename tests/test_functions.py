@@ -1,3 +1,6 @@
+import random
+import time
+
 from pyspark.sql import functions as F
 
 from lorespark.functions import text as T
@@ -34,6 +37,34 @@ def test_relations(spark):
     assert edges.filter("relation = 'references'").count() == 9
 
 
+def test_relations_equal_every_pattern_tried(spark):
+    """Triggers and places where labels begin change no row: held against all patterns, tried on each sentence as they stand."""
+    rng = random.Random(5)
+    words = ["甲", "乙", "專案", "導致", "使得", "使", "與", "和", "矛盾", "衝突", "，", ",", "；", "之後", "接續", "影響", "會影響", "依賴", "參考", "隸屬於", "屬於", "負責", " causes ", " cause ", "However ", " but ", " contradicts ", " conflicts with ", " succeeds ", " followed by ", " is followed by ", " precedes ", " affects ", " Impacts ", " depends on ", " DEPENDS ON ", " references ", " belongs to ", " owns ", " owns", "A", "b c", " ", ". ", "\u2028", "\r", "!"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(1, 9))) for _ in range(3000)]
+    found = spark.createDataFrame([(str(k), 0, x) for k, x in enumerate(texts)], "id string, pos int, sentence string")
+    s = F.col("sentence")
+    kept = found
+    for n, (_, p, _) in enumerate(graph.PATTERNS):
+        kept = kept.withColumns({f"l{n}": F.regexp_extract(s, f"(?i){p}", 1), f"r{n}": F.regexp_extract(s, f"(?i){p}", 2)})
+    n = len(graph.PATTERNS)
+    kept = kept.select("id", "pos", "sentence", F.array(*(f"l{k}" for k in range(n))).alias("l"), F.array(*(f"r{k}" for k in range(n))).alias("r"))
+    kept = kept.withColumn("l", F.transform("l", graph.clean_label)).withColumn("nth", F.array_position(F.transform("l", lambda x: x != ""), True)).filter("nth > 0")
+    kept = kept.withColumns({"relation": F.element_at(F.array(*(F.lit(r) for r, _, _ in graph.PATTERNS)), F.col("nth").cast("int")), "left": F.element_at("l", F.col("nth").cast("int")), "right": F.element_at("r", F.col("nth").cast("int")), "reverse": F.element_at(F.array(*(F.lit(r) for _, _, r in graph.PATTERNS)), F.col("nth").cast("int"))})
+    kept = kept.withColumn("other", F.explode(F.transform(graph.split_targets(F.col("right")), graph.clean_label))).filter("other != ''")
+    want = sorted((r.id, r.relation, r.other if r.reverse else r.left, r.left if r.reverse else r.other) for r in kept.collect())
+    have = sorted((r.id, r.relation, r.source, r.target) for r in graph.relations(found, "id").collect())
+    assert have == want and len({x[1] for x in have}) == 8
+
+
+def test_long_sentences_without_relations_are_fast(spark):
+    """Work grows with a sentence's length, not with its square."""
+    text = "x y " * 250_000 + "專案甲依賴專案乙"
+    df = spark.createDataFrame([("d", 0, "a b " * 250_000), ("e", 0, text)], "id string, pos int, sentence string")
+    begin = time.monotonic()
+    assert [(r.id, r.target) for r in graph.relations(df, "id").collect()] == [("e", "專案乙")] and time.monotonic() - begin < 60
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(0, 300)] + [(1000, 1001), (5, 5), (None, 3)], "src long, dst long")
     out = {r.node: r.component for r in components.connected_components(edges).collect()}
