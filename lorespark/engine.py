@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lorespark import audit
+from lorespark.audit import PARTS
 from lorespark.functions import text as T
 from lorespark.functions import vectors as V
 from lorespark.operators import catalog, chunks, graph, ledger, lint, postings, refresh, retrieval, trees
@@ -25,8 +28,6 @@ def _summed(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("summary", F.concat(F.lit("Summary of: "), "title"))
 
 
-#: Tables of a run of graph analytics.
-PARTS = ("nodes", "edges", "communities")
 #: Lists by term that every commit, and every range of the store's base, has of its pages and tree nodes.
 LISTS = {
     "page_lists": lambda tables, docs, by: postings.build(postings.page_entries(tables["wiki_pages"], *by), docs, *by),
@@ -95,10 +96,8 @@ class Engine:
         sha = todo.select("relpath", "sha256", "parser_fingerprint", F.col("length").alias("size_bytes"), "format", F.col("modificationTime").alias("modified"))
         pieces = written(self._chunks(parsed, office, tree, sha))
         nodes, edges = (written(x) for x in graph.document_graph(parsed, "relpath", "title", "body", tree))
-        ids = lambda rows, key, value, name: rows.groupBy(F.col(key).alias("relpath")).agg(F.array_sort(F.collect_set(value)).alias(name))  # noqa: E731  of one document
         entries = sha.join(parsed.select("relpath", F.length("body").alias("body_length")), "relpath").withColumn("root", F.lit(path.rstrip("/")))
-        for part in (ids(pages, "source_relpath", "slug", "wiki_pages"), ids(pieces, "relpath", "chunk_id", "vector_ids"), ids(nodes, "source_relpath", "id", "graph_nodes"), ids(edges, "source_relpath", "id", "graph_edges"), tree.groupBy("relpath").agg(F.count("*").alias("page_tree"))):
-            entries = entries.join(part, "relpath", "left")
+        entries = self._entries(entries, {"wiki_pages": pages, "chunks": pieces, "graph_nodes": nodes, "graph_edges": edges, "tree_nodes": tree})
         rows = {"sources": entries, "wiki_pages": pages, "wiki_index": self._index(pages), "chunks": pieces, "vectors": self._vectors(pieces), "tree_nodes": tree, "graph_nodes": nodes, "graph_edges": edges}
         # a file whose new content cannot be parsed keeps its old document; one that is empty now has none
         gone = status.filter("status in ('updated', 'pruned')").select("relpath").join(broken, "relpath", "left_anti")
@@ -106,7 +105,38 @@ class Engine:
             self.store.commit(rows, gone, after, stream)
         empty = todo.select("relpath").join(broken, "relpath", "left_anti").join(parsed.select("relpath"), "relpath", "left_anti").select("relpath", F.lit("skipped").alias("now"))
         now = broken.select("relpath", F.lit("failed").alias("now")).union(empty)
-        return status.join(now, "relpath", "left").select("relpath", F.coalesce("now", "status").alias("status"))
+        out = status.join(now, "relpath", "left").select("relpath", F.coalesce("now", "status").alias("status"))
+        self._log(out.filter("status != 'skipped'").select(F.lit("ingest").alias("event"), "status", F.col("relpath").alias("target"), F.lit("ingest").alias("action"), F.when(F.col("status") == "failed", "failed").otherwise("success").alias("outcome")))
+        return out
+
+    @staticmethod
+    def _entries(base: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+        """Manifest entries with what the tables hold of each document."""
+        for table, key, name in (("wiki_pages", "slug", "wiki_pages"), ("chunks", "chunk_id", "vector_ids"), ("graph_nodes", "id", "graph_nodes"), ("graph_edges", "id", "graph_edges")):
+            ids = tables[table].groupBy(F.col(TABLES[table]).alias("relpath")).agg(F.array_sort(F.collect_set(key)).alias(name))  # of one document
+            base = base.join(ids, "relpath", "left")
+        return base.join(tables["tree_nodes"].groupBy("relpath").agg(F.count("*").alias("page_tree")), "relpath", "left")
+
+    def rebuild_manifest(self) -> DataFrame:
+        """Makes entries whose lists are not what the tables hold anew, from the tables; relpath of each."""
+        after, old = self.store.latest(), self.sources.filter("format != 'writeback'")
+        made = ("wiki_pages", "vector_ids", "graph_nodes", "graph_edges", "page_tree")
+        new = self._entries(old.drop(*made), {t: self.store.read(t) for t in TABLES if t != "sources"}).select(old.columns)
+        listed = lambda c: F.array_sort(F.col(c)) if c != "page_tree" else F.col(c)
+        as_rows = lambda rows: rows.select("relpath", *(listed(c).alias(c) for c in made))
+        wrong = written(as_rows(new).exceptAll(as_rows(old)).select("relpath").distinct())
+        if not wrong.isEmpty():
+            rows = {t: self.store.read(t).join(wrong.withColumnRenamed("relpath", doc), doc, "left_semi") for t, doc in TABLES.items()}
+            self.store.commit(rows | {"sources": new.join(wrong, "relpath", "left_semi")}, wrong, after)
+        return wrong
+
+    def _log(self, events: DataFrame) -> None:
+        """event, status, target, action and outcome of what was done."""
+        sinks.append_log(events.withColumn("at", F.current_timestamp()), f"{self.root}/log")
+
+    def log(self) -> DataFrame:
+        """What ingests and fixes did, and when: event, status, target, action, outcome, at."""
+        return self.spark.read.parquet(f"{self.root}/log")
 
     def follow(self, path: str, checkpoint: str, prune: bool = False) -> DataFrame:
         """Ingests the files that came since the last call, in micro-batches, and gives the number of the last one. A batch carries its number into the commit, so that one that is run again after a stop changes nothing. Files that changed or went are those that differ from a listing of the folder: they are looked for after the new ones."""
@@ -168,11 +198,11 @@ class Engine:
     def index_lines(self) -> DataFrame:
         return sinks.index_lines(self.wiki_index)
 
-    def query(self, questions: DataFrame | str, writeback: str = "no", threshold: float = 0.75) -> DataFrame:
-        """answer, route, confidence, source, quote and section_path for each question (query_id, question), or for one. writeback: yes, auto (at the threshold) or no; then answers become pages, and `writeback` says which."""
+    def query(self, questions: DataFrame | str, writeback: str = "no", threshold: float = 0.75, reranker: Callable[[DataFrame], DataFrame] | None = None, most: int = 10) -> DataFrame:
+        """reranker: gets the first `most` candidates of each question (query_id, question, index, route, text, score) and gives a ranking (query_id, indices); a question that it leaves out, or ranks with indices that are not there, keeps its order. answer, route, confidence, source, quote and section_path for each question (query_id, question), or for one. writeback: yes, auto (at the threshold) or no; then answers become pages, and `writeback` says which."""
         if isinstance(questions, str):
             questions = self.spark.createDataFrame([(0, questions)], "query_id long, question string")
-        out = written(retrieval.in_blocks(questions, self._answers))
+        out = written(retrieval.in_blocks(questions, lambda block: self._answers(block, reranker, most)))
         if writeback == "no":
             return out
         gate = retrieval.writeback(out, writeback, threshold)
@@ -181,7 +211,7 @@ class Engine:
         self._write_back(sinks.writeback_pages(asked, gate, related))
         return out.join(gate.select("query_id", F.col("status").alias("writeback")), "query_id")
 
-    def _answers(self, questions: DataFrame) -> DataFrame:
+    def _answers(self, questions: DataFrame, reranker: Callable[[DataFrame], DataFrame] | None = None, most: int = 10) -> DataFrame:
         pages = self.wiki_pages
         routed = written(retrieval.route(questions, retrieval.rule_table(self.spark)))
         nodes = graph.merge_nodes(self.graph_nodes.withColumn("o", F.xxhash64("source_relpath", "label")), "o")
@@ -195,7 +225,12 @@ class Engine:
             retrieval.vector_candidates(questions, self.chunks, self.vectors),
             retrieval.node_candidates(sections),
         ]
-        return retrieval.answers(questions, retrieval.fuse(union_all(found)), routed)
+        fused = retrieval.fuse(union_all(found))
+        if reranker is not None:
+            fused = written(fused)
+            first = fused.filter(F.col("position") <= most).select("query_id", (F.col("position") - 1).alias("index"), "route", "text", "score")
+            fused = retrieval.rerank(fused, retrieval.valid_ranking(reranker(first.join(questions.select("query_id", "question"), "query_id")), first), most)
+        return retrieval.answers(questions, fused, routed)
 
     def _write_back(self, answers: DataFrame) -> None:
         """Pages without a file: each is a document of its own, whose chunk can be found."""
@@ -228,6 +263,10 @@ class Engine:
             lint.check_fingerprints(sources, current),
             lint.check_trees(sources, tree.select("relpath").distinct().withColumn("corrupt", F.lit(None).cast("string")), tree, bodies),
             lint.check_chunk_sections(self.chunks, tree, bodies),
+            audit.artifact_findings(self.spark, self.root),
+            audit.synthesis_findings(self.spark, self.candidates, pages),
+            audit.graph_run_findings(self.spark, self.root, self.graph_runs),
+            audit.watch_findings(self.spark, self.root),
         ]
         return union_all(parts)
 
@@ -237,14 +276,23 @@ class Engine:
         return reduce(DataFrame.union, parts) if parts else self.spark.createDataFrame([], "relpath string")
 
     def fix(self, path: str | None = None, apply: bool = False) -> DataFrame:
-        """What lint's findings allow to mend (action, target); with apply, the index is built anew and rows that no manifest entry has go."""
-        steps = written(lint.fix_plan(self.lint(path)).distinct())
+        """What lint's findings allow to mend: action, target, reason (why it is skipped) and outcome (planned, skipped, success or apply_failed). With apply, the index is built anew and rows that no manifest entry has go, and what was done is logged."""
+        steps = written(lint.fix_plan(self.lint(path), reasons=True).distinct())
+        became = F.when(F.col("action") == "skip", "skipped").otherwise("planned")
         if apply:
             todo = {r["action"] for r in steps.select("action").distinct().collect()}  # a handful of kinds
-            if "rebuild_index" in todo:
-                self.rebuild_index()
-            if todo & {"prune_vectors", "prune_graph_nodes", "prune_graph_edges"}:
-                self._prune(steps)
+            pruned = todo & {"prune_vectors", "prune_graph_nodes", "prune_graph_edges"}
+            for kinds, mend in ((todo & {"rebuild_index"}, self.rebuild_index), (pruned, lambda: self._prune(steps))):
+                if kinds:
+                    try:
+                        mend()
+                        outcome = "success"
+                    except Exception:  # noqa: BLE001  the state is the report
+                        outcome = "apply_failed"
+                    became = F.when(F.col("action").isin(*kinds), outcome).otherwise(became)
+        steps = steps.withColumn("outcome", became)
+        if apply:
+            self._log(steps.filter("action != 'skip'").select(F.lit("lint").alias("event"), F.lit("lint_fix_applied").alias("status"), "target", "action", "outcome"))
         return steps
 
     def _prune(self, steps: DataFrame) -> None:
@@ -321,7 +369,9 @@ class Engine:
         todo = written(asked.join(what.filter("operation in ('create', 'update')").select("candidate_id"), "candidate_id", "left_semi").dropDuplicates(["target_slug"]))
         if not todo.isEmpty():
             rows = {t: self.store.read(t).join(todo.select(F.col("relpath").alias(doc)).distinct(), doc, "left_semi") for t, doc in TABLES.items()}
-            new = sinks.page_text(todo.select(F.col("target_slug").alias("slug"), "title", "summary", "body", "relpath", F.lit("llm_wiki").alias("origin")))
+            told = {"generated_at": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ssXXX"), "extraction_artifact_id": F.col("artifact_id"), "wiki_candidate_artifact_id": F.col("candidate_id"), "source_fingerprint": F.col("sha256"), "parser_fingerprint": F.col("parser_fingerprint"), "prompt_version": F.lit("v1"), "provider_id": F.lit("built-in"), "model_id": F.lit("rules")}
+            metadata = F.create_map(*(x for k, v in told.items() for x in (F.lit(k), v)))
+            new = sinks.page_text(todo.select(F.col("target_slug").alias("slug"), "title", "summary", "body", "relpath", F.lit("llm_wiki").alias("origin"), metadata.alias("metadata")))
             pages = rows["wiki_pages"].join(new.select("slug"), "slug", "left_anti").unionByName(new.select(rows["wiki_pages"].columns))
             slugs = pages.groupBy(F.col("source_relpath").alias("relpath")).agg(F.array_sort(F.collect_set("slug")).alias("s"))
             sources = rows["sources"].join(slugs, "relpath").withColumn("wiki_pages", F.col("s")).select(rows["sources"].columns)

@@ -182,3 +182,19 @@ def valid_resource_key(x: Column) -> Column:
 
 def valid_relpath(x: Column) -> Column:
     return F.coalesce((x != "") & ~x.startswith("/") & ~x.rlike("(^|/)\\.\\.(/|$)"), F.lit(False))
+
+
+def front_matter(page: Column) -> Column:
+    """The names and values between a page's first two lines of `---`, as a map. Quoted values are JSON strings; of equal names the first counts."""
+    head = F.regexp_extract(page, "^---\\n([\\s\\S]*?)\\n---(?:\\n|$)", 1)
+    lines = F.filter(F.split(head, "\n"), lambda x: x.contains(": "))
+    name = lambda x: F.trim(F.substring_index(x, ": ", 1))
+    raw = lambda x: F.regexp_replace(x, "^.*?: ", "")
+    plain = lambda v: F.when(v.startswith('"'), F.coalesce(F.get(F.from_json(F.concat(F.lit("["), v, F.lit("]")), "array<string>"), F.lit(0)), v)).otherwise(v)
+    pairs = F.transform(lines, lambda x: F.struct(name(x).alias("k"), plain(raw(x)).alias("v")))
+    first = F.filter(pairs, lambda p, i: F.array_position(F.transform(pairs, lambda q: q.getField("k")), p.getField("k")) == i + 1)
+    return F.map_from_entries(first)
+
+
+def without_front_matter(page: Column) -> Column:
+    return F.regexp_replace(page, "^---\\n[\\s\\S]*?\\n---(?:\\n\\s*|$)", "")

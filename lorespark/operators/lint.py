@@ -20,7 +20,7 @@ SEVERITY = {
     "tree_offset_mismatch": "info", "tree_node_chunk_gap": "info", "wiki_synthesis_partial_apply": "error",
 }
 GRAPHIFY_FILES = ("graph.json", "communities.json", "audit.json", "manifest.json", "graph.html", "GRAPH_REPORT.md")
-SYNTHESIS_KEYS = ("candidate_id", "extraction_artifact_id", "source_relpath", "source_sha256", "parser_fingerprint", "provider", "model", "prompt_version")
+SYNTHESIS_KEYS = ("generated_at", "extraction_artifact_id", "wiki_candidate_artifact_id", "source_fingerprint", "parser_fingerprint", "prompt_version", "provider_id", "model_id")
 FIXES = ("rebuild_index", "prune_vectors", "prune_graph_nodes", "prune_graph_edges")
 
 
@@ -98,18 +98,19 @@ def check_artifacts(artifacts: DataFrame, kind: str) -> DataFrame:
 
 
 def check_synthesis(pages: DataFrame, candidates: DataFrame) -> DataFrame:
-    """pages: slug, origin, metadata (map); candidates: candidate_id."""
-    made = pages.filter("origin = 'llm_wiki'").withColumn("lacks", F.array_except(F.array(*map(F.lit, SYNTHESIS_KEYS)), F.map_keys("metadata")))
-    named = made.filter("size(lacks) = 0").withColumn("candidate_id", F.element_at("metadata", "candidate_id"))
+    """Pages made of candidates, by what their front matter says. pages: slug, origin, metadata (map); candidates: candidate_id."""
+    made = pages.filter("origin = 'llm_wiki'")
+    lacks = F.filter(F.array(*map(F.lit, SYNTHESIS_KEYS)), lambda k: F.coalesce(F.try_element_at("metadata", k), F.lit("")) == "")
+    named = made.withColumn("candidate_id", F.try_element_at("metadata", F.lit("wiki_candidate_artifact_id"))).filter("candidate_id != ''")
     return union_all([
-        finding(made.filter("size(lacks) > 0"), "wiki_synthesis_frontmatter_invalid", F.col("slug"), F.concat(F.lit("lacks "), F.array_join("lacks", ", "))),
-        finding(without(named, "candidate_id", candidates, "candidate_id"), "wiki_candidate_artifact_invalid", F.col("slug"), "its candidate is missing"),
+        finding(made.withColumn("lacks", lacks).filter("size(lacks) > 0"), "wiki_synthesis_frontmatter_invalid", F.col("slug"), F.concat(F.lit("lacks "), F.array_join("lacks", ", "))),
+        finding(without(named, "candidate_id", candidates, "candidate_id"), "wiki_synthesis_frontmatter_invalid", F.col("slug"), F.concat(F.lit("candidate is missing: "), "candidate_id")),
     ])
 
 
-def check_runs(runs: DataFrame, latest: DataFrame, kind: str) -> DataFrame:
-    """runs: run_id, status, files (array); latest: run_id. kind: graphify or watch."""
-    lacks = F.array_except(F.array(*map(F.lit, GRAPHIFY_FILES)), F.coalesce("files", F.array().cast("array<string>")))
+def check_runs(runs: DataFrame, latest: DataFrame, kind: str, needs: tuple[str, ...] = GRAPHIFY_FILES) -> DataFrame:
+    """runs: run_id, status, files (array); latest: run_id. kind: graphify or watch. needs: the files that a graphify run has."""
+    lacks = F.array_except(F.array(*map(F.lit, needs)), F.coalesce("files", F.array().cast("array<string>")))
     partial = runs.filter(F.size(lacks) > 0) if kind == "graphify" else runs.filter("status = 'partial'")
     return union_all([
         finding(partial, f"{kind}_partial_run", F.col("run_id"), "run is not complete"),
@@ -117,6 +118,35 @@ def check_runs(runs: DataFrame, latest: DataFrame, kind: str) -> DataFrame:
     ])
 
 
+def check_run_graphs(runs: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Runs whose graph is not whole, or not the one that the run tells the size of. runs: run_id, nodes, edges (numbers); nodes: run_id, id; edges: run_id, id, src, dst."""
+    ids = nodes.select("run_id", F.col("id").alias("end"))
+    ends = edges.select("run_id", F.explode(F.array("src", "dst")).alias("end"))
+    loose = ends.join(ids, ["run_id", "end"], "left_anti").groupBy("run_id").agg(F.count("*").alias("n"))
+    told = runs
+    for name, rows in (("nodes", nodes), ("edges", edges)):
+        told = told.join(rows.groupBy("run_id").agg(F.count("*").alias(f"n_{name}")), "run_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return union_all([
+        finding(loose, "graphify_invalid_graph", F.col("run_id"), F.concat(F.lit("ends without a node: "), F.col("n").cast("string"))),
+        finding(told.filter("n_nodes != nodes or n_edges != edges"), "graphify_invalid_graph", F.col("run_id"), "other numbers of nodes or edges than the run tells"),
+    ])
+
+
+def check_unreadable(errors: DataFrame, category: str) -> DataFrame:
+    """errors: path, error."""
+    return finding(errors, category, F.col("path"), F.concat(F.lit("cannot be read: "), "error"))
+
+
+def check_registry(registry: DataFrame) -> DataFrame:
+    """Entries of a registry (workspace_id, root) without an id or a root, and ids that are there twice."""
+    blank = F.coalesce(F.trim("workspace_id"), F.lit("")) == ""
+    rootless = F.coalesce(F.trim("root"), F.lit("")) == ""
+    return union_all([
+        finding(registry.filter(blank | rootless), "workspace_registry_invalid", F.coalesce("workspace_id", "root", F.lit("")), "an entry needs an id and a root"),
+        finding(repeated(registry.filter(~blank), "workspace_id"), "workspace_registry_invalid", F.col("workspace_id"), "its id is there more than once"),
+    ])
+
+
 def check_workspaces(registry: DataFrame, roots: DataFrame) -> DataFrame:
     """registry: workspace_id, root; roots: root that exists."""
     shared = registry.join(repeated(registry, "root"), "root", "left_semi")
@@ -172,8 +202,14 @@ def exceeds(findings: DataFrame, threshold: str = "error") -> bool:
     return not findings.filter(rank >= SEVERITIES.index(threshold) + 1).isEmpty()
 
 
-def fix_plan(findings: DataFrame) -> DataFrame:
-    """action and target of each finding: the fix that is allowed, or skip."""
+def skip_reason(category: Column) -> Column:
+    """Why a finding is not mended."""
+    unknown = category.isin("manifest_wiki_mismatch", "wiki_source_mismatch", "dangling_manifest_entry", "manifest_vector_mismatch")
+    return F.when(unknown, "manifest_truth_unknown").when(category == "fingerprint_drift", "requires_manual").otherwise("unsupported")
+
+
+def fix_plan(findings: DataFrame, reasons: bool = False) -> DataFrame:
+    """action and target of each finding: the fix that is allowed, or skip; with reasons, why it is skipped."""
     action = (
         F.when(F.col("category").isin("orphan_page", "dead_link", "duplicate_slug"), "rebuild_index")
         .when(F.col("category") == "orphan_vector_chunk", "prune_vectors")
@@ -181,7 +217,8 @@ def fix_plan(findings: DataFrame) -> DataFrame:
         .when((F.col("category") == "graph_drift") & F.col("message").rlike("^(orphan|dangling)_edge"), "prune_graph_edges")
         .otherwise("skip")
     )
-    return findings.select(action.alias("action"), "target")
+    why = [F.when(action == "skip", skip_reason(F.col("category"))).alias("reason")] if reasons else []
+    return findings.select(action.alias("action"), "target", *why)
 
 
 def latest(rows: DataFrame, key: str, order: Column) -> DataFrame:

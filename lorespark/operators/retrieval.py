@@ -255,6 +255,14 @@ def rerank(fused: DataFrame, ranking: DataFrame, most: int = 10) -> DataFrame:
     return out.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).drop("at", "indices")
 
 
+def valid_ranking(ranking: DataFrame, first: DataFrame) -> DataFrame:
+    """Rankings (query_id, indices) whose indices are those of candidates (query_id, index) and come once each; of several of a question none."""
+    n = first.groupBy("query_id").agg(F.count("*").alias("n"))
+    one = ranking.groupBy("query_id").agg(F.count("*").alias("times"), F.first("indices").alias("indices")).filter("times = 1").join(n, "query_id")
+    fits = (F.size(F.array_distinct("indices")) == F.size("indices")) & F.forall("indices", lambda i: F.coalesce((i >= 0) & (i < F.col("n")), F.lit(False)))
+    return one.filter(fits).select("query_id", F.col("indices").cast("array<int>").alias("indices"))
+
+
 def answers(questions: DataFrame, fused: DataFrame, routed: DataFrame, missing: str = "no relevant knowledge found") -> DataFrame:
     """One row a question: answer, route, confidence (the winner's own score), source and quote; a fixed answer where nothing was found."""
     best = fused.filter("position = 1").select("query_id", "text", F.col("route").alias("won"), "score", "relpath", _path(fused))

@@ -92,6 +92,20 @@ def ages(spark: SparkSession, path: str) -> list[tuple[str, float]]:
     return [(s.getPath().getName(), s.getModificationTime() / 1000) for s in fs.listStatus(folder)] if fs.exists(folder) else []
 
 
+def unreadable(spark: SparkSession, folders: list[str]) -> DataFrame:
+    """path and error of those Parquet tables of one schema that cannot be read. The footers of all files are looked at in one job; table by table only where that fails."""
+
+    def error(paths: list[str]) -> str | None:
+        try:
+            spark.read.parquet(*paths).count()
+        except Exception as e:  # noqa: BLE001  the state is the report
+            return type(e).__name__
+        return None
+
+    bad = [(p, e) for p in folders if (e := error([p]))] if folders and error(folders) else []
+    return spark.createDataFrame(bad, "path string, error string")
+
+
 def delete(spark: SparkSession, path: str) -> bool:
     fs, folder = _folder(spark, path)
     return bool(fs.delete(folder, True))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lorespark.engine import Engine
-from lorespark.operators import catalog, ledger, refresh
-from lorespark.operators.tables import create_once, names, read_small, union_all, written
+from lorespark.operators import catalog, ledger, lint, refresh
+from lorespark.operators.tables import create_once, names, read_small, union_all, unreadable, written
 from lorespark.sources.sinks import VersionedTable
 
 EVENT = "number int, resource_key string, agent_id string, op string, ts timestamp, ttl_seconds int"
@@ -179,6 +179,19 @@ class Workspaces:
         return catalog.workspace_status(union_all(parts), self.table.read())
 
 
+    def lint(self) -> DataFrame:
+        """Findings over the registry: one that cannot be read, entries that say nothing, roots without a store, and roots of several workspaces."""
+        there = self.table.exists()
+        broken = unreadable(self.spark, [self.table.folder()] if there else [])
+        if not (there and broken.isEmpty()):
+            return lint.check_unreadable(broken, "workspace_registry_corrupt")
+        registry = self.table.read()
+        roots = [r["root"] for r in registry.select("root").distinct().collect() if r["root"] and Engine(self.spark, r["root"]).store.exists()]
+        have = self.spark.createDataFrame([(r,) for r in roots], "root string")
+        named = registry.filter("trim(coalesce(workspace_id, '')) != '' and trim(coalesce(root, '')) != ''")
+        return union_all([lint.check_registry(registry), lint.check_workspaces(named, have)])
+
+
 class Artifacts:
     """Results that are made once for a request: a request with the key of a stored artifact gets that one."""
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorespark.functions.text import table_row
+from lorespark.functions.text import front_matter, table_row, without_front_matter
 from lorespark.operators.tables import written
 
 # Formats by suffix, what their files begin with, limits in MB, and the main part of Office files.
@@ -239,10 +239,7 @@ def pdf_sections(spans: DataFrame) -> DataFrame:
 def read_wiki(spark: SparkSession, path: str) -> DataFrame:
     """slug, metadata (map) and body of wiki pages kept as markdown with front matter."""
     pages = spark.read.text(f"{path}/*.md", wholetext=True).select(F.regexp_extract(F.input_file_name(), "([^/]+)\\.md$", 1).alias("slug"), "value")
-    head = F.regexp_extract("value", "^---\\n([\\s\\S]*?)\\n---\\n", 1)
-    pairs = F.filter(F.split(head, "\n"), lambda x: x.contains(": "))
-    meta = F.map_from_entries(F.transform(pairs, lambda x: F.struct(F.substring_index(x, ": ", 1).alias("k"), F.regexp_replace(F.regexp_replace(x, "^[^:]+: ", ""), '^"|"$', "").alias("v"))))
-    return pages.select("slug", meta.alias("metadata"), F.regexp_replace("value", "^---\\n[\\s\\S]*?\\n---\\n\\s*", "").alias("body"))
+    return pages.select("slug", front_matter(F.col("value")).alias("metadata"), without_front_matter(F.col("value")).alias("body"))
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:

@@ -38,8 +38,11 @@ class VersionedTable:
         return self.version() > 0
 
     def read(self, version: int | None = None) -> DataFrame:
+        return self.spark.read.parquet(self.folder(version))
+
+    def folder(self, version: int | None = None) -> str:
         version = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.path}/data/{read_small(self.spark, f'{self.path}/versions/{version:08d}')}")
+        return f"{self.path}/data/{read_small(self.spark, f'{self.path}/versions/{version:08d}')}"
 
     def write(self, df: DataFrame, after: int | None = None) -> None:
         """after: the version that df was made from, else the newest."""
@@ -319,9 +322,11 @@ def wiki_pages(extracted: DataFrame, old: DataFrame | None = None) -> DataFrame:
 
 
 def page_text(rows: DataFrame) -> DataFrame:
-    """slug, title, summary, body, source_relpath, origin and text of rows (slug, title, summary, body, relpath, origin)."""
+    """slug, title, summary, body, source_relpath, origin and text of rows (slug, title, summary, body, relpath, origin, and a map metadata if there is more to say in the front matter)."""
     quoted = lambda c: F.to_json(F.array(F.regexp_replace(c, "\\s+", " "))).substr(F.lit(2), F.length(F.to_json(F.array(F.regexp_replace(c, "\\s+", " ")))) - 2)
     lines = [F.concat(F.lit(f"{k}: "), quoted(F.col(c))) for k, c in (("slug", "slug"), ("title", "title"), ("summary", "summary"), ("source", "relpath"), ("origin", "origin"))]
+    if "metadata" in rows.columns:
+        lines.append(F.array_join(F.transform(F.array_sort(F.map_entries("metadata")), lambda e: F.concat(e.getField("key"), F.lit(": "), quoted(e.getField("value")))), "\n"))
     text = F.concat(F.lit("---\n"), F.concat_ws("\n", *lines), F.lit("\n---\n\n"), "body")
     return rows.select("slug", "title", "summary", "body", F.col("relpath").alias("source_relpath"), "origin", text.alias("text"))
 
