@@ -12,7 +12,9 @@ part of a longer word, too, so it is looked up in the lists' terms, which are re
 1. Per question, terms are ordered by the length of their lists. The rarest are read first.
 2. The page that has most of these is scored on its own text: the best page has that score at least.
 3. Further lists are read only as long as a page that is in none of those read could reach that score by all the others.
-4. Pages that can reach it with what is not read are scored on their texts; only these texts are read.
+4. Pages that can reach it with what is not read are scored on their texts, each once for all questions; only these texts
+   are read. Where the lists to be read hold more than DENSE postings for each page there is, as for many long questions of
+   frequent terms, all texts are read in their place: rows of lists would be questions times pages.
 
 So lists of frequent terms are mostly skipped. The blocks read are counted.
 """
@@ -25,14 +27,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorespark.functions.text import lexical_terms, query_terms
 from lorespark.functions.vectors import top_k
-from lorespark.operators.retrieval import Containment, small, wiki_score, wiki_search
+from lorespark.operators.retrieval import small, wiki_score, wiki_search
 
 BLOCK, PART_DOCS = 512, 50_000
+#: Pages whose terms are told at once.
+ROWS = 128
+#: Postings a page from which the texts of all pages are read in place of lists.
+DENSE = 4
 #: Postings of a question that are read before the first score is known, but for one whole term.
 FIRST = 4 * BLOCK
 #: Marks of the fields that a term is in, and what each counts.
@@ -50,14 +57,19 @@ def page_entries(pages: DataFrame, *by: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for k in range(b.num_rows):
-                row = b.slice(k, 1)
-                masks: dict[str, int] = {}
-                for field, mark in (("title", TITLE), ("summary", SUMMARY), ("body", BODY)):
-                    for w in set(WORD.findall(row.column(field)[0].as_py())):
-                        masks[w] = masks.get(w, 0) | mark
-                at = pa.array(np.zeros(len(masks), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([*(row.column(c).take(at) for c in (*by, "relpath", "key")), pa.array(masks, pa.string(), size=len(masks)), pa.array(masks.values(), pa.int32(), size=len(masks))], [*by, "relpath", "key", "term", "mask"])
+            for begin in range(0, b.num_rows, ROWS):
+                some = b.slice(begin, ROWS)
+                sizes, terms, marks = [], [], []
+                for texts in zip(*(some.column(c) for c in ("title", "summary", "body")), strict=True):
+                    masks: dict[str, int] = {}
+                    for text, mark in zip(texts, (TITLE, SUMMARY, BODY), strict=True):
+                        for w in set(WORD.findall(text.as_py())):
+                            masks[w] = masks.get(w, 0) | mark
+                    sizes.append(len(masks))
+                    terms += masks
+                    marks += masks.values()
+                at = pa.array(np.repeat(np.arange(some.num_rows), sizes))
+                yield pa.RecordBatch.from_arrays([*(some.column(c).take(at) for c in (*by, "relpath", "key")), pa.array(terms, pa.string()), pa.array(marks, pa.int32())], [*by, "relpath", "key", "term", "mask"])
 
     low = pages.select(*by, F.col("source_relpath").alias("relpath"), F.col("slug").alias("key"), *(F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in ("title", "summary", "body")))
     kinds = "".join(f"{c} {pages.schema[c].dataType.simpleString()}, " for c in by)
@@ -75,23 +87,61 @@ def node_entries(nodes: DataFrame, *by: str) -> DataFrame:
 def build(entries: DataFrame, docs: int, *by: str, part_docs: int = PART_DOCS) -> DataFrame:
     """Lists of entries (relpath, key, term, mask): by, term, salt, block, n, marks (of any posting) and posts. docs: the number of documents."""
     salts = max(1, -(-docs // part_docs))
-    rows = entries.withColumn("salt", F.pmod(F.xxhash64("relpath"), F.lit(salts)).cast("int"))
-    order = Window.partitionBy(*by, "term", "salt").orderBy(impact(F.col("mask")).desc(), F.col("key"), F.col("relpath"))
-    rows = rows.withColumn("block", F.floor((F.row_number().over(order) - 1) / BLOCK).cast("int"))
-    return rows.groupBy(*by, "term", "salt", "block").agg(F.count(F.lit(1)).cast("int").alias("n"), F.bit_or("mask").alias("marks"), F.array_sort(F.collect_list(F.struct("relpath", "key", "mask"))).alias("posts"))
+    rows = entries.select(*by, "term", F.pmod(F.xxhash64("relpath"), F.lit(salts)).cast("int").alias("salt"), "relpath", "key", "mask")
+    of_list = [*by, "term", "salt"]
+    # lists lie whole in a partition, one after the other, so a block is a run of rows
+    rows = rows.repartition(*of_list).sortWithinPartitions(*of_list, impact(F.col("mask")).desc(), "key", "relpath")
+    kinds = "".join(f"{c} {rows.schema[c].dataType.simpleString()}, " for c in of_list)
+    size, wide = BLOCK, len(of_list)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut(table: pa.Table, number: int, last: bool) -> tuple[pa.RecordBatch, pa.Table, int]:
+            """Blocks of rows, the first of which has that number in its list; and rows of a block that may go on, and its number."""
+            n = table.num_rows
+            begins = np.zeros(n, dtype=bool)
+            for k in range(wide):
+                begins[1:] |= np.asarray(pc.not_equal(table.column(k).slice(1), table.column(k).slice(0, n - 1)))
+            lists = np.append(0, np.flatnonzero(begins))
+            nth = np.arange(n) - np.repeat(lists, np.diff(np.append(lists, n)))
+            nth[: lists[1] if len(lists) > 1 else n] += number * size
+            starts = np.append(np.flatnonzero(begins | (nth % size == 0) | (np.arange(n) == 0)), n)
+            whole = starts if last else starts[:-1]
+            end, first = whole[-1], pa.array(whole[:-1])
+            posts = pa.StructArray.from_arrays([c.slice(0, end).combine_chunks() for c in table.columns[wide:]], ["relpath", "key", "mask"])
+            marks = np.bitwise_or.reduceat(np.asarray(table.column("mask"))[:end], whole[:-1]) if len(first) else np.empty(0, dtype=np.int32)
+            heads = [c.combine_chunks().take(first) for c in table.columns[:wide]]
+            columns = [*heads, pa.array(nth[whole[:-1]] // size, pa.int32()), pa.array(np.diff(whole), pa.int32()), pa.array(marks, pa.int32()), pa.ListArray.from_arrays(pa.array(whole, pa.int32()), posts)]
+            return pa.RecordBatch.from_arrays(columns, [*of_list, "block", "n", "marks", "posts"]), table.slice(end), int(nth[end] // size) if end < n else 0
+
+        left, number = None, 0
+        for b in batches:
+            if b.num_rows:
+                table = pa.Table.from_batches([b])
+                done, left, number = cut(table if left is None else pa.concat_tables([left, table]), number, False)
+                yield done
+        if left is not None:
+            yield cut(left, number, True)[0]
+
+    return rows.mapInArrow(run, f"{kinds}block int, n int, marks int, posts array<struct<relpath: string, key: string, mask: int>>")
 
 
 def _asked_in(terms: list[str]):
     """Rows of lists with each asked term that their own contains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Containment([(k, "", [t]) for k, t in enumerate(terms)], (0,), (1,))
-        c.empty = np.empty(0, dtype=np.int64)
-        for b in batches:
-            found = [c.score((w,))[0] for w in b.column("term").to_pylist()]
-            at = np.repeat(np.arange(b.num_rows), [len(x) for x in found])
-            which = np.concatenate(found) if found else np.empty(0, dtype=np.int64)
-            yield pa.RecordBatch.from_arrays([*(x.take(pa.array(at)) for x in b.columns), pa.array([terms[k] for k in which.tolist()], pa.string())], [*b.schema.names, "t"])
+        import ahocorasick
+
+        asked = ahocorasick.Automaton()
+        for k, t in enumerate(terms):
+            asked.add_word(t, k)
+        if terms:
+            asked.make_automaton()
+        for b in batches if terms else ():
+            for begin in range(0, b.num_rows, 1024):
+                some = b.slice(begin, 1024)
+                found = [sorted({k for _, k in asked.iter(w)}) for w in some.column("term").to_pylist()]
+                at = pa.array(np.repeat(np.arange(some.num_rows), [len(x) for x in found]))
+                yield pa.RecordBatch.from_arrays([*(x.take(at) for x in some.columns), pa.array([terms[k] for x in found for k in x], pa.string())], [*b.schema.names, "t"])
 
     return run
 
@@ -114,8 +164,8 @@ def page_search(questions: DataFrame, lists: DataFrame, pages: DataFrame, curren
     asked = questions.select("query_id", "question", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms"))
     few = {r["query_id"]: r for r in small(asked).collect()}  # MOST_QUESTIONS at most
     words = sorted({t for r in few.values() for t in r["terms"]})
-    heads = lists.select("term", "n", "marks")
-    hits = heads.mapInArrow(_asked_in(words), "term string, n int, marks int, t string").groupBy("t", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"), F.bit_or("marks").alias("marks")).persist()
+    heads = lists.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("blocks"), F.bit_or("marks").alias("marks"))
+    hits = heads.mapInArrow(_asked_in(words), "term string, n long, blocks long, marks int, t string").persist()
     of_t = {r["t"]: (r["n"], r["marks"]) for r in hits.groupBy("t").agg(F.sum("n").alias("n"), F.bit_or("marks").alias("marks")).collect()}  # a row a term asked for
     # each question's terms by the length of their lists, and the most that a term counts
     ordered: dict[int, list[tuple[int, str, int, int]]] = {}
@@ -157,12 +207,18 @@ def page_search(questions: DataFrame, lists: DataFrame, pages: DataFrame, curren
         # the whole question counts 18 at most, and only where every term of it is
         every = len(few[i]["terms"]) == sum(x[2] for x in rows)
         limits.append((i, reached - sum(x[3] for x in rows[k:]), sum(x[2] for x in rows[:k]) if every else -1))
-    if more != read:
-        seen = partial(more)
-    bounds = F.broadcast(spark.createDataFrame(limits, "query_id long, needs int, all_read long"))
-    able = seen.join(bounds, "query_id").filter(F.col("least") + F.when(F.col("have") == F.col("all_read"), 18).otherwise(0) >= F.col("needs"))
-    found = scored(able.select("query_id", "relpath", "key")).filter("score > 0")
-    found = top_k(found, ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
+    postings = sum(x[0] for i, k in more.items() for x in ordered[i][:k])
+    if postings > DENSE * BLOCK and postings > DENSE * pages.count():
+        able = texts
+    else:
+        if more != read:
+            seen = partial(more)
+        bounds = F.broadcast(spark.createDataFrame(limits, "query_id long, needs int, all_read long"))
+        able = seen.join(bounds, "query_id").filter(F.col("least") + F.when(F.col("have") == F.col("all_read"), 18).otherwise(0) >= F.col("needs"))
+        able = texts.join(able.select("relpath", "key").distinct(), ["relpath", "key"], "left_semi")
+    # a page's score for a question that it is no candidate of is right, too, but not the best
+    termed = spark.createDataFrame([(i, few[i]["question"]) for i in more], "query_id long, question string")
+    found = wiki_search(termed, able.withColumnRenamed("key", "slug"))
     # questions without a term have no lists: their pages are looked for in the texts
     bare = [(i, r["question"]) for i, r in few.items() if not r["terms"]]
     if bare:
@@ -171,7 +227,7 @@ def page_search(questions: DataFrame, lists: DataFrame, pages: DataFrame, curren
     one = lambda c: F.coalesce(F.sum(c), F.lit(0))
     words_of = hits.groupBy("term").agg(F.first("blocks").alias("blocks"), F.bool_or(F.col("t").isin(used)).alias("used"))
     matching, taken = words_of.agg(one("blocks"), one(F.when(F.col("used"), F.col("blocks")))).first()
-    return found, {"all": heads.count(), "matching": matching, "read": taken}
+    return found, {"all": lists.count(), "matching": matching, "read": taken}
 
 
 def _most(marks: int) -> int:

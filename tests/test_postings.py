@@ -1,4 +1,6 @@
 import random
+from functools import reduce
+from operator import or_
 
 import pytest
 from pyspark.sql import functions as F
@@ -52,3 +54,33 @@ def test_nodes_equal_the_join(spark):
     got = R.node_candidates(P.node_search(asked, lists, lambda rows: rows).join(nodes.withColumn("section_path", F.lit(None).cast("string")), ["relpath", "preorder"]))
     want = R.tree_candidates(asked, nodes)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.select(got.columns).collect())) and got.count() > 20
+
+
+@pytest.mark.parametrize("dense", [0, 10**9])
+def test_texts_in_place_of_long_lists(spark, dense, monkeypatch):
+    """Where lists hold more postings than there are pages, all texts are read, with no join of questions and pages; else those of candidates."""
+    monkeypatch.setattr(P, "BLOCK", 8)
+    monkeypatch.setattr(P, "DENSE", dense)
+    pages, asked = corpus(spark, 6)
+    lists = P.build(P.page_entries(pages), 121).withColumn("batch", F.lit(""))
+    found, _ = P.page_search(asked, lists, pages, lambda rows: rows)
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, R.wiki_search(asked, pages).select(found.columns).collect()))
+    assert ("Join" in found._jdf.queryExecution().optimizedPlan().toString()) == (dense > 0)
+
+
+def test_blocks_of_lists_over_batches(spark, monkeypatch):
+    """A list that goes over several Arrow batches has whole blocks in order, but for its last."""
+    monkeypatch.setattr(P, "BLOCK", 7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 5)
+    try:
+        entries = spark.createDataFrame([(f"d{k}", f"k{k:03d}", t, 1 + k % 7) for k in range(60) for t in ("a", "b", "c")[: 1 + k % 3]], "relpath string, key string, term string, mask int")
+        got = P.build(entries, 60).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    count = lambda m: 4 * bool(m & 4) + 3 * bool(m & 2) + bool(m & 1)
+    for term, least in (("a", 0), ("b", 1), ("c", 2)):
+        want = sorted((-count(1 + k % 7), f"k{k:03d}", f"d{k}", 1 + k % 7) for k in range(60) if k % 3 >= least)
+        blocks = sorted((r for r in got if r.term == term), key=lambda r: r.block)
+        assert [r.block for r in blocks] == list(range(len(blocks))) and all(r.n == 7 for r in blocks[:-1])
+        assert [(-count(p.mask), p.key, p.relpath, p.mask) for r in blocks for p in r.posts] == want
+        assert all(r.n == len(r.posts) and r.marks == reduce(or_, (p.mask for p in r.posts)) for r in blocks)
