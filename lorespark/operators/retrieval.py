@@ -7,6 +7,7 @@ block, scored where it lies, and cut to the best rows of each question before an
 
 from __future__ import annotations
 
+from bisect import insort
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -126,55 +127,113 @@ class Containment:
         return question, np.bincount(at, weights=np.concatenate(scores), minlength=len(question)).astype(np.int64)
 
 
-def _scored(questions: DataFrame, rows: DataFrame, key: str, fields: list[Column], whole: tuple[int, ...], term: tuple[int, ...], best_only: bool) -> DataFrame:
-    """query_id, key and score of rows against the questions they match. Every row is read once for all questions, and only matches are looked at; best_only: a batch passes on its best row a question (ties: the first key)."""
+class Best:
+    """The k best rows of each of n questions among those seen: by score, then by the smaller key. It holds n times k rows, whatever number is seen."""
+
+    def __init__(self, n: int, k: int = 1) -> None:
+        self.k, self.rows = k, [[] for _ in range(n)]
+        self.least, self.last = np.full(n, -np.inf), np.full(n, None, dtype=object)  # of the last row of questions that have k
+
+    def see(self, question: np.ndarray, score: np.ndarray, key, more: tuple = ()) -> None:
+        """A row, with its score for some questions (by their places)."""
+        least = self.least[question]
+        takes = score > least
+        tied = np.flatnonzero(score == least)
+        takes[tied] = [last > key for last in self.last[question[tied]].tolist()]
+        for q, s in zip(question[takes].tolist(), score[takes].tolist(), strict=True):
+            rows = self.rows[q]
+            insort(rows, (-s, key, more), key=lambda row: row[:2])
+            del rows[self.k :]
+            if len(rows) == self.k:
+                self.least[q], self.last[q] = -rows[-1][0], rows[-1][1]
+
+    def found(self) -> Iterator[tuple]:
+        """Place of the question, score, key and the rest of each row."""
+        return ((q, -s, key, more) for q, rows in enumerate(self.rows) for s, key, more in rows)
+
+
+def _few(questions: DataFrame):
+    """Id, text and terms of at most MOST_QUESTIONS questions, as a broadcast variable."""
     asked = questions.select("query_id", F.lower(F.trim("question")).alias("q"), query_terms(F.col("question")).alias("terms"))
-    few = [(r.query_id, r.q, r.terms) for r in small(asked).collect()]  # at most MOST_QUESTIONS
-    shared, n_fields = rows.sparkSession.sparkContext.broadcast(few), len(fields)
+    return questions.sparkSession.sparkContext.broadcast([(r.query_id, r.q, r.terms) for r in small(asked).collect()])
+
+
+def _low(*names: str) -> list[Column]:
+    return [F.lower(F.coalesce(c, F.lit(""))).alias(c) for c in names]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = Containment(shared.value, whole, term)
-        for batch in batches:
-            if not batch.num_rows or not len(c.ids):
-                continue
-            order = np.argsort(np.array(batch.column(0).to_pylist(), dtype=object), kind="stable")
-            texts = [batch.column(k).to_pylist() for k in range(1, n_fields + 1)]
-            found = [(q, s, np.full(len(q), r)) for r in order.tolist() for q, s in [c.score(tuple(t[r] for t in texts))] if len(q)]
-            if not found:
-                continue
-            question, score, row = (np.concatenate(x) for x in zip(*found, strict=True))
-            if best_only:  # rows come in the order of their keys, so a stable sort leaves the first of equal ones first
-                by = np.lexsort((np.arange(len(score)), -score, question))
-                first = by[np.append(True, question[by][1:] != question[by][:-1])]
-                question, score, row = question[first], score[first], row[first]
-            yield pa.RecordBatch.from_arrays([pa.array(c.ids[question]), batch.column(0).take(pa.array(row)), pa.array(score.astype(np.int32))], ["query_id", key, "score"])
-
-    kind = rows.schema[key].dataType.simpleString()
-    low = rows.select(key, *(F.lower(F.coalesce(f, F.lit(""))) for f in fields))
-    return low.mapInArrow(run, f"query_id long, {key} {kind}, score int")
+
+PAGE, TREE = ((8, 6, 4), (4, 3, 1)), ((8, 6), (4, 3))
 
 
 def wiki_search(questions: DataFrame, pages: DataFrame) -> DataFrame:
-    """query_id, slug and score (of wiki_score) of the best page of each question; ties go to the first slug. Questions that match nothing have no row."""
-    found = _scored(questions, pages, "slug", [F.col(c) for c in ("title", "summary", "body")], (8, 6, 4), (4, 3, 1), True)
+    """query_id, slug and score (of wiki_score) of the best page of each question; ties go to the first slug. Questions that match nothing have no row.
+
+    Every page is read once for all questions, one after the other, and a task passes on its best row a question.
+    """
+    shared = _few(questions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = Containment(shared.value, *PAGE)
+        best = Best(len(c.ids))
+        for batch in batches:
+            for slug, *fields in zip(*batch.columns, strict=True):
+                question, score = c.score(tuple(f.as_py() for f in fields))
+                best.see(question, score, slug.as_py())
+        rows = [(int(c.ids[q]), key, int(score)) for q, score, key, _ in best.found()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int32()))], ["query_id", "slug", "score"])
+
+    found = pages.select("slug", *_low("title", "summary", "body")).mapInArrow(run, "query_id long, slug string, score int")
     return top_k(found, ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
 
 
 def tree_boosted_search(questions: DataFrame, pages: DataFrame, nodes: DataFrame) -> DataFrame:
-    """query_id, slug and score of the best page, where sections count too: a source's best tree (relpath, tree_slug, title, summary) adds to its pages, and if any source matches only its pages count."""
-    node = nodes.withColumn("at", F.struct("relpath", "tree_slug"))
-    tree = _scored(questions, node.withColumn("key", F.to_json("at")), "key", [F.col("title"), F.col("summary")], (8, 6), (4, 3), False)
-    tree = tree.withColumn("at", F.from_json("key", node.schema["at"].dataType.simpleString())).select("query_id", "at.*", "score")
-    boost = tree.groupBy("query_id", "relpath", "tree_slug").agg(F.sum("score").alias("s")).groupBy("query_id", F.col("relpath").alias("source_relpath")).agg(F.max("s").alias("boost"))
-    own = _scored(questions, pages, "slug", [F.col(c) for c in ("title", "summary", "body")], (8, 6, 4), (4, 3, 1), False)
-    own = own.join(pages.select("slug", "source_relpath"), "slug")
-    # pages of a source that matches count even if they match nothing themselves
-    more = boost.join(pages.select("slug", "source_relpath"), "source_relpath").select("slug", "query_id", F.lit(0).alias("score"), "source_relpath")
-    own = own.unionByName(more).groupBy("query_id", "slug", "source_relpath").agg(F.max("score").alias("s"))
-    some = boost.select("query_id").distinct().withColumn("some", F.lit(True))
-    both = own.join(boost, ["query_id", "source_relpath"], "left").join(some, "query_id", "left").filter("some is null or boost is not null")
-    scored = both.select("query_id", "slug", (F.col("s") + F.coalesce("boost", F.lit(0))).alias("score")).filter("score > 0")
-    return top_k(scored, ["query_id"], [F.desc("score"), F.col("slug")], 1).drop("rank")
+    """query_id, slug and score of the best page, where sections count too: a source's best tree (relpath, tree_slug, title, summary) adds to its pages, and if any source matches only its pages count.
+
+    Nodes and pages of a source meet in one task, nodes first, tree by tree; they are read one after the other, and a task
+    passes on, for each question, its best page with and its best page without such a source. Matches are not shuffled.
+    """
+    shared = _few(questions)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pages_of, trees_of = Containment(shared.value, *PAGE), Containment(shared.value, *TREE)
+        n = len(pages_of.ids)
+        with_, without = Best(n), Best(n)
+        some, boost, tree = np.zeros(n, dtype=bool), np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+        at = None
+        for batch in batches:
+            for source, part, key, *fields in zip(*batch.columns, strict=True):
+                source, part, key = source.as_py(), part.as_py(), key.as_py()
+                texts = tuple(f.as_py() for f in fields)
+                if at is None or at[0] != source:
+                    boost, tree = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+                elif at != (source, part, key):
+                    boost, tree = np.maximum(boost, tree), np.zeros(n, dtype=np.int64)
+                at = source, part, key
+                if part == 0:
+                    question, score = trees_of.score(texts[:2])
+                    tree[question] += score
+                    some[question] = True
+                    continue
+                question, own = pages_of.score(texts)
+                if source is not None and boost.any():
+                    whole = boost.copy()
+                    whole[question] += own
+                    on = np.flatnonzero(boost)
+                    with_.see(on, whole[on], key)
+                    rest = boost[question] == 0
+                    question, own = question[rest], own[rest]
+                without.see(question, own, key)
+        # a question that a tree matches takes no page without one, even where that tree's source has no page
+        rows = [(int(pages_of.ids[q]), key, int(score), has) for best, has in ((with_, True), (without, False)) for q, score, key, _ in best.found()]
+        rows += [(int(pages_of.ids[q]), None, 0, True) for q in np.flatnonzero(some)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.bool_()))], ["query_id", "slug", "score", "boosted"])
+
+    node = nodes.select(F.col("relpath").alias("source"), F.lit(0).alias("part"), F.col("tree_slug").alias("key"), *_low("title", "summary"), F.lit("").alias("body"))
+    page = pages.select(F.col("source_relpath").alias("source"), F.lit(1).alias("part"), F.col("slug").alias("key"), *_low("title", "summary", "body"))
+    # rows without a source need not meet, so they are dealt by their keys
+    rows = node.unionByName(page).repartition("source", F.when(F.col("source").isNull(), F.col("key"))).sortWithinPartitions("source", "part", "key")
+    found = rows.mapInArrow(run, "query_id long, slug string, score long, boosted boolean")
+    return top_k(found, ["query_id"], [F.desc("boosted"), F.desc("score"), F.col("slug")], 1).filter("score > 0").select("query_id", "slug", "score")
 
 
 def section_context(hits: DataFrame, manifest: DataFrame, nodes: DataFrame) -> DataFrame:
