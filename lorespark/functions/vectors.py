@@ -16,13 +16,27 @@ from lorespark.functions.text import tokens
 DIMENSIONS = 128
 #: Query vectors, and vectors of the base, that a group holds at once; tokens whose buckets a task remembers.
 BLOCK, SHARD, MOST_KNOWN = 1024, 8192, 200_000
+#: Similarities, and tokens (of one text at least), that a task has at hand at once.
+CELLS, TOKENS = 1 << 19, 1 << 17
 
 
-def _buckets(found: list[str], dimensions: int, known: dict[str, int]) -> list[int]:
-    """Buckets of tokens; known ones are looked up."""
-    for t in set(found).difference(known):
-        known[t] = int(hashlib.md5(t.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dimensions
-    return [known[t] for t in found]
+def _buckets(found: pa.Array, dimensions: int, known: dict[str, int]) -> np.ndarray:
+    """Buckets of tokens; known ones are looked up, and each different one is a string of Python once."""
+    coded = found.dictionary_encode()
+    names = coded.dictionary.to_pylist()
+    for t in names:
+        if t not in known:
+            known[t] = int(hashlib.md5(t.encode(), usedforsecurity=False).hexdigest()[:8], 16) % dimensions
+    return np.array([known[t] for t in names], dtype=np.int64)[np.asarray(coded.indices)] if names else np.empty(0, dtype=np.int64)
+
+
+def _runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows that have no more than `most` together, or are one row."""
+    ends, begin = np.cumsum(sizes), 0
+    while begin < len(sizes):
+        end = max(begin + 1, int(np.searchsorted(ends, ends[begin] - sizes[begin] + most, "right")))
+        yield begin, end
+        begin = end
 
 
 def embedded(docs: DataFrame, id_col: str, text_col: str, *more: str, dimensions: int = DIMENSIONS) -> DataFrame:
@@ -30,17 +44,20 @@ def embedded(docs: DataFrame, id_col: str, text_col: str, *more: str, dimensions
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        for batch in batches:
-            *kept, rows = batch.columns
-            sizes = np.asarray(pc.fill_null(pc.list_value_length(rows), 0), dtype=np.int64)
-            if len(known) > MOST_KNOWN:
-                known.clear()
-            at = np.array(_buckets(rows.flatten().to_pylist(), dimensions, known), dtype=np.int64)
-            counts = np.bincount(np.repeat(np.arange(len(sizes)) * dimensions, sizes) + at, minlength=len(sizes) * dimensions).reshape(-1, dimensions).astype(np.float64)
-            norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
-            v = np.divide(counts, norm, out=counts, where=norm > 0)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dimensions), pa.array(v.ravel()))
-            yield pa.RecordBatch.from_arrays([*kept, lists], [*batch.schema.names[:-1], "vector"])
+        for whole in batches:
+            lengths = np.asarray(pc.fill_null(pc.list_value_length(whole.column(whole.num_columns - 1)), 0), dtype=np.int64)
+            # a run has 1,024 texts at most, which bounds its vectors
+            for begin, end in _runs(np.maximum(lengths, TOKENS // 1024), TOKENS):
+                *kept, rows = whole.slice(begin, end - begin).columns
+                sizes = lengths[begin:end]
+                if len(known) > MOST_KNOWN:
+                    known.clear()
+                at = _buckets(rows.flatten(), dimensions, known)
+                counts = np.bincount(np.repeat(np.arange(len(sizes)) * dimensions, sizes) + at, minlength=len(sizes) * dimensions).reshape(-1, dimensions).astype(np.float64)
+                norm = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+                v = np.divide(counts, norm, out=counts, where=norm > 0)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sizes) + 1, dtype=np.int32) * dimensions), pa.array(v.ravel()))
+                yield pa.RecordBatch.from_arrays([*kept, lists], [*whole.schema.names[:-1], "vector"])
 
     names = [id_col, *more]
     shape = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names)
@@ -73,12 +90,37 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     return np.asarray(whole.flatten(), dtype=np.float64).reshape(len(whole), -1)
 
 
+def _first(s: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k largest of each row, largest first; the first of equal ones. Only what reaches the k-th largest is sorted."""
+    if s.shape[1] <= 4 * k:
+        return np.argsort(-s, axis=1, kind="stable")[:, :k]
+    least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+    out = np.empty((len(s), k), dtype=np.int64)
+    for r, (row, low) in enumerate(zip(s, least, strict=True)):
+        over, tied = np.flatnonzero(row > low), np.flatnonzero(row == low)
+        at = np.append(over, tied[: k - len(over)])
+        out[r] = at[np.lexsort((at, -row[at]))]
+    return out
+
+
 def _best(names: np.ndarray, queries: np.ndarray, ids: np.ndarray, base: np.ndarray, k: int, digits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query, id and similarity of the k nearest of each query among some vectors; ties to the smaller id."""
+    """Query, id and similarity of the k nearest of each query among some vectors; ties to the smaller id. At most CELLS similarities are held at once."""
     order = np.argsort(ids, kind="stable")
-    s = np.round(np.maximum(queries @ _unit(base[order]).T, 0.0), digits)
-    first = np.argsort(-s, axis=1, kind="stable")[:, :k]
-    return np.repeat(names, first.shape[1]), ids[order][first].ravel(), np.take_along_axis(s, first, axis=1).ravel()
+    ids, base = ids[order], _unit(base[order])
+    places, values = np.empty((len(queries), 0), dtype=np.int64), np.empty((len(queries), 0))
+    step = max(1, min(len(ids), 2048))
+    high = max(1, CELLS // step)
+    for begin in range(0, len(ids), step):
+        found = []
+        for top in range(0, len(queries), high):
+            s = np.round(np.maximum(queries[top : top + high] @ base[begin : begin + step].T, 0.0), digits)
+            first = _first(s, k)
+            found.append((first + begin, np.take_along_axis(s, first, axis=1)))
+        # what was found before has smaller ids, and stays first among equal ones
+        places, values = np.hstack([places, np.vstack([f[0] for f in found])]), np.hstack([values, np.vstack([f[1] for f in found])])
+        first = _first(values, k)
+        places, values = np.take_along_axis(places, first, axis=1), np.take_along_axis(values, first, axis=1)
+    return np.repeat(names, places.shape[1]), ids[places].ravel(), values.ravel()
 
 
 def nearest(base: DataFrame, base_id: str, base_vector: str, queries: DataFrame, query_id: str, query_vector: str, k: int, digits: int = 4) -> DataFrame:
@@ -106,8 +148,8 @@ def nearest(base: DataFrame, base_id: str, base_vector: str, queries: DataFrame,
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             names, matrix = shared.value
             for b in batches:
-                if b.num_rows and len(names):
-                    yield from table([_best(names, matrix, np.array(b.column(0)), _matrix(b.column(1)), k, digits)], b.schema.types[0]).to_batches()
+                for some in (b.slice(begin, SHARD) for begin in range(0, b.num_rows, SHARD) if len(names)):
+                    yield from table([_best(names, matrix, np.array(some.column(0)), _matrix(some.column(1)), k, digits)], some.schema.types[0]).to_batches()
 
         found = have.mapInArrow(run, shape)
     else:

@@ -33,3 +33,24 @@ def test_boosts_of_trees(spark):
     got = R.tree_boosted_search(spark.createDataFrame(asked, "query_id long, question string"), p, n)
     assert sorted(map(tuple, got.collect())) == sorted(want) and {w[0] for w in want} >= {1, 2, 4}
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_similarities_held_at_once():
+    """The nearest of many vectors, ties to the smaller id, with a bounded number of similarities at a time."""
+    rng = np.random.default_rng(2)
+    queries, base = V._unit(rng.integers(-2, 3, (1024, 6)).astype(float)), rng.integers(-2, 3, (8192, 6)).astype(float)
+    ids = rng.permutation(8192) * 3
+    tracemalloc.start()
+    q, i, s = V._best(np.arange(1024), queries, ids, base, 5, 4)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held < 50e6  # all at once are 67 MB, and were held several times
+    all_ = np.round(np.maximum(queries @ V._unit(base).T, 0), 4)
+    for k in range(0, 1024, 50):
+        assert i[q == k].tolist() == ids[np.lexsort((ids, -all_[k]))[:5]].tolist() and s[q == k].tolist() == sorted(all_[k], reverse=True)[:5]
+
+
+def test_tokens_held_at_once():
+    """Texts are embedded in runs of bounded numbers of tokens, one text at least."""
+    runs = list(V._runs(np.array([5, 5, 50, 1, 2, 8, 0]), 10))
+    assert runs == [(0, 2), (2, 3), (3, 5), (5, 7)]
