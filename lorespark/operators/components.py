@@ -42,38 +42,45 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", t
     first neighbour, or to that one's first neighbour, if that comes before itself. Edges become edges between labels, and
     go once both ends are equal. The image of a connected graph is connected, so a component ends as one label; a constant
     share of the labels that still have edges goes in each round, whatever the ids' order, so chains take a logarithmic
-    number of rounds. A node with very many neighbours costs a partial minimum on the map side. Only whether edges are left
+    number of rounds. A round keeps where its own labels went, so what is kept gets less by the same share; nodes are named
+    once, after the last. A node with very many neighbours costs a partial minimum on the map side. Only whether edges are left
     reaches the driver. together: once no more edges than this are left, one task joins them up.
     """
     left = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null and a != b")
-    left = written(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    labels = written(left.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("label", F.col("node")))
-    turn = 0
+    left = written(left.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")))
+    rounds: list[DataFrame] = []
     while left.limit(1).count():
         if together and left.count() <= together:
             # count() reads the files' ends only
             kind = left.schema["a"].dataType.simpleString()
-            last = written(left.select("a", "b").coalesce(1).mapInArrow(_joined_up, f"label {kind}, to {kind}"))
-            new = written(_renamed(labels, "label", last))
-            drop(labels)
-            drop(last)
-            labels = new
+            rounds.append(written(left.select("a", "b").coalesce(1).mapInArrow(_joined_up, f"label {kind}, to {kind}")))
             break
-        turn += 1
+        turn = len(rounds) + 1
         ranked = lambda c, turn=turn: F.struct(F.xxhash64(F.col(c), F.lit(turn)).alias("r"), F.col(c).alias("x"))
         later, sooner = F.greatest(ranked("a"), ranked("b")), F.least(ranked("a"), ranked("b"))
         first = left.select(later.getField("x").alias("a"), sooner.alias("b")).groupBy("a").agg(F.min("b").getField("x").alias("b"))
         further = first.select(F.col("a").alias("b"), F.col("b").alias("c"))
         moved = written(first.join(further, "b", "left").select(F.col("a").alias("label"), F.coalesce("c", "b").alias("to")))
-        new = written(_renamed(labels, "label", moved))
         rest = _renamed(_renamed(left, "a", moved), "b", moved).filter("a != b")
         rest = written(rest.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        for old in (left, labels, moved):
-            drop(old)
-        left, labels = rest, new
+        drop(left)
+        left = rest
+        rounds.append(moved)
     drop(left)
-    names = labels.groupBy("label").agg(F.min("node").alias("component"))
-    return labels.join(names, "label").select("node", "component")
+    if not rounds:
+        return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
+    # where labels end, from the last round back to the first: a round's own labels move and then go where that leads; what does not move in it goes where it goes later
+    end = rounds.pop()
+    while rounds:
+        moved = rounds.pop()
+        on = moved.withColumnRenamed("to", "by").join(end.withColumnRenamed("label", "by"), "by", "left").select("label", F.coalesce("to", "by").alias("to"))
+        before = written(on.unionByName(end.join(moved.select("label"), "label", "left_anti")))
+        drop(moved)
+        drop(end)
+        end = before
+    # a node that ends as itself has no row, or one of its own
+    names = end.groupBy("to").agg(F.min("label").alias("first")).select("to", F.least("to", "first").alias("component"))
+    return end.filter("label != to").join(names, "to").select(F.col("label").alias("node"), "component").unionByName(names.select(F.col("to").alias("node"), "component"))
 
 
 def numbered(rows: DataFrame, key: str) -> DataFrame:
