@@ -19,9 +19,11 @@ from pyspark.sql import functions as F
 
 from lorespark.functions.text import evidence_quote, graph_terms, lexical_terms, query_terms
 from lorespark.functions.vectors import cosine, embedded, nearest, top_k
-from lorespark.operators.tables import union_all, written
+from lorespark.operators.tables import partitions, union_all, written
 
 MOST_QUESTIONS = 5_000
+#: Scores of nodes that are broadcast, and parts of a node's edges where there are more.
+MOST_SCORES, SALTS = 200_000, 16
 ROUTES = ("wiki", "graph", "vector", "page_tree")
 
 # Routing rules (id, priority, route, second route, keywords), and words that change a route's weight.
@@ -256,8 +258,8 @@ def wiki_overview(pages: DataFrame, n: int = 5) -> DataFrame:
 
 
 def wiki_candidates(questions: DataFrame, pages: DataFrame, routed: DataFrame, best: DataFrame | None = None) -> DataFrame:
-    """best: what wiki_search gives, if it is there."""
-    hit = (wiki_search(questions, pages) if best is None else best).join(pages.select("slug", "title", "summary", "source_relpath"), "slug")
+    """best: what wiki_search gives, if it is there: a row a question, so it goes to where the pages are."""
+    hit = F.broadcast(wiki_search(questions, pages) if best is None else best).join(pages.select("slug", "title", "summary", "source_relpath"), "slug")
     words = reduce(lambda a, w: a | F.lower("question").contains(w), WIKI_WORDS, F.lit(False))
     open_ = questions.join(routed.select("query_id", "route"), "query_id").filter((F.col("route") == "wiki") | words)
     score = F.when(F.col("route") == "wiki", WIKI_PRIMARY).otherwise(WIKI_SECONDARY)
@@ -278,18 +280,46 @@ def _path(df: DataFrame) -> Column:
 def vector_candidates(questions: DataFrame, chunks: DataFrame, vectors: DataFrame, k: int = 50, keep: int = 5) -> DataFrame:
     """chunks: chunk_id, relpath, text; vectors: chunk_id, vector."""
     asked = embedded(questions, "query_id", "question").withColumnRenamed("vector", "v")
-    hits = nearest(vectors, "chunk_id", "vector", asked, "query_id", "v", k).join(chunks.select("chunk_id", "relpath", "text", _path(chunks)), "chunk_id").join(small(questions), "query_id")
+    # k rows a question, of a checked number: they go to the texts, which are not shuffled
+    few = small(questions)
+    hits = F.broadcast(nearest(vectors, "chunk_id", "vector", asked, "query_id", "v", k)).join(chunks.select("chunk_id", "relpath", "text", _path(chunks)), "chunk_id").join(few, "query_id")
     near = hits.filter(relevant(F.col("question"), F.col("text"), F.col("similarity"))).drop("rank")
     best = top_k(near, ["query_id"], [F.desc("similarity"), F.col("chunk_id")], keep)
     return best.select("query_id", (F.col("rank") - 1).alias("idx"), F.lit("vector").alias("route"), F.col("similarity").alias("score"), "text", "relpath", "section_path")
 
 
 def tree_candidates(questions: DataFrame, nodes: DataFrame, keep: int = 5) -> DataFrame:
-    """nodes: relpath, preorder, title, summary. Through an inverted index of the terms, as only nodes with a common term count."""
-    asked = small(questions).select("query_id", F.explode(lexical_terms(F.col("question"))).alias("term"))
-    have = nodes.filter("summary != ''").select("relpath", "preorder", "title", "summary", _path(nodes), F.explode(F.concat(F.transform(lexical_terms(F.col("title")), lambda t: F.struct(t.alias("term"), F.lit(2).alias("w"))), F.transform(lexical_terms(F.col("summary")), lambda t: F.struct(t.alias("term"), F.lit(1).alias("w"))))).alias("e"))
-    scored = have.select("relpath", "preorder", "title", "summary", "section_path", "e.term", "e.w").join(F.broadcast(asked), "term").groupBy("query_id", "relpath", "preorder", "title", "summary", "section_path").agg(F.sum("w").alias("points"))
-    scored = scored.withColumn("score", F.least(F.col("points") / 10, F.lit(0.85)))
+    """nodes: relpath, preorder, title, summary. Only nodes with a common term count: 2 for each in the title, 1 in the summary. A node's terms are looked up among those of the questions where it lies, and a task passes on `keep` rows a question."""
+    asked = [(r["query_id"], r["terms"]) for r in small(questions.select("query_id", lexical_terms(F.col("question")).alias("terms"))).collect()]  # MOST_QUESTIONS at most
+    shared = nodes.sparkSession.sparkContext.broadcast(asked)
+    have = nodes.filter("summary != ''").select("relpath", "preorder", "title", "summary", _path(nodes), lexical_terms(F.col("title")).alias("__title"), lexical_terms(F.col("summary")).alias("__summary"))
+    names = ["relpath", "preorder", "title", "summary", "section_path"]
+    shape = ", ".join(f"{c} {have.schema[c].dataType.simpleString()}" for c in names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = np.array([i for i, _ in shared.value], dtype=np.int64)
+        wants: dict[str, list[int]] = {}
+        for k, (_, terms) in enumerate(shared.value):
+            for t in terms:
+                wants.setdefault(t, []).append(k)
+        of = {t: np.array(k, dtype=np.int64) for t, k in wants.items()}
+        best, kinds = Best(len(ids), keep), None
+        for batch in batches:
+            kinds = batch.schema.types[:-2]
+            for *kept, title, summary in zip(*batch.columns, strict=True):
+                hits = [of[t] for t in title.as_py() or () if t in of]
+                hits += hits
+                hits += [of[t] for t in summary.as_py() or () if t in of]
+                if hits:
+                    question, points = np.unique(np.concatenate(hits), return_counts=True)
+                    row = tuple(x.as_py() for x in kept)
+                    best.see(question, np.minimum(points / 10, 0.85), tuple((x is not None, x) for x in row[:2]), row)
+        rows = [(int(ids[q]), score, row) for q, score, _, row in best.found()]
+        if rows:
+            columns = [pa.array([r[2][k] for r in rows], t) for k, t in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), *columns, pa.array([r[1] for r in rows], pa.float64())], ["query_id", *names, "score"])
+
+    scored = have.mapInArrow(run, f"query_id long, {shape}, score double")
     return node_candidates(top_k(scored, ["query_id"], [F.desc("score"), F.col("relpath"), F.col("preorder")], keep))
 
 
@@ -351,12 +381,22 @@ def related_pages(touched: DataFrame, pages: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.array_sort(F.collect_set("slug")).alias("slugs"))
 
 
+def _with_scores(ends: DataFrame, scores: DataFrame) -> DataFrame:
+    """Ends of edges (id, node) with the scores of their nodes (query_id, node, node_score). Few scores go to the edges; where there are more than MOST_SCORES, a node's edges are dealt to SALTS tasks, as one node may have most of them."""
+    if scores.count() <= MOST_SCORES:
+        return ends.join(F.broadcast(scores), "node")
+    salted = scores.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return ends.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(salted, ["node", "salt"])
+
+
 def graph_scores(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keywords: DataFrame, most: int | None = None) -> DataFrame:
     """query_id, edge id and score of edges with a score. most: of edges that have nothing but a wanted relation, only those that are among so many smallest ids of it: enough for the first `most` answers, as these all score alike. nodes: id, label, aliases; edges: id, relation, src, dst, evidence; keywords: relation, keyword.
 
     A node needs a common term or an alias in the question, an edge a scored end, a wanted relation or a common term, so
     questions meet nodes and edges through terms and relations. Aliases are looked up by the terms they hold.
     """
+    # an edge may have rows for many questions, and all edges may lie in one small file
+    edges = edges.repartition(partitions(edges.sparkSession), "id")
     asked = small(questions.select("query_id", F.lower("question").alias("q"), graph_terms(F.col("question")).alias("q_terms")))
     q_terms = F.broadcast(asked.select("query_id", "q", F.explode("q_terms").alias("term")))
     names = nodes.select(F.col("id").alias("node"), F.array_distinct(F.concat(F.array("label"), F.coalesce("aliases", F.array().cast("array<string>")))).alias("names"))
@@ -365,14 +405,15 @@ def graph_scores(questions: DataFrame, nodes: DataFrame, edges: DataFrame, keywo
     q = F.col("q")
     node = node.select("query_id", "node", (F.col("common") + 3.0 * F.size(F.filter("names", lambda a: q.contains(F.lower(a))))).alias("node_score"))
     wanted = desired_relations(questions, keywords)
-    ends = edges.select("id", F.explode(F.array("src", "dst")).alias("node")).join(node, "node").groupBy("query_id", "id").agg((1.5 * F.max("node_score")).alias("s"))
-    words = edges.select("id", F.explode(graph_terms(F.col("evidence"))).alias("term")).join(q_terms.select("query_id", "term"), "term").groupBy("query_id", "id").agg(F.count("*").cast("double").alias("s"))
+    ends = _with_scores(edges.select("id", F.explode(F.array("src", "dst")).alias("node")), written(node)).select("query_id", "id", (1.5 * F.col("node_score")).alias("end"), F.lit(0.0).alias("s"))
+    words = edges.select("id", F.explode(graph_terms(F.col("evidence"))).alias("term")).join(q_terms.select("query_id", "term"), "term").select("query_id", "id", F.lit(0.0).alias("end"), F.lit(1.0).alias("s"))
     found = ends.union(words)
+    score = F.max("end") + F.sum("s")
     if most is None:
-        found = found.union(edges.select("id", "relation").join(F.broadcast(wanted), "relation").select("query_id", "id", F.lit(4.0).alias("s")))
-        return found.groupBy("query_id", "id").agg(F.sum("s").alias("score")).filter("score > 0")
+        found = found.union(edges.select("id", "relation").join(F.broadcast(wanted), "relation").select("query_id", "id", F.lit(0.0).alias("end"), F.lit(4.0).alias("s")))
+        return found.groupBy("query_id", "id").agg(score.alias("score")).filter("score > 0")
     first = top_k(edges.select("id", "relation"), ["relation"], [F.col("id")], most)
-    found = found.union(first.join(F.broadcast(wanted), "relation").select("query_id", "id", F.lit(0.0).alias("s"))).groupBy("query_id", "id").agg(F.sum("s").alias("s"))
+    found = found.union(first.join(F.broadcast(wanted), "relation").select("query_id", "id", F.lit(0.0).alias("end"), F.lit(0.0).alias("s"))).groupBy("query_id", "id").agg(score.alias("s"))
     kind = found.join(edges.select("id", "relation"), "id").join(F.broadcast(wanted.withColumn("is_wanted", F.lit(4.0))), ["query_id", "relation"], "left")
     return kind.select("query_id", "id", (F.col("s") + F.coalesce("is_wanted", F.lit(0.0))).alias("score")).filter("score > 0")
 

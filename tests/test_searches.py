@@ -54,3 +54,25 @@ def test_tokens_held_at_once():
     """Texts are embedded in runs of bounded numbers of tokens, one text at least."""
     runs = list(V._runs(np.array([5, 5, 50, 1, 2, 8, 0]), 10))
     assert runs == [(0, 2), (2, 3), (3, 5), (5, 7)]
+
+
+def test_hubs_of_a_graph(spark, monkeypatch):
+    """A node with most edges: many scores are dealt to parts, and give what few give."""
+    nodes = spark.createDataFrame([("h", "hub", ["hub"])] + [(f"n{k}", f"name {k}", None) for k in range(50)], "id string, label string, aliases array<string>")
+    edges = spark.createDataFrame([(f"e{k}", "impacts", f"n{k}", "h", "why it is") for k in range(50)], "id string, relation string, src string, dst string, evidence string")
+    asked = spark.createDataFrame([(1, "why hub"), (2, "what impacts name 7")], "query_id long, question string")
+    scores = lambda: sorted(map(tuple, R.graph_scores(asked, nodes, edges, R.keyword_table(spark)).collect()))
+    few = scores()
+    monkeypatch.setattr(R, "MOST_SCORES", 0)
+    assert scores() == few and (1, "e3", 7.0) in few and len(few) == 100
+
+
+def test_rows_written_by_components(spark, monkeypatch):
+    """Nodes are not written again in each round."""
+    from lorespark.operators import components as C
+
+    rows, real = [], C.written
+    monkeypatch.setattr(C, "written", lambda df: (out := real(df), rows.append(out.count()))[0])
+    got = C.connected_components(spark.range(400).selectExpr("id src", "id + 1 dst"))
+    assert sorted(map(tuple, got.collect())) == [(k, 0) for k in range(401)]
+    assert sum(rows) < 401 * 8
