@@ -64,12 +64,14 @@ def relations(found: DataFrame, id_col: str) -> DataFrame:
     start = lambda p: next((at for head, at in STARTS if p.startswith(head)), "")
     patterns = [f"(?i){start(p)}{p}" for _, p, _ in PATTERNS]
     # lambdas keep the generated code small: a pattern is one call in it
-    sides = lambda k: F.array(*(F.when(s.rlike(f"(?i){t}"), F.regexp_extract(s, p, k)).otherwise("") for p, t in zip(patterns, TRIGGERS, strict=True)))
+    lefts = F.array(*(F.when(s.rlike(f"(?i){t}"), F.regexp_extract(s, p, 1)).otherwise("") for p, t in zip(patterns, TRIGGERS, strict=True)))
+    # only the pattern that decides is searched for its right label
+    right = F.coalesce(*(F.when(F.col("nth") == k, F.regexp_extract(s, p, 2)) for k, p in enumerate(patterns, 1)))
     by_nth = lambda values: F.element_at(values, F.col("nth").cast("int"))
     literal = lambda values: F.array(*map(F.lit, values))
-    rows = found.filter(s.rlike("(?i)" + "|".join(TRIGGERS))).withColumn("lefts", F.transform(sides(1), clean_label))
+    rows = found.filter(s.rlike("(?i)" + "|".join(TRIGGERS))).withColumn("lefts", F.transform(lefts, lambda x: F.when(x == "", x).otherwise(clean_label(x))))
     rows = rows.withColumn("nth", F.array_position(F.transform("lefts", lambda x: x != ""), True)).filter("nth > 0")
-    rows = rows.select(id_col, "pos", "sentence", *more, by_nth(literal([r for r, _, _ in PATTERNS])).alias("relation"), by_nth(literal([r for _, _, r in PATTERNS])).alias("reverse"), by_nth(F.col("lefts")).alias("left"), by_nth(sides(2)).alias("right"))
+    rows = rows.select(id_col, "pos", "sentence", *more, by_nth(literal([r for r, _, _ in PATTERNS])).alias("relation"), by_nth(literal([r for _, _, r in PATTERNS])).alias("reverse"), by_nth(F.col("lefts")).alias("left"), right.alias("right"))
     rows = rows.withColumn("other", F.explode(F.transform(split_targets(F.col("right")), clean_label))).filter("other != ''")
     return rows.select(
         id_col, "pos", "relation",

@@ -10,6 +10,7 @@ from lorespark.operators import graph as G
 from lorespark.operators import retrieval as R
 from lorespark.operators import trees as P
 from lorespark.operators.components import TOGETHER, connected_components, numbered
+from lorespark.operators.tables import partitions
 from lorespark.plans.registry import query, table
 
 
@@ -36,7 +37,8 @@ TRIPLES_SQL = """(select 'supplier/' || s_suppkey relpath, 'depends_on' relation
 
 @query(f"select relpath, relation, source, target from {TRIPLES_SQL}")
 def relation_extract(spark: SparkSession, d: str) -> DataFrame:
-    return G.relations(G.sentences(statements(spark, d), "relpath", "body"), "relpath").select("relpath", "relation", "source", "target")
+    # small files, much work a row: rows are dealt to all tasks
+    return G.relations(G.sentences(statements(spark, d).repartition(partitions(spark)), "relpath", "body"), "relpath").select("relpath", "relation", "source", "target")
 
 
 @query("""select p_partkey, list_transform(list_filter([p_name, p_brand, p_type], lambda x: x <> ''), lambda x: trim(x, ' ')) targets, 3::bigint n from part""")
@@ -155,7 +157,8 @@ def dedupe_first_wins(spark: SparkSession, d: str) -> DataFrame:
 def chains(spark: SparkSession, d: str) -> DataFrame:
     """Each line of an order is linked to the line before it, the first to the customer: a component a customer, of chains that meet in it."""
     line = F.col("l_orderkey") * 8 + F.col("l_linenumber")
-    e = table(spark, d, "lineitem").select("l_orderkey", line.alias("src")).distinct().join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    # dealt by order once, for the distinct lines, the join and the window
+    e = table(spark, d, "lineitem").select("l_orderkey", line.alias("src")).repartition("l_orderkey").distinct().join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     before = F.lag("src").over(Window.partitionBy("l_orderkey").orderBy("src"))
     return e.select("src", F.coalesce(before, -F.col("o_custkey")).alias("dst"))
 
